@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("op1_toxicity", "op6_quality_rules", "op7_license_scans", "op9_secret_scans", "op10_sharding")
+MODULES = ("op1_toxicity", "op3_bpe", "op6_quality_rules", "op7_license_scans", "op8_suffix_dedup", "op9_secret_scans", "op10_sharding")
 SQL: dict[str, str] = {}
 
 
