@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import documents, settle
 
 SAMPLE, TERMS = 10_000, 500
-#: A term must occur in this share of the toxic sample, and be this many times likelier there.
-SUPPORT, LIFT = 0.01, 12.0
+#: A term must occur in this many texts of the toxic sample and in this share of it, and be this many times likelier there.
+LEAST, SUPPORT, LIFT = 6, 0.01, 12.0
 PREFIXES = range(4, 10)
 # Homoglyphs (Cyrillic, Greek) by the Latin letter they resemble.
 HOMOGLYPHS = {"a": "аα", "c": "сϲ", "e": "еε", "h": "һ", "i": "іι", "j": "ј", "k": "кκ", "m": "м", "n": "п", "o": "оοσ", "p": "рρ", "s": "ѕ", "t": "тτ", "u": "υ", "v": "ν", "x": "хχ", "y": "уγ"}
@@ -130,7 +130,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
     sizes = {r["toxic"]: r["count"] for r in seen.groupBy("toxic").count().collect()}
     if not sizes.get(0) or not sizes.get(1):
         return {"weights": {}, "curve": None}
-    support = max(3, SUPPORT * sizes[1])
+    support = max(LEAST, SUPPORT * sizes[1])
     frequent = counts(seen.filter("toxic = 1"), None).filter(F.col("n") >= support).orderBy(F.desc("n"), "term").limit(40 * terms)
     toxic = {r["term"]: r["n"] for r in frequent.collect()}
     clean = {r["term"]: r["n"] for r in counts(seen.filter("toxic = 0"), toxic).collect()}

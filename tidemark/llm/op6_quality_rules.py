@@ -22,8 +22,9 @@ from tidemark.llm.common import ASCII_SPACE, documents, let, text_of
 SYMBOLS = "#*$%&|<>"
 BUCKETS = 8192
 TRUSTED_ROWS = 20_000
-SMOOTHING = 1.0
-THRESHOLD = -0.03
+#: Pseudo-counts that draw a bucket's target count to what the raw corpus leads to expect: rare buckets say little.
+SMOOTHING = 20.0
+THRESHOLD = -0.04
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 
@@ -81,7 +82,7 @@ def trusted_ids(labels: DataFrame, rows: int) -> DataFrame:
 
 
 def ratio_table(docs: DataFrame, trusted: DataFrame, buckets: int) -> list[float]:
-    """log p_target / p_raw of every bucket; both multinomials are smoothed alike."""
+    """log p_target / p_raw of every bucket, the target's count smoothed towards the raw corpus."""
     bucket = let(words_of(text_of(docs)), lambda w: let(hashes_of(w), lambda h: ngram_buckets(h, buckets)))
     held = docs.join(F.broadcast(trusted.withColumn("trusted", F.lit(1))), "doc_id", "left")
     counts = held.select("trusted", F.explode(bucket).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("trusted").alias("target"))
@@ -89,7 +90,7 @@ def ratio_table(docs: DataFrame, trusted: DataFrame, buckets: int) -> list[float
     filled = whole.select("bucket", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("raw", "target")))
     rows = filled.agg(F.sum("raw").alias("raws"), F.sum("target").alias("targets"), F.array_sort(F.collect_list(F.struct("bucket", "raw", "target"))).alias("each")).select(
         F.when(F.col("targets") == 0, F.array_repeat(F.lit(0.0), buckets)).otherwise(
-            F.transform("each", lambda x: F.log((x["target"] + SMOOTHING) / (F.col("targets") + SMOOTHING * buckets)) - F.log((x["raw"] + SMOOTHING) / (F.col("raws") + SMOOTHING * buckets)))
+            F.transform("each", lambda x: F.log((x["target"] + SMOOTHING) / (x["raw"] * F.col("targets") / F.col("raws") + SMOOTHING)))
         ).alias("ratios")
     )
     return rows.first()["ratios"]
