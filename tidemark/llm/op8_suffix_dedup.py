@@ -31,9 +31,11 @@ from tidemark.llm.common import documents, text_of
 SPAN, GRAM = 50, 20
 #: Bytes of text for each group of pieces in the first pass.
 GROUP_BYTES = 48_000_000
+#: Bytes of text worked on at once, so that arrays stay in a core's cache.
+SLICE = 400_000
 LAST = 2**63 - 1
 LOW48 = np.uint64(2**48 - 1)
-ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+BASE, ODD = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
 class Family:
@@ -46,11 +48,9 @@ class Family:
         """Which keys some level holds, and their owner (a key is only ever added once)."""
         found, owner = np.zeros(len(keys), bool), np.full(len(keys), LAST, np.int64)
         for known, owners in self.levels:
-            at = np.searchsorted(known, keys)
-            at[at == len(known)] = 0
-            hit = known[at] == keys
-            found |= hit
-            owner[hit] = owners[at[hit]]
+            mine, theirs = common(known, keys)
+            found[mine] = True
+            owner[mine] = owners[theirs]
         return found, owner
 
     def add(self, keys: np.ndarray, owners: np.ndarray) -> None:
@@ -62,6 +62,20 @@ class Family:
             self.levels.append((keys, owners))
 
 
+def common(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in keys and in known of what both hold, each sorted and distinct: a merge, or a search where known is far longer."""
+    if len(known) > 16 * len(keys):
+        at = np.searchsorted(known, keys)
+        at[at == len(known)] = 0
+        mine = np.flatnonzero(known[at] == keys)
+        return mine, at[mine]
+    both = np.concatenate([known, keys])
+    order = np.argsort(both, kind="stable")
+    merged = both[order]
+    at = np.flatnonzero(merged[1:] == merged[:-1])
+    return order[at + 1] - len(known), order[at]
+
+
 def sort_min(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys with the smallest owner of each."""
     order = np.argsort(keys, kind="stable")
@@ -72,33 +86,26 @@ def sort_min(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def lightest(data: np.ndarray, span: int = SPAN, gram: int = GRAM) -> np.ndarray:
     """For each place with `span` bytes from there, the smallest hash of its `gram`-byte pieces."""
-
-    def stretch(build, start: np.ndarray, size: int, overlap: bool) -> np.ndarray:
-        powers, at = {1: start}, 1
-        while 2 * at <= size:
-            powers[2 * at] = build(powers[at][:-at], powers[at][at:], ODD[at.bit_length() % 5])
-            at *= 2
-        if overlap:
-            whole = powers[at]
-            return whole if at == size else build(whole[: len(start) - size + 1], whole[size - at : size - at + len(start) - size + 1], ODD[0])
-        whole, have = powers[at], at
-        for part in sorted(powers, reverse=True)[1:]:
-            if have + part <= size:
-                n = len(start) - have - part + 1
-                whole, have = build(whole[:n], powers[part][have : have + n], ODD[(have + part) % 5]), have + part
-        return whole
-
-    def mixed(a: np.ndarray, b: np.ndarray, by: np.uint64) -> np.ndarray:
-        out = a * by + b
-        out ^= out >> np.uint64(29)
-        out *= ODD[1]
-        out ^= out >> np.uint64(32)
-        return out
-
     if len(data) < span:
         return np.zeros(0, np.uint64)
-    grams = stretch(mixed, data.astype(np.uint64) * ODD[2], gram, False)
-    return stretch(lambda a, b, _: np.minimum(a, b), grams, span - gram + 1, True)
+    power, size = {1: data.astype(np.uint64)}, 1
+    while 2 * size <= gram:
+        power[2 * size] = power[size][:-size] * np.uint64(pow(BASE, size, 2**64)) + power[size][size:]
+        size *= 2
+    hashes, have = power[size], size
+    for part in sorted(power, reverse=True)[1:]:
+        if have + part <= gram:
+            n = len(data) - have - part + 1
+            hashes, have = hashes[:n] * np.uint64(pow(BASE, part, 2**64)) + power[part][have : have + n], have + part
+    hashes = hashes ^ (hashes >> np.uint64(31))
+    hashes *= np.uint64(ODD)
+    hashes ^= hashes >> np.uint64(29)
+    size, wanted = 1, span - gram + 1
+    while 2 * size <= wanted:
+        hashes = np.minimum(hashes[:-size], hashes[size:])
+        size *= 2
+    rest = wanted - size
+    return np.minimum(hashes[: len(hashes) - rest], hashes[rest:]) if rest else hashes
 
 
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +130,7 @@ def stretches(texts: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray, np
     return which[first], place[first] - starts[which[first]], np.diff(np.r_[first, len(place)]), value[first] & LOW48
 
 
-def sliced(batch: pa.RecordBatch, size: int = 8_000_000) -> Iterator[tuple[int, int, list[bytes]]]:
+def sliced(batch: pa.RecordBatch, size: int = SLICE) -> Iterator[tuple[int, int, list[bytes]]]:
     """Rows of a batch in portions of about `size` bytes: first and last row, and the texts."""
     texts = batch.column("text").cast(pa.binary())
     at = 0
@@ -207,7 +214,7 @@ def send_stretches(span: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, texts in sliced(batch, 4_000_000):
+            for low, high, texts in sliced(batch):
                 k, c1 = (batch.column(c).to_numpy(zero_copy_only=False)[low:high] for c in ("k", "c1"))
                 wanted = [unpack(b"".join(x.as_py())) for x in batch.column("shared").slice(low, high - low)]
                 which, place, count, value = stretches(texts, span)
@@ -302,7 +309,8 @@ def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     pieces = keyed.select("c1", "text").mapInArrow(send_pieces(max(8, -(-total // GROUP_BYTES)), span), "grp int, c1 long, pieces binary")
     shared = pieces.repartition("grp").mapInArrow(shared_pieces, "c1 long, pieces binary").join(first.select("c1", F.col("first").alias("k")), "c1")
     wanted = shared.groupBy("k", "c1").agg(F.collect_list("pieces").alias("shared"))
-    parts = keyed.join(wanted, ["k", "c1"]).select("k", "c1", "text", "shared").mapInArrow(send_stretches(span), "piece long, k long, c1 long, place int, part binary")
+    # The same columns as in the last join, so that both use one exchange of the texts.
+    parts = keyed.join(wanted, ["k", "c1"]).select("doc_id", "k", "c1", "text", "shared").mapInArrow(send_stretches(span), "piece long, k long, c1 long, place int, part binary")
     repeats = parts.repartition("piece").sortWithinPartitions("k").mapInArrow(repeated_stretches(span), "k long, c1 long, start long, end long")
     ranges = repeats.unionByName(copies).groupBy("k", "c1").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     return keyed.join(ranges, ["k", "c1"], "left").select("doc_id", "text", "ranges").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("op1_toxicity", "op3_bpe", "op5_near_dedup", "op6_quality_rules", "op7_license_scans", "op8_suffix_dedup", "op9_secret_scans", "op10_sharding")
+MODULES = ("op1_toxicity", "op2_lm_scoring", "op3_bpe", "op4_decontamination", "op5_near_dedup", "op6_quality_rules", "op7_license_scans", "op8_suffix_dedup", "op9_secret_scans", "op10_sharding")
 SQL: dict[str, str] = {}
 
 
