@@ -191,6 +191,23 @@ def score_toxicity(docs: DataFrame, model: dict) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text").mapInArrow(run, OUT)
 
 
+def drop_toxic(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is below the threshold."""
+    said, place = json.dumps(model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = json.loads(said)
+        found = machine(known["weights"])
+        a, b = known["curve"] or (-math.inf, 0.0)
+        least = math.log(threshold / (1 - threshold))
+        for batch in batches:
+            lines = (fold(x.as_py()) for x in batch.column(place))
+            clean = [a + b * strength(measure(found, x)[1], max(0, x.count(" ") - 1)) < least for x in lines]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents."""
     docs = documents(spark, sf_dir)

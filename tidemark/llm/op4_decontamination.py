@@ -72,19 +72,25 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, agree: float = AGREE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(doc_id, item_id, coverage, agreement) of every document that leaks an item."""
+    """(doc_id, item_id, coverage, agreement, text_hash) of every document that leaks an item."""
     items = settle(benchmark_windows(benchmark), "benchmark")
     small = items.count() <= broadcast_rows
     side = items.select("hash", "item_id", "n_windows", F.col("slots").alias("item_slots"))
     numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_of(docs).alias("text"))
-    seen = numbered.select("doc_id", "row", F.explode(windows(F.col("text"))).alias("w")).select("doc_id", "row", "w.hash", "w.slots")
+    seen = numbered.select("doc_id", F.xxhash64("text").alias("text_hash"), "row", F.explode(windows(F.col("text"))).alias("w")).select("doc_id", "text_hash", "row", "w.hash", "w.slots")
     met = settle(seen.join(F.broadcast(side) if small else side.hint("shuffle_merge"), "hash"), "windows")
-    covered = met.groupBy("row", "doc_id", "item_id", "n_windows", "hash").agg(F.lit(1)).groupBy("row", "doc_id", "item_id", "n_windows").agg(F.count(F.lit(1)).alias("found"))
+    covered = met.groupBy("row", "doc_id", "text_hash", "item_id", "n_windows", "hash").agg(F.lit(1)).groupBy("row", "doc_id", "text_hash", "item_id", "n_windows").agg(F.count(F.lit(1)).alias("found"))
     pairs = met.filter(F.size("slots") > 0).select("row", "item_id", F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).select("row", "item_id", F.col("s.item_slots").alias("value"), F.col("s.slots").alias("other"))
     told = pairs.groupBy("row", "item_id", "value", "other").agg(F.count(F.lit(1)).alias("n")).groupBy("row", "item_id", "value").agg(F.max("n").alias("best"), F.sum("n").alias("n"))
     slots = told.groupBy("row", "item_id").agg((F.sum("best") / F.sum("n")).alias("agreement"))
     found = covered.filter(F.col("found") >= cover * F.col("n_windows")).join(slots, ["row", "item_id"], "left")
-    return found.select("doc_id", "item_id", (F.col("found") / F.col("n_windows")).alias("coverage"), F.coalesce("agreement", F.lit(1.0)).alias("agreement")).filter(F.col("agreement") >= agree)
+    return found.select("doc_id", "item_id", (F.col("found") / F.col("n_windows")).alias("coverage"), F.coalesce("agreement", F.lit(1.0)).alias("agreement"), "text_hash").filter(F.col("agreement") >= agree)
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that leak no item."""
+    leaks = find_leaks(docs, benchmark).select(F.col("doc_id").alias("leaked"), "text_hash").distinct()
+    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["leaked"]) & (F.xxhash64(text_of(docs)) == leaks["text_hash"]), "left_anti")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

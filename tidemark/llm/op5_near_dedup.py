@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, settle
+from tidemark.llm.common import ASCII_SPACE, documents, settle, text_of
 from tidemark.llm.components import connected_components
 
 SHINGLE, ROWS, MISS = 5, 5, 1e-6
@@ -140,9 +140,9 @@ def sketch(bands: int, rows: int, size: int):
                         keys[:, b] = mixed(keys[:, b] * MIX[6] + signature[:, b * rows + r])
                 low = (signature & 0xFF).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(at, len(part)), pa.array(n, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)),
+                    [batch.column("doc_id").slice(at, len(part)), batch.column("text_hash").slice(at, len(part)), pa.array(n, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)),
                      pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), pa.array(keys.view(np.int64).reshape(-1))), pa.array([row.tobytes() for row in low], pa.binary())],
-                    ["doc_id", "n", "h1", "h2", "bands", "signature"],
+                    ["doc_id", "text_hash", "n", "h1", "h2", "bands", "signature"],
                 )
 
     return run
@@ -222,8 +222,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE, row
     threshold = percent / 100
     bands = bands_for(threshold, rows, miss)
     steps = least_matches(threshold, bands * rows, 4 * rows, miss)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows_of = settle(docs.mapInArrow(sketch(bands, rows, size), "doc_id long, n long, h1 long, h2 long, bands array<long>, signature binary"), "sketches")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of(docs)).alias("text_hash"), "text")
+    rows_of = settle(docs.mapInArrow(sketch(bands, rows, size), "doc_id long, text_hash long, n long, h1 long, h2 long, bands array<long>, signature binary"), "sketches")
     grouped = rows_of.filter("n > 0").groupBy("h1", "h2").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("k"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
     classes = settle(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
 
@@ -267,13 +267,26 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE, row
 
     held = classes.select("h1", "h2", "node", "k").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = held.groupBy("label").agg(F.min("k").alias("lowest"))
-    known = held.join(lowest, "label").select("h1", "h2", F.when(F.col("lowest") < LAST, F.col("lowest")).alias("component_id"))
-    alone = rows_of.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return rows_of.filter("n > 0").join(known, ["h1", "h2"]).select("doc_id", "n", "component_id").unionByName(alone).select(
-        "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
+    known = held.join(lowest, "label").select("h1", "h2", F.when(F.col("lowest") < LAST, F.col("lowest")).alias("component_id"), F.col("label").alias("component"))
+    alone = rows_of.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component"), "text_hash")
+    return rows_of.filter("n > 0").join(known, ["h1", "h2"]).select("doc_id", "n", "component_id", "component", "text_hash").unionByName(alone).select(
+        "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "component", "text_hash",
     )
 
 
+def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, of which one stays for each group of near copies: that of the smallest id.
+
+    Rows without words all stay. Equal rows of one id are one group, so one of them stays.
+    """
+    chosen = near_duplicates(docs, percent).filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("c"))
+    chosen = chosen.select(F.col("c.doc_id").alias("chosen"), F.col("c.text_hash").alias("text_hash"))
+    hashed = docs.withColumn("text_hash", F.xxhash64(text_of(docs)))
+    has_words = F.length(F.btrim(text_of(docs), F.lit(ASCII_SPACE))) > 0
+    kept = hashed.filter(has_words).join(chosen, hashed["doc_id"].eqNullSafe(chosen["chosen"]) & (hashed["text_hash"] == chosen["text_hash"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text_hash"]).unionByName(hashed.filter(~has_words)).select(*docs.columns)
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies among all documents, at a similarity of 0.85."""
-    return near_duplicates(documents(spark, sf_dir), percent=85)
+    return near_duplicates(documents(spark, sf_dir), percent=85).select("doc_id", "n_shingles", "component_id", "kept")

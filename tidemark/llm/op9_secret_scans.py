@@ -52,13 +52,13 @@ def spans(text: Column, pattern: str, valid) -> Column:
 
 def scan_spans(docs: DataFrame) -> DataFrame:
     """doc_id and the spans of every kind, one column each; values never leave the text."""
-    marked = docs.select("doc_id", F.translate(text_of(docs), "\x01\x02", "\x03\x03").alias("text"))
+    marked = docs.select("doc_id", F.xxhash64(text_of(docs)).alias("text_hash"), F.translate(text_of(docs), "\x01\x02", "\x03\x03").alias("text"))
     text = F.col("text")
     long_enough = {
         "assign": lambda m: F.length(F.regexp_extract(m, f"^{ASSIGN_HEAD}({VALUE})$", 1)) >= 8,
         "access": lambda m: F.length(m) >= 16,
     }
-    return marked.select("doc_id", *(spans(text, p, long_enough.get(k, lambda _: F.lit(True))).alias(k) for k, p in {**PATTERNS, **WEAK}.items()))
+    return marked.select("doc_id", "text_hash", *(spans(text, p, long_enough.get(k, lambda _: F.lit(True))).alias(k) for k, p in {**PATTERNS, **WEAK}.items()))
 
 
 def link_parts(scanned: DataFrame, scope: int) -> DataFrame:
@@ -81,24 +81,47 @@ def link_parts(scanned: DataFrame, scope: int) -> DataFrame:
 
 
 def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """Counts of the base kinds, their digest, and all spans, of every document."""
+    """doc_id, text_hash, base spans and all spans of every document; a span is (start, rank, kind, end), in order."""
     scanned = settle(scan_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).withColumn("row", F.monotonically_increasing_id()), "spans")
     linked = link_parts(scanned, scope).groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("linked"))
 
-    def listed(source: Column, kind: Column | str) -> Column:
-        name = lambda s: s["kind"] if kind is None else F.lit(kind)
-        rank = lambda s: F.array_position(F.lit(KINDS), name(s)).cast("int")
-        return F.transform(source, lambda s: F.struct(s["start"].alias("start"), rank(s).alias("rank"), name(s).alias("kind"), s["end"].alias("end")))
+    def listed(source: Column, kind: str | None) -> Column:
+        def one(s: Column) -> Column:
+            name = s["kind"] if kind is None else F.lit(kind)
+            rank = F.array_position(F.lit(KINDS), name).cast("int")
+            return F.struct(s["start"].alias("start"), rank.alias("rank"), name.alias("kind"), s["end"].alias("end"))
+
+        return F.transform(source, one)
 
     base = F.concat(*(listed(F.col(k), k) for k in PATTERNS))
     more = F.coalesce(listed(F.col("linked"), None), F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>"))
-    joined = lambda x: F.array_join(F.transform(F.sort_array(x), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    return scanned.join(linked, "row", "left").select(
-        "doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in PATTERNS), F.sha2(joined(base), 256).alias("base_sha256"),
-        joined(F.concat(base, more)).alias("spans"), F.coalesce(F.size("linked"), F.lit(0)).cast("long").alias("n_linked"),
-    )
+    return scanned.join(linked, "row", "left").select("doc_id", "text_hash", F.sort_array(base).alias("base"), F.sort_array(F.concat(base, more)).alias("all"))
+
+
+def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+    """The rows of docs with every found span replaced by the mark, and n_chars, where it exists, counted anew."""
+    found = find_secrets(docs).filter(F.size("all") > 0).select(F.col("doc_id").alias("with"), "text_hash", "all").dropDuplicates(["with", "text_hash"])
+    held = docs.join(found, docs["doc_id"].eqNullSafe(found["with"]) & (F.xxhash64(text_of(docs)) == found["text_hash"]), "left")
+    text = docs["text"]
+
+    def step(a: Column, s: Column) -> Column:
+        ahead = F.array(F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark))
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], F.concat(a["out"], ahead)).otherwise(a["out"]).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    clean = F.aggregate("all", zero, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
+    out = held.withColumn("text", F.when(F.col("all").isNotNull(), clean).otherwise(text))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("all").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(docs["n_chars"]))
+    return out.select(*docs.columns)
 
 
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents."""
-    return find_secrets(documents(spark, sf_dir))
+
+    def joined(x: str) -> Column:
+        return F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    found = find_secrets(documents(spark, sf_dir))
+    counts = [F.aggregate("base", F.lit(0).cast("long"), lambda n, s: n + (s["kind"] == kind).cast("long")).alias(f"n_{kind}") for kind in PATTERNS]  # noqa: B023  called at once
+    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("all").alias("spans"))
