@@ -1,7 +1,7 @@
 """BPE encoding and decoding by tree concatenation.
 
-A vocabulary file of a public tokenizer is used as it is. White space ends every pre-token, so a text is encoded run by run, and
-short runs come from a bounded cache that is filled in batches. Text longer than a leaf is halved down to leaves, anywhere,
+A vocabulary file of a public tokenizer is used as it is. White space ends every pre-token, so a text is encoded run by run (a
+plain text pre-token by pre-token), and short runs come from a bounded cache that is filled in batches. Text longer than a leaf is halved down to leaves, anywhere,
 even inside a word, only not before a combining mark; all leaves of a batch are encoded together, in parallel threads. Going up the tree, a window around
 each join is encoded anew and grows until it agrees with both sides: it holds a unit (a run, or a token of a run that is
 too long for the cache) with the same place and ids as the left half has, and one as the right half has. Neighbouring
@@ -26,13 +26,21 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import documents
 
-LEAF, WINDOW, CACHED_RUN, CACHE = 4096, 64, 96, 300_000
+LEAF, WINDOW, CACHED_RUN, CACHE = 4096, 64, 96, 400_000
 #: Characters of text for which results are made and handed on together.
-SLICE = 2_000_000
+SLICE = 1_000_000
 RUN = re.compile(r"[^ \t-\r]+")
+#: Pre-tokens of lower-cased plain text, and what makes a text not plain.
+PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-/:-@[-`{-~]+")
+ODD = re.compile(r"[^ \t-\r!-&(-~À-ÖØ-öø-ÿ]")
 Unit = tuple[int, int, bytes, str]
 
 
+def is_plain(text: str) -> bool:
+    """Only letters, digits and signs of Latin-1 whose pre-tokens PIECE finds: no apostrophes, no beginnings of special tokens."""
+    return "<|" not in text and not ODD.search(text)
+
+
 def before_marks(text: str, at: int, low: int) -> int:
     """The place at or before `at` where no run of combining marks is cut, which normalisation reorders as a whole."""
     while low < at < len(text) and unicodedata.combining(text[at]):
@@ -57,23 +65,50 @@ class Codec:
         self.lib.no_padding()
         longest = max((len(t.content) for t in self.lib.get_added_tokens_decoder().values()), default=0)
         self.leaf, self.window, self.cached_run, self.cache = leaf, max(window, 2 * longest), cached_run, cache
-        self.known: dict[str, tuple[bytes, str]] = {}
-
-    def learn(self, runs: Iterable[str]) -> None:
-        """Put what is new among the runs into the cache, in one parallel batch."""
-        new = [r for r in set(runs) if r not in self.known]
-        if len(self.known) + len(new) > self.cache:
-            self.known.clear()
+        size = self.lib.get_vocab_size()
+        self.token = [self.lib.id_to_token(i) or "" for i in range(size)]
+        self.ends_word = [t.endswith("</w>") for t in self.token]
+        #: Two generations: what the younger lacks is moved up from the older, and the older is dropped when the younger is full.
+        self.young: dict[str, tuple[bytes, str]] = {}
+        self.old: dict[str, tuple[bytes, str]] = {}
+
+    def learn(self, runs: Iterable[str], plain: bool) -> None:
+        """Put what is new among the runs into the cache, in parallel batches."""
+        if len(self.young) > self.cache // 2:
+            self.young, self.old = {}, self.young
+        new = [r for r in set(runs) if r not in self.young and r not in self.old]
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            ids = [e.ids for e in self.lib.encode_batch(part, add_special_tokens=False)]
-            said = self.lib.decode_batch(ids, skip_special_tokens=False)
-            self.known.update((r, (b"".join(i.to_bytes(4, "little") for i in x), s)) for r, x, s in zip(part, ids, said, strict=True))
+            if plain:
+                ids = self.words(part)
+                said = [" ".join([self.token[i] for i in x]) for x in ids]
+            else:
+                ids = [e.ids for e in self.lib.encode_batch(part, add_special_tokens=False)]
+                said = self.lib.decode_batch(ids, skip_special_tokens=False)
+            self.young.update((r, (b"".join([i.to_bytes(4, "little") for i in x]), s)) for r, x, s in zip(part, ids, said, strict=True))
+
+    def words(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of pre-tokens, encoded as lines of many: the last token of each is marked as the end of a word."""
+        lines = [pieces[at : at + 500] for at in range(0, len(pieces), 500)]
+        out: list[list[int]] = []
+        for line, e in zip(lines, self.lib.encode_batch([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            found: list[list[int]] = [[]]
+            for i in e.ids:
+                found[-1].append(i)
+                if self.ends_word[i]:
+                    found.append([])
+            if len(found) != len(line) + 1 or found.pop():
+                found = [x.ids for x in self.lib.encode_batch(line, add_special_tokens=False)]
+            out += found
+        return out
 
-    def look_up(self, run: str) -> tuple[bytes, str]:
-        if run not in self.known:
-            self.learn([run])
-        return self.known[run]
+    def look_up(self, run: str, plain: bool) -> tuple[bytes, str]:
+        found = self.young.get(run) or self.old.get(run)
+        if found is None:
+            self.learn([run], plain)
+            return self.young[run]
+        self.young[run] = found
+        return found
 
     def long_run(self, run: str, at: int) -> list[Unit]:
         """A unit for each token, or for tokens that share a character."""
@@ -87,22 +122,22 @@ class Codec:
                 grouped.append((a, b, [i]))
         return [(at + a, at + b, b"".join(i.to_bytes(4, "little") for i in x), self.lib.decode(x, skip_special_tokens=False)) for a, b, x in grouped]
 
-    def units(self, text: str, at: int) -> list[Unit]:
+    def units(self, text: str, at: int, plain: bool) -> list[Unit]:
         """Units of a leaf or window that starts at `at`."""
         out: list[Unit] = []
-        for m in RUN.finditer(text):
+        for m in (PIECE if plain else RUN).finditer(text.lower() if plain else text):
             if m.end() - m.start() > self.cached_run:
                 out += self.long_run(m[0], at + m.start())
             else:
-                out.append((at + m.start(), at + m.end(), *self.look_up(m[0])))
+                out.append((at + m.start(), at + m.end(), *self.look_up(m[0], plain)))
         return out
 
-    def join(self, text: str, low: int, high: int, left: list[Unit], right: list[Unit], middle: int) -> list[Unit]:
+    def join(self, text: str, plain: bool, low: int, high: int, left: list[Unit], right: list[Unit], middle: int) -> list[Unit]:
         """The units of text[low:high], from those of its halves."""
         width = self.window
         while True:
             a, b = before_marks(text, max(low, middle - width), low), after_marks(text, min(high, middle + width), high)
-            fresh = self.units(text[a:b], a)
+            fresh = self.units(text[a:b], a, plain)
             at = {u[:3]: k for k, u in enumerate(fresh)}
             head: tuple[int, int] | None = (0, 0) if a == low else None
             for i in range(len(left) - 1, -1, -1):
@@ -120,15 +155,15 @@ class Codec:
                 return left[: head[0]] + fresh[head[1] : tail[1]] + right[tail[0] :]
             width *= 2
 
-    def tree(self, text: str, low: int, high: int) -> list[Unit]:
+    def tree(self, text: str, plain: bool, low: int, high: int) -> list[Unit]:
         if high - low <= self.leaf:
-            return self.units(text[low:high], low)
+            return self.units(text[low:high], low, plain)
         middle = before_marks(text, (low + high) // 2, low)
         if middle == low:
             middle = after_marks(text, (low + high) // 2, high)
         if middle == high:
-            return self.units(text[low:high], low)
-        return self.join(text, low, high, self.tree(text, low, middle), self.tree(text, middle, high), middle)
+            return self.units(text[low:high], low, plain)
+        return self.join(text, plain, low, high, self.tree(text, plain, low, middle), self.tree(text, plain, middle, high), middle)
 
     def leaves(self, low: int, high: int) -> Iterator[tuple[int, int]]:
         if high - low <= self.leaf:
@@ -139,14 +174,17 @@ class Codec:
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         """Ids, as little-endian unsigned 32-bit integers, and the decoded text, of each."""
-        runs = [[r for a, b in self.leaves(0, len(t)) for r in RUN.findall(t[a:b])] for t in texts]
-        self.learn(r for x in runs for r in x if len(r) <= self.cached_run)
-        for text, own in zip(texts, runs, strict=True):
-            if len(text) <= self.leaf and all(len(r) <= self.cached_run for r in own):
-                found = [self.look_up(r) for r in own]
+        plain = [is_plain(t) for t in texts]
+        runs = [[r for a, b in self.leaves(0, len(t)) for r in (PIECE.findall(t[a:b].lower()) if p else RUN.findall(t[a:b]))] for t, p in zip(texts, plain, strict=True)]
+        for kind in (True, False):
+            self.learn((r for x, p in zip(runs, plain, strict=True) if p == kind for r in x if len(r) <= self.cached_run), kind)
+        for text, p, own in zip(texts, plain, runs, strict=True):
+            if len(text) <= self.leaf and (not own or len(max(own, key=len)) <= self.cached_run):
+                young = self.young
+                found = [young.get(r) or self.look_up(r, p) for r in own]
                 yield b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[0]])
             else:
-                tree = self.tree(text, 0, len(text))
+                tree = self.tree(text, p, 0, len(text))
                 yield b"".join([u[2] for u in tree]), " ".join([u[3] for u in tree if u[2]])
 
 

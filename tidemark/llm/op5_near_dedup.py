@@ -3,7 +3,8 @@
 Every text becomes the set of its word shingles (64-bit hashes), and a MinHash signature. Texts with equal sets form a class;
 what follows works on one row per class. Signatures are banded; the number of bands follows from the threshold and the
 chosen miss probability. In a bucket not all pairs are made: first every member meets the bucket's hub (the member that
-shares most buckets), then only members meet that are still in different components.
+shares most buckets). Members that are still in different components meet in blocks of bounded size, inside a task: first
+their signatures, which leaves those with a likely partner, then their sets; only the links that connect come out.
 
 Candidates are verified in sequence. Signatures (one byte per hash) are compared batch by batch, and a pair is dropped as
 soon as the posterior probability that it reaches the threshold falls below the miss probability (uniform prior, so the
@@ -29,6 +30,8 @@ from tidemark.llm.common import ASCII_SPACE, documents, settle, text_of
 from tidemark.llm.components import connected_components
 
 SHINGLE, ROWS, MISS = 5, 5, 1e-6
+#: Members of a hub that are compared with each other in one task.
+BLOCK = 1000
 LAST = 2**63 - 1
 FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else 0x20 if 9 <= c <= 13 else c for c in range(256))
 BASE = 0x9E3779B97F4A7C15
@@ -217,7 +220,106 @@ def texts_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, size: int) -
     return held.mapInArrow(run, "node long, text binary").dropDuplicates(["node"])
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE, rows: int = ROWS, miss: float = MISS) -> DataFrame:
+def in_blocks(members: DataFrame, block: int):
+    """Members of each hub in blocks of bounded size, grouped by pairs of blocks, so that any two members meet in one group."""
+    many = members.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    own = members.join(many, "hub").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return met.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks").groupBy("hub", "i", "j")
+
+
+def sides_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the two blocks of a group; the same rows twice where a block meets itself."""
+    own = table.column("own").to_numpy()
+    return np.flatnonzero(own == table.column("i")[0].as_py()), np.flatnonzero(own == table.column("j")[0].as_py())
+
+
+def plausible(steps: list[tuple[int, int]]):
+    """Members with a partner of another component that the signatures don't rule out, batch by batch."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x, y = sides_of(table)
+        label = table.column("label").to_numpy()
+        bytes_ = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(table.num_rows, -1)
+        alive = label[x][:, None] != label[y][None, :]
+        matches = np.zeros(alive.shape, np.int16)
+        before = 0
+        for upto, least in steps:
+            if not alive.any():
+                break
+            for k in range(before, upto):
+                matches += bytes_[x, k][:, None] == bytes_[y, k][None, :]
+            alive &= matches >= least
+            before = upto
+        return table.select(["hub", "node", "label"]).take(pa.array(np.unique(np.r_[x[alive.any(1)], y[alive.any(0)]])))
+
+    return run
+
+
+def differences(size: int):
+    """The shingles that a member and its hub don't share, and the size of the member's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = list(zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True))
+            for at in range(0, len(pairs), 64):
+                h, first = shingle_sets([t for p in pairs[at : at + 64] for t in p], size)
+                own = [(h[first[2 * i] : first[2 * i + 1]], h[first[2 * i + 1] : first[2 * i + 2]]) for i in range(len(pairs[at : at + 64]))]
+                part = batch.slice(at, 64)
+                yield pa.RecordBatch.from_arrays([part.column("hub"), part.column("node"), part.column("label"), pa.array([len(y) for _, y in own], pa.int64()), pa.array([np.setxor1d(x, y, assume_unique=True).tobytes() for x, y in own], pa.binary())], ["hub", "node", "label", "n", "unlike"])
+
+    return run
+
+
+def spanning(percent: int):
+    """Enough of the links between a group's components to connect what is linked.
+
+    x and y differ in what one of them alone doesn't share with the hub, so the size of x - y is known exactly from their
+    differences with it, and only shared differences need counting.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        x, y = sides_of(table)
+        label, n, node = (table.column(c).to_numpy() for c in ("label", "n", "node"))
+        sets = [np.frombuffer(b, np.uint64) for b in table.column("unlike").to_pylist()]
+        sizes = np.array([len(u) for u in sets])
+        tokens, rows = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(tokens, kind="stable")
+        tokens, rows = tokens[order], rows[order]
+        first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]][: len(tokens)])
+        ends = np.r_[first[1:], len(tokens)][: len(first)]
+        place_x, place_y = np.full(len(sets), -1), np.full(len(sets), -1)
+        place_x[x], place_y[y] = np.arange(len(x)), np.arange(len(y))
+        shared = np.zeros((len(x), len(y)), np.int32)
+        for a, b in zip(first[ends - first > 1], ends[ends - first > 1], strict=True):
+            u, v = place_x[rows[a:b]], place_y[rows[a:b]]
+            shared[np.ix_(u[u >= 0], v[v >= 0])] += 1
+        total = n[x][:, None] + n[y][None, :]
+        both = (total - sizes[x][:, None] - sizes[y][None, :]) // 2 + shared
+        linked = (100 * both >= percent * (total - both)) & (label[x][:, None] != label[y][None, :])
+        out: list[tuple[int, int]] = []
+        known = {int(k): int(k) for k in label}
+
+        def top(k: int) -> int:
+            while known[k] != k:
+                known[k] = known[known[k]]
+                k = known[k]
+            return k
+
+        for i in np.flatnonzero(linked.any(1)):
+            partners = np.flatnonzero(linked[i])
+            _, one = np.unique(label[y[partners]], return_index=True)
+            for j in partners[one]:
+                p, q = top(int(label[x[i]])), top(int(label[y[j]]))
+                if p != q:
+                    known[p] = q
+                    out.append((int(node[x[i]]), int(node[y[j]])))
+        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE, rows: int = ROWS, miss: float = MISS, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row; sets link at percent / 100 similarity or more."""
     threshold = percent / 100
     bands = bands_for(threshold, rows, miss)
@@ -252,17 +354,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE, row
     links = links.unionByName(more)
     labels = settle(connected_components(links), "labels")
 
-    # What the hubs left: members of a bucket that are in different components and have not met.
-    named = live.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label"))
+    # What the hubs left: members of torn buckets, by hub. Signatures show who may still have a partner, then sets decide.
+    named = live.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     torn = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("bucket")
-    rest = named.join(torn, "bucket").join(hubs, "bucket").filter("node <> hub").select("bucket", "node", "n", "label")
-    other = rest.select("bucket", F.col("node").alias("node_"), F.col("n").alias("n_"), F.col("label").alias("label_"))
-    crossed = rest.join(other, "bucket").filter((F.col("node") < F.col("node_")) & (F.col("label") != F.col("label_")) & alike("n", "n_"))
-    unmet = crossed.select(F.col("node").alias("a"), F.col("node_").alias("b")).distinct().join(starred, ["a", "b"], "left_anti")
-    likely = settle(prune(unmet, classes, steps), "likely")
-    ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    stars = settle(named.join(torn, "bucket").join(hubs.select("bucket", "hub"), "bucket").filter("node <> hub").select("hub", "node", "label").distinct(), "stars")
+    signed = stars.join(classes.select("node", "signature"), "node").select("hub", "node", "label", "signature")
+    open_ = settle(in_blocks(signed, block).applyInArrow(plausible(steps), "hub long, node long, label long").distinct(), "open")
+    ends = open_.select(F.explode(F.array("hub", "node")).alias("node")).distinct()
     texts = settle(texts_of(docs, classes, ends, size), "texts")
-    links = settle(links.unionByName(confirm(likely, texts, percent, size)), "links")
+    sides = [texts.select(F.col("node").alias(x), F.col("text").alias(y)) for x, y in (("hub", "left"), ("node", "right"))]
+    apart_from_hub = open_.join(sides[1], "node").join(sides[0], "hub").select("hub", "node", "label", "left", "right").mapInArrow(differences(size), "hub long, node long, label long, n long, unlike binary")
+    links = settle(links.unionByName(in_blocks(apart_from_hub, block).applyInArrow(spanning(percent), "a long, b long")), "links")
     labels = connected_components(links)
 
     held = classes.select("h1", "h2", "node", "k").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
