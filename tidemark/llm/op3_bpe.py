@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import documents
 
-LEAF, WINDOW, CACHED_RUN, CACHE = 4096, 64, 96, 400_000
+LEAF, WINDOW, CACHED_RUN, CACHE = 16_384, 64, 96, 400_000
 #: Characters of text for which results are made and handed on together.
 SLICE = 1_000_000
 RUN = re.compile(r"[^ \t-\r]+")
@@ -125,11 +125,14 @@ class Codec:
     def units(self, text: str, at: int, plain: bool) -> list[Unit]:
         """Units of a leaf or window that starts at `at`."""
         out: list[Unit] = []
+        young, longest = self.young, self.cached_run
         for m in (PIECE if plain else RUN).finditer(text.lower() if plain else text):
-            if m.end() - m.start() > self.cached_run:
-                out += self.long_run(m[0], at + m.start())
+            begin, end = m.span()
+            if end - begin > longest:
+                out += self.long_run(m[0], at + begin)
             else:
-                out.append((at + m.start(), at + m.end(), *self.look_up(m[0], plain)))
+                ids, said = young.get(m[0]) or self.look_up(m[0], plain)
+                out.append((at + begin, at + end, ids, said))
         return out
 
     def join(self, text: str, plain: bool, low: int, high: int, left: list[Unit], right: list[Unit], middle: int) -> list[Unit]:
@@ -177,7 +180,11 @@ class Codec:
         plain = [is_plain(t) for t in texts]
         runs = [[r for a, b in self.leaves(0, len(t)) for r in (PIECE.findall(t[a:b].lower()) if p else RUN.findall(t[a:b]))] for t, p in zip(texts, plain, strict=True)]
         for kind in (True, False):
-            self.learn((r for x, p in zip(runs, plain, strict=True) if p == kind for r in x if len(r) <= self.cached_run), kind)
+            seen: set[str] = set()
+            for x, p in zip(runs, plain, strict=True):
+                if p == kind:
+                    seen.update(x)
+            self.learn((r for r in seen if len(r) <= self.cached_run), kind)
         for text, p, own in zip(texts, plain, runs, strict=True):
             if len(text) <= self.leaf and (not own or len(max(own, key=len)) <= self.cached_run):
                 young = self.young
