@@ -25,7 +25,7 @@ def normalize_events(feed: DataFrame, root: str) -> DataFrame:
     is_rename = F.col("kind") == "rename"
     kind = F.when(is_rename & inside_old & inside_new, "rename").when(is_rename & inside_old, "delete").when(is_rename, "write").otherwise(F.col("kind"))
     path = F.when(is_rename & inside_old & ~inside_new, F.col("old_rel")).otherwise(F.col("new_rel"))
-    out = named.withColumn("kind", kind).withColumn("path", path).withColumn("path_old", F.when(kind == "rename", F.col("old_rel")))
+    out = named.withColumns({"path": path, "path_old": F.when(is_rename & inside_old & inside_new, F.col("old_rel")), "kind": kind})
     return out.filter(F.col("path").isNotNull() & ~P.is_staging(F.col("path"))).drop("old", "new", "old_rel", "new_rel")
 
 

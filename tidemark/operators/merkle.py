@@ -9,6 +9,7 @@ from tidemark.functions import digest as D
 from tidemark.functions import scalars as S
 from tidemark.functions import vv as V
 from tidemark.operators import resolve as R
+from tidemark.sources.shared import settle
 
 CHILD = ("prefix", "name", "is_dir", "hash", "depth")
 
@@ -32,11 +33,11 @@ def combine(children: DataFrame) -> DataFrame:
 def levels(index: DataFrame) -> DataFrame:
     """All children of all prefixes: (prefix, name, is_dir, hash, depth). One aggregation per level of the deepest path."""
     path = F.col("path")
-    found = leaves(index).select(S.parent(path).alias("prefix"), S.name(path).alias("name"), F.lit(False).alias("is_dir"), "hash", depth_of("path").alias("depth"))
+    found = settle(leaves(index).select(S.parent(path).alias("prefix"), S.name(path).alias("name"), F.lit(False).alias("is_dir"), "hash", depth_of("path").alias("depth")), "leaves")
     deepest = found.agg(F.max("depth")).first()[0] or 0
     total = found
     for depth in range(deepest, 0, -1):
-        dirs = combine(total.filter(F.col("depth") == depth))
+        dirs = settle(combine(total.filter(F.col("depth") == depth)), "dirs")
         prefix = F.col("prefix")
         total = total.unionByName(dirs.select(S.parent(prefix).alias("prefix"), S.name(prefix).alias("name"), F.lit(True).alias("is_dir"), "hash", F.lit(depth - 1).alias("depth")))
     return total
@@ -68,6 +69,7 @@ def diff(remote: DataFrame, local: DataFrame) -> DataFrame:
             theirs = theirs.join(open_prefixes, "prefix", "left_semi")
         ours = local.filter(F.col("depth") == depth).select("prefix", "name", "is_dir", F.col("hash").alias("local_hash"))
         unlike = theirs.join(ours, ["prefix", "name", "is_dir"], "left").filter(~F.col("hash").eqNullSafe(F.col("local_hash")))
+        unlike = settle(unlike, "unlike")
         own = unlike.filter("NOT is_dir").select(S.join_path(F.col("prefix"), F.col("name")).alias("path"), "hash", "local_hash")
         out = own if out is None else out.unionByName(own)
         open_prefixes = unlike.filter("is_dir").select(S.join_path(F.col("prefix"), F.col("name")).alias("prefix"))
@@ -76,7 +78,7 @@ def diff(remote: DataFrame, local: DataFrame) -> DataFrame:
 
 def reconcile(local: DataFrame, remote: DataFrame) -> DataFrame:
     """The local index after a pull: newer rows are applied, concurrent ones resolved (copies included), the rest stays."""
-    changed = diff(levels(remote), levels(local)).select("path")
+    changed = settle(diff(levels(remote), levels(local)).select("path"), "changed")
     theirs = remote.join(changed, "path", "left_semi")
     decided = R.decide(theirs, local)
     fresh = decided.filter("decision = 'apply'").drop("decision")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import digest as D
 from tidemark.functions import vv as V
+from tidemark.sources.shared import settle
 
 #: Columns of a version, next to its path and vector.
 VERSION = ("tombstone", "content_hash", "meta_hash", "naming_hash", "mode", "size", "uuid")
@@ -101,11 +102,12 @@ def place_copies(planned: DataFrame, index: DataFrame, chain: int = CHAIN) -> Da
     """
     rows = index.select(F.col("path").alias("copy_path"), F.struct(*VERSION, "vv").alias("row"))
     own = F.struct(F.lit(False).alias("tombstone"), "content_hash", "meta_hash", "naming_hash", "mode", "size", "uuid", "vv")
-    pending, done = planned.select("copy_path", "copy_of", own.alias("version")), []
+    pending, done = settle(planned.select("copy_path", "copy_of", own.alias("version")), "planned"), []
     for depth in range(1, chain + 1):
         met = pending.join(rows, "copy_path", "left")
         relation = V.compare(F.col("row.vv"), F.col("version.vv"))
         met = met.withColumn("action", F.when(F.col("row").isNull(), "write").when(relation.isin("equal", "dominates"), "keep").when(relation == "dominated", "write").when(version_key("version") >= version_key("row"), "replace").otherwise("yield"))
+        met = settle(met, "met")
         done.append(met.filter("action <> 'yield'").select("copy_path", "copy_of", "version", F.lit(depth).alias("depth"), "action"))
         beaten = met.filter("action = 'replace'").select("copy_path", "copy_of", F.col("row").alias("version")).filter("NOT version.tombstone AND version.content_hash IS NOT NULL")
         moving = met.filter("action = 'yield'").select("copy_path", "copy_of", "version").unionByName(beaten)

@@ -9,6 +9,7 @@ from tidemark.functions import digest as D
 from tidemark.functions import vv as V
 from tidemark.operators import chunks as C
 from tidemark.operators import resolve as R
+from tidemark.sources.shared import settle
 
 ORIGINS = ("click", "error", "purchase", "signup", "view")
 #: Propagation delay of an operation to other origins, in microseconds.
@@ -61,7 +62,7 @@ def renames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def replica(spark: SparkSession, sf_dir: str, modulus: int) -> DataFrame:
     """Index of a replica that missed every modulus-th event."""
-    return R.winners(R.candidates(ops(spark, sf_dir).filter(F.col("event_id") % modulus != 0)))
+    return settle(R.winners(R.candidates(ops(spark, sf_dir).filter(F.col("event_id") % modulus != 0))), "replica")
 
 
 def disk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from tidemark.functions import predicates as P
 from tidemark.operators import resolve as R
 
 
-def read_ops(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1) -> DataFrame:
+def read_ops(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1) -> DataFrame:
     """Operations from files that appear at path; the reader's offsets are the resumable cursor, the rate is admission control."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 

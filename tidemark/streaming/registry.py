@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.functions import vv as V
 from tidemark.operators import oplog as L
@@ -29,12 +30,12 @@ def folder(spark: SparkSession) -> str:
     return f"{named.rstrip('/')}/tidemark-{uuid.uuid4().hex[:12]}"
 
 
-def _logged(spark: SparkSession, sf: str, parts: int = 3) -> tuple[str, str]:
+def _logged(spark: SparkSession, sf: str, parts: int = 3) -> tuple[str, StructType]:
     """The op log as files, with every fifth operation delivered twice; its place and schema."""
     at = folder(spark)
     log = X.ops(spark, sf)
     log.unionByName(log.filter("event_id % 5 = 0")).repartition(parts, "event_id").write.parquet(f"{at}/log")
-    return at, log.schema.simpleString()[len("struct<") : -1]
+    return at, log.schema
 
 
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
