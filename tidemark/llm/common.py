@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
 import os
 import sys
 import tempfile
-import uuid
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import settle, shared_dir
+
+__all__ = ["documents", "let", "settle", "shared_dir", "ship", "text_of"]
 #: ASCII white space, as the word rules of the digest queries have it.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 _shipped: set[str] = set()
-_own_dir: str | None = None
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,43 +43,6 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, which all executors share; one of our own only where it is unset."""
-    global _own_dir
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="tidemark-")
-        import shutil
-
-        atexit.register(shutil.rmtree, _own_dir, True)
-    return f"file://{_own_dir}"
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, and a lost executor loses nothing.
-
-    The files live as long as the driver: later lazily evaluated plans still read them.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex[:12]}-{name}"
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # noqa: BLE001  the session may be gone at exit; a folder that stays is no loss
-        pass
-
-
 def text_of(df: DataFrame) -> Column:
     """The text column, null as empty."""
     return F.coalesce(df["text"], F.lit(""))

@@ -11,21 +11,19 @@ from tidemark.llm.common import settle
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, label) of every node in links (a, b): label is the smallest node that can be reached.
 
-    No neighbourhood is ever collected: a step takes minima by node and joins them back. Each step's edges are settled, so
-    lineage stays short. It ends when a round leaves the edges as they were.
+    No neighbourhood is ever collected: a step takes minima by node and joins them back. Each round's edges are settled, so
+    lineage stays short. It ends when the edges are stars: each upper end has one edge and is nobody's lower end.
     """
-    edges = settle(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    before = None
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        large = both.join(lowest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.join(lowest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
         edges = settle(small, "edges")
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("upper"), F.lit(0).alias("lower")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("upper"), F.lit(1).alias("lower")))
+        if ends.groupBy("node").agg(F.sum("upper").alias("upper"), F.max("lower").alias("lower")).filter("upper > 1 OR (upper > 0 AND lower > 0)").isEmpty():
             break
-        before = now
-    labels = edges.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label")
+    labels = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())

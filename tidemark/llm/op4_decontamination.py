@@ -9,7 +9,7 @@ when its numbers, names and units were replaced throughout, but not where only t
 The benchmark's windows are broadcast only if counted to be at most `broadcast_rows`; beyond that the join shuffles.
 
 Cases: null and empty texts have no windows; a text or item with fewer than five tokens is one window; items without windows
-are never found; repeated rows are each reported; ties are kept; an empty table gives an empty result; other columns are
+are never found; equal rows are reported once; ties are kept; an empty table gives an empty result; other columns are
 ignored; texts are never cut.
 """
 
@@ -22,46 +22,66 @@ from tidemark.llm.common import documents, let, settle, text_of
 
 WINDOW, PLAIN, COVER, AGREE = 5, 3, 0.8, 0.8
 BROADCAST_ROWS = 1_000_000
-NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
 # Units of measure, money and time.
 UNITS = ("mm", "cm", "m", "km", "in", "ft", "mi", "mg", "g", "kg", "t", "lb", "oz", "ml", "l", "s", "ms", "min", "h", "hour", "hours", "minute", "minutes", "second", "seconds", "day", "days", "week", "weeks", "month", "months", "year", "years", "usd", "eur", "gbp", "dollar", "dollars", "euro", "euros", "pound", "pounds", "cent", "cents", "percent", "meter", "meters", "metre", "metres", "mile", "miles", "degree", "degrees", "kb", "mb", "gb", "hz", "kw", "w", "v")
-TOKEN = r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*|[0-9]+(?:[.,:][0-9]+)*|[.!?\n|]"
+# A capitalised word inside a sentence, a number, a unit after a number; marks that stand for them, and what parts tokens.
+NAME = r"(?<=[\p{L}\p{N},;:)] )\p{Lu}[\p{Ll}\p{M}]+"
+NUMBER = r"[0-9]+(?:[.,:][0-9]+)*"
+UNIT = rf"(?<=# {{1,4}})({'|'.join(UNITS)})\b"
+MARKS = {"@n": NAME, "#": NUMBER, "@u": UNIT}
+GAP = r"[^\p{L}\p{M}#@]+"
 
 
-def template(text: Column) -> Column:
-    """Array of (t, v): template token and the value it stands for (null for a plain word)."""
-    tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+def template(text: Column) -> tuple[Column, dict[str, Column]]:
+    """Template tokens, and for each mark the text from which its values are taken, in order."""
+    line = F.translate(text, "#@", "  ")
+    sources = {"@n": line}
+    line = F.lower(F.regexp_replace(line, NAME, " @n "))
+    sources["#"] = line
+    line = F.regexp_replace(line, NUMBER, " # ")
+    sources["@u"] = line
+    line = F.regexp_replace(line, UNIT, " @u ")
+    return F.filter(F.split(line, GAP), lambda t: t != ""), sources
 
-    def typed(raw: Column) -> Column:
-        def one(x: Column, i: Column) -> Column:
-            head, before = F.substring(x, 1, 1), F.coalesce(F.get(raw, i - 1), F.lit("."))
-            low = F.lower(x)
-            is_number = head.between("0", "9")
-            is_unit = F.substring(before, 1, 1).between("0", "9") & low.isin(*UNITS)
-            is_name = (head != F.lower(head)) & (F.substring(x, 2, 1) == F.substring(low, 2, 1)) & (F.length(x) > 1) & ~before.isin(".", "!", "?", "\n", "|")
-            kind = F.when(is_number, F.lit(NUMBER)).when(is_unit, F.lit(UNIT)).when(is_name, F.lit(NAME))
-            return F.struct(F.coalesce(kind, low).alias("t"), F.when(kind.isNotNull(), low).alias("v"))
 
-        return F.filter(F.transform(raw, one), lambda s: ~s["t"].isin(".", "!", "?", "\n", "|"))
+def cut(tokens: Column, make) -> Column:
+    """make(first place) for every window; a short sequence is one window, an empty one has none."""
+    places = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.greatest(F.size(tokens) - WINDOW, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, make)
 
-    return let(tokens, typed)
+
+def window_hashes(text: Column) -> Column:
+    """Hashes of the template windows of a text."""
+    tokens, _ = template(text)
+    return let(F.transform(tokens, lambda t: F.xxhash64(t)), lambda h: cut(h, lambda i: F.xxhash64(F.slice(h, i + 1, F.lit(WINDOW)))))
 
 
 def windows(text: Column) -> Column:
-    """Array of (hash, slots) of the text's windows."""
+    """Array of (hash, slots) of the windows with enough plain words; slots are the values behind a window's marks, in order."""
+    tokens, sources = template(text)
+    values = F.struct(tokens.alias("tokens"), *(F.transform(F.regexp_extract_all(sources[m], F.lit(p), F.lit(0)), F.lower).alias(k) for k, (m, p) in zip(("names", "numbers", "units"), MARKS.items(), strict=True)))
+
+    def whole(v: Column) -> Column:
+        filled = {"@n": "names", "#": "numbers", "@u": "units"}
+        start = F.struct(*(F.lit(0).alias(k) for k in filled.values()), F.array().cast("array<struct<t:string,v:string>>").alias("out"))
+
+        def step(a: Column, t: Column) -> Column:
+            value = F.lit(None).cast("string")
+            for mark, k in filled.items():
+                value = F.when(t == mark, F.get(v[k], a[k])).otherwise(value)
+            return F.struct(*((a[k] + (t == mark).cast("int")).alias(k) for mark, k in filled.items()), F.concat(a["out"], F.array(F.struct(t.alias("t"), value.alias("v")))).alias("out"))
+
+        def one(typed: Column) -> Column:
+            def made(i: Column) -> Column:
+                part = F.slice(typed, i + 1, F.lit(WINDOW))
+                slots = F.transform(F.filter(part, lambda s: s["v"].isNotNull()), lambda s: s["v"])
+                return F.struct(F.xxhash64(F.transform(part, lambda s: F.xxhash64(s["t"]))).alias("hash"), F.size(part).alias("size"), slots.alias("slots"))
 
-    def cut(tokens: Column) -> Column:
-        def one(i: Column) -> Column:
-            part = F.slice(tokens, i + 1, F.lit(WINDOW))
-            slots = F.filter(part, lambda s: s["v"].isNotNull())
-            return F.struct(F.xxhash64(F.transform(part, lambda s: s["t"])).alias("hash"), F.size(part).alias("size"), F.transform(slots, lambda s: s["v"]).alias("slots"))
+            return F.filter(cut(typed, made), lambda w: w["size"] - F.size(w["slots"]) >= F.least(F.lit(PLAIN), F.size(typed)))
 
-        count = F.greatest(F.lit(1), F.size(tokens) - WINDOW + 1)
-        made = F.transform(F.sequence(F.lit(0), count - 1), one)
-        enough = F.filter(made, lambda w: w["size"] - F.size(w["slots"]) >= F.least(F.lit(PLAIN), F.size(tokens)))
-        return F.when(F.size(tokens) > 0, enough).otherwise(F.filter(made, lambda _: F.lit(False)))
+        return let(F.aggregate(v["tokens"], start, step, lambda a: a["out"]), one)
 
-    return let(template(text), cut)
+    return let(values, whole)
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
@@ -75,15 +95,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, agre
     """(doc_id, item_id, coverage, agreement, text_hash) of every document that leaks an item."""
     items = settle(benchmark_windows(benchmark), "benchmark")
     small = items.count() <= broadcast_rows
-    side = items.select("hash", "item_id", "n_windows", F.col("slots").alias("item_slots"))
-    numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_of(docs).alias("text"))
-    seen = numbered.select("doc_id", F.xxhash64("text").alias("text_hash"), "row", F.explode(windows(F.col("text"))).alias("w")).select("doc_id", "text_hash", "row", "w.hash", "w.slots")
-    met = settle(seen.join(F.broadcast(side) if small else side.hint("shuffle_merge"), "hash"), "windows")
-    covered = met.groupBy("row", "doc_id", "text_hash", "item_id", "n_windows", "hash").agg(F.lit(1)).groupBy("row", "doc_id", "text_hash", "item_id", "n_windows").agg(F.count(F.lit(1)).alias("found"))
-    pairs = met.filter(F.size("slots") > 0).select("row", "item_id", F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).select("row", "item_id", F.col("s.item_slots").alias("value"), F.col("s.slots").alias("other"))
-    told = pairs.groupBy("row", "item_id", "value", "other").agg(F.count(F.lit(1)).alias("n")).groupBy("row", "item_id", "value").agg(F.max("n").alias("best"), F.sum("n").alias("n"))
-    slots = told.groupBy("row", "item_id").agg((F.sum("best") / F.sum("n")).alias("agreement"))
-    found = covered.filter(F.col("found") >= cover * F.col("n_windows")).join(slots, ["row", "item_id"], "left")
+    side = F.broadcast if small else lambda x: x.hint("shuffle_merge")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    seen = keyed.select("doc_id", "text_hash", F.explode(window_hashes(F.col("text"))).alias("hash"))
+    met = seen.join(side(items.select("hash", "item_id", "n_windows")), "hash").groupBy("doc_id", "text_hash", "item_id", "n_windows", "hash").agg(F.lit(1))
+    covered = settle(met.groupBy("doc_id", "text_hash", "item_id", "n_windows").agg(F.count(F.lit(1)).alias("found")).filter(F.col("found") >= cover * F.col("n_windows")), "covered")
+    # Only texts that hold enough of an item are looked at again, for the values in its slots.
+    wanted = covered.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("same")).distinct()
+    held = keyed.join(wanted, keyed["doc_id"].eqNullSafe(wanted["id"]) & (keyed["text_hash"] == wanted["same"]), "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    filled = held.select("doc_id", "text_hash", F.explode(windows(F.col("text"))).alias("w")).select("doc_id", "text_hash", "w.hash", "w.slots").filter(F.size("slots") > 0)
+    pairs = filled.join(side(items.select("hash", "item_id", F.col("slots").alias("item_slots"))), "hash").select("doc_id", "text_hash", "item_id", F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
+    told = pairs.groupBy("doc_id", "text_hash", "item_id", F.col("s.item_slots").alias("value"), F.col("s.slots").alias("other")).agg(F.count(F.lit(1)).alias("n"))
+    told = told.groupBy("doc_id", "text_hash", "item_id", "value").agg(F.max("n").alias("best"), F.sum("n").alias("n"))
+    slots = told.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("same"), F.col("item_id").alias("item")).agg((F.sum("best") / F.sum("n")).alias("agreement"))
+    found = covered.join(slots, covered["doc_id"].eqNullSafe(slots["id"]) & (covered["text_hash"] == slots["same"]) & (covered["item_id"] == slots["item"]), "left")
     return found.select("doc_id", "item_id", (F.col("found") / F.col("n_windows")).alias("coverage"), F.coalesce("agreement", F.lit(1.0)).alias("agreement"), "text_hash").filter(F.col("agreement") >= agree)
 
 

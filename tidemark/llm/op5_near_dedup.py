@@ -8,8 +8,7 @@ their signatures, which leaves those with a likely partner, then their sets; onl
 
 Candidates are verified in sequence. Signatures (one byte per hash) are compared batch by batch, and a pair is dropped as
 soon as the posterior probability that it reaches the threshold falls below the miss probability (uniform prior, so the
-posterior is a binomial tail). Survivors are confirmed on full sets, made anew from whole texts; each member is first tried
-with its likeliest partner, and later only pairs that are not yet connected, as others cannot change a component.
+posterior is a binomial tail). Survivors are confirmed on full sets, made anew from whole texts.
 
 Cases: without words (or text) a set is empty and links with nothing; with fewer words than a shingle the sequence is the
 only one; null ids never become a component's id unless there is no other; repeated rows share a class; an empty table
@@ -334,30 +333,20 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE, row
     live = settle(placed.join(shared, "bucket"), "buckets")
     degree = live.groupBy("node").agg(F.sum("members").alias("degree"))
     hubs = live.join(degree, "node").groupBy("bucket").agg(F.max_by(F.struct(F.col("node").alias("hub"), F.col("n").alias("hub_n")), F.struct("degree", "node")).alias("h")).select("bucket", "h.*")
-    alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  else the sets can't reach it
-    starred = live.join(hubs, "bucket").filter((F.col("node") != F.col("hub")) & alike("n", "hub_n")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    met = settle(live.join(hubs, "bucket").select("bucket", "node", "n", "hub", "hub_n"), "hubs")
+    alike = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")  # else the sets can't reach it
+    starred = met.filter((F.col("node") != F.col("hub")) & alike).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     likely = settle(prune(starred, classes, steps), "likely")
 
     ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = settle(texts_of(docs, classes, ends, size), "texts")
-    either = likely.select("a", "b", "matches", F.explode(F.array("a", "b")).alias("node"))
-    best = either.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("matches", "a", "b")).alias("p")).select("p.*").distinct()
-    links = settle(confirm(best, texts, percent, size), "links")
-    labels = settle(connected_components(links), "labels")
-
-    def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs whose ends are in different components."""
-        named = [labels.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label")) for x in ("a", "b")]
-        return pairs.join(named[0], "a", "left").join(named[1], "b", "left").filter(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).drop("a_label", "b_label")
-
-    more = settle(confirm(apart(likely.join(best, ["a", "b"], "left_anti"), labels), texts, percent, size), "links")
-    links = links.unionByName(more)
-    labels = settle(connected_components(links), "labels")
+    links = settle(confirm(likely, texts, percent, size), "links")
+    labels = connected_components(links)
 
     # What the hubs left: members of torn buckets, by hub. Signatures show who may still have a partner, then sets decide.
-    named = live.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    named = met.join(labels, "node", "left").select("bucket", "hub", "node", F.coalesce("label", "node").alias("label"))
     torn = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("bucket")
-    stars = settle(named.join(torn, "bucket").join(hubs.select("bucket", "hub"), "bucket").filter("node <> hub").select("hub", "node", "label").distinct(), "stars")
+    stars = settle(named.join(torn, "bucket").filter("node <> hub").select("hub", "node", "label").distinct(), "stars")
     signed = stars.join(classes.select("node", "signature"), "node").select("hub", "node", "label", "signature")
     open_ = settle(in_blocks(signed, block).applyInArrow(plausible(steps), "hub long, node long, label long").distinct(), "open")
     ends = open_.select(F.explode(F.array("hub", "node")).alias("node")).distinct()
