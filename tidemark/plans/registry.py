@@ -659,3 +659,62 @@ def status(spark, sf):
 @query("SELECT date_trunc('hour', ts) AS hour, event_type AS origin, count(*) AS n FROM events GROUP BY ALL")
 def ops_per_hour(spark, sf):
     return spark.read.parquet(f"{sf}/events.parquet").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), F.col("event_type").alias("origin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Further predicates, digests and views.
+
+
+@query(f"{X.OPS}, {_A} SELECT prefix, CASE WHEN count(*) > 12 THEN 'too_many' WHEN bool_or(length(name) NOT BETWEEN 1 AND 2) THEN 'bad_name' WHEN sum(length(name)) > 20 THEN 'too_large' ELSE 'ok' END AS verdict FROM a_tree GROUP BY prefix")
+def listing_validation(spark, sf):
+    return C.validate_listing(M.levels(X.replica(spark, sf, 7)), 12, 2, 20)
+
+
+@query(f"{X.ROSTER} SELECT (SELECT count(*) FROM won WHERE node < '10') <> (SELECT count(*) FROM won) AS differ")
+def exchange_needed(spark, sf):
+    won = N.winners(X.roster(spark, sf))
+    return N.needs_exchange(won.filter("node < '10'"), won)
+
+
+@query(f"{X.ROSTER}, {_EFFECTIVE} SELECT s_suppkey FROM supplier WHERE sha256('f' || s_name) IN (SELECT fingerprint FROM effective)")
+def allowed_connections(spark, sf):
+    peers = N.effective_peers(X.seeds(spark), N.winners(X.roster(spark, sf)), "03")
+    asked = spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey", F.sha2(F.concat(F.lit("f"), "s_name"), 256).alias("fingerprint"))
+    return N.allowed(asked, peers).select("s_suppkey")
+
+
+@query(f"{X.OPS}, {X.winners('w', where='event_id % 5 <> 0')}, d AS (SELECT CASE WHEN w.path IS NULL OR {X.above('o', 'w')} THEN 'apply' WHEN {X.above('w', 'o')} OR ({' AND '.join(f'o.{c} = w.{c}' for c in X.COUNTERS)}) THEN 'ignore' ELSE 'concurrent' END AS r FROM ops o LEFT JOIN w ON o.path = w.path) SELECT count_if(r = 'apply') AS apply, count_if(r = 'ignore') AS ignore, count_if(r = 'concurrent') AS concurrent FROM d")
+def engine_counters(spark, sf):
+    return W.counters(R.decide(X.ops(spark, sf), X.replica(spark, sf, 5)))
+
+
+@query(f"{X.OPS} SELECT op_id, op_id[1:8] AS short_id, op_id[1:2] || '/' || op_id AS cas_path, CASE op_type WHEN 'write' THEN 0 WHEN 'delete' THEN 1 END AS code, regexp_extract(path, '^(.*)/[^/]*$', 1) AS parent, regexp_extract(path, '([^/]*)$', 1) AS name, CASE WHEN starts_with(path, 'u/3/') THEN path[5:] END AS below, mode & 511 AS bits FROM ops")
+def path_functions(spark, sf):
+    p = F.col("path")
+    return X.ops(spark, sf).select("op_id", S.short_id(F.col("op_id")).alias("short_id"), S.cas_path(F.col("op_id")).alias("cas_path"), S.op_code(F.col("op_type")).alias("code"), S.parent(p).alias("parent"), S.name(p).alias("name"), S.relative(p, F.lit("u/3")).alias("below"), S.mode_bits(F.col("mode")).alias("bits"))
+
+
+@query("SELECT s_suppkey, sha256(s_name) AS fingerprint FROM supplier")
+def certificate_fingerprints(spark, sf):
+    return spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey", D.certificate_fingerprint(F.encode("s_name", "UTF-8")).alias("fingerprint"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 40 <= 25 AND user_id % 7 <> 3 THEN 'ok' ELSE 'rejected' END AS verdict FROM events")
+def size_and_path_limits(spark, sf):
+    e = X.events(spark, sf).select("event_id", (F.col("event_id") % 40).alias("size"), F.when(F.col("user_id") % 7 == 3, "../x").otherwise("a/x").alias("path"))
+    good, bad = I.within_limits(e, 25)
+    return good.select("event_id", F.lit("ok").alias("verdict")).unionByName(bad.select("event_id", F.lit("rejected").alias("verdict")))
+
+
+@query("SELECT event_id, event_type = 'click' AS own FROM events")
+def push_origin_check(spark, sf):
+    return X.events(spark, sf).select("event_id", P.pushed_by_origin(F.col("event_type"), F.lit("click")).alias("own"))
+
+
+@query(f"{X.OPS}, {X.winners('w')} SELECT path, size FROM w WHERE NOT tombstone")
+def live_files(spark, sf):
+    return R.current_state(X.ops(spark, sf)).filter(P.is_live(F.col("tombstone"))).select("path", "size")
+
+
+@query(f"{X.OPS}, {X.winners('w')} SELECT 'tidemark_' || op_type || ' ' || count(*) AS line FROM ops GROUP BY op_type")
+def metrics_lines(spark, sf):
+    return W.prometheus(op_counts(spark, sf).select(F.col("op_type").alias("name"), F.col("n").alias("value")))
