@@ -6,7 +6,8 @@ labelled rows outside the held-out fifth, at most `sample` of each label (those
 has at most `terms` entries. Hits inside an exception phrase don't count. The sum of the weights over one plus the
 logarithm of the text's length goes through a logistic curve fitted on the same sample.
 
-Cases: null and empty texts have no hits and get the curve's value at 0; without labelled rows of both kinds every score is 0;
+Cases: null and empty texts have no hits and get the curve's value at 0; without labelled rows of both kinds, or without a term that tells them
+apart, every score is 0;
 equal texts get equal scores; an empty table gives an empty result; other columns are ignored; texts are never cut.
 """
 
@@ -28,6 +29,8 @@ SAMPLE, TERMS = 10_000, 500
 #: A term must occur in this many texts of the toxic sample and in this share of it, and be this many times likelier there.
 LEAST, SUPPORT, LIFT = 6, 0.01, 12.0
 PREFIXES = range(4, 10)
+#: The intercept's upper bound: a text without hits is never predicted toxic.
+NO_HIT = -0.1
 # Homoglyphs (Cyrillic, Greek) by the Latin letter they resemble.
 HOMOGLYPHS = {"a": "аα", "c": "сϲ", "e": "еε", "h": "һ", "i": "іι", "j": "ј", "k": "кκ", "m": "м", "n": "п", "o": "оοσ", "p": "рρ", "s": "ѕ", "t": "тτ", "u": "υ", "v": "ν", "x": "хχ", "y": "уγ"}
 # Digits that stand for letters. l and 1 share the class of i, as 1 stands for both.
@@ -140,6 +143,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
         if lift >= LIFT and not any(term[:n] in weights for n in range(2, len(term))):
             weights[term] = math.log(lift)
     weights = dict(sorted(weights.items(), key=lambda x: (-toxic[x[0]] * x[1], x[0]))[:terms])
+    if not weights:
+        return {"weights": {}, "curve": None}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = machine(weights)
@@ -156,7 +161,6 @@ def logistic(points: list[tuple[float, int, int]], ridge: float = 1e-3) -> tuple
     import numpy as np
 
     x, y, n = (np.array(v, float) for v in zip(*sorted(points), strict=True))
-    n = n * np.where(y == 1, n.sum() / (2 * n[y == 1].sum()), n.sum() / (2 * n[y == 0].sum()))
     a, b = np.stack([np.ones_like(x), x], 1), np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
@@ -165,7 +169,7 @@ def logistic(points: list[tuple[float, int, int]], ridge: float = 1e-3) -> tuple
         b += step
         if abs(step).max() < 1e-9:
             break
-    return float(b[0]), float(b[1])
+    return min(float(b[0]), NO_HIT), float(b[1])
 
 
 def score_toxicity(docs: DataFrame, model: dict) -> DataFrame:

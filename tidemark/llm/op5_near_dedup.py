@@ -371,11 +371,11 @@ def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
     Rows without words all stay. Equal rows of one id are one group, so one of them stays.
     """
     chosen = near_duplicates(docs, percent).filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("c"))
-    chosen = chosen.select(F.col("c.doc_id").alias("chosen"), F.col("c.text_hash").alias("text_hash"))
-    hashed = docs.withColumn("text_hash", F.xxhash64(text_of(docs)))
+    chosen = chosen.select(F.col("c.doc_id").alias("_tidemark_id"), F.col("c.text_hash").alias("_tidemark_same"))
+    hashed = docs.withColumn("_tidemark_hash", F.xxhash64(text_of(docs)))
     has_words = F.length(F.btrim(text_of(docs), F.lit(ASCII_SPACE))) > 0
-    kept = hashed.filter(has_words).join(chosen, hashed["doc_id"].eqNullSafe(chosen["chosen"]) & (hashed["text_hash"] == chosen["text_hash"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text_hash"]).unionByName(hashed.filter(~has_words)).select(*docs.columns)
+    kept = hashed.filter(has_words).join(chosen, hashed["doc_id"].eqNullSafe(chosen["_tidemark_id"]) & (F.col("_tidemark_hash") == F.col("_tidemark_same")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_tidemark_hash"]).unionByName(hashed.filter(~has_words)).select(*docs.columns)
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,8 +100,9 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The rows of docs with every found span replaced by the mark, and n_chars, where it exists, counted anew."""
-    found = find_secrets(docs).filter(F.size("all") > 0).select(F.col("doc_id").alias("with"), "text_hash", "all").dropDuplicates(["with", "text_hash"])
-    held = docs.join(found, docs["doc_id"].eqNullSafe(found["with"]) & (F.xxhash64(text_of(docs)) == found["text_hash"]), "left")
+    spans_ = find_secrets(docs).filter(F.size("all") > 0)
+    found = spans_.select(F.col("doc_id").alias("_tidemark_id"), F.col("text_hash").alias("_tidemark_same"), F.col("all").alias("_tidemark_spans")).dropDuplicates(["_tidemark_id", "_tidemark_same"])
+    held = docs.join(found, docs["doc_id"].eqNullSafe(found["_tidemark_id"]) & (F.xxhash64(text_of(docs)) == F.col("_tidemark_same")), "left")
     text = docs["text"]
 
     def step(a: Column, s: Column) -> Column:
@@ -109,10 +110,10 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], F.concat(a["out"], ahead)).otherwise(a["out"]).alias("out"))
 
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate("all", zero, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
-    out = held.withColumn("text", F.when(F.col("all").isNotNull(), clean).otherwise(text))
+    clean = F.aggregate("_tidemark_spans", zero, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
+    out = held.withColumn("text", F.when(F.col("_tidemark_spans").isNotNull(), clean).otherwise(text))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("all").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(docs["n_chars"]))
+        out = out.withColumn("n_chars", F.when(F.col("_tidemark_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(docs["n_chars"]))
     return out.select(*docs.columns)
 
 
