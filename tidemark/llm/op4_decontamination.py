@@ -29,6 +29,7 @@ NAME = r"(?<=[\p{L}\p{N},;:)] )\p{Lu}[\p{Ll}\p{M}]+"
 NUMBER = r"[0-9]+(?:[.,:][0-9]+)*"
 UNIT = rf"(?<=# {{1,4}})({'|'.join(UNITS)})\b"
 MARKS = {"@n": NAME, "#": NUMBER, "@u": UNIT}
+FILLED = {"@n": "names", "#": "numbers", "@u": "units"}
 GAP = r"[^\p{L}\p{M}#@]+"
 
 
@@ -59,27 +60,29 @@ def window_hashes(text: Column) -> Column:
 def windows(text: Column) -> Column:
     """Array of (hash, slots) of the windows with enough plain words; slots are the values behind a window's marks, in order."""
     tokens, sources = template(text)
-    values = F.struct(tokens.alias("tokens"), *(F.transform(F.regexp_extract_all(sources[m], F.lit(p), F.lit(0)), F.lower).alias(k) for k, (m, p) in zip(("names", "numbers", "units"), MARKS.items(), strict=True)))
+    values = F.struct(tokens.alias("tokens"), *(F.transform(F.regexp_extract_all(sources[m], F.lit(p), F.lit(0)), F.lower).alias(FILLED[m]) for m, p in MARKS.items()))
 
     def whole(v: Column) -> Column:
-        filled = {"@n": "names", "#": "numbers", "@u": "units"}
-        start = F.struct(*(F.lit(0).alias(k) for k in filled.values()), F.array().cast("array<struct<t:string,v:string>>").alias("out"))
+        marks = F.struct(*(F.filter(F.sequence(F.lit(0), F.size(v["tokens"])), lambda i: F.get(v["tokens"], i) == mark).alias(k) for mark, k in FILLED.items()))  # noqa: B023  called at once
 
-        def step(a: Column, t: Column) -> Column:
-            value = F.lit(None).cast("string")
-            for mark, k in filled.items():
-                value = F.when(t == mark, F.get(v[k], a[k])).otherwise(value)
-            return F.struct(*((a[k] + (t == mark).cast("int")).alias(k) for mark, k in filled.items()), F.concat(a["out"], F.array(F.struct(t.alias("t"), value.alias("v")))).alias("out"))
+        def typed(places: Column) -> Column:
+            def one(t: Column, i: Column) -> Column:
+                value = F.lit(None).cast("string")
+                for mark, k in FILLED.items():
+                    value = F.when(t == mark, F.get(v[k], F.array_position(places[k], i).cast("int") - 1)).otherwise(value)
+                return F.struct(t.alias("t"), value.alias("v"))
 
-        def one(typed: Column) -> Column:
-            def made(i: Column) -> Column:
-                part = F.slice(typed, i + 1, F.lit(WINDOW))
-                slots = F.transform(F.filter(part, lambda s: s["v"].isNotNull()), lambda s: s["v"])
-                return F.struct(F.xxhash64(F.transform(part, lambda s: F.xxhash64(s["t"]))).alias("hash"), F.size(part).alias("size"), slots.alias("slots"))
+            return let(F.transform(v["tokens"], one), made)
 
-            return F.filter(cut(typed, made), lambda w: w["size"] - F.size(w["slots"]) >= F.least(F.lit(PLAIN), F.size(typed)))
+        return let(marks, typed)
 
-        return let(F.aggregate(v["tokens"], start, step, lambda a: a["out"]), one)
+    def made(tokens: Column) -> Column:
+        def one(i: Column) -> Column:
+            part = F.slice(tokens, i + 1, F.lit(WINDOW))
+            slots = F.transform(F.filter(part, lambda s: s["v"].isNotNull()), lambda s: s["v"])
+            return F.struct(F.xxhash64(F.transform(part, lambda s: F.xxhash64(s["t"]))).alias("hash"), F.size(part).alias("size"), slots.alias("slots"))
+
+        return F.filter(cut(tokens, one), lambda w: w["size"] - F.size(w["slots"]) >= F.least(F.lit(PLAIN), F.size(tokens)))
 
     return let(values, whole)
 
@@ -100,8 +103,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, agre
     seen = keyed.select("doc_id", "text_hash", F.explode(window_hashes(F.col("text"))).alias("hash"))
     met = seen.join(side(items.select("hash", "item_id", "n_windows")), "hash").groupBy("doc_id", "text_hash", "item_id", "n_windows", "hash").agg(F.lit(1))
     covered = settle(met.groupBy("doc_id", "text_hash", "item_id", "n_windows").agg(F.count(F.lit(1)).alias("found")).filter(F.col("found") >= cover * F.col("n_windows")), "covered")
-    # Only texts that hold enough of an item are looked at again, for the values in its slots.
-    wanted = covered.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("same")).distinct()
+    # Only texts that hold enough of an item with slots are looked at again, for the values in them.
+    open_items = items.filter(F.size("slots") > 0).select("item_id").distinct()
+    wanted = covered.join(open_items, "item_id", "left_semi").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("same")).distinct()
     held = keyed.join(wanted, keyed["doc_id"].eqNullSafe(wanted["id"]) & (keyed["text_hash"] == wanted["same"]), "left_semi").dropDuplicates(["doc_id", "text_hash"])
     filled = held.select("doc_id", "text_hash", F.explode(windows(F.col("text"))).alias("w")).select("doc_id", "text_hash", "w.hash", "w.slots").filter(F.size("slots") > 0)
     pairs = filled.join(side(items.select("hash", "item_id", F.col("slots").alias("item_slots"))), "hash").select("doc_id", "text_hash", "item_id", F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
