@@ -69,38 +69,38 @@ def quiet_writes(events: DataFrame, gap: str, lateness: str = "0 seconds") -> Da
     return burst.agg(F.max_by(F.struct("kind", "event_id"), F.struct("ts", "event_id")).alias("last")).select("path", "burst.end", "last.*").filter("kind = 'write'")
 
 
-def _swallow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, ttl: int) -> Iterator[pd.DataFrame]:
-    open_marks = list(state.get[0]) if state.exists else []
+def _swallow(frames: Iterator[pd.DataFrame], state: GroupState, ttl: int) -> Iterator[pd.DataFrame]:
+    """One path's events that its open registrations, a list of (what, time), do not swallow."""
+    marks = list(zip(*state.get, strict=True)) if state.exists else []
     out = []
     for frame in frames:
-        for row in frame.sort_values(["t", "is_event"]).itertuples():
-            if not row.is_event:
-                open_marks.append(int(row.t))
+        ordered = frame.sort_values(["t", "is_event"])
+        for what, t, is_event, event_id in zip(ordered["what"], ordered["t"], ordered["is_event"], ordered["event_id"], strict=True):
+            if not is_event:
+                marks.append((what, int(t)))
                 continue
-            open_marks = [m for m in open_marks if row.t - m <= ttl]
-            if open_marks:
-                open_marks.pop(0)
+            marks = [m for m in marks if t - m[1] <= ttl]
+            hit = next((i for i, m in enumerate(marks) if m[0] == what), None)
+            if hit is None:
+                out.append((event_id,))
             else:
-                out.append((row.event_id,))
-    state.update((open_marks,))
-    state.setTimeoutDuration(max(1, ttl // 1000))
+                marks.pop(hit)
+    state.update(([m[0] for m in marks], [m[1] for m in marks]))
     yield pd.DataFrame(out, columns=["event_id"])
 
 
 def suppress(marked: DataFrame, ttl: int) -> DataFrame:
     """Events that no registration swallows; marked: (path, kind, content_hash, t in microseconds, is_event, event_id).
 
-    A key's open registrations are its state; an idle key's state goes after ttl.
+    A path's open registrations are its state; those older than ttl go whenever an event of the path comes. There is no
+    timer: with one, a run over all that is available would never end.
     """
 
     def run(key, frames, state):
-        if state.hasTimedOut:
-            state.remove()
-            return iter(())
-        return _swallow(key, frames, state, ttl)
+        return _swallow(frames, state, ttl)
 
-    keyed = marked.withColumn("content_hash", F.coalesce("content_hash", F.lit(""))).groupBy("path", "kind", "content_hash")
-    return keyed.applyInPandasWithState(run, "event_id long", "open array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    keyed = marked.select("path", F.concat_ws(":", "kind", F.coalesce("content_hash", F.lit(""))).alias("what"), "t", "is_event", "event_id").groupBy("path")
+    return keyed.applyInPandasWithState(run, "event_id long", "marks array<string>, times array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
 def split_quarantine(results: DataFrame) -> tuple[DataFrame, DataFrame]:
