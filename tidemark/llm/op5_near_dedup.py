@@ -31,6 +31,8 @@ from tidemark.llm.components import connected_components
 SHINGLE, ROWS, MISS = 5, 5, 1e-6
 #: Members of a hub that are compared with each other in one task.
 BLOCK = 1000
+#: Bytes of text whose shingles are made at once; the arrays take some hundred times as much.
+SLICE = 500_000
 LAST = 2**63 - 1
 FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else 0x20 if 9 <= c <= 13 else c for c in range(256))
 BASE = 0x9E3779B97F4A7C15
@@ -104,7 +106,7 @@ def least_matches(threshold: float, hashes: int, batch: int, miss: float) -> lis
     return out
 
 
-def sliced(texts: list[bytes], size: int = 2_000_000) -> Iterator[tuple[int, list[bytes]]]:
+def sliced(texts: list[bytes], size: int = SLICE) -> Iterator[tuple[int, list[bytes]]]:
     at = 0
     while at < len(texts):
         end, total = at, 0
@@ -115,6 +117,18 @@ def sliced(texts: list[bytes], size: int = 2_000_000) -> Iterator[tuple[int, lis
         at = end
 
 
+def paired(left: list[bytes], right: list[bytes], size: int = SLICE) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts of pairs in turn, in portions of about `size` bytes that part no pair, with the number of the first pair."""
+    at = 0
+    while at < len(left):
+        end, total = at, 0
+        while end < len(left) and (end == at or total + len(left[end]) + len(right[end]) <= size):
+            total += len(left[end]) + len(right[end])
+            end += 1
+        yield at, [t for p in zip(left[at:end], right[at:end], strict=True) for t in p]
+        at = end
+
+
 def sketch(bands: int, rows: int, size: int):
     draw = np.random.default_rng(20)
     factor = draw.integers(0, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -172,12 +186,10 @@ def confirmed(percent: int, size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = list(zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True))
-            for at in range(0, len(pairs), 64):
-                part = pairs[at : at + 64]
-                h, first = shingle_sets([t for p in part for t in p], size)
+            for at, part in paired(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
+                h, first = shingle_sets(part, size)
                 good = []
-                for i in range(len(part)):
+                for i in range(len(part) // 2):
                     x, y = h[first[2 * i] : first[2 * i + 1]], h[first[2 * i + 1] : first[2 * i + 2]]
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     if 100 * both >= percent * (len(x) + len(y) - both):
@@ -260,11 +272,10 @@ def differences(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = list(zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True))
-            for at in range(0, len(pairs), 64):
-                h, first = shingle_sets([t for p in pairs[at : at + 64] for t in p], size)
-                own = [(h[first[2 * i] : first[2 * i + 1]], h[first[2 * i + 1] : first[2 * i + 2]]) for i in range(len(pairs[at : at + 64]))]
-                part = batch.slice(at, 64)
+            for at, texts in paired(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
+                h, first = shingle_sets(texts, size)
+                own = [(h[first[i] : first[i + 1]], h[first[i + 1] : first[i + 2]]) for i in range(0, len(texts), 2)]
+                part = batch.slice(at, len(own))
                 yield pa.RecordBatch.from_arrays([part.column("hub"), part.column("node"), part.column("label"), pa.array([len(y) for _, y in own], pa.int64()), pa.array([np.setxor1d(x, y, assume_unique=True).tobytes() for x, y in own], pa.binary())], ["hub", "node", "label", "n", "unlike"])
 
     return run
