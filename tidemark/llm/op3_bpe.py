@@ -28,7 +28,7 @@ from tidemark.llm.common import documents
 
 LEAF, WINDOW, CACHED_RUN, CACHE = 16_384, 64, 96, 400_000
 #: Characters of text for which results are made and handed on together.
-SLICE = 1_000_000
+SLICE = 500_000
 RUN = re.compile(r"[^ \t-\r]+")
 #: Pre-tokens of lower-cased plain text, and what makes a text not plain.
 PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-/:-@[-`{-~]+")
@@ -201,16 +201,16 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(path)
         for batch in batches:
-            at = 0
-            texts = [x.as_py() or "" for x in batch.column("text")]
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= SLICE):
-                    size += len(texts[end])
-                    end += 1
-                ids, said = zip(*codec.encode(texts[at:end]), strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, end - at), pa.array(ids, pa.binary()), pa.array(said, pa.string())], ["doc_id", "ids", "decoded"])
-                at = end
+            at, column = 0, batch.column("text")
+            while at < len(column):
+                part: list[str] = []
+                size = 0
+                while at + len(part) < len(column) and (not part or size < SLICE):
+                    part.append(column[at + len(part)].as_py() or "")
+                    size += len(part[-1])
+                ids, said = zip(*codec.encode(part), strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(part)), pa.array(ids, pa.binary()), pa.array(said, pa.string())], ["doc_id", "ids", "decoded"])
+                at += len(part)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary, decoded string")
 
