@@ -108,6 +108,13 @@ def test_decontamination(spark):
     assert op4_decontamination.find_leaks(table(spark, []), items).count() == 0
 
 
+def test_decontamination_of_repeated_patterns(spark):
+    item = "Anna has 3 red apples in the box. Bob has 5 red apples in the box. Carol has 9 red apples in the box."
+    rows = [(1, item), (2, f"Some words before it. {item} More."), (3, "Nothing of it stands here at all.")]
+    got = op4_decontamination.find_leaks(table(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert {r.doc_id: r.agreement for r in got.collect()} == {1: 1.0, 2: 1.0}
+
+
 def brute_near(rows, percent):
     fold = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = []

@@ -4,7 +4,8 @@ A text becomes template tokens: numbers, names (capitalised words inside a sente
 placeholders, other words are lower-cased. Windows of five tokens with at least three plain words are hashed and joined
 with the benchmark's. A document leaks an item if it holds at least `cover` of the item's distinct windows and the slots
 agree: wherever the item has one value behind a placeholder, the document has one value too. So an item is also caught
-when its numbers, names and units were replaced throughout, but not where only the pattern of a table recurs.
+when its numbers, names and units were replaced throughout, but not where only the pattern of a table recurs. Every window
+of an item keeps its place and values: slots are held against those at the aligned place of the document, or of all places.
 
 The benchmark's windows are broadcast only if counted to be at most `broadcast_rows`; beyond that the join shuffles.
 
@@ -58,7 +59,7 @@ def window_hashes(text: Column) -> Column:
 
 
 def windows(text: Column) -> Column:
-    """Array of (hash, slots) of the windows with enough plain words; slots are the values behind a window's marks, in order."""
+    """Array of (hash, slots, pos) of the windows with enough plain words; slots are the values behind a window's marks, in order."""
     tokens, sources = template(text)
     values = F.struct(tokens.alias("tokens"), *(F.transform(F.regexp_extract_all(sources[m], F.lit(p), F.lit(0)), F.lower).alias(FILLED[m]) for m, p in MARKS.items()))
 
@@ -80,7 +81,7 @@ def windows(text: Column) -> Column:
         def one(i: Column) -> Column:
             part = F.slice(tokens, i + 1, F.lit(WINDOW))
             slots = F.transform(F.filter(part, lambda s: s["v"].isNotNull()), lambda s: s["v"])
-            return F.struct(F.xxhash64(F.transform(part, lambda s: F.xxhash64(s["t"]))).alias("hash"), F.size(part).alias("size"), slots.alias("slots"))
+            return F.struct(F.xxhash64(F.transform(part, lambda s: F.xxhash64(s["t"]))).alias("hash"), F.size(part).alias("size"), slots.alias("slots"), i.alias("pos"))
 
         return F.filter(cut(tokens, one), lambda w: w["size"] - F.size(w["slots"]) >= F.least(F.lit(PLAIN), F.size(tokens)))
 
@@ -88,10 +89,25 @@ def windows(text: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, hash, slots, n_windows), one row per distinct window of an item."""
-    each = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.explode(windows(text_of(benchmark))).alias("w")).select("item_id", "w.hash", "w.slots")
-    each = each.groupBy("item_id", "hash").agg(F.min("slots").alias("slots"))
-    return each.join(each.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows")), "item_id")
+    """(item_id, pos, hash, slots, n_windows, n_places), one row per window of an item; n_windows counts distinct hashes."""
+    each = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.explode(windows(text_of(benchmark))).alias("w")).select("item_id", "w.pos", "w.hash", "w.slots").distinct()
+    return each.join(each.groupBy("item_id").agg(F.countDistinct("hash").alias("n_windows"), F.count(F.lit(1)).alias("n_places")), "item_id")
+
+
+KEYS = ("doc_id", "text_hash", "item_id")
+
+
+def agreements(pairs: DataFrame, *keys: str) -> DataFrame:
+    """Per group the share of slots whose value is the one that mostly stands for the item's value; pairs has an array s of both values."""
+    told = pairs.select(*keys, F.explode_outer("s").alias("s")).groupBy(*keys, F.col("s.item_slots").alias("value"), F.col("s.slots").alias("other")).agg(F.count("s").alias("n"))
+    told = told.groupBy(*keys, "value").agg(F.max("n").alias("best"), F.sum("n").alias("n"))
+    return told.groupBy(*keys).agg(F.coalesce(F.sum("best") / F.sum("n"), F.lit(1.0)).alias("agreement"))
+
+
+def aligned(met: DataFrame, cover: float) -> DataFrame:
+    """Agreement over the places of a document at which a window stands as far from the document's start as from the item's, covered places only."""
+    hits = met.groupBy(*KEYS, "n_places", (F.col("at") - F.col("pos")).alias("span")).agg(F.count(F.lit(1)).alias("found"), F.flatten(F.collect_list(F.arrays_zip("item_slots", "slots"))).alias("s"))
+    return agreements(hits.filter(F.col("found") >= cover * F.col("n_places")), *KEYS)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, agree: float = AGREE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -101,17 +117,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, agre
     side = F.broadcast if small else lambda x: x.hint("shuffle_merge")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     seen = keyed.select("doc_id", "text_hash", F.explode(window_hashes(F.col("text"))).alias("hash"))
-    met = seen.join(side(items.select("hash", "item_id", "n_windows")), "hash").groupBy("doc_id", "text_hash", "item_id", "n_windows", "hash").agg(F.lit(1))
+    met = seen.join(side(items.select("hash", "item_id", "n_windows").distinct()), "hash").groupBy("doc_id", "text_hash", "item_id", "n_windows", "hash").agg(F.lit(1))
     covered = settle(met.groupBy("doc_id", "text_hash", "item_id", "n_windows").agg(F.count(F.lit(1)).alias("found")).filter(F.col("found") >= cover * F.col("n_windows")), "covered")
     # Only texts that hold enough of an item with slots are looked at again, for the values in them.
     open_items = items.filter(F.size("slots") > 0).select("item_id").distinct()
     wanted = covered.join(open_items, "item_id", "left_semi").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("same")).distinct()
     held = keyed.join(wanted, keyed["doc_id"].eqNullSafe(wanted["id"]) & (keyed["text_hash"] == wanted["same"]), "left_semi").dropDuplicates(["doc_id", "text_hash"])
-    filled = held.select("doc_id", "text_hash", F.explode(windows(F.col("text"))).alias("w")).select("doc_id", "text_hash", "w.hash", "w.slots").filter(F.size("slots") > 0)
-    pairs = filled.join(side(items.select("hash", "item_id", F.col("slots").alias("item_slots"))), "hash").select("doc_id", "text_hash", "item_id", F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
-    told = pairs.groupBy("doc_id", "text_hash", "item_id", F.col("s.item_slots").alias("value"), F.col("s.slots").alias("other")).agg(F.count(F.lit(1)).alias("n"))
-    told = told.groupBy("doc_id", "text_hash", "item_id", "value").agg(F.max("n").alias("best"), F.sum("n").alias("n"))
-    slots = told.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("same"), F.col("item_id").alias("item")).agg((F.sum("best") / F.sum("n")).alias("agreement"))
+    filled = settle(held.select("doc_id", "text_hash", F.explode(windows(F.col("text"))).alias("w")).select("doc_id", "text_hash", "w.hash", "w.slots", F.col("w.pos").alias("at")), "filled")
+    whole = items.filter(F.size("slots") > 0).groupBy("item_id", "hash").agg(F.min("slots").alias("item_slots"))
+    pooled = agreements(filled.join(side(whole), "hash").select(*KEYS, F.arrays_zip("item_slots", "slots").alias("s")), *KEYS)
+    placed = aligned(filled.join(side(items.join(open_items, "item_id", "left_semi").select("hash", "item_id", "pos", "n_places", F.col("slots").alias("item_slots"))), "hash"), cover)
+    slots = pooled.unionByName(placed).groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("same"), F.col("item_id").alias("item")).agg(F.max("agreement").alias("agreement"))
     found = covered.join(slots, covered["doc_id"].eqNullSafe(slots["id"]) & (covered["text_hash"] == slots["same"]) & (covered["item_id"] == slots["item"]), "left")
     return found.select("doc_id", "item_id", (F.col("found") / F.col("n_windows")).alias("coverage"), F.coalesce("agreement", F.lit(1.0)).alias("agreement"), "text_hash").filter(F.col("agreement") >= agree)
 
