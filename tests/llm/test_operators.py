@@ -115,6 +115,17 @@ def test_decontamination_of_repeated_patterns(spark):
     assert {r.doc_id: r.agreement for r in got.collect()} == {1: 1.0, 2: 1.0}
 
 
+def test_decontamination_judges_each_occurrence(spark):
+    item = "A train leaves with Alice and travels 12 km in 3 hours before Bob starts to walk 5 km towards the town, how far is Alice from Bob then?"
+    other = item.replace("Alice", "Carol").replace("Bob", "Dan").replace("12", "77").replace("3", "8").replace("5", "6")
+    third = item.replace("Alice", "Erika").replace("Bob", "Fred").replace("12", "41").replace("3", "2").replace("5", "9")
+    mixed = item.replace("Alice", "Carol", 1).replace("Bob", "Dan", 1).replace("12 km", "7 m")
+    longer = item.replace("before", "and a while before")
+    rows = [(1, f"First: {item} Then: {other}"), (2, f"First: {other} Then: {third}"), (3, f"First: {longer} Then: {other}"), (4, f"First: {mixed}")]
+    got = op4_decontamination.find_leaks(table(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert {r.doc_id for r in got.collect()} == {1, 2, 3}
+
+
 def brute_near(rows, percent):
     fold = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = []

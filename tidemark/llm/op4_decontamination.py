@@ -5,7 +5,8 @@ placeholders, other words are lower-cased. Windows of five tokens with at least
 with the benchmark's. A document leaks an item if it holds at least `cover` of the item's distinct windows and the slots
 agree: wherever the item has one value behind a placeholder, the document has one value too. So an item is also caught
 when its numbers, names and units were replaced throughout, but not where only the pattern of a table recurs. Every window
-of an item keeps its place and values: slots are held against those at the aligned place of the document, or of all places.
+of an item keeps its place and values: slots are held against those at the aligned places of the document, one occurrence of the item at a
+time, and the best one counts; and once against those of all places.
 
 The benchmark's windows are broadcast only if counted to be at most `broadcast_rows`; beyond that the join shuffles.
 
@@ -105,9 +106,18 @@ def agreements(pairs: DataFrame, *keys: str) -> DataFrame:
 
 
 def aligned(met: DataFrame, cover: float) -> DataFrame:
-    """Agreement over the places of a document at which a window stands as far from the document's start as from the item's, covered places only."""
-    hits = met.groupBy(*KEYS, "n_places", (F.col("at") - F.col("pos")).alias("span")).agg(F.count(F.lit(1)).alias("found"), F.flatten(F.collect_list(F.arrays_zip("item_slots", "slots"))).alias("s"))
-    return agreements(hits.filter(F.col("found") >= cover * F.col("n_places")), *KEYS)
+    """The best agreement of any one occurrence that covers enough of an item's places.
+
+    An occurrence is a group of hits at the same distance from the document's start and the item's, or, as words may be put
+    in or left out, at distances within a fifth of the item; there each place of the item takes one hit, first
+    one with the same values, then the one of the least distance. Bands overlap by half.
+    """
+    offset, band = F.col("at") - F.col("pos"), F.greatest(F.lit(2), F.ceil((1 - cover) * F.col("n_places")))
+    spans = F.array(*(F.struct(F.lit(kind).alias("kind"), k.cast("long").alias("k")) for kind, k in enumerate((offset, F.floor(offset / band), F.floor(offset / band + 0.5)))))
+    each = met.withColumn("offset", offset).withColumn("other", F.col("slots") != F.col("item_slots")).withColumn("span", F.explode(spans))
+    best = each.groupBy(*KEYS, "n_places", "span", "pos").agg(F.min(F.struct("other", "offset", "item_slots", "slots")).alias("b"))
+    hits = best.groupBy(*KEYS, "n_places", "span").agg(F.count(F.lit(1)).alias("found"), F.flatten(F.collect_list(F.arrays_zip("b.item_slots", "b.slots"))).alias("s"))
+    return agreements(hits.filter(F.col("found") >= cover * F.col("n_places")), *KEYS, "span").groupBy(*KEYS).agg(F.max("agreement").alias("agreement"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, agree: float = AGREE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
