@@ -126,6 +126,15 @@ def test_decontamination_judges_each_occurrence(spark):
     assert {r.doc_id for r in got.collect()} == {1, 2, 3}
 
 
+def test_decontamination_of_short_items(spark):
+    items = spark.createDataFrame([(1, "What is 12 + 7?"), (2, "Compute 12 * 7 - 3 * 4 / 2."), (3, "Who wrote the novel?"), (4, "?"), (5, None)], "item_id long, text string")
+    rows = [(1, "Here it is: what is 12 + 7? It is 19."), (2, "Compute 12 * 7 - 3 * 4 / 2."), (None, "They ask: Who wrote the novel? Nobody knows it."), (4, "What is 12 + 8? Compute 12 * 7 - 3 * 4 / 3."), (5, "What is 12 - 7?"), (6, None)]
+    for rows_sent in (1_000_000, 0):
+        got = op4_decontamination.find_leaks(table(spark, rows), items, broadcast_rows=rows_sent)
+        assert sorted(((r.doc_id or 0, r.item_id) for r in got.collect())) == [(0, 3), (1, 1), (2, 2)]
+    assert {r.doc_id for r in op4_decontamination.drop_leaks(table(spark, rows), items).collect()} == {4, 5, 6}
+
+
 def brute_near(rows, percent):
     fold = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = []

@@ -8,10 +8,13 @@ when its numbers, names and units were replaced throughout, but not where only t
 of an item keeps its place and values: slots are held against those at the aligned places of the document, one occurrence of the item at a
 time, and the best one counts; and once against those of all places.
 
+Items with fewer than five template tokens, or without a window of three plain words, are found by their whole sequence of
+words, numbers and signs as it stands, wherever a document holds it.
+
 The benchmark's windows are broadcast only if counted to be at most `broadcast_rows`; beyond that the join shuffles.
 
-Cases: null and empty texts have no windows; a text or item with fewer than five tokens is one window; items without windows
-are never found; equal rows are reported once; ties are kept; an empty table gives an empty result; other columns are
+Cases: null and empty texts have no windows; a text or item with fewer than five tokens is one window; items without words,
+numbers and signs of arithmetic are never found; equal rows are reported once; ties are kept; an empty table gives an empty result; other columns are
 ignored; texts are never cut.
 """
 
@@ -32,6 +35,9 @@ NUMBER = r"[0-9]+(?:[.,:][0-9]+)*"
 UNIT = rf"(?<=# {{1,4}})({'|'.join(UNITS)})\b"
 MARKS = {"@n": NAME, "#": NUMBER, "@u": UNIT}
 FILLED = {"@n": "names", "#": "numbers", "@u": "units"}
+# Tokens of short items, which are compared as they stand, and how many of them a document is first searched for.
+LITERAL = r"[\p{L}\p{M}\p{N}]+(?:[.,:]\p{N}+)*|[-+*/=<>%^×÷−]"
+LEAD = 3
 GAP = r"[^\p{L}\p{M}#@]+"
 
 
@@ -120,6 +126,48 @@ def aligned(met: DataFrame, cover: float) -> DataFrame:
     return agreements(hits.filter(F.col("found") >= cover * F.col("n_places")), *KEYS, "span").groupBy(*KEYS).agg(F.max("agreement").alias("agreement"))
 
 
+def literal(text: Column) -> Column:
+    """Hashes of words, numbers and signs of arithmetic, as they stand but for case."""
+    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(LITERAL), F.lit(0)), lambda t: F.xxhash64(t))
+
+
+def runs(hashes: Column, size: Column) -> Column:
+    """Hashes of all runs of `size` tokens."""
+    places = F.when(F.size(hashes) >= size, F.sequence(F.lit(0), F.size(hashes) - size)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.xxhash64(F.slice(hashes, i + 1, size)))
+
+
+def short_items(benchmark: DataFrame) -> DataFrame:
+    """(item_id, n, whole, lead, start) of items with fewer than five template tokens or no window of enough plain words."""
+    text = text_of(benchmark)
+    few = (F.size(template(text)[0]) < WINDOW) | (F.size(windows(text)) == 0)
+    each = benchmark.filter(few).select(F.col("item_id").cast("long").alias("item_id"), literal(text).alias("h")).filter("item_id IS NOT NULL AND size(h) > 0")
+    lead = F.least(F.size("h"), F.lit(LEAD))
+    return each.select("item_id", F.size("h").alias("n"), F.xxhash64("h").alias("whole"), lead.alias("lead"), F.xxhash64(F.slice("h", F.lit(1), lead)).alias("start")).distinct()
+
+
+def find_short(keyed: DataFrame, benchmark: DataFrame, broadcast_rows: int) -> DataFrame | None:
+    """(doc_id, item_id, text_hash) of documents that hold a short item as it stands; None without such items.
+
+    Documents are cut into runs of at most LEAD tokens once; only those that hold an item's start are cut at its own length.
+    """
+    items = settle(short_items(benchmark), "short")
+    leads = sorted(r["lead"] for r in items.select("lead").distinct().collect())
+    if not leads:
+        return None
+    side = F.broadcast if items.count() <= broadcast_rows else lambda x: x.hint("shuffle_merge")
+
+    def led(hashes: Column, k: int) -> Column:
+        return F.transform(runs(hashes, F.lit(k)), lambda x: F.struct(F.lit(k).alias("lead"), x.alias("start")))
+
+    starts = let(literal(F.col("text")), lambda h: F.array_distinct(F.concat(*(led(h, k) for k in leads))))
+    seen = keyed.select("doc_id", "text_hash", F.explode(starts).alias("s")).select("doc_id", "text_hash", "s.lead", "s.start")
+    close = seen.join(side(items.select("lead", "start", "n").distinct()), ["lead", "start"]).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("same"), "n").distinct()
+    held = keyed.join(close, keyed["doc_id"].eqNullSafe(close["id"]) & (keyed["text_hash"] == close["same"]))
+    cuts = held.select("doc_id", "text_hash", "n", F.explode(let(literal(F.col("text")), lambda h: F.array_distinct(runs(h, F.col("n"))))).alias("whole"))
+    return cuts.join(side(items.select("n", "whole", "item_id")), ["n", "whole"]).select("doc_id", "item_id", "text_hash").distinct()
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, agree: float = AGREE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, item_id, coverage, agreement, text_hash) of every document that leaks an item."""
     items = settle(benchmark_windows(benchmark), "benchmark")
@@ -139,7 +187,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, agre
     placed = aligned(filled.join(side(items.join(open_items, "item_id", "left_semi").select("hash", "item_id", "pos", "n_places", F.col("slots").alias("item_slots"))), "hash"), cover)
     slots = pooled.unionByName(placed).groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("same"), F.col("item_id").alias("item")).agg(F.max("agreement").alias("agreement"))
     found = covered.join(slots, covered["doc_id"].eqNullSafe(slots["id"]) & (covered["text_hash"] == slots["same"]) & (covered["item_id"] == slots["item"]), "left")
-    return found.select("doc_id", "item_id", (F.col("found") / F.col("n_windows")).alias("coverage"), F.coalesce("agreement", F.lit(1.0)).alias("agreement"), "text_hash").filter(F.col("agreement") >= agree)
+    leaks = found.select("doc_id", "item_id", (F.col("found") / F.col("n_windows")).alias("coverage"), F.coalesce("agreement", F.lit(1.0)).alias("agreement"), "text_hash").filter(F.col("agreement") >= agree)
+    exact = find_short(keyed, benchmark, broadcast_rows)
+    if exact is None:
+        return leaks
+    both = leaks.unionByName(exact.select("doc_id", "item_id", F.lit(1.0).alias("coverage"), F.lit(1.0).alias("agreement"), "text_hash"))
+    return both.groupBy("doc_id", "item_id", "text_hash").agg(F.max("coverage").alias("coverage"), F.max("agreement").alias("agreement")).select(*leaks.columns)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
