@@ -82,6 +82,39 @@ def test_lm_gradient_and_scores(spark):
     assert got[0].log_score == got[29].log_score and 10 * got[0].mean_log_score > got[99].mean_log_score
 
 
+def test_lm_tells_rare_words_apart_and_looks_further(spark):
+    import numpy as np
+
+    # 'one' and 'two' shared a bucket of the former 64, and each document's rare word was scored as that bucket.
+    same = {}
+    for i in range(1000):
+        same.setdefault(zlib.crc32(f"rare{i}".encode()) % 64, []).append(f"rare{i}")
+    one, two = next(v for v in same.values() if len(v) > 1)[:2]
+    rows = [(i, "the cat sat on the mat " * 10) for i in range(40)] + [(100, f"the cat {one} on the mat"), (101, f"the cat {two} on the mat"), (102, f"the cat {one}{one}qz on the mat")]
+    got = {r.doc_id: r.log_score for r in op2_lm_scoring.score_corpus(spark.createDataFrame(rows, "doc_id long, text string"), frequent=5, buckets=64).collect()}
+    assert len({got[100], got[101], got[102]}) == 3 and got[102] < got[100]
+    rows = [(i, f"w{i % 300} x") for i in range(30_000)]
+    held, others = op2_lm_scoring.vocabulary(op2_lm_scoring.counted_words(spark.createDataFrame(rows, "doc_id long, text string")), None)
+    assert len(held) == 301 and others == 0
+    # All leaves' probabilities add up to 1, and a word three places away changes them.
+    tree = op2_lm_scoring.Tree([5, 3, 2, 1])
+    net = op2_lm_scoring.beginning(6, tree, 4)
+    net["out"] += np.random.default_rng(1).normal(0, 0.5, net["out"].shape).astype(np.float32)
+    each = [op2_lm_scoring.gains(net, tree, np.array([3, 1, 2, w, 1, 2, 3]), False)[0][0] for w in (1, 2, 3, 4)]
+    assert abs(sum(np.exp(each)) - 1) < 1e-5
+    assert op2_lm_scoring.gains(net, tree, np.array([1, 1, 2, 1, 1, 2, 3]), False)[0][0] != each[0]
+    part = np.array([0, 0, 0, 3, 1, 2, 4, 1, 0, 0, 0])
+    grads = op2_lm_scoring.gains(net, tree, part, True)[1]
+    for k, cell in (("near", (1, 2)), ("out", (0, 1))):
+        rows, values = op2_lm_scoring.summed(*grads[k])
+        up = {n: v.astype(float) for n, v in net.items()}
+        up[k][cell] += 1e-2
+        down = {n: v.astype(float) for n, v in net.items()}
+        down[k][cell] -= 1e-2
+        slope = (op2_lm_scoring.gains(up, tree, part, False)[0].sum() - op2_lm_scoring.gains(down, tree, part, False)[0].sum()) / 2e-2
+        assert abs(slope - values[list(rows).index(cell[0])][cell[1]]) < 1e-2
+
+
 def test_bpe_equals_the_library():
     path = "/opt/tokenizers/word_bpe_49k.json"
     draw = random.Random(1)

@@ -1,14 +1,15 @@
 """LM scoring by masked pseudo-likelihood.
 
-A word is predicted from the words at its left and right: each side's word has its own embedding, their sum goes through a
-tanh layer, and a softmax over the vocabulary gives the probability of what is masked. A document's score is the sum of the
-log-probabilities of all its words. The vocabulary has the most frequent words of the whole corpus, hash buckets for the
-rest and a mark for either end of a text.
+A word is predicted from the three words at either side: embeddings, one per side and divided by the distance, are summed and
+go through a tanh layer, and a hierarchical softmax over a Huffman tree gives the probability of the word itself. The
+vocabulary has every word with at least sqrt(N) / 32 occurrences among the corpus's N words, so it grows with the corpus. A
+rarer word is an escape leaf of the tree and then its spelling, byte by byte, by a trigram counted over all rarer words; so
+each has a probability of its own. Only as a neighbour does a rarer word share its embedding with others, by a hash bucket.
+A document's score is the sum of the log-probabilities of all its words.
 
-Training covers all documents: (left, masked, right) are counted over the corpus, and gradients of the exact likelihood
-are computed in numpy by partitions of contexts and summed; the driver sees only the parameters' gradient. The number of
-contexts is bounded by the square of the vocabulary, so neither a step nor the table of log-probabilities that scoring looks
-up grows with the corpus.
+Training passes over all documents: each partition runs Adagrad over its own texts from the common network, and each row of
+the network moves by the mean over the partitions that touched it. Changes are summed in blocks of rows by a shuffle, so the
+driver sees one network. Network and vocabulary are sent to all workers and grow about as the root of the corpus.
 
 Cases: null and empty texts have no words and score 0; equal texts score equally; an empty corpus gives an empty result;
 other columns are ignored; texts are never cut.
@@ -16,6 +17,8 @@ other columns are ignored; texts are never cut.
 
 from __future__ import annotations
 
+import heapq
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,16 +30,57 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import documents, settle
 
-FREQUENT, BUCKETS, WIDTH, STEPS, RATE = 191, 64, 16, 40, 0.05
-PARTS = 12
+SHARE, BUCKETS, WIDTH, STEPS, RATE = 32, 1024, 16, 1, 0.05
+REACH, BATCH, BLOCK = 3, 10_000, 1024
 RUN = re.compile(r"[^ \t-\r]+")
 
 
-def vocabulary(docs: DataFrame, frequent: int) -> list[str]:
-    """The most frequent words of all documents."""
+def counted_words(docs: DataFrame) -> DataFrame:
+    """(w, n): how often each word occurs in all documents; settled, as it is read three times."""
     words = docs.select(F.explode(F.split(F.lower(F.coalesce(docs["text"], F.lit(""))), "[ \\t-\\r]+")).alias("w")).filter("w <> ''")
-    top = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(frequent)
-    return [r["w"] for r in top.collect()]
+    return settle(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")), "words")
+
+
+def vocabulary(counted: DataFrame, frequent: int | None) -> tuple[list[tuple[str, int]], int]:
+    """Words with sqrt(N) / SHARE occurrences or more (or the `frequent` most frequent) and their counts, and how many other words occur."""
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    ordered = counted.orderBy(F.desc("n"), "w")
+    held = ordered.limit(frequent) if frequent is not None else ordered.filter(F.col("n") >= max(2, math.ceil(math.sqrt(total) / SHARE)))
+    words = [(r["w"], r["n"]) for r in held.collect()]
+    return words, total - sum(n for _, n in words)
+
+
+def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of (two bytes before, byte or end) for every byte and the end of all words, and how many each word has."""
+    spelled = [w.encode("utf-8", "surrogatepass") for w in words]
+    sizes = np.array([len(b) + 1 for b in spelled], np.int64)
+    # A word is preceded by two zero bytes; its end is symbol 256.
+    line = np.frombuffer(b"".join(b"\0\0" + b + b"\0" for b in spelled), np.uint8).astype(np.int64)
+    starts = np.cumsum(sizes + 2) - sizes
+    places = np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    last = line[places]
+    last[np.cumsum(sizes) - 1] = 256
+    return (line[places - 2] * 256 + line[places - 1]) * 257 + last, sizes
+
+
+def spelling(counted: DataFrame, words: list[str]) -> np.ndarray:
+    """Log-probabilities of a byte or the end after two bytes, from all words outside the vocabulary."""
+    known = set(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(w, n) for w, n in zip(batch.column("w").to_pylist(), batch.column("n").to_pylist(), strict=True) if w not in known]
+            if rows:
+                code, sizes = trigrams([w for w, _ in rows])
+                own, at = np.unique(code, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(np.bincount(at, np.repeat(np.array([n for _, n in rows], float), sizes)), pa.float64())], ["code", "n"])
+
+    rows = counted.mapInArrow(run, "code long, n double").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    table = np.full(256 * 256 * 257, 0.02, np.float32)
+    table[rows.column("code").to_numpy()] += rows.column("n").to_numpy().astype(np.float32)
+    table = table.reshape(-1, 257)
+    table /= table.sum(1, keepdims=True, dtype=np.float64).astype(np.float32)
+    return np.log(table, out=table).reshape(-1)
 
 
 class Ids(dict):
@@ -54,21 +98,19 @@ class Ids(dict):
         self[word] = out = self.low + zlib.crc32(word.encode()) % self.buckets
         return out
 
-    def of(self, text: str | None) -> list[int]:
-        return [self[w] for w in RUN.findall((text or "").lower())]
-
 
-def framed(texts: list[str | None], ids: Ids) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of all texts with an end mark at either side of each, the places of words among them, and the texts' lengths."""
-    flat: list[int] = [0]
-    lengths = []
+def framed(texts: list[str | None], ids: Ids) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Ids of all texts with REACH end marks at either side of each, the texts' lengths, and their words outside the vocabulary."""
+    flat: list[int] = [0] * REACH
+    lengths, rare = [], []
     for t in texts:
-        own = ids.of(t)
+        words = RUN.findall((t or "").lower())
+        own = [ids[w] for w in words]
         flat += own
-        flat.append(0)
+        flat += [0] * REACH
         lengths.append(len(own))
-    codes = np.array(flat, np.int64)
-    return codes, np.flatnonzero(codes), np.array(lengths, np.int64)
+        rare += [w for w, i in zip(words, own, strict=True) if i >= ids.low]
+    return np.array(flat, np.int64), np.array(lengths, np.int64), rare
 
 
 def sliced(batch: pa.RecordBatch, size: int = 4_000_000) -> Iterator[tuple[int, list[str | None]]]:
@@ -82,22 +124,10 @@ def sliced(batch: pa.RecordBatch, size: int = 4_000_000) -> Iterator[tuple[int,
         at = end
 
 
-def context_counts(docs: DataFrame, words: list[str], buckets: int) -> DataFrame:
-    """(context, counts): for each pair of neighbours, how often each word stood between them, over all documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(words, buckets)
-        for batch in batches:
-            for _, texts in sliced(batch):
-                codes, at, _ = framed(texts, ids)
-                code, n = np.unique((codes[at - 1] * ids.size + codes[at + 1]) * ids.size + codes[at], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array((code // ids.size).astype(np.int32)), pa.array((code % ids.size).astype(np.int32)), pa.array(n, pa.int64())], ["context", "word", "n"])
-
-    counted = docs.select("text").mapInArrow(run, "context int, word int, n long").groupBy("context", "word").agg(F.sum("n").alias("n"))
-    return counted.groupBy("context").agg(F.collect_list(F.struct("word", "n")).alias("counts"))
+Network = dict[str, np.ndarray]
 
 
-Network = dict[str, np.ndarray]
+# The dense softmax over pairs of neighbours; its gradient stays tested, scores come from the tree.
 
 
 def fresh(size: int, width: int) -> Network:
@@ -126,78 +156,164 @@ def gradient(net: Network, contexts: np.ndarray, counts: np.ndarray) -> tuple[fl
     return float((counts * logs).sum()), out
 
 
-def flat(net: Network) -> np.ndarray:
-    return np.concatenate([net[k].reshape(-1) for k in sorted(net)])
-
-
-def shaped(values: np.ndarray, like: Network) -> Network:
-    ends = np.cumsum([like[k].size for k in sorted(like)])
-    return {k: v.reshape(like[k].shape) for k, v in zip(sorted(like), np.split(values, ends[:-1]), strict=True)}
-
-
-def train(contexts: DataFrame, size: int, width: int, steps: int, rate: float) -> Network:
-    """Adam on the gradient over all contexts; a step is one pass over the settled table."""
-    net = fresh(size, width)
-    values, first, second = flat(net), 0.0, 0.0
-
-    for step in range(1, steps + 1):
-        sent = values.astype(np.float32).tobytes()
-
-        def run(batches: Iterator[pa.RecordBatch], sent: bytes = sent) -> Iterator[pa.RecordBatch]:
-            now = shaped(np.frombuffer(sent, np.float32).astype(float), fresh(size, width))
-            total, likely, seen = np.zeros(len(sent) // 4), 0.0, 0
+class Tree:
+    """Huffman tree of leaves by their counts: the nodes on the way to each leaf, and +1 or -1 for the side taken."""
+
+    def __init__(self, counts: list[int]) -> None:
+        heap = [(max(n, 1), i) for i, n in enumerate(counts)]
+        heapq.heapify(heap)
+        size = len(counts)
+        parent, side, self.prior = np.zeros(2 * size, np.int64), np.zeros(2 * size, np.float32), np.zeros(max(size - 1, 1), np.float32)
+        for node in range(size, 2 * size - 1):
+            (n, x), (m, y) = heapq.heappop(heap), heapq.heappop(heap)
+            parent[x] = parent[y] = node
+            side[x], side[y] = 1, -1
+            self.prior[node - size] = math.log(n / m)
+            heapq.heappush(heap, (n + m, node))
+        nodes, signs, lengths = [], [], []
+        for leaf in range(size):
+            at, begun = leaf, len(nodes)
+            while at != 2 * size - 2:
+                nodes.append(parent[at] - size)
+                signs.append(side[at])
+                at = parent[at]
+            lengths.append(len(nodes) - begun)
+        self.nodes, self.signs, self.length = np.array(nodes, np.int64), np.array(signs, np.float32), np.array(lengths, np.int64)
+        self.start = np.cumsum(self.length) - self.length
+
+    def ways(self, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For all steps to the leaves: which leaf, node and side; and where each leaf's steps start."""
+        n = self.length[leaves]
+        starts = np.cumsum(n) - n
+        at = np.arange(n.sum()) + np.repeat(self.start[leaves] - starts, n)
+        return np.repeat(np.arange(len(leaves)), n), self.nodes[at], self.signs[at], starts
+
+
+def beginning(size: int, tree: Tree, width: int) -> Network:
+    """Embeddings of either side, and weights of the tree's nodes; before training a word has its share of the corpus."""
+    out = np.zeros((len(tree.prior), width + 1), np.float32)
+    out[:, width] = tree.prior
+    return {"near": np.random.default_rng(7).normal(0, 0.3, (size, 2 * width)).astype(np.float32), "out": out}
+
+
+def segments(codes: np.ndarray) -> Iterator[np.ndarray]:
+    """Stretches of at most BATCH places with their neighbours at either side."""
+    for at in range(REACH, len(codes) - REACH, BATCH):
+        yield codes[at - REACH : min(at + BATCH, len(codes) - REACH) + REACH]
+
+
+def gains(net: Network, tree: Tree, part: np.ndarray, back: bool) -> tuple[np.ndarray, Network]:
+    """Log-probabilities of a stretch's words (an escape for those outside the vocabulary), and with `back` their gradient by place."""
+    width, m = net["out"].shape[1] - 1, len(part) - 2 * REACH
+    near = net["near"][part]
+    z = np.zeros((m, width), np.float32)
+    for k in range(1, REACH + 1):
+        z += (near[REACH - k : REACH - k + m, :width] + near[REACH + k : REACH + k + m, width:]) / np.float32(k)
+    own = part[REACH : REACH + m]
+    place = np.flatnonzero(own)
+    which, nodes, signs, starts = tree.ways(np.minimum(own[place], len(tree.length)) - 1)
+    if not len(which):
+        return np.zeros(len(place)), {}
+    hidden = np.ones((len(place), width + 1), np.float32)
+    np.tanh(z[place], out=hidden[:, :width])
+    seen, weights = hidden[which], net["out"][nodes]
+    x = np.einsum("ij,ij->i", seen, weights) * signs
+    grown = np.exp(-np.abs(x))
+    logs = np.add.reduceat((np.minimum(x, 0) - np.log1p(grown)).astype(float), starts)
+    if not back:
+        return logs, {}
+    error = (signs * np.where(x > 0, grown, np.float32(1)) / (1 + grown))[:, None]
+    inner = np.zeros((m, width), np.float32)
+    inner[place] = np.add.reduceat(error * weights[:, :width], starts) * (1 - hidden[:, :width] ** 2)
+    grad = np.zeros_like(near)
+    for k in range(1, REACH + 1):
+        grad[REACH - k : REACH - k + m, :width] += inner / np.float32(k)
+        grad[REACH + k : REACH + k + m, width:] += inner / np.float32(k)
+    return logs, {"near": (part, grad), "out": (nodes, error * seen)}
+
+
+def summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(rows)
+    rows = rows[order]
+    starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    return rows[starts], np.add.reduceat(values[order], starts)
+
+
+def train(docs: DataFrame, words: list[str], buckets: int, tree: Tree, width: int, steps: int, rate: float) -> Network:
+    """Passes over all documents; after each the network moves by the mean of the partitions' moves, row by row."""
+    net = beginning(len(words) + 1 + buckets, tree, width)
+    names = sorted(net)
+
+    def moved(sent):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            old = sent.value
+            now, power, ids = {k: v.copy() for k, v in old.items()}, {k: np.full_like(v, 1e-8) for k, v in old.items()}, Ids(words, buckets)
             for batch in batches:
-                for at in range(0, batch.num_rows, 2000):
-                    part = batch.slice(at, 2000)
-                    counts = np.zeros((part.num_rows, size))
-                    for i, row in enumerate(part.column("counts")):
-                        pairs = row.values
-                        counts[i, pairs.field("word").to_numpy()] = pairs.field("n").to_numpy()
-                    gain, grad = gradient(now, part.column("context").to_numpy().astype(np.int64), counts)
-                    total += flat(grad)
-                    likely += gain
-                    seen += int(counts.sum())
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([likely]), pa.array([seen], pa.int64())], ["g", "likely", "seen"])
-
-        got = contexts.mapInArrow(run, "g binary, likely double, seen long").collect()
-        seen = sum(r["seen"] for r in got)
-        if not seen:
-            return net
-        g = sum(np.frombuffer(r["g"]) for r in sorted(got, key=lambda r: (r["likely"], r["seen"]))) / seen
-        first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
-        values = values + rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
-    return shaped(values.astype(np.float32).astype(float), net)
-
-
-def score_documents(docs: DataFrame, words: list[str], buckets: int, net: Network) -> DataFrame:
+                for _, texts in sliced(batch, 500_000):
+                    for part in segments(framed(texts, ids)[0]):
+                        for k, (rows, values) in gains(now, tree, part, True)[1].items():
+                            at, g = summed(rows, values)
+                            power[k][at] += g * g
+                            now[k][at] += np.float32(rate) * g / np.sqrt(power[k][at])
+            for i, k in enumerate(names):
+                for at in range(0, len(now[k]), BLOCK):
+                    delta = now[k][at : at + BLOCK] - old[k][at : at + BLOCK]
+                    if delta.any():
+                        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([at], pa.int64()), pa.array([delta.tobytes()], pa.binary())], ["table", "at", "delta"])
+
+        return run
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], list[np.ndarray]] = {}
+        for batch in batches:
+            for i, at, delta in zip(*(batch.column(c).to_pylist() for c in ("table", "at", "delta")), strict=True):
+                values = np.frombuffer(delta, np.float32).reshape(-1, 2 * width if names[i] == "near" else width + 1).astype(float)
+                own = total.setdefault((i, at), [np.zeros_like(values), np.zeros((len(values), 1))])
+                own[0] += values
+                own[1] += values.any(1, keepdims=True)
+        for (i, at), (values, n) in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([at], pa.int64()), pa.array([(values / np.maximum(n, 1)).astype(np.float32).tobytes()], pa.binary())], ["table", "at", "delta"])
+
+    kinds = "table int, at long, delta binary"
+    for _ in range(steps):
+        sent = docs.sparkSession.sparkContext.broadcast(net)
+        rows = docs.select("text").mapInArrow(moved(sent), kinds).repartition("table", "at").mapInArrow(together, kinds).collect()
+        net = {k: v.copy() for k, v in net.items()}
+        for r in rows:
+            own = net[names[r["table"]]]
+            values = np.frombuffer(r["delta"], np.float32).reshape(-1, own.shape[1])
+            own[r["at"] : r["at"] + len(values)] += values
+    return net
+
+
+def score_documents(docs: DataFrame, words: list[str], buckets: int, tree: Tree, net: Network, spelled: np.ndarray) -> DataFrame:
     """Summed and mean conditional log-probability of every whole text."""
-    kept = {k: v.astype(np.float32) for k, v in net.items()}
+    sent = docs.sparkSession.sparkContext.broadcast((net, spelled))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(words, buckets)
-        table = np.empty((ids.size**2, ids.size), np.float32)
-        for at in range(0, len(table), 4096):
-            table[at : at + 4096] = forward(kept, np.arange(at, min(at + 4096, len(table))))[1]
+        (net, spelled), ids = sent.value, Ids(words, buckets)
         for batch in batches:
-            for at, texts in sliced(batch):
-                codes, place, n = framed(texts, ids)
-                logs = table[codes[place - 1] * ids.size + codes[place + 1], codes[place]].astype(float)
+            for at, texts in sliced(batch, 500_000):
+                codes, n, rare = framed(texts, ids)
                 total = np.zeros(len(texts))
-                ends = np.cumsum(n)
-                some = np.flatnonzero(n)
-                if len(some):
-                    total[some] = np.add.reduceat(logs, (ends - n)[some])
-                mean = total / np.maximum(n, 1)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), pa.array(n, pa.int64()), pa.array(total), pa.array(mean)], ["doc_id", "n_tokens", "log_score", "mean_log_score"])
+                if n.any():
+                    logs = np.concatenate([gains(net, tree, part, False)[0] for part in segments(codes)])
+                    if rare:
+                        code, sizes = trigrams(rare)
+                        logs[codes[codes > 0] >= ids.low] += np.add.reduceat(spelled[code].astype(float), np.cumsum(sizes) - sizes)
+                    some = np.flatnonzero(n)
+                    total[some] = np.add.reduceat(logs, (np.cumsum(n) - n)[some])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), pa.array(n, pa.int64()), pa.array(total), pa.array(total / np.maximum(n, 1))], ["doc_id", "n_tokens", "log_score", "mean_log_score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, log_score double, mean_log_score double")
 
 
-def score_corpus(docs: DataFrame, frequent: int = FREQUENT, buckets: int = BUCKETS, width: int = WIDTH, steps: int = STEPS, rate: float = RATE) -> DataFrame:
+def score_corpus(docs: DataFrame, frequent: int | None = None, buckets: int = BUCKETS, width: int = WIDTH, steps: int = STEPS, rate: float = RATE) -> DataFrame:
     """Train on all documents, then score all documents."""
-    words = vocabulary(docs, frequent)
-    contexts = settle(context_counts(docs, words, buckets).repartition(PARTS, "context"), "contexts")
-    return score_documents(docs, words, buckets, train(contexts, len(words) + 1 + buckets, width, steps, rate))
+    counted = counted_words(docs)
+    held, others = vocabulary(counted, frequent)
+    words, tree = [w for w, _ in held], Tree([n for _, n in held] + [others])
+    return score_documents(docs, words, buckets, tree, train(docs, words, buckets, tree, width, steps, rate), spelling(counted, words))
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
