@@ -66,6 +66,14 @@ def test_toxicity_held_out(spark, sf):
     assert {r.doc_id for r in op1_toxicity.drop_toxic(docs, model).collect()} == {i for i in range(600) if i % 3}
 
 
+def test_toxicity_looks_at_the_lift_of_every_term(spark):
+    # 60 common words stand in all texts; the toxic one in half of the toxic texts. One term would leave 40 candidates.
+    common = " ".join(f"{a}{b}ommon" for a in "bcdfghjk" for b in "aeiouxyz")
+    docs = spark.createDataFrame([(i, f"{common} n{i} " + ("vuxerat" if i % 4 == 0 else "")) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(400)], "doc_id long, toxic int")
+    assert list(op1_toxicity.learn(docs, labels, terms=1)["weights"]) == [" vuxe"]
+
+
 def test_lm_gradient_and_scores(spark):
     import numpy as np
 

@@ -113,15 +113,14 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     return settle(held.groupBy(F.sha2("text", 256).alias("same")).agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"), F.first("text").alias("text")).select("toxic", "text"), "toxicity-sample")
 
 
-def counts(docs: DataFrame, wanted: dict | None) -> DataFrame:
-    """Number of documents with each candidate (of wanted, if given)."""
+def counts(docs: DataFrame) -> DataFrame:
+    """Number of documents with each candidate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[str] = Counter()
         for batch in batches:
             for text in batch.column("text"):
-                own = candidates(fold(text.as_py()))
-                total.update(own if wanted is None else own & wanted.keys())
+                total.update(candidates(fold(text.as_py())))
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["term", "n"])
 
     return docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
@@ -134,9 +133,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
     if not sizes.get(0) or not sizes.get(1):
         return {"weights": {}, "curve": None}
     support = max(LEAST, SUPPORT * sizes[1])
-    frequent = counts(seen.filter("toxic = 1"), None).filter(F.col("n") >= support).orderBy(F.desc("n"), "term").limit(40 * terms)
-    toxic = {r["term"]: r["n"] for r in frequent.collect()}
-    clean = {r["term"]: r["n"] for r in counts(seen.filter("toxic = 0"), toxic).collect()}
+    frequent = counts(seen.filter("toxic = 1")).filter(F.col("n") >= support)
+    both = frequent.join(counts(seen.filter("toxic = 0")).select("term", F.col("n").alias("clean")), "term", "left").select("term", "n", F.coalesce("clean", F.lit(0)).alias("clean"))
+    # The bound is a little lower than the one below, which decides.
+    strong = both.filter((F.col("n") + 0.5) / (sizes[1] + 1) >= 0.999 * LIFT * (F.col("clean") + 0.5) / (sizes[0] + 1)).collect()
+    toxic, clean = {r["term"]: r["n"] for r in strong}, {r["term"]: r["clean"] for r in strong}
     weights: dict[str, float] = {}
     for term in sorted(toxic, key=lambda t: (len(t), t)):
         lift = ((toxic[term] + 0.5) / (sizes[1] + 1)) / ((clean.get(term, 0) + 0.5) / (sizes[0] + 1))
