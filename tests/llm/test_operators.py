@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -127,14 +128,30 @@ def test_bpe_equals_the_library():
     path = "/opt/tokenizers/word_bpe_49k.json"
     draw = random.Random(1)
     parts = ["a", "th", "É", "ß", "́", "̧", " ", "\n", "'s", "'ll", "!!", "<|endoftext|>", "1", "日本", "İ", " ", "\x1c", "ing", "👍🏽"]
-    texts = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 300))) for _ in range(150)] + ["", "a" * 3000, "e" + "́" * 300, "Straße, 42! (x) " * 300]
-    for codec in (op3_bpe.Codec(path, leaf=50, window=4, cached_run=12, cache=50), op3_bpe.Codec(path)):
-        for text, (ids, said) in zip(texts, codec.encode(texts), strict=True):
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 300))) for _ in range(150)] + ["", "a" * 3000, "e" + "́" * 300, "Straße, 42! (x) " * 300, "".join(draw.choice("abeth'ß1!") for _ in range(60_000))]
+    for codec in (op3_bpe.Codec(path, leaf=50, window=4, cached_run=12, cache_bytes=20_000), op3_bpe.Codec(path)):
+        encoded = codec.encode(texts)
+        for text, ids, said in zip(texts, encoded, codec.decode(encoded).to_pylist(), strict=True):
             want = codec.lib.encode(text, add_special_tokens=False).ids
             assert ids == b"".join(i.to_bytes(4, "little") for i in want)
             assert said == codec.lib.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_cache_stays_below_its_bytes():
+    codec = op3_bpe.Codec("/opt/tokenizers/word_bpe_49k.json", cache_bytes=400_000)
+    for n in range(20):
+        codec.encode([" ".join(f"w{n}x{i}" for i in range(1500)), " ".join(f"é’{n}x{i}" for i in range(1500))])
+        entries = [(len(c), sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in c.items())) for c in (codec.young, codec.old)]
+        assert all(n * op3_bpe.ENTRY + size <= 200_000 for n, size in entries)
+    assert codec.old and op3_bpe.codec_of("/opt/tokenizers/word_bpe_49k.json") is op3_bpe.codec_of("/opt/tokenizers/word_bpe_49k.json")
+
+
+def test_bpe_reads_bytes_that_are_no_utf8(spark):
+    docs = spark.range(1).selectExpr("id AS doc_id", "cast(X'61FF62' AS string) AS text")
+    row = op3_bpe.encode_documents(docs, "/opt/tokenizers/word_bpe_49k.json").first()
+    assert op3_bpe.codec_of("/opt/tokenizers/word_bpe_49k.json").encode(["a\ufffdb"]) == [bytes(row.ids)]
+
+
 def test_decontamination(spark):
     item = "A train leaves with Alice and travels 12 km in 3 hours before Bob starts to walk 5 km towards the town, how far is Alice from Bob then?"
     other = item.replace("Alice", "Carol").replace("Bob", "Dan").replace("12", "77").replace("km", "miles")

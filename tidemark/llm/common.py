@@ -6,13 +6,15 @@ import os
 import sys
 import tempfile
 import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.sources.shared import settle, shared_dir
 
-__all__ = ["documents", "let", "settle", "shared_dir", "ship", "text_of"]
+__all__ = ["documents", "let", "portions", "settle", "shared_dir", "ship", "text_of"]
 #: ASCII white space, as the word rules of the digest queries have it.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 _shipped: set[str] = set()
@@ -48,6 +50,24 @@ def text_of(df: DataFrame) -> Column:
     return F.coalesce(df["text"], F.lit(""))
 
 
+def portions(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, list[str]]]:
+    """The texts of a batch in portions of about `size` bytes, with the number of the first row.
+
+    Null is the empty text; bytes that are no UTF-8 count as replacement characters. Only one portion is held as Python strings.
+    """
+    texts = batch.column("text").cast(pa.binary())
+    at = 0
+    while at < len(texts):
+        part: list[str] = []
+        total = 0
+        while at + len(part) < len(texts) and (not part or total < size):
+            raw = texts[at + len(part)].as_py() or b""
+            total += len(raw)
+            part.append(raw.decode("utf-8", "replace"))
+        yield at, part
+        at += len(part)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, whatever the optimiser inlines."""
     return F.element_at(F.transform(F.array(value), body), 1)
