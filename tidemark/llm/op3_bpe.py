@@ -286,8 +286,10 @@ class Codec:
         return pc.binary_join(pa.ListArray.from_arrays(pa.array(at), strings), " ")
 
 
-#: The codec of a worker process: a second file takes the first one's place.
-codec_of = functools.lru_cache(maxsize=1)(Codec)
+@functools.lru_cache(maxsize=1)
+def codec_of(path: str) -> Codec:
+    """The codec of a worker process; that of a second file takes the first one's place."""
+    return Codec(path)
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
