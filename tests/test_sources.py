@@ -1,5 +1,6 @@
 """Files, rosters and configuration."""
 
+import hashlib
 import json
 
 import pytest
@@ -30,3 +31,20 @@ def test_config(tmp_path):
         (tmp_path / "c.toml").write_text(bad)
         with pytest.raises(ValueError):
             config.load(str(tmp_path / "c.toml"))
+
+
+def test_store_and_key_values(spark, tmp_path):
+    at = f"file://{tmp_path}/store"
+    body = lambda b: (hashlib.sha256(b).hexdigest(), len(b), bytearray(b))
+    rows = spark.createDataFrame([body(b"one"), body(b"two"), ("0" * 64, 3, bytearray(b"bad"))], "hash string, len int, body binary")
+    files.write_chunks(rows, at)
+    files.write_chunks(rows, at)
+    assert sorted(bytes(r.body) for r in files.read_chunks(spark, at).collect()) == [b"one", b"two"]
+    spark.createDataFrame([("1" * 64, 3, bytearray(b"rot"))], "hash string, len int, body binary").write.mode("append").parquet(f"{at}/ab=11")
+    sound, corrupt = files.read_store(spark, at)
+    assert sound.count() == 2 and [r.hash for r in corrupt.collect()] == ["1" * 64]
+    kv = f"file://{tmp_path}/kv"
+    assert files.key_values(spark, kv).count() == 0
+    for key, value in (("a", "1"), ("b", "2"), ("a", "3")):
+        files.set_key_value(spark, kv, key, value)
+    assert {r.key: r.value for r in files.key_values(spark, kv).collect()} == {"a": "3", "b": "2"}

@@ -27,8 +27,9 @@ def op_id(origin: Column, seq: Column) -> Column:
     return digest(F.lit("op"), origin, seq)
 
 
-def fresh_uuid(origin: Column, seq: Column) -> Column:
-    return F.substring(digest(F.lit("uuid"), origin, seq), 1, 32)
+def fresh_uuid(origin: Column, seq: Column, path: Column) -> Column:
+    """Identity of a file that an operation brings into being."""
+    return F.substring(digest(F.lit("uuid"), origin, seq, path), 1, 32)
 
 
 def migrated_uuid(path: Column) -> Column:

@@ -65,9 +65,17 @@ def pushed_by_origin(origin: Column, peer: Column) -> Column:
     return origin == peer
 
 
-def matches_rule(day: Column, minute: Column, days: Column, begin: Column, end: Column) -> Column:
-    """Schedule rule: day counts from 0 for Sunday; the range is half open and may wrap at midnight; equal ends match nothing."""
-    names = F.element_at(F.array(*map(F.lit, ("sun", "mon", "tue", "wed", "thu", "fri", "sat"))), day + 1)
-    on_day = (days == "all") | ((days == "weekend") & day.isin(0, 6)) | ((days == "weekday") & ~day.isin(0, 6)) | (days == names)
-    in_range = F.when(begin <= end, (minute >= begin) & (minute < end)).otherwise((minute >= begin) | (minute < end))
-    return on_day & in_range
+# Names of the days from 0 for Sunday, and of groups of days.
+DAYS = ("sun", "mon", "tue", "wed", "thu", "fri", "sat")
+GROUPS = {"all": (0, 1, 2, 3, 4, 5, 6), "weekday": (1, 2, 3, 4, 5), "weekend": (0, 6)}
+
+
+def days_of(words: Column) -> Column:
+    """Numbers of the days that an array of names of days or groups stands for; unknown words stand for none."""
+    table = F.create_map(*(x for word, days in (GROUPS | {d: (i,) for i, d in enumerate(DAYS)}).items() for x in (F.lit(word), F.array(*map(F.lit, days)))))
+    return F.array_distinct(F.flatten(F.transform(words, lambda word: F.coalesce(F.element_at(table, word), F.array().cast("array<int>")))))
+
+
+def in_minutes(minute: Column, begin: Column, end: Column) -> Column:
+    """Half-open range of a day's minutes that may wrap at midnight; equal ends match nothing."""
+    return F.when(begin <= end, (minute >= begin) & (minute < end)).otherwise((minute >= begin) | (minute < end))

@@ -36,6 +36,25 @@ def is_hex(x: Column, width: int) -> Column:
     return x.rlike(f"^[0-9a-f]{{{width}}}$")
 
 
+def to_hex(data: Column) -> Column:
+    return F.lower(F.hex(data))
+
+
+def from_hex(x: Column, width: int | None = None) -> Column:
+    """Bytes of hexadecimal digits of either case; null if malformed, of odd length or not `width` bytes."""
+    good = x.rlike("^([0-9a-fA-F]{2})*$") & (F.lit(True) if width is None else F.length(x) == 2 * width)
+    return F.when(good, F.unhex(x))
+
+
+def state_code(state: Column) -> Column:
+    """Place of a lifecycle state; null for an unknown name."""
+    return F.when(state.isin(*LIFECYCLE), F.array_position(F.array(*map(F.lit, LIFECYCLE)), state).cast("int") - 1)
+
+
+def state_name(code: Column) -> Column:
+    return F.when((code >= 0) & (code < len(LIFECYCLE)), F.element_at(F.array(*map(F.lit, LIFECYCLE)), code + 1))
+
+
 def op_code(op_type: Column) -> Column:
     out = F.lit(None).cast("int")
     for kind, code in OP_TYPES.items():

@@ -27,20 +27,24 @@ def exceeds(a: Column, b: Column) -> Column:
     return F.exists(F.map_keys(a), lambda k: F.element_at(a, k) > get(b, k))
 
 
+def covers(a: Column, b: Column) -> Column:
+    """a dominates or equals b.
+
+    Not written as ~exceeds(b, a): inside a lambda over both, the optimiser takes exceeds(a, b) and exceeds(b, a) for the
+    same expression, as it tells outer lambda variables apart by position only.
+    """
+    return F.forall(F.map_keys(b), lambda k: F.element_at(b, k) <= get(a, k))
+
+
 def compare(a: Column, b: Column) -> Column:
     """dominates, dominated, equal or concurrent."""
-    more, less = exceeds(a, b), exceeds(b, a)
+    more, less = exceeds(a, b), ~covers(a, b)
     return F.when(more & less, "concurrent").when(more, "dominates").when(less, "dominated").otherwise("equal")
 
 
 def dominates(a: Column, b: Column) -> Column:
     """a is strictly above b."""
-    return exceeds(a, b) & ~exceeds(b, a)
-
-
-def covers(a: Column, b: Column) -> Column:
-    """a dominates or equals b."""
-    return ~exceeds(b, a)
+    return exceeds(a, b) & covers(a, b)
 
 
 def merge(a: Column, b: Column) -> Column:

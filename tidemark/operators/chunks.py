@@ -13,12 +13,19 @@ CHUNK_MIN, CHUNK_AVG, CHUNK_MAX = 4096, 16384, 65536
 PAGE = 4096
 
 
-def fixed_chunks(files: DataFrame, size: int) -> DataFrame:
-    """(file, idx, hash, len, body) of every chunk of `size` characters; an empty file has none. files: (file, content)."""
-    count = F.ceil(F.length("content") / size).cast("int")
-    at = files.filter(F.length("content") > 0).select("file", "content", F.explode(F.sequence(F.lit(0), count - 1)).alias("idx"))
-    body = F.substring(F.col("content"), F.col("idx") * size + 1, F.lit(size))
-    return at.select("file", "idx", body.alias("body")).select("file", "idx", F.sha2("body", 256).alias("hash"), F.length("body").alias("len"), "body")
+def fixed_chunks(files: DataFrame, size: int, whole: bool = False) -> DataFrame:
+    """(file, idx, hash, len, body) of every chunk; an empty file has none. files: (file, content).
+
+    Text is cut by characters, binary by bytes, in one pass over each file: rows carry a chunk, not the file. With `whole` every row
+    has the hash of its whole file as well, from the same pass.
+    """
+    kind = files.schema["content"].dataType.simpleString()
+    chunks = F.regexp_extract_all("content", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    if kind == "binary":  # a character for each byte
+        chunks = F.transform(F.regexp_extract_all(F.decode("content", "ISO-8859-1"), F.lit(f"(?s).{{1,{size}}}"), F.lit(0)), lambda c: F.encode(c, "ISO-8859-1"))
+    total = [F.sha2("content", 256).alias("file_hash")] if whole else []
+    each = files.select("file", *total, F.posexplode(chunks).alias("idx", "body"))
+    return each.select("file", "idx", F.sha2("body", 256).alias("hash"), F.length("body").alias("len"), "body", *(["file_hash"] if whole else []))
 
 
 def gear_table(seed: int = 1) -> np.ndarray:
@@ -139,13 +146,17 @@ def dedup_stats(chunks: DataFrame) -> DataFrame:
     return each.agg(F.sum("n").alias("n_refs"), F.count(F.lit(1)).alias("n_distinct"), F.sum(F.col("n") * F.col("len")).alias("ref_bytes"), F.sum("len").alias("stored_bytes"))
 
 
-def validate_manifest(chunks: DataFrame, largest: int, cap: int) -> DataFrame:
-    """Verdict on every file's manifest: a chunk of bad size, a running total beyond the cap, or ok."""
-    running = F.sum("len").over(Window.partitionBy("file").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
-    judged = chunks.withColumn("running", running)
-    return judged.groupBy("file").agg(F.bool_or((F.col("len") <= 0) | (F.col("len") > largest)).alias("bad_size"), F.bool_or(F.col("running") > cap).alias("too_large")).select(
-        "file", F.when(F.col("bad_size"), "bad_size").when(F.col("too_large"), "too_large").otherwise("ok").alias("verdict")
-    )
+def validate_manifest(chunks: DataFrame, largest: int, cap: int, page: int | None = None) -> DataFrame:
+    """Verdict on every file's manifest, the first that holds: a chunk that is of another file hash than asked for (columns
+    file_hash and asked, if there), a chunk of bad size, a total beyond the cap, a page that is empty between others, or ok.
+
+    Lengths are positive or the manifest is bad, so a running total goes beyond the cap if the sum does.
+    """
+    other = F.bool_or(~F.col("file_hash").eqNullSafe(F.col("asked"))) if {"file_hash", "asked"} <= set(chunks.columns) else F.lit(False)
+    pages = F.count_distinct(F.floor(F.col("idx") / page)) < F.floor(F.max("idx") / page) + 1 if page else F.lit(False)
+    judged = chunks.groupBy("file").agg(other.alias("other"), F.bool_or((F.col("len") <= 0) | (F.col("len") > largest)).alias("bad_size"), (F.sum(F.greatest("len", F.lit(0))) > cap).alias("too_large"), pages.alias("empty_page"))
+    verdict = F.when(F.col("other"), "other_file").when(F.col("bad_size"), "bad_size").when(F.col("too_large"), "too_large").when(F.col("empty_page"), "empty_page").otherwise("ok")
+    return judged.select("file", verdict.alias("verdict"))
 
 
 def validate_listing(children: DataFrame, page: int, longest: int, budget: int) -> DataFrame:
@@ -155,8 +166,18 @@ def validate_listing(children: DataFrame, page: int, longest: int, budget: int)
     )
 
 
-def tree_digest(files: DataFrame) -> DataFrame:
-    """One digest of a set of (file, hash): hashes of buckets in order, hashed again, so no task sees all files."""
+def tree_digest(files: DataFrame, at_once: int = 100_000) -> DataFrame:
+    """One digest of a set of (file, hash): lines of buckets in order are hashed, and hashes of buckets again, by two digits a level.
+
+    A bucket has the files whose hash starts with the same digits: two, or more if there are over `at_once` files for each.
+    """
+    digits, n = 2, files.count()
+    while n > at_once * 16**digits:
+        digits += 2
     line = F.concat("hash", F.lit("  "), F.col("file").cast("string"), F.lit("\n"))
-    buckets = files.select(F.substring("hash", 1, 2).alias("bucket"), line.alias("line")).groupBy("bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), ""), 256).alias("h"))
-    return buckets.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda x: x["h"]), ""), 256).alias("digest"))
+    level = files.select(F.substring("hash", 1, digits).alias("bucket"), line.alias("line")).groupBy("bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), ""), 256).alias("h"))
+    for shorter in range(digits - 2, -1, -2):
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda x: x["h"]), "")
+        upper = level.withColumn("upper", F.substring("bucket", 1, shorter))
+        level = upper.groupBy("upper").agg(F.sha2(joined, 256).alias("h")).withColumnRenamed("upper", "bucket") if shorter else level.agg(F.sha2(joined, 256).alias("digest"))
+    return level

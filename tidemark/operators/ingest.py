@@ -10,8 +10,9 @@ from tidemark.functions import scalars as S
 
 
 def scan_diff(disk: DataFrame, index: DataFrame) -> DataFrame:
-    """A write for every replicable file on disk, a deletion for every live row that is not there."""
-    seen = disk.filter(~P.is_staging(F.col("path")))
+    """A write for every replicable file on disk (all count as regular where disk has no kind), a deletion for every live row that is not there."""
+    replicable = P.is_replicable(F.col("kind")) if "kind" in disk.columns else F.lit(True)
+    seen = disk.filter(~P.is_staging(F.col("path")) & replicable)
     writes = seen.select("path", F.lit("write").alias("kind"), "content_hash")
     gone = index.filter("NOT tombstone").join(seen.select("path"), "path", "left_anti")
     return writes.unionByName(gone.select("path", F.lit("delete").alias("kind"), F.lit(None).cast("string").alias("content_hash")))
@@ -52,24 +53,18 @@ def within_limits(events: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
 def suppress(events: DataFrame, registered: DataFrame, ttl: int) -> DataFrame:
     """Events that no registration accounts for.
 
-    A registration (path, kind, content_hash, at) swallows one event of the same path, kind and hash, the first that comes
-    within ttl after it; pairs are formed in order by rank, so neither side is used twice.
+    A path holds one registration (path, kind, content_hash, at), and a newer one takes its place. An event of the same kind, less
+    than ttl after it, is swallowed and uses it up: a write has the same hash, a deletion any. Other events pass and
+    leave it. So an event is swallowed if it is the first to match the path's latest registration: windows over a path's history,
+    no fold. At one time registrations come before events.
     """
     marks = registered.select("path", "kind", "content_hash", F.col("at").alias("t"), F.lit(0).alias("is_event"), F.lit(None).cast("long").alias("event_id"))
     seen = events.select("path", "kind", "content_hash", "t", F.lit(1).alias("is_event"), "event_id")
-    w = Window.partitionBy("path", "kind", "content_hash").orderBy("t", "is_event", "event_id")
-    walk = F.aggregate(
-        F.col("items"), F.struct(F.array().cast("array<bigint>").alias("open"), F.array().cast("array<bigint>").alias("eaten")),
-        lambda a, e: F.when(e["is_event"] == 0, F.struct(F.concat(a["open"], F.array(e["t"])).alias("open"), a["eaten"].alias("eaten"))).otherwise(
-            F.struct(
-                F.slice(F.filter(a["open"], lambda o: e["t"] - o <= ttl), 2, F.greatest(F.size(a["open"]), F.lit(1))).alias("open"),
-                F.when(F.exists(a["open"], lambda o: e["t"] - o <= ttl), F.concat(a["eaten"], F.array(e["event_id"]))).otherwise(a["eaten"]).alias("eaten"),
-            )
-        ),
-        lambda a: a["eaten"],
-    )
-    mixed = marks.unionByName(seen).withColumn("last_mark", F.max(F.when(F.col("is_event") == 0, F.col("t"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    near = mixed.filter((F.col("is_event") == 0) | (F.col("t") - F.col("last_mark") <= ttl))
-    groups = near.groupBy("path", "kind", "content_hash").agg(F.array_sort(F.collect_list(F.struct("t", "is_event", "event_id"))).alias("items"))
-    eaten = groups.select(F.explode(walk).alias("event_id"))
-    return events.join(eaten, "event_id", "left_anti")
+    ordered = Window.partitionBy("path").orderBy("t", "is_event", "kind", F.coalesce("content_hash", F.lit("")), "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    is_mark = F.col("is_event") == 0
+    mark = F.last(F.when(is_mark, F.struct("kind", "content_hash", "t")), ignorenulls=True).over(ordered)
+    told = marks.unionByName(seen).withColumn("mark", mark).withColumn("ordinal", F.sum(is_mark.cast("long")).over(ordered))
+    alike = (F.col("kind") == F.col("mark.kind")) & ((F.col("kind") == "delete") | F.col("content_hash").eqNullSafe(F.col("mark.content_hash")))
+    matching = told.filter((F.col("is_event") == 1) & alike & (F.col("t") - F.col("mark.t") < ttl))
+    used = matching.groupBy("path", "ordinal").agg(F.min(F.struct("t", "event_id")).alias("first")).select(F.col("first.event_id").alias("event_id"))
+    return events.join(used, "event_id", "left_anti")

@@ -54,46 +54,73 @@ def root(tree: DataFrame) -> DataFrame:
 def children_page(tree: DataFrame, prefix: str, after: str, limit: int) -> DataFrame:
     """The next children of a prefix by name, and whether there are more; a page is the feature."""
     page = tree.filter((F.col("prefix") == prefix) & (F.col("name") > after)).orderBy("name", "is_dir").limit(limit + 1)
-    n = F.row_number().over(Window.partitionBy("prefix").orderBy("name", "is_dir"))
+    n = F.row_number().over(Window.partitionBy("prefix").orderBy("name", "is_dir"))  # over the limit + 1 rows of the page
     total = F.count(F.lit(1)).over(Window.partitionBy("prefix"))
     return page.select("prefix", "name", "is_dir", "hash", n.alias("n"), (total > limit).alias("more")).filter(F.col("n") <= limit).drop("n")
 
 
 def diff(remote: DataFrame, local: DataFrame) -> DataFrame:
     """Leaves of the remote tree that the local one lacks or has differently. Folders with equal hashes are not entered."""
-    deepest = remote.agg(F.max("depth")).first()[0]
-    out, open_prefixes = None, None
-    for depth in range(0, (deepest or 0) + 1):
+    parts = [unlike for _, unlike in descend(remote, local)]
+    out = parts[0] if parts else remote.limit(0).withColumn("local_hash", F.col("hash"))
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.filter("NOT is_dir").select(S.join_path(F.col("prefix"), F.col("name")).alias("path"), "hash", "local_hash")
+
+
+def listings(remote: DataFrame, local: DataFrame) -> DataFrame:
+    """What a diff costs: folders whose children are listed (none if the roots agree), and leaves that differ. One row."""
+    met = descend(remote, local)
+    opened = sum((1 if prefixes is None else prefixes.count()) for prefixes, _ in met)
+    unlike = sum(rows.filter("NOT is_dir").count() for _, rows in met)
+    return remote.sparkSession.createDataFrame([(opened, unlike)], "listings long, leaves long")
+
+
+def descend(remote: DataFrame, local: DataFrame) -> list[tuple[DataFrame | None, DataFrame]]:
+    """Level by level the folders entered (None: the root) and their children that the local tree lacks or has differently."""
+    if root(remote).first() == root(local).first():
+        return []
+    out: list[tuple[DataFrame | None, DataFrame]] = []
+    entered, depth = None, 0
+    while True:
         theirs = remote.filter(F.col("depth") == depth)
-        if open_prefixes is not None:
-            theirs = theirs.join(open_prefixes, "prefix", "left_semi")
+        if entered is not None:
+            theirs = theirs.join(entered, "prefix", "left_semi")
         ours = local.filter(F.col("depth") == depth).select("prefix", "name", "is_dir", F.col("hash").alias("local_hash"))
-        unlike = theirs.join(ours, ["prefix", "name", "is_dir"], "left").filter(~F.col("hash").eqNullSafe(F.col("local_hash")))
-        unlike = settle(unlike, "unlike")
-        own = unlike.filter("NOT is_dir").select(S.join_path(F.col("prefix"), F.col("name")).alias("path"), "hash", "local_hash")
-        out = own if out is None else out.unionByName(own)
-        open_prefixes = unlike.filter("is_dir").select(S.join_path(F.col("prefix"), F.col("name")).alias("prefix"))
-    return out
+        unlike = settle(theirs.join(ours, ["prefix", "name", "is_dir"], "left").filter(~F.col("hash").eqNullSafe(F.col("local_hash"))), "unlike")
+        out.append((entered, unlike))
+        entered = unlike.filter("is_dir").select(S.join_path(F.col("prefix"), F.col("name")).alias("prefix"))
+        if entered.isEmpty():
+            return out
+        depth += 1
 
 
 def reconcile(local: DataFrame, remote: DataFrame) -> DataFrame:
-    """The local index after a pull: newer rows are applied, concurrent ones resolved (copies included), the rest stays."""
+    """The local index after a pull: newer rows are applied, concurrent ones resolved (copies included), the rest stays.
+
+    Copies go through a chain of names past the rows that hold theirs, also those that this pull has just put there, so no row
+    is lost to a copy. A conflict whose chain is too long stays as it is locally, for a later pull.
+    """
+    columns = R.ROW
     changed = settle(diff(levels(remote), levels(local)).select("path"), "changed")
-    theirs = remote.join(changed, "path", "left_semi")
-    decided = R.decide(theirs, local)
-    fresh = decided.filter("decision = 'apply'").drop("decision")
+    decided = settle(R.decide(remote.join(changed, "path", "left_semi"), local), "decided")
     mine = local.select("path", F.col("vv").alias("local_vv"))
-    fresh = fresh.join(mine, "path", "left").withColumn("vv", F.when(F.col("local_vv").isNull(), F.col("vv")).otherwise(V.merge(F.col("vv"), F.coalesce("local_vv", F.col("vv"))))).drop("local_vv")
-    contested = decided.filter("decision = 'concurrent'").drop("decision")
+    fresh = decided.filter("decision = 'apply'").join(mine, "path", "left").withColumn("vv", F.when(F.col("local_vv").isNull(), F.col("vv")).otherwise(V.merge(F.col("vv"), F.coalesce("local_vv", F.col("vv"))))).select(*columns)
+    contested = decided.filter("decision = 'concurrent'").select(*columns)
     extra = (F.lit(None).cast("string").alias("origin"), F.lit(None).cast("long").alias("origin_seq"))
-    both = contested.select("path", *R.VERSION, "vv", *extra).unionByName(local.join(contested.select("path"), "path", "left_semi").select("path", *R.VERSION, "vv", *extra))
-    maximal = R.antichain(both)
-    won = R.winners(both, maximal)
-    kept = R.copies(maximal, won).select(F.col("copy_path").alias("path"), F.lit(False).alias("tombstone"), "content_hash", "meta_hash", "naming_hash", "mode", "size", "uuid", "vv")
-    columns = ("path", *R.VERSION, "vv")
-    rows = fresh.select(*columns).unionByName(won.select(*columns))
-    rows = rows.unionByName(kept.join(rows.select("path"), "path", "left_anti").select(*columns))
-    return R.upsert(local.select(*columns), rows)
+    while True:
+        both = contested.select(*columns, *extra).unionByName(local.join(contested.select("path"), "path", "left_semi").select(*columns, *extra))
+        maximal = R.antichain(both)
+        won = settle(R.winners(both).select(*columns), "won")
+        index = settle(R.upsert(local.select(*columns), fresh.unionByName(won)), "index")
+        placed = settle(R.place_copies(R.copies(maximal, won), index), "placed")
+        stuck = placed.filter("action = 'unresolved'").select(F.col("copy_of").alias("path")).distinct()
+        if stuck.isEmpty():
+            break
+        contested = settle(contested.join(stuck, "path", "left_anti"), "contested")
+    rows = placed.filter("row IS NOT NULL").select(F.col("copy_path").alias("path"), "row.*", "depth")
+    last = rows.groupBy("path").agg(F.max_by(F.struct(*columns), "depth").alias("r")).select("r.*")
+    return R.upsert(index, last)
 
 
 def report(remote: DataFrame, local: DataFrame) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import digest as D
 from tidemark.functions import vv as V
 
+#: Sequence numbers that one task looks at.
+BLOCK = 65_536
+
 
 def append(log: DataFrame, new: DataFrame) -> DataFrame:
     """Rows of new whose op_id the log does not have, each once: an insert that ignores known keys."""
@@ -35,12 +38,25 @@ def next_seq(log: DataFrame) -> DataFrame:
     return log.groupBy("origin").agg((F.max("origin_seq") + 1).alias("next_seq"))
 
 
-def assign_sequence(changes: DataFrame, log: DataFrame, order: list[str]) -> DataFrame:
-    """Gap-free origin_seq after the log's highest, and the op_id that follows from it."""
-    inside = F.row_number().over(Window.partitionBy("origin").orderBy(*order))
-    numbered = changes.withColumn("_n", inside).join(frontier(log), "origin", "left")
-    numbered = numbered.withColumn("origin_seq", F.coalesce("max_seq", F.lit(0)) + F.col("_n")).drop("_n", "max_seq")
-    return numbered.withColumn("op_id", D.op_id(F.col("origin"), F.col("origin_seq")))
+def numbered(df: DataFrame, key: str, order: list[str], block: Column) -> DataFrame:
+    """Rows with their rank from 1 within key, as column n, in the given order.
+
+    A key may hold a large part of all rows, so no task orders a whole key: rows are ranked within (key, block), where
+    block, a number, never falls in that order, and get the count of the rows in the key's earlier blocks on top. Only those
+    counts, a row for each block, are summed by key.
+    """
+    inside = df.withColumn("_block", block).withColumn("_n", F.row_number().over(Window.partitionBy(key, "_block").orderBy(*order)))
+    sums = inside.groupBy(key, "_block").agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sums.select(key, "_block", F.coalesce(before, F.lit(0)).alias("_before"))
+    return inside.join(starts, [key, "_block"]).withColumn("n", (F.col("_before") + F.col("_n")).cast("long")).drop("_block", "_n", "_before")
+
+
+def assign_sequence(changes: DataFrame, log: DataFrame, order: list[str], block: Column) -> DataFrame:
+    """Gap-free origin_seq after the log's highest, and the op_id that follows from it; block as for numbered."""
+    placed = numbered(changes, "origin", order, block).join(frontier(log), "origin", "left")
+    placed = placed.withColumn("origin_seq", F.coalesce("max_seq", F.lit(0)) + F.col("n")).drop("n", "max_seq")
+    return placed.withColumn("op_id", D.op_id(F.col("origin"), F.col("origin_seq")))
 
 
 def advance_cursors(cursors: DataFrame, news: DataFrame) -> DataFrame:
@@ -58,11 +74,26 @@ def migrate_cursors(old: DataFrame, origins: DataFrame) -> DataFrame:
     return old.join(origins.select("origin").distinct(), old["peer"] == F.col("origin")).select("peer", "origin", F.col("cursor").alias("recv_cursor"), F.lit(0).cast("long").alias("last_acked_seq"))
 
 
+def block_of(seq: str) -> Column:
+    """Block of a sequence number; the first is 1."""
+    return F.floor((F.col(seq) - 1) / BLOCK).cast("long")
+
+
 def contiguous_ack(received: DataFrame) -> DataFrame:
-    """Per (peer, origin) the largest seq up to which everything arrived, whatever the order of arrival."""
-    rank = F.row_number().over(Window.partitionBy("peer", "origin").orderBy("origin_seq"))
-    each = received.select("peer", "origin", "origin_seq").distinct().withColumn("n", rank)
-    return each.groupBy("peer", "origin").agg(F.coalesce(F.max(F.when(F.col("origin_seq") == F.col("n"), F.col("origin_seq"))), F.lit(0).cast("long")).alias("acked"))
+    """Per (peer, origin) the largest seq up to which everything arrived, whatever the order of arrival.
+
+    Blocks of sequence numbers are judged apart, so a long history is many tasks. The answer lies in the first block that is
+    not full: number 0, or one after a full block, and not full itself.
+    """
+    keys = ["peer", "origin"]
+    each = received.select(*keys, "origin_seq").distinct().withColumn("block", block_of("origin_seq"))
+    rank = F.row_number().over(Window.partitionBy(*keys, "block").orderBy("origin_seq"))
+    straight = F.col("origin_seq") - F.col("block") * BLOCK == F.col("rank")
+    blocks = each.withColumn("rank", rank).groupBy(*keys, "block").agg(F.count_if(straight).alias("run"))
+    full = blocks.filter(F.col("run") == BLOCK)
+    after = full.select(*keys, (F.col("block") + 1).alias("block")).unionByName(blocks.select(*keys, F.lit(0).cast("long").alias("block")).distinct())
+    first = after.join(full, [*keys, "block"], "left_anti").groupBy(*keys).agg(F.min("block").alias("block"))
+    return first.join(blocks, [*keys, "block"], "left").select(*keys, (F.col("block") * BLOCK + F.coalesce("run", F.lit(0))).cast("long").alias("acked"))
 
 
 def split_acks(acks: DataFrame) -> DataFrame:

@@ -2,34 +2,71 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import predicates as P
 
 
-def scheduled_rates(times: DataFrame, rules: DataFrame, base: int) -> DataFrame:
-    """Rate for each (slot, day, minute): the first rule that matches, else the base rate. Rules are a short list."""
-    met = times.join(F.broadcast(rules), P.matches_rule(F.col("day"), F.col("minute"), F.col("days"), F.col("begin"), F.col("end")), "left")
-    return met.groupBy("slot", "day", "minute").agg(F.coalesce(F.min_by("rate", "rule_idx"), F.lit(base)).alias("rate"))
+def scheduled_rates(times: DataFrame, rules: DataFrame, base: tuple[int, int]) -> DataFrame:
+    """Global and per-peer rate for each (slot, day, minute): the first rule that matches, else the base rates.
+
+    rules: (rule_idx, days array, begin, end, global_rate, peer_rate). A rule names days, so times meet only the rules of
+    their weekday; the rules of a day are few and any of them may match.
+    """
+    daily = rules.select("rule_idx", "begin", "end", F.struct("global_rate", "peer_rate").alias("rates"), F.explode(P.days_of(F.col("days"))).alias("day"))
+    listed = daily.groupBy("day").agg(F.array_sort(F.collect_list(F.struct("rule_idx", "begin", "end", "rates"))).alias("rules"))
+    hit = F.get(F.filter("rules", lambda r: P.in_minutes(F.col("minute"), r["begin"], r["end"])), F.lit(0))
+    met = times.join(listed, "day", "left").withColumn("rates", hit["rates"])
+    return met.select("slot", "day", "minute", F.coalesce("rates.global_rate", F.lit(base[0])).alias("global_rate"), F.coalesce("rates.peer_rate", F.lit(base[1])).alias("peer_rate"))
 
 
-def token_bucket(requests: DataFrame, rate: float, burst_seconds: float = 1.0) -> DataFrame:
-    """Wait before each request (key, t in seconds, seq, amount): credit grows with time up to the burst, debt is admitted.
+def policy_ticks(ticks: DataFrame, rules: DataFrame, base: tuple[int, int]) -> DataFrame:
+    """Rates at each tick (node, slot, day, minute, has_space, said), and who holds the node paused after it.
 
-    The recurrence is not linear, so a key's requests are folded in order.
+    The guard pauses a node while there is no space and lets go by itself; an operator's pause (said = 'pause') stays until they
+    say 'resume', and is never lifted by the guard. said is null at most ticks, and what was said last holds.
     """
-    burst = rate * burst_seconds
-    start = F.struct(F.lit(burst).alias("tokens"), F.lit(None).cast("double").alias("last"), F.array().cast("array<struct<seq:bigint,wait:double>>").alias("out"))
+    w = Window.partitionBy("node").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
+    told = F.last("said", ignorenulls=True).over(w)
+    paused = F.when(told == "pause", "operator").when(~F.col("has_space"), "guard").otherwise("none")
+    rated = scheduled_rates(ticks.select("slot", "day", "minute").distinct(), rules, base).select("slot", "global_rate", "peer_rate")
+    return ticks.select("node", "slot", paused.alias("paused")).join(rated, "slot")
 
-    def step(a: Column, r: Column) -> Column:
-        credit = F.least(F.lit(burst), a["tokens"] + F.coalesce(r["t"] - a["last"], F.lit(0.0)) * rate)
-        left = credit - r["amount"]
-        wait = F.greatest(F.lit(0.0), -left / rate)
-        return F.struct(left.alias("tokens"), r["t"].alias("last"), F.concat(a["out"], F.array(F.struct(r["seq"].alias("seq"), wait.alias("wait")))).alias("out"))
 
-    folded = requests.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("t", "seq", "amount"))).alias("items"))
-    return folded.select("key", F.explode(F.aggregate("items", start, step, lambda a: a["out"])).alias("r")).select("key", "r.*")
+def token_bucket(requests: DataFrame, rate: float, keys: tuple[str, ...] = ("key",), ticks: int = 1) -> DataFrame:
+    """Wait in seconds before each request (key, t, seq, amount in bytes) at `rate` bytes a second, 0 for no limit; t counts `ticks` a second.
+
+    Credit grows with time up to a second's worth, and debt is admitted: left = min(burst, left + growth) - amount. Unrolled this
+    is the running sum of growth - amount and the running minimum of burst - amount - that sum: two windows, no fold. Sums are exact
+    decimals, in millionths of a byte.
+    """
+    if rate == 0:
+        return requests.withColumn("wait", F.lit(0.0))
+    w = Window.partitionBy(*keys).orderBy("t", "seq")
+    exact = lambda c: c.cast("decimal(38,6)")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    micros = F.col("t").cast("long") if ticks == 1_000_000 else F.round(F.col("t") * (1_000_000 / ticks)).cast("long")
+    speed = F.lit(Decimal(str(rate))).cast("decimal(18,6)")
+    grown = exact(F.coalesce(micros - F.lag(micros).over(w), F.lit(0)).cast("decimal(19,0)") * speed)
+    cost = exact(F.col("amount").cast("decimal(25,6)") * F.lit(1_000_000).cast("decimal(8,0)"))
+    summed = requests.withColumn("_cost", cost).withColumn("_step", exact(grown - F.col("_cost"))).withColumn("_sum", exact(F.sum("_step").over(upto)))
+    burst = exact(F.lit(Decimal(str(rate)) * 1_000_000))
+    left = exact(F.col("_sum") + F.min(exact(burst - F.col("_cost") - F.col("_sum"))).over(upto))
+    return summed.withColumn("wait", F.greatest(F.lit(0.0), -left.cast("double") / F.lit(float(rate) * 1e6))).drop("_cost", "_step", "_sum")
+
+
+def two_buckets(requests: DataFrame, global_rate: float, peer_rate: float) -> DataFrame:
+    """Requests of peers (peer, t in microseconds, seq, amount) that pass a global bucket and then, when that lets them through, their peer's; wait is the sum.
+
+    The global bucket is one sequence of all requests by nature.
+    """
+    through = token_bucket(requests.withColumn("_all", F.lit(0)), global_rate, ("_all",), 1_000_000).withColumnRenamed("wait", "global_wait").drop("_all")
+    at_peer = through.withColumn("asked", F.col("t")).withColumn("t", F.col("t") + F.ceil(F.col("global_wait") * 1_000_000))
+    out = token_bucket(at_peer, peer_rate, ("peer",), 1_000_000).withColumnRenamed("wait", "peer_wait")
+    return out.withColumn("wait", F.col("global_wait") + F.col("peer_wait")).withColumn("t", F.col("asked")).drop("asked")
 
 
 def streaks(series: DataFrame, flag: Column, least: int) -> DataFrame:
@@ -52,11 +89,23 @@ def backoff(attempts: DataFrame, seed: int, floor: float = 0.25, base: float = 0
     return attempts.withColumn("delay", F.lit(floor) + F.rand(seed) * (top - floor)).withColumn("most", top)
 
 
-def p95(values: DataFrame, value: str) -> DataFrame:
-    """The element at index n * 95 / 100 of the sorted values, found by rank."""
-    n = values.count()
-    ranked = values.select(F.col(value).alias("p95")).orderBy("p95").offset(min(n * 95 // 100, max(0, n - 1))).limit(1)
-    return ranked
+def p95(values: DataFrame, value: str, at_once: int = 1_000_000) -> DataFrame:
+    """The element at index n * 95 / 100 of the sorted values, nulls left out.
+
+    Approximate percentiles on either side of the rank, whose error is bounded, narrow the values down until at most `at_once` are
+    left to sort; so no task sees more, whatever the number of values.
+    """
+    part, low, accuracy = values.select(F.col(value).alias("p95")).filter(F.col(value).isNotNull()), 0, 10_000
+    n = part.count()
+    rank, m = min(n * 95 // 100, max(0, n - 1)), n
+    while m > at_once:
+        share = (rank - low) / m
+        a, b = part.agg(F.percentile_approx("p95", [max(0.0, share - 2 / accuracy), min(1.0, share + 2 / accuracy)], accuracy)).first()[0]
+        if a == b:
+            return part.filter(F.col("p95") == a).limit(1)
+        counted = part.agg(F.count_if(F.col("p95") < a), F.count_if(F.col("p95").between(a, b))).first()
+        part, low, m = part.filter(F.col("p95").between(a, b)), low + counted[0], counted[1]
+    return part.orderBy("p95").offset(rank - low).limit(1)
 
 
 def early_median(series: DataFrame, value: str, first: int = 10) -> DataFrame:
@@ -70,5 +119,11 @@ def deltas(series: DataFrame, value: str) -> DataFrame:
     return series.withColumn("delta", F.col(value) - F.lag(value).over(w))
 
 
+def live_copy_ratio(index: DataFrame) -> DataFrame:
+    """Copies among the live files; null without live files. One row."""
+    live, kept = F.count_if(~F.col("tombstone")), F.count_if(~F.col("tombstone") & P.is_copy(F.col("path")))
+    return index.agg(kept.alias("copies"), live.alias("live")).withColumn("ratio", F.when(F.col("live") > 0, F.col("copies") / F.col("live")))
+
+
 def space_guard(disks: DataFrame, least: int, percent: float) -> DataFrame:
     return disks.withColumn("admitted", P.has_space(F.col("available"), F.col("capacity"), F.col("incoming"), least, percent))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import digest as D
 from tidemark.functions import vv as V
+from tidemark.operators.oplog import assign_sequence
 from tidemark.sources.shared import settle
 
 #: Columns of a version, next to its path and vector.
@@ -62,25 +63,44 @@ def latest_per_origin(found: DataFrame) -> DataFrame:
     return by_origin.unionByName(found.filter("origin IS NULL"))
 
 
+def by_path(found: DataFrame) -> DataFrame:
+    """Per path its candidates c, one of each origin, and m, those of them that no other strictly dominates.
+
+    Two shuffles and no join: the first combines before it, so a path with a long history sends a row per origin and task; the
+    second brings together at most as many rows as a path has origins.
+    """
+    each = F.collect_list(F.struct(*VERSION, "vv", "origin", "origin_seq"))
+    grouped = latest_per_origin(found).groupBy("path").agg(each.alias("c"))
+    return grouped.withColumn("m", F.filter("c", lambda x: ~F.exists(F.col("c"), lambda y: V.dominates(y["vv"], x["vv"]))))
+
+
+def key_of(x: Column) -> Column:
+    """version_key of a version that is a struct."""
+    return F.struct((~x["tombstone"]).cast("int").alias("live"), F.coalesce(x["content_hash"], F.lit(D.ZEROS)).alias("content"), x["meta_hash"].alias("meta"))
+
+
 def antichain(found: DataFrame) -> DataFrame:
-    """Candidates that no other on the path strictly dominates; equal vectors count once."""
-    latest = latest_per_origin(found).withColumn("vv_key", V.key(F.col("vv"))).dropDuplicates(["path", "vv_key"])
-    other = latest.select(F.col("path").alias("other_path"), F.col("vv").alias("other_vv"))
-    return latest.join(other, (F.col("path") == F.col("other_path")) & V.dominates(F.col("other_vv"), F.col("vv")), "left_anti").drop("vv_key")
+    """Candidates that no other on the path strictly dominates; of equal vectors the one with the largest key, mode and uuid."""
+    each = by_path(found).select("path", F.explode("m").alias("v")).select("path", "v.*").withColumn("vv_key", V.key(F.col("vv")))
+    order = F.struct(version_key(), "mode", F.coalesce("uuid", F.lit("")), "size", F.coalesce("naming_hash", F.lit("")), F.coalesce("origin", F.lit("")), F.coalesce("origin_seq", F.lit(0)))
+    columns = [c for c in each.columns if c != "vv_key"]
+    return each.groupBy("path", "vv_key").agg(F.max_by(F.struct(*columns), order).alias("v")).select("v.*")
 
 
 def winners(found: DataFrame, maximal: DataFrame | None = None) -> DataFrame:
-    """One row per path: the largest key wins; among equal keys mode and uuid are the largest; the vector merges all candidates."""
-    maximal = antichain(found) if maximal is None else maximal
-    best = maximal.groupBy("path").agg(F.max(version_key()).alias("k"))
-    same = maximal.join(best, "path").filter(version_key() == F.col("k"))
+    """One row per path: the largest key wins; among equal keys mode and uuid are the largest; the vector merges all candidates.
+
+    The antichain follows from the candidates, so a caller that has it need not pass it.
+    """
+    keyed = by_path(found).withColumn("k", F.array_max(F.transform("m", key_of))).withColumn("same", F.filter("m", lambda x: key_of(x) == F.col("k")))
+    most = lambda n: F.array_max(F.transform("same", lambda x: x[n]))
     dead = F.col("k.live") == 0
-    rows = same.groupBy("path", "k").agg(F.max("mode").alias("mode"), F.max("uuid").alias("uuid"), F.max("size").alias("size"), F.max("naming_hash").alias("naming_hash"), F.max("content_hash").alias("content_hash"))
-    rows = rows.select(
-        "path", dead.alias("tombstone"), F.when(~dead, F.col("content_hash")).alias("content_hash"), F.when(dead, D.NO_META).otherwise(F.col("k.meta")).alias("meta_hash"),
-        F.when(~dead, F.col("naming_hash")).alias("naming_hash"), F.when(dead, 0).otherwise(F.col("mode")).alias("mode"), F.when(dead, 0).otherwise(F.col("size")).cast("long").alias("size"), "uuid",
+    none = F.create_map().cast("map<string,bigint>")
+    return keyed.select(
+        "path", dead.alias("tombstone"), F.when(~dead, most("content_hash")).alias("content_hash"), F.when(dead, D.NO_META).otherwise(F.col("k.meta")).alias("meta_hash"),
+        F.when(~dead, most("naming_hash")).alias("naming_hash"), F.when(dead, 0).otherwise(most("mode")).alias("mode"), F.when(dead, 0).otherwise(most("size")).cast("long").alias("size"), most("uuid").alias("uuid"),
+        F.aggregate("c", none, lambda a, x: V.merge(a, x["vv"])).alias("vv"),
     )
-    return rows.join(V.merged_by(latest_per_origin(found).select("path", "vv"), ["path"]), "path")
 
 
 def copies(maximal: DataFrame, won: DataFrame) -> DataFrame:
@@ -94,25 +114,45 @@ def copies(maximal: DataFrame, won: DataFrame) -> DataFrame:
     return kept.select("copy_path", F.col("path").alias("copy_of"), "content_hash", "meta_hash", "naming_hash", "mode", "size", D.copy_uuid(path).alias("uuid"), D.copy_vv(path).alias("vv"))
 
 
+ROW = ("path", *VERSION, "vv")
+
+
+def as_copy(rows: DataFrame) -> DataFrame:
+    """Versions bound for copy_path, with the identity and the vector that follow from that path."""
+    path = F.col("copy_path")
+    return rows.withColumns({"uuid": D.copy_uuid(path), "vv": D.copy_vv(path), "tombstone": F.lit(False)})
+
+
 def place_copies(planned: DataFrame, index: DataFrame, chain: int = CHAIN) -> DataFrame:
     """Where planned copies end up among existing rows, over a chain of bounded length.
 
-    A free path is written; a row whose vector equals or dominates stays; with a concurrent row the larger key holds the
-    path and the other moves one link on; after the last link it is unresolved. Columns: depth and action.
+    Columns: copy_path, copy_of, depth, action, row (what the path then holds, null where it stays) and version (the copy).
+    A free path is written; a row whose vector equals or dominates the copy's stays (keep). At a concurrent row the larger
+    key holds the path (replace if it is the copy's, else yield), vectors merge, and a loser with content of another key moves one
+    link on, to a name that follows from this path. What is left after the last link is unresolved.
     """
-    rows = index.select(F.col("path").alias("copy_path"), F.struct(*VERSION, "vv").alias("row"))
-    own = F.struct(F.lit(False).alias("tombstone"), "content_hash", "meta_hash", "naming_hash", "mode", "size", "uuid", "vv")
-    pending, done = settle(planned.select("copy_path", "copy_of", own.alias("version")), "planned"), []
+    rows = index.select(F.col("path").alias("copy_path"), F.struct(*VERSION, "vv").alias("held"))
+    own = F.struct(*VERSION, "vv")
+    pending, done = settle(as_copy(planned).select("copy_path", "copy_of", own.alias("version")), "planned"), []
     for depth in range(1, chain + 1):
         met = pending.join(rows, "copy_path", "left")
-        relation = V.compare(F.col("row.vv"), F.col("version.vv"))
-        met = met.withColumn("action", F.when(F.col("row").isNull(), "write").when(relation.isin("equal", "dominates"), "keep").when(relation == "dominated", "write").when(version_key("version") >= version_key("row"), "replace").otherwise("yield"))
-        met = settle(met, "met")
-        done.append(met.filter("action <> 'yield'").select("copy_path", "copy_of", "version", F.lit(depth).alias("depth"), "action"))
-        beaten = met.filter("action = 'replace'").select("copy_path", "copy_of", F.col("row").alias("version")).filter("NOT version.tombstone AND version.content_hash IS NOT NULL")
-        moving = met.filter("action = 'yield'").select("copy_path", "copy_of", "version").unionByName(beaten)
-        pending = moving.withColumn("copy_path", D.copy_path(F.col("copy_path"), F.col("version.content_hash"), F.col("version.naming_hash")))
-    done.append(pending.select("copy_path", "copy_of", "version", F.lit(chain + 1).alias("depth"), F.lit("unresolved").alias("action")))
+        relation = V.compare(F.col("held.vv"), F.col("version.vv"))
+        stronger = version_key("version") >= version_key("held")
+        met = met.withColumn("action", F.when(F.col("held").isNull() | (relation == "dominated"), "write").when(relation.isin("equal", "dominates"), "keep").when(stronger, "replace").otherwise("yield"))
+        tie = version_key("version") == version_key("held")
+        both = {n: F.when(tie, F.greatest(f"version.{n}", f"held.{n}")) for n in ("mode", "uuid")}
+        both["uuid"] = F.coalesce(both["uuid"], F.when(F.col("action") == "yield", F.col("held.uuid")), F.col("version.uuid"))
+        merged = {"vv": V.merge(F.col("version.vv"), F.col("held.vv")), "tombstone": F.lit(False)}
+        mixed = F.struct(*(merged.get(n, F.coalesce(both.get(n, F.lit(None)), F.when(F.col("action") == "yield", F.col(f"held.{n}")).otherwise(F.col(f"version.{n}")))).alias(n) for n in (*VERSION, "vv")))
+        row = F.when(F.col("action") == "write", F.col("version")).when(F.col("action") != "keep", mixed)
+        met = settle(met.select("copy_path", "copy_of", "version", "held", "action", row.alias("row"), (F.col("action").isin("replace", "yield") & ~tie).alias("moves")), "met")
+        done.append(met.select("copy_path", "copy_of", F.lit(depth).alias("depth"), "action", "row", "version"))
+        loser = F.when(F.col("action") == "replace", F.col("held")).otherwise(F.col("version"))
+        moving = met.filter("moves").select("copy_path", "copy_of", loser.alias("version")).filter("NOT version.tombstone AND version.content_hash IS NOT NULL")
+        further = D.copy_path(F.col("copy_path"), F.col("version.content_hash"), F.col("version.naming_hash"))
+        pending = as_copy(moving.select(further.alias("copy_path"), "copy_of", "version.*")).select("copy_path", "copy_of", own.alias("version"))
+        rows = rows.join(met.filter("row IS NOT NULL").select("copy_path"), "copy_path", "left_anti").unionByName(met.filter("row IS NOT NULL").select("copy_path", F.col("row").alias("held")))
+    done.append(pending.select("copy_path", "copy_of", F.lit(chain + 1).alias("depth"), F.lit("unresolved").alias("action"), F.lit(None).cast(pending.schema["version"].dataType).alias("row"), "version"))
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
@@ -143,6 +183,11 @@ def upsert(index: DataFrame, rows: DataFrame) -> DataFrame:
     return index.join(rows.select("path"), "path", "left_anti").unionByName(rows.select(*index.columns))
 
 
+def all_files(index: DataFrame) -> DataFrame:
+    """The whole index in order of path: ranges of paths are sorted apart, so partitions follow each other."""
+    return index.orderBy("path")
+
+
 def needs_staging(planned: DataFrame, index: DataFrame) -> DataFrame:
     """Planned rows whose content or metadata is not current yet, and whether content must move."""
     at = index.filter("NOT tombstone").select("path", F.col("content_hash").alias("at_content"), F.col("meta_hash").alias("at_meta"))
@@ -158,3 +203,28 @@ def local_vectors(changes: DataFrame, index: DataFrame) -> DataFrame:
     met = changes.join(at, "path", "left").join(source, "path_old", "left")
     merged = V.merge(F.coalesce("at_vv", none), F.coalesce("source_vv", none))
     return met.withColumn("vv", V.increment(merged, F.col("origin"))).drop("at_vv", "source_vv")
+
+
+def append_local(changes: DataFrame, index: DataFrame, log: DataFrame, order: list[str], block: Column) -> DataFrame:
+    """Operations for local changes (path, op_type write or delete, content_hash, meta_hash, naming_hash, mode, size, origin).
+
+    In the given order a change that would change nothing goes, compared with the change before it on its path or with the index;
+    the others get the next numbers of their origin, the path's vector one higher for each change, and the path's identity
+    or a fresh one. Several changes of a path may come at once.
+    """
+    none = F.create_map().cast("map<string,bigint>")
+    at = index.select("path", *(F.col(c).alias(f"at_{c}") for c in ("tombstone", "content_hash", "meta_hash", "uuid", "vv")))
+    w = Window.partitionBy("path").orderBy(*order)
+    met = changes.join(at, "path", "left")
+    first = F.row_number().over(w) == 1
+    before = {"tombstone": F.lag(F.col("op_type") == "delete").over(w), "content_hash": F.lag("content_hash").over(w), "meta_hash": F.lag("meta_hash").over(w)}
+    met = met.withColumns({f"old_{n}": F.when(first, F.col(f"at_{n}")).otherwise(c) for n, c in before.items()})
+    gone = F.coalesce("old_tombstone", F.lit(True))
+    same = ~gone & F.col("content_hash").eqNullSafe(F.col("old_content_hash")) & F.col("meta_hash").eqNullSafe(F.col("old_meta_hash"))
+    kept = met.filter(~F.when(F.col("op_type") == "delete", gone).otherwise(same))
+    kept = kept.withColumn("_k", F.row_number().over(w)).withColumn("_vv", F.coalesce("at_vv", none))
+    grown = F.map_concat(F.map_filter("_vv", lambda n, _: n != F.col("origin")), F.map_from_arrays(F.array("origin"), F.array(V.get(F.col("_vv"), F.col("origin")) + F.col("_k"))))
+    placed = assign_sequence(kept.withColumn("vv", grown), log, order, block)
+    minted = F.first(D.fresh_uuid(F.col("origin"), F.col("origin_seq"), F.col("path"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    placed = placed.withColumn("uuid", F.coalesce("at_uuid", minted)).withColumn("path_old", F.lit(None).cast("string"))
+    return placed.drop("_k", "_vv", *(c for c in placed.columns if c.startswith(("at_", "old_"))))

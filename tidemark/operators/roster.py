@@ -70,7 +70,17 @@ def peer_of(connections: DataFrame, peers: DataFrame) -> DataFrame:
 def peer_views(peers: DataFrame, connected: DataFrame) -> DataFrame:
     """Peers by id, with whether they are connected."""
     marks = connected.select("node").distinct().withColumn("up", F.lit(True))
-    return peers.join(marks, "node", "left").withColumn("connected", F.coalesce("up", F.lit(False))).drop("up")
+    return peers.join(marks, "node", "left").withColumn("connected", F.coalesce("up", F.lit(False))).drop("up").orderBy("node")
+
+
+def pick_peer(peers: DataFrame, seed: int) -> DataFrame:
+    """One peer, drawn by the seed alone: the smallest digest of seed and id, whatever the order of rows. One row is the feature."""
+    return peers.orderBy(D.digest(F.lit(seed), F.col("node")), "node").limit(1)
+
+
+def member_views(won: DataFrame, states: DataFrame) -> DataFrame:
+    """Live members by id with their lifecycle state; joining where nothing is known."""
+    return live_members(won).join(states.select("node", "state"), "node", "left").withColumn("state", F.coalesce("state", F.lit("joining"))).orderBy("node")
 
 
 def link_changes(desired: DataFrame, running: DataFrame) -> DataFrame:

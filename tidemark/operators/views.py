@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import predicates as P
 
+VERSION = "0.2"
 # Settings that take effect without a restart.
 HOT = ("log_level", "ingress_rate", "egress_rate", "schedule", "free_space_guard")
 
@@ -41,6 +42,24 @@ def counters(decisions: DataFrame) -> DataFrame:
     return decisions.agg(*(F.count_if(F.col("decision") == d).alias(d) for d in ("apply", "ignore", "concurrent")))
 
 
+def transfers(wanted: DataFrame, have: DataFrame) -> DataFrame:
+    """Progress of each file that is being fetched: chunks and bytes wanted and still missing. wanted: (file, hash, len)."""
+    held = have.select("hash").distinct().withColumn("here", F.lit(True))
+    met = wanted.join(held, "hash", "left").withColumn("gone", F.col("here").isNull())
+    return met.groupBy("file").agg(F.count(F.lit(1)).alias("chunks"), F.count_if("gone").alias("missing"), F.sum("len").alias("bytes"), F.coalesce(F.sum(F.when(F.col("gone"), F.col("len"))), F.lit(0)).alias("missing_bytes"))
+
+
+def version(spark: SparkSession) -> DataFrame:
+    """Versions of this library and of Spark. One row."""
+    return spark.createDataFrame([(VERSION, spark.version)], "library string, spark string")
+
+
+def health(figures: DataFrame) -> DataFrame:
+    """One JSON object for each node of (node, name, value), names in order."""
+    listed = F.array_sort(F.collect_list(F.struct("name", "value")))
+    return figures.groupBy("node").agg(F.to_json(F.map_from_entries(listed)).alias("health"))
+
+
 def prometheus(metrics: DataFrame) -> DataFrame:
     """Text exposition lines of (name, value)."""
     return metrics.select(F.concat(F.lit("tidemark_"), F.col("name"), F.lit(" "), F.col("value").cast("string")).alias("line"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import digest as D
 from tidemark.functions import vv as V
 from tidemark.operators import chunks as C
+from tidemark.operators import oplog as L
 from tidemark.operators import resolve as R
 from tidemark.sources.shared import settle
 
@@ -22,6 +23,10 @@ def micros(ts: str) -> object:
     return F.unix_micros(F.to_timestamp(F.concat(F.col(ts).cast("string"), F.lit("Z"))))
 
 
+def hour() -> object:
+    return F.floor(F.col("t") / 3_600_000_000)
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("t", micros("ts"))
 
@@ -43,8 +48,8 @@ def ops(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
         is_o = (F.col("origin") == o).cast("long")
         return F.when(F.col("origin") == o, F.sum(is_o).over(own)).otherwise(F.coalesce(F.sum(is_o).over(seen), F.lit(0).cast("long")))
 
-    seq = F.row_number().over(Window.partitionBy("origin").orderBy("t", "event_id")).cast("long")
-    counted = e.select("*", seq.alias("origin_seq"), V.normalize(F.map_from_arrays(F.array(*map(F.lit, ORIGINS)), F.array(*map(counter, ORIGINS)))).alias("vv"))
+    e = L.numbered(e, "origin", ["t", "event_id"], hour()).withColumnRenamed("n", "origin_seq")
+    counted = e.select("*", V.normalize(F.map_from_arrays(F.array(*map(F.lit, ORIGINS)), F.array(*map(counter, ORIGINS)))).alias("vv"))
     live = F.col("op_type") == "write"
     return counted.select(
         "*", D.op_id(F.col("origin"), F.col("origin_seq")).alias("op_id"), F.lit(None).cast("string").alias("path_old"), D.migrated_uuid(F.col("path")).alias("uuid"),

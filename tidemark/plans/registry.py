@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import digest as D
@@ -20,6 +20,7 @@ from tidemark.operators import resolve as R
 from tidemark.operators import roster as N
 from tidemark.operators import views as W
 from tidemark.plans import fixtures as X
+from tidemark.sources.shared import settle
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -68,28 +69,36 @@ def conflict_winners(spark, sf):
     found = R.candidates(X.ops(spark, sf))
     maximal = R.antichain(found)
     torn = maximal.groupBy("path").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    return R.winners(found, maximal).join(torn, "path").select("path", "members", "tombstone", "content_hash")
+    return R.winners(found).join(torn, "path").select("path", "members", "tombstone", "content_hash")
 
 
-@query(
+_COPIES = (
     f"{X.OPS}, {X.winners('w')}, lost AS (SELECT m.path, m.content_hash, m.meta_hash, m.naming_hash FROM w_ranked m JOIN w ON m.path = w.path WHERE m.rank > 1 AND m.content_hash IS NOT NULL AND NOT m.tombstone), "
-    f"named AS (SELECT *, path || '.{D.MARKER}-' || {X.dig('content_hash', 'naming_hash')}[1:16] AS copy_path FROM lost), kept AS (SELECT *, row_number() OVER (PARTITION BY copy_path ORDER BY content_hash DESC, meta_hash DESC) AS n FROM named) "
-    f"SELECT copy_path, path AS copy_of, content_hash, {X.dig(chr(39) + 'copy' + chr(39), 'copy_path')}[1:32] AS uuid FROM kept WHERE n = 1"
+    f"named AS (SELECT *, path || '.{D.MARKER}-' || {X.dig('content_hash', 'naming_hash')}[1:16] AS copy_path FROM lost), kept AS (SELECT *, row_number() OVER (PARTITION BY copy_path ORDER BY content_hash DESC, meta_hash DESC) AS n FROM named)"
 )
+
+
+@query(f"{_COPIES} SELECT copy_path, path AS copy_of, content_hash, {X.dig(chr(39) + 'copy' + chr(39), 'copy_path')}[1:32] AS uuid FROM kept WHERE n = 1")
 def conflict_copies(spark, sf):
     found = R.candidates(X.ops(spark, sf))
     maximal = R.antichain(found)
-    return R.copies(maximal, R.winners(found, maximal)).select("copy_path", "copy_of", "content_hash", "uuid")
+    return R.copies(maximal, R.winners(found)).select("copy_path", "copy_of", "content_hash", "uuid")
 
 
-@query()
+_ORIGIN = X.dig("'copy-origin'", "copy_path")
+
+
+@query(
+    f"{_COPIES}, first AS (SELECT copy_path, path AS copy_of, content_hash, naming_hash, content_hash[1:1] < '8' AS met, reverse(content_hash) AS other FROM kept WHERE n = 1), "
+    f"pushed AS (SELECT copy_of || '.{D.MARKER}-' || {X.dig('least(content_hash, other)', 'naming_hash')}[1:16] || copy_path[length(copy_of) + 1:] AS copy_path, copy_of, least(content_hash, other) AS content_hash FROM first WHERE met AND content_hash <> other) "
+    f"SELECT copy_path, copy_of, content_hash, 1 AS depth, CASE WHEN NOT met THEN 'write' WHEN content_hash >= other THEN 'replace' ELSE 'yield' END AS action, CASE WHEN met THEN greatest(content_hash, other) ELSE content_hash END AS holds, {_ORIGIN}[1:32] || ':1' || CASE WHEN met THEN ',x:1' ELSE '' END AS vv FROM first "
+    f"UNION ALL SELECT copy_path, copy_of, content_hash, 2, 'write', content_hash, {_ORIGIN}[1:32] || ':1' FROM pushed"
+)
 def copy_chain(spark, sf):
-    log = X.ops(spark, sf)
-    found = R.candidates(log)
-    maximal = R.antichain(found)
-    planned = R.copies(maximal, R.winners(found, maximal))
+    found = R.candidates(X.ops(spark, sf))
+    planned = R.copies(R.antichain(found), R.winners(found))
     squatters = planned.filter(F.substring("content_hash", 1, 1) < "8").select(F.col("copy_path").alias("path"), F.lit(False).alias("tombstone"), F.reverse("content_hash").alias("content_hash"), "meta_hash", "naming_hash", "mode", "size", "uuid", F.create_map(F.lit("x"), F.lit(1).cast("long")).alias("vv"))
-    return R.place_copies(planned, squatters).select("copy_path", "copy_of", "version.content_hash", "depth", "action")
+    return R.place_copies(planned, squatters).select("copy_path", "copy_of", "version.content_hash", "depth", "action", F.col("row.content_hash").alias("holds"), V.text(F.col("row.vv")).alias("vv"))
 
 
 _EQ = " AND ".join(f"a.{c} = b.{c}" for c in X.COUNTERS)
@@ -102,10 +111,10 @@ def op_pair_causality(spark, sf):
 
 @query(
     f"{X.OPS}, {X.winners('w', where='event_id % 5 <> 0')} SELECT CASE WHEN w.path IS NULL OR {X.above('o', 'w')} THEN 'apply' WHEN {X.above('w', 'o')} OR ({' AND '.join(f'o.{c} = w.{c}' for c in X.COUNTERS)}) THEN 'ignore' ELSE 'concurrent' END AS decision, count(*) AS n "
-    "FROM ops o LEFT JOIN w ON o.path = w.path WHERE o.event_id % 7 = 0 GROUP BY 1"
+    "FROM ops o LEFT JOIN w ON o.path = w.path GROUP BY 1"
 )
 def decide_counts(spark, sf):
-    decided = R.decide(X.ops(spark, sf).filter("event_id % 7 = 0"), X.replica(spark, sf, 5))
+    decided = R.decide(X.ops(spark, sf), X.replica(spark, sf, 5))
     return decided.groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -213,11 +222,11 @@ def applied_ops(spark, sf):
     return L.has_applied(log.filter("event_id % 3 = 0"), log.filter("event_id % 2 = 0")).select("op_id")
 
 
-@query("SELECT event_type AS origin, event_id, 100 + row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS origin_seq FROM events WHERE event_id % 4 = 1")
+@query("SELECT event_type AS origin, event_id, 100 + row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS origin_seq FROM events")
 def sequence_assignment(spark, sf):
-    e = X.events(spark, sf).filter("event_id % 4 = 1").select(F.col("event_type").alias("origin"), "event_id", "t")
+    e = X.events(spark, sf).select(F.col("event_type").alias("origin"), "event_id", "t")
     log = spark.createDataFrame([(o, 100) for o in X.ORIGINS], "origin string, origin_seq long")
-    return L.assign_sequence(e, log, ["t", "event_id"]).select("origin", "event_id", "origin_seq")
+    return L.assign_sequence(e, log, ["t", "event_id"], X.hour()).select("origin", "event_id", "origin_seq")
 
 
 @query(
@@ -275,12 +284,12 @@ def fetch_sources(spark, sf):
     return L.fetch_sources(e.groupBy("hash").agg(F.min("event_type").alias("origin")), e.select("hash", F.col("event_type").alias("peer")).distinct()).select("hash", "peer", "rank")
 
 
-_ANSWER = "CASE WHEN event_id % 5 = 0 THEN 'found' WHEN event_id % 2 = 0 THEN 'missing' ELSE 'busy' END"
+_ANSWER = "CASE WHEN event_id % 37 = 0 THEN 'found' WHEN user_id % 2 = 0 THEN 'missing' ELSE 'busy' END"
 
 
-@query(f"SELECT user_id AS hash, CASE WHEN bool_or(a = 'found') THEN 'found' WHEN bool_and(a = 'missing') THEN 'permanent' ELSE 'transient' END AS outcome FROM (SELECT user_id, {_ANSWER} AS a FROM events WHERE event_id % 37 < 3) GROUP BY user_id")
+@query(f"SELECT user_id AS hash, CASE WHEN bool_or(a = 'found') THEN 'found' WHEN bool_and(a = 'missing') THEN 'permanent' ELSE 'transient' END AS outcome FROM (SELECT user_id, {_ANSWER} AS a FROM events) GROUP BY user_id")
 def acquisition(spark, sf):
-    return L.acquisition(X.events(spark, sf).filter("event_id % 37 < 3").select(F.col("user_id").alias("hash"), F.expr(_ANSWER).alias("answer")))
+    return L.acquisition(X.events(spark, sf).select(F.col("user_id").alias("hash"), F.expr(_ANSWER).alias("answer")))
 
 
 # Hierarchical digests.
@@ -321,14 +330,17 @@ def merkle_diff(spark, sf):
     return M.diff(M.levels(X.replica(spark, sf, 7)), M.levels(X.replica(spark, sf, 5)))
 
 
-@query(f"{X.OPS}, {_A} SELECT prefix, name, false AS is_dir, hash, count(*) OVER () > 5 AS more FROM a_2 WHERE prefix = 'u/3' AND name > '3' QUALIFY row_number() OVER (ORDER BY name) <= 5")
-def children_page(spark, sf):
-    return M.children_page(M.levels(X.replica(spark, sf, 7)), "u/3", "3", 5)
+_PAGES = (("", "", 5), ("u", "", 3), ("u", "4", 5), ("u", "4", 2))
 
 
-@query()
-def reconcile_apply(spark, sf):
-    return shown(M.reconcile(X.replica(spark, sf, 5), X.replica(spark, sf, 7)))
+@query(
+    f"{X.OPS}, {_A} "
+    + " UNION ALL ".join(f"(SELECT {n} AS page, prefix, name, d = 1 AS is_dir, hash, count(*) OVER () > {limit} AS more FROM a_tree WHERE prefix = '{prefix}' AND name > '{after}' QUALIFY row_number() OVER (ORDER BY name, d) <= {limit})" for n, (prefix, after, limit) in enumerate(_PAGES))
+)
+def children_page(spark, sf):
+    tree = settle(M.levels(X.replica(spark, sf, 7)), "tree")
+    pages = [M.children_page(tree, *asked).select(F.lit(n).alias("page"), "*") for n, asked in enumerate(_PAGES)]
+    return pages[0].unionByName(pages[1]).unionByName(pages[2]).unionByName(pages[3])
 
 
 _REL = f"CASE WHEN b.path IS NULL OR {X.above('a', 'b')} THEN 'apply' WHEN {X.above('b', 'a')} OR ({_EQ}) THEN 'ignore' ELSE 'concurrent' END"
@@ -339,6 +351,33 @@ def reconcile_report(spark, sf):
     return M.report(X.replica(spark, sf, 7), X.replica(spark, sf, 5))
 
 
+_OF = {x: ", ".join(f"{x}.{c} AS {x}_{c}" for c in (*ROW[1:], "naming_hash", *X.COUNTERS)) for x in "ab"}
+_KEY = {x: f"(CASE WHEN {x}_tombstone THEN 0 ELSE 1 END, coalesce({x}_content_hash, repeat('0', 64)), {x}_meta_hash)" for x in "ab"}
+_PEAKS = ", ".join(f"greatest(a_{c}, coalesce(b_{c}, 0)) AS {c}" for c in X.COUNTERS)
+_TAKE = f"r = 'apply' OR {_KEY['a']} >= {_KEY['b']}"
+
+
+@query(
+    f"{X.OPS}, {_A}, {_B}, met AS (SELECT a.path, {_REL} AS r, {_OF['a']}, {_OF['b']} FROM a LEFT JOIN b ON a.path = b.path JOIN a_l ON a_l.path = a.path LEFT JOIN b_l ON b_l.path = a.path WHERE a_l.hash IS DISTINCT FROM b_l.hash), "
+    f"put AS (SELECT path, {', '.join(f'CASE WHEN {_TAKE} THEN a_{c} ELSE b_{c} END AS {c}' for c in ROW[1:])}, {_PEAKS} FROM met WHERE r <> 'ignore'), "
+    f"lost AS (SELECT path, {', '.join(f'CASE WHEN {_TAKE} THEN b_{c} ELSE a_{c} END AS {c}' for c in (*ROW[1:], 'naming_hash'))} FROM met WHERE r = 'concurrent' AND {_KEY['a']} <> {_KEY['b']}), "
+    f"named AS (SELECT *, path || '.{D.MARKER}-' || {X.dig('content_hash', 'naming_hash')}[1:16] AS copy_path FROM lost WHERE NOT tombstone AND content_hash IS NOT NULL), "
+    f"kept AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY copy_path ORDER BY content_hash DESC, meta_hash DESC) = 1) "
+    f"SELECT {SHOWN} FROM put UNION ALL SELECT {SHOWN} FROM b WHERE path NOT IN (SELECT path FROM put) "
+    f"UNION ALL SELECT copy_path, false, content_hash, meta_hash, mode, size, {X.dig(chr(39) + 'copy' + chr(39), 'copy_path')}[1:32], {_ORIGIN}[1:32] || ':1' FROM kept"
+)
+def reconcile_apply(spark, sf):
+    return shown(M.reconcile(X.replica(spark, sf, 5), X.replica(spark, sf, 7)))
+
+
+@query(
+    f"{X.OPS}, {_A}, {_B}, un AS (SELECT x.* FROM a_tree x LEFT JOIN b_tree y ON x.prefix = y.prefix AND x.name = y.name AND x.d = y.d WHERE x.hash IS DISTINCT FROM y.hash) "
+    "SELECT CAST(CASE WHEN count(*) > 0 THEN 1 ELSE 0 END + count_if(d = 1) AS BIGINT) AS listings, count_if(d = 0) AS leaves FROM un"
+)
+def reconcile_listings(spark, sf):
+    return M.listings(M.levels(X.replica(spark, sf, 7)), M.levels(X.replica(spark, sf, 5)))
+
+
 # Content plane.
 
 
@@ -483,7 +522,7 @@ def link_changes(spark, sf):
     return N.link_changes(N.effective_peers(X.seeds(spark), N.winners(X.roster(spark, sf)), "03"), X.seeds(spark))
 
 
-_LIFE = "SELECT user_id % 40 AS node, event_id % 5 AS peer, CASE event_type WHEN 'click' THEN 'expected' WHEN 'view' THEN 'completed' WHEN 'error' THEN 'unreachable' ELSE 'seen' END AS event FROM events WHERE event_id % 23 = 0"
+_LIFE = "SELECT user_id AS node, event_id AS peer, CASE event_type WHEN 'click' THEN 'expected' WHEN 'view' THEN 'completed' WHEN 'error' THEN 'unreachable' ELSE 'seen' END AS event FROM events"
 
 
 @query(
@@ -491,7 +530,7 @@ _LIFE = "SELECT user_id % 40 AS node, event_id % 5 AS peer, CASE event_type WHEN
     "SELECT node, count_if(e) AS expected, count_if(e AND s) AS settled, CASE WHEN bool_and(NOT e OR s) THEN 'active' WHEN bool_or(s) THEN 'syncing' ELSE 'joining' END AS state FROM p GROUP BY node"
 )
 def lifecycle(spark, sf):
-    e = X.events(spark, sf).filter("event_id % 23 = 0").selectExpr("user_id % 40 AS node", "event_id % 5 AS peer", "CASE event_type WHEN 'click' THEN 'expected' WHEN 'view' THEN 'completed' WHEN 'error' THEN 'unreachable' ELSE 'seen' END AS event")
+    e = X.events(spark, sf).selectExpr("user_id AS node", "event_id AS peer", "CASE event_type WHEN 'click' THEN 'expected' WHEN 'view' THEN 'completed' WHEN 'error' THEN 'unreachable' ELSE 'seen' END AS event")
     return N.lifecycle(e)
 
 
@@ -527,17 +566,35 @@ def feed_normalization(spark, sf):
     return I.normalize_events(spark.sql(_FEED.replace("FROM events", "FROM tidemark_events")), "/share").select("event_id", "kind", "path", "path_old")
 
 
-@query(f"{X.OPS}, {X.winners('w')}, {_DISK}, ev AS (SELECT path, op_type AS kind, op_id FROM ops WHERE event_id % 3 = 0) SELECT op_id, kind FROM ev WHERE NOT (kind = 'delete' AND path IN (SELECT path FROM disk))")
+@query(f"{X.OPS}, {X.winners('w')}, {_DISK}, ev AS (SELECT path, op_type AS kind, op_id FROM ops) SELECT op_id, kind FROM ev WHERE NOT (kind = 'delete' AND path IN (SELECT path FROM disk))")
 def delete_recheck(spark, sf):
-    e = X.ops(spark, sf).filter("event_id % 3 = 0").select("op_id", "path", F.col("op_type").alias("kind"))
+    e = X.ops(spark, sf).select("op_id", "path", F.col("op_type").alias("kind"))
     return I.recheck_deletes(e, X.disk(spark, sf)).select("op_id", "kind")
 
 
-@query()
-def suppression(spark, sf):
+TTL = 90_000_000_000
+#: Registrations come from every third event, some for other content and some long before it; several at a time fall on one path.
+SUPPRESSED = (
+    f"{X.OPS}, marks AS (SELECT path, op_type AS kind, CASE WHEN event_id % 4 = 0 THEN 'x' ELSE content_hash END AS content_hash, t - CASE WHEN event_id % 2 = 0 THEN {2 * TTL} ELSE 1000 END AS t, 0 AS is_event, CAST(NULL AS BIGINT) AS event_id FROM ops WHERE event_id % 3 = 0), "
+    "mixed AS (SELECT * FROM marks UNION ALL SELECT path, op_type, content_hash, t, 1, event_id FROM ops), "
+    "ranked AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY t, is_event, kind, coalesce(content_hash, ''), event_id) AS n FROM mixed), "
+    "told AS (SELECT *, max(CASE WHEN is_event = 0 THEN n END) OVER (PARTITION BY path ORDER BY n) AS last FROM ranked), "
+    f"hits AS (SELECT e.event_id, row_number() OVER (PARTITION BY e.path, e.last ORDER BY e.t, e.event_id) AS k FROM told e JOIN ranked m ON m.path = e.path AND m.n = e.last WHERE e.is_event = 1 AND e.kind = m.kind AND (e.kind = 'delete' OR e.content_hash IS NOT DISTINCT FROM m.content_hash) AND e.t - m.t < {TTL}) "
+    "SELECT event_id FROM ops WHERE event_id NOT IN (SELECT event_id FROM hits WHERE k = 1)"
+)
+
+
+def suppressible(spark, sf):
+    """Events, and registrations of every third of them."""
     e = X.ops(spark, sf).select("path", F.col("op_type").alias("kind"), "content_hash", "t", "event_id")
-    marks = e.filter("event_id % 3 = 0").select("path", "kind", "content_hash", (F.col("t") - 1000).alias("at"))
-    return I.suppress(e, marks, 30_000_000)
+    early = F.when(F.col("event_id") % 2 == 0, F.lit(2 * TTL)).otherwise(F.lit(1000))
+    marks = e.filter("event_id % 3 = 0").select("path", "kind", F.when(F.col("event_id") % 4 == 0, "x").otherwise(F.col("content_hash")).alias("content_hash"), (F.col("t") - early).alias("at"))
+    return e, marks
+
+
+@query(SUPPRESSED)
+def suppression(spark, sf):
+    return I.suppress(*suppressible(spark, sf), TTL).select("event_id")
 
 
 _PATHS = ("a/b.txt", "", "/abs", "a/../b", "./a", "a//b", "..", "a/.", "dir.d/file", ".bashrc", "x.tar.gz", "a/.staging-1", "n.", "deep/er/.hid.den", "a/b.conflict-0123456789abcdef.txt")
@@ -569,18 +626,33 @@ def scalar_functions(spark, sf):
 
 # Policy and monitoring.
 
-_RULES = ((0, "weekday", 540, 1020, 100), (1, "all", 1320, 360, 900), (2, "weekend", 0, 1440, 500), (3, "mon", 0, 60, 50))
-_RULE_SQL = ", ".join(f"({i}, '{d}', {a}, {b}, {r})" for i, d, a, b, r in _RULES)
+_RULES = ((0, ["weekday"], 540, 1020, 100, 10), (1, ["tue", "sat"], 1320, 360, 900, 90), (2, ["weekend", "fri"], 0, 1440, 500, 50), (3, ["mon"], 0, 60, 50, 0), (4, ["all"], 300, 300, 1, 1), (5, ["all"], 1380, 30, 0, 5))
+_RULE_SQL = ", ".join(f"({i}, {d}, {a}, {b}, {g}, {p})" for i, d, a, b, g, p in _RULES)
+_RATED = (
+    f"rules(rule_idx, days, b, e, g, p) AS (VALUES {_RULE_SQL}), m AS (SELECT s.*, rule_idx, g, p FROM s LEFT JOIN rules ON (list_contains(days, 'all') OR (list_contains(days, 'weekend') AND day IN (0, 6)) OR (list_contains(days, 'weekday') AND day NOT IN (0, 6)) OR list_contains(days, ['sun', 'mon', 'tue', 'wed', 'thu', 'fri', 'sat'][day + 1])) "
+    "AND CASE WHEN b <= e THEN minute >= b AND minute < e ELSE minute >= b OR minute < e END), rated AS (SELECT slot, day, minute, coalesce(min_by(g, rule_idx), 7) AS global_rate, coalesce(min_by(p, rule_idx), 3) AS peer_rate FROM m GROUP BY ALL)"
+)
+
+
+def rules(spark):
+    return spark.createDataFrame(list(_RULES), "rule_idx int, days array<string>, begin int, end int, global_rate int, peer_rate int")
+
+
+@query(f"WITH s AS (SELECT DISTINCT epoch_us(ts) // 60000000 AS slot, CAST(epoch_us(ts) // 86400000000 % 7 AS INT) AS day, CAST(epoch_us(ts) // 60000000 % 1440 AS INT) AS minute FROM events), {_RATED} SELECT * FROM rated")
+def schedule_rates(spark, sf):
+    slots = X.events(spark, sf).select(F.floor(F.col("t") / 60_000_000).alias("slot"), (F.floor(F.col("t") / 86_400_000_000) % 7).cast("int").alias("day"), (F.floor(F.col("t") / 60_000_000) % 1440).cast("int").alias("minute"))
+    return Q.scheduled_rates(slots.distinct(), rules(spark), (7, 3))
 
 
 @query(
-    f"WITH rules(rule_idx, days, b, e, rate) AS (VALUES {_RULE_SQL}), s AS (SELECT i AS slot, i % 7 AS day, (i * 37) % 1440 AS minute FROM range(2000) r(i)), m AS (SELECT s.*, rule_idx, rate FROM s LEFT JOIN rules ON (days = 'all' OR (days = 'weekend' AND day IN (0, 6)) OR (days = 'weekday' AND day NOT IN (0, 6)) OR (days = 'mon' AND day = 1)) "
-    "AND CASE WHEN b <= e THEN minute >= b AND minute < e ELSE minute >= b OR minute < e END) SELECT slot, day, minute, coalesce(min_by(rate, rule_idx), 7) AS rate FROM m GROUP BY ALL"
+    "WITH tick AS (SELECT user_id AS node, event_id AS slot, CAST(event_id % 7 AS INT) AS day, CAST(event_id * 37 % 1440 AS INT) AS minute, value > 5 AS has_space, CASE event_type WHEN 'purchase' THEN 'pause' WHEN 'signup' THEN 'resume' END AS said FROM events), "
+    f"s AS (SELECT DISTINCT slot, day, minute FROM tick), {_RATED}, k AS (SELECT *, count(said) OVER (PARTITION BY node ORDER BY slot) AS g FROM tick), h AS (SELECT *, max(said) OVER (PARTITION BY node, g) AS told FROM k) "
+    "SELECT node, slot, CASE WHEN told = 'pause' THEN 'operator' WHEN NOT has_space THEN 'guard' ELSE 'none' END AS paused, global_rate, peer_rate FROM h JOIN rated USING (slot)"
 )
-def schedule_rates(spark, sf):
-    slots = spark.range(2000).select(F.col("id").alias("slot"), (F.col("id") % 7).cast("int").alias("day"), (F.col("id") * 37 % 1440).cast("int").alias("minute"))
-    rules = spark.createDataFrame(list(_RULES), "rule_idx int, days string, begin int, end int, rate int")
-    return Q.scheduled_rates(slots, rules, 7)
+def policy_ticks(spark, sf):
+    said = F.when(F.col("event_type") == "purchase", "pause").when(F.col("event_type") == "signup", "resume")
+    ticks = X.events(spark, sf).select(F.col("user_id").alias("node"), F.col("event_id").alias("slot"), (F.col("event_id") % 7).cast("int").alias("day"), (F.col("event_id") * 37 % 1440).cast("int").alias("minute"), (F.col("value") > 5).alias("has_space"), said.alias("said"))
+    return Q.policy_ticks(ticks, rules(spark), (7, 3)).select("node", "slot", "paused", "global_rate", "peer_rate")
 
 
 @query("WITH m AS (SELECT user_id AS key, event_id AS t, value > 3 AS f FROM events), g AS (SELECT *, sum(CASE WHEN f THEN 0 ELSE 1 END) OVER (PARTITION BY key ORDER BY t) AS i FROM m) SELECT key, count(*) AS length, min(t) AS begin, max(t) AS \"end\" FROM g WHERE f GROUP BY key, i HAVING count(*) >= 3")
@@ -614,10 +686,30 @@ def space_guard(spark, sf):
     return Q.space_guard(o, 20_000, 10.0).select("o_orderkey", "admitted")
 
 
-@query()
+def _bucket(name: str, source: str, key: str, rate: int, t: str = "t") -> str:
+    """SQL of a token bucket: (…, wait) of the requests of source."""
+    w = f"PARTITION BY {key} ORDER BY {t}, seq"
+    return (
+        f"{name}_a AS (SELECT *, coalesce({t} - lag({t}) OVER ({w}), 0)::HUGEINT * {rate} - amount::HUGEINT * 1000000 AS step FROM {source}), {name}_b AS (SELECT *, sum(step) OVER ({w} ROWS UNBOUNDED PRECEDING) AS total FROM {name}_a), "
+        f"{name}_c AS (SELECT *, total + min({rate * 1_000_000}::HUGEINT - amount::HUGEINT * 1000000 - total) OVER ({w} ROWS UNBOUNDED PRECEDING) AS rest FROM {name}_b), {name} AS (SELECT * EXCLUDE (step, total, rest), greatest(0.0, -CAST(rest AS DOUBLE) / {float(rate * 1_000_000)!r}::DOUBLE) AS wait FROM {name}_c)"
+    )
+
+
+_REQUESTS = "r AS (SELECT user_id % 7 AS peer, epoch_us(ts) AS t, event_id AS seq, CAST(length(props) * 1000 AS BIGINT) AS amount FROM events)"
+
+
+def requests(spark, sf):
+    return X.events(spark, sf).select((F.col("user_id") % 7).alias("peer"), "t", F.col("event_id").alias("seq"), (F.length("props") * 1000).cast("long").alias("amount"))
+
+
+@query(f"WITH {_REQUESTS}, {_bucket('w', 'r', 'peer', 15)} SELECT peer AS key, seq, wait FROM w")
 def token_bucket(spark, sf):
-    e = X.events(spark, sf).select(F.col("user_id").alias("key"), (F.col("t") / 1e6).alias("t"), F.col("event_id").alias("seq"), (F.col("value") * 100).alias("amount"))
-    return Q.token_bucket(e, 0.05)
+    return Q.token_bucket(requests(spark, sf).withColumnRenamed("peer", "key"), 15, ticks=1_000_000).select("key", "seq", "wait")
+
+
+@query(f"WITH {_REQUESTS}, {_bucket('g', 'r', '0', 70)}, s AS (SELECT peer, t + CAST(ceil(wait * 1000000) AS BIGINT) AS t, seq, amount, wait AS global_wait FROM g), {_bucket('p', 's', 'peer', 12)} SELECT peer, seq, global_wait, wait AS peer_wait FROM p")
+def two_level_rates(spark, sf):
+    return Q.two_buckets(requests(spark, sf), 70, 12).select("peer", "seq", "global_wait", "peer_wait")
 
 
 @query()
@@ -650,10 +742,51 @@ def path_for_hash(spark, sf):
     return W.path_for_hash(R.current_state(X.ops(spark, sf)))
 
 
-@query(f"{X.OPS}, {X.winners('w')} SELECT count_if(NOT tombstone) AS live, count_if(tombstone) AS deleted, 0 AS copies, CAST(sum(CASE WHEN NOT tombstone THEN size END) AS BIGINT) AS bytes, (SELECT count(*) FROM ops) AS ops FROM w")
+_WITH_COPIES = f"{_COPIES}, held AS (SELECT path, tombstone, content_hash, size FROM w UNION ALL SELECT copy_path, false, content_hash, 0 FROM kept WHERE n = 1)"
+
+
+def with_copies(spark, sf):
+    """The current state and the conflict copies beside it."""
+    found = R.candidates(X.ops(spark, sf))
+    won = settle(R.winners(found), "won")
+    kept = R.copies(R.antichain(found), won).select(F.col("copy_path").alias("path"), F.lit(False).alias("tombstone"), "content_hash", F.lit(0).cast("long").alias("size"))
+    return won.select("path", "tombstone", "content_hash", "size").unionByName(kept)
+
+
+@query(f"{_WITH_COPIES} SELECT count_if(NOT tombstone) AS live, count_if(tombstone) AS deleted, count_if(NOT tombstone AND contains(path, '.{D.MARKER}-')) AS copies, CAST(sum(CASE WHEN NOT tombstone THEN size END) AS BIGINT) AS bytes, (SELECT count(*) FROM ops) AS ops FROM held")
 def status(spark, sf):
-    log = X.ops(spark, sf)
-    return W.status(R.current_state(log), log)
+    return W.status(with_copies(spark, sf), X.ops(spark, sf))
+
+
+@query(f"{_WITH_COPIES} SELECT path, content_hash FROM held WHERE NOT tombstone AND contains(path, '.{D.MARKER}-')")
+def conflict_view(spark, sf):
+    return W.conflicts(with_copies(spark, sf)).select("path", "content_hash")
+
+
+@query(f"{_WITH_COPIES} SELECT count_if(NOT tombstone AND contains(path, '.{D.MARKER}-')) AS copies, count_if(NOT tombstone) AS live, count_if(NOT tombstone AND contains(path, '.{D.MARKER}-')) / count_if(NOT tombstone) AS ratio FROM held")
+def live_copy_ratio(spark, sf):
+    return Q.live_copy_ratio(with_copies(spark, sf))
+
+
+@query(f"{X.OPS}, {X.winners('w')} SELECT row_number() OVER (ORDER BY path) AS place, path, tombstone FROM w")
+def all_files(spark, sf):
+    ordered = R.all_files(R.current_state(X.ops(spark, sf)))
+    first = F.row_number().over(Window.partitionBy("part").orderBy("path"))
+    parts = settle(ordered.select(F.spark_partition_id().alias("part"), "path", "tombstone"), "ordered")
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.groupBy("part").agg(F.count(F.lit(1)).alias("rows")).select("part", before.alias("before"))
+    return parts.withColumn("n", first).join(starts, "part").select((F.col("before") + F.col("n")).alias("place"), "path", "tombstone")
+
+
+@query(f"{X.CHUNKS}, u AS (SELECT hash, bool_or(file % 2 = 0) AS here FROM hashed GROUP BY hash) SELECT file, count(*) AS chunks, count_if(NOT here) AS missing, CAST(sum(len) AS BIGINT) AS bytes, CAST(sum(CASE WHEN here THEN 0 ELSE len END) AS BIGINT) AS missing_bytes FROM hashed JOIN u USING (hash) GROUP BY file")
+def transfers(spark, sf):
+    return W.transfers(X.chunks(spark, sf), X.have(spark, sf))
+
+
+@query(f"WITH v AS ({_LIFE}) SELECT node, '{{' || string_agg('\"' || event || '\":' || n, ',' ORDER BY event) || '}}' AS health FROM (SELECT node, event, count(*) AS n FROM v GROUP BY ALL) GROUP BY node")
+def health(spark, sf):
+    e = X.events(spark, sf).selectExpr("user_id AS node", "CASE event_type WHEN 'click' THEN 'expected' WHEN 'view' THEN 'completed' WHEN 'error' THEN 'unreachable' ELSE 'seen' END AS name")
+    return W.health(e.groupBy("node", "name").agg(F.count(F.lit(1)).alias("value")))
 
 
 @query("SELECT date_trunc('hour', ts) AS hour, event_type AS origin, count(*) AS n FROM events GROUP BY ALL")
@@ -669,10 +802,32 @@ def listing_validation(spark, sf):
     return C.validate_listing(M.levels(X.replica(spark, sf, 7)), 12, 2, 20)
 
 
-@query(f"{X.ROSTER} SELECT (SELECT count(*) FROM won WHERE node < '10') <> (SELECT count(*) FROM won) AS differ")
+_DIGEST = "(SELECT sha256('roster' || string_agg(content_hash, '' ORDER BY node)) FROM won{})"
+
+
+@query(f"{X.ROSTER} SELECT 'part' AS other, {_DIGEST.format(' WHERE node < ' + chr(39) + '10' + chr(39))} <> {_DIGEST.format('')} AS differ UNION ALL SELECT 'same', {_DIGEST.format('')} <> {_DIGEST.format('')}")
 def exchange_needed(spark, sf):
     won = N.winners(X.roster(spark, sf))
-    return N.needs_exchange(won.filter("node < '10'"), won)
+    again = N.merge(X.roster(spark, sf), won)
+    return N.needs_exchange(won.filter("node < '10'"), won).select(F.lit("part").alias("other"), "differ").unionByName(N.needs_exchange(again, won).select(F.lit("same").alias("other"), "differ"))
+
+
+@query(f"{X.ROSTER}, known AS (SELECT node, CASE WHEN CAST(node AS INT) % 3 = 0 THEN 'active' ELSE 'syncing' END AS state FROM won WHERE CAST(node AS INT) % 2 = 0) SELECT w.node, coalesce(k.state, 'joining') AS state FROM won w LEFT JOIN known k ON w.node = k.node WHERE kind = 'add'")
+def member_views(spark, sf):
+    won = N.winners(X.roster(spark, sf))
+    known = won.filter("cast(node AS int) % 2 = 0").select("node", F.when(F.col("node").cast("int") % 3 == 0, "active").otherwise("syncing").alias("state"))
+    return N.member_views(won, known).select("node", "state")
+
+
+@query(f"{X.ROSTER} SELECT node FROM won ORDER BY {X.dig('7', 'node')}, node LIMIT 1")
+def peer_choice(spark, sf):
+    return N.pick_peer(N.winners(X.roster(spark, sf)), 7).select("node")
+
+
+@query(f"{X.ROSTER} SELECT node, epoch, kind FROM won WHERE fingerprint[1:1] < 'c'")
+def verified_entries(spark, sf):
+    won = N.winners(X.roster(spark, sf))
+    return N.verified(won, lambda e: F.substring(e["fingerprint"], 1, 1) < "c").select("node", "epoch", "kind")
 
 
 @query(f"{X.ROSTER}, {_EFFECTIVE} SELECT s_suppkey FROM supplier WHERE sha256('f' || s_name) IN (SELECT fingerprint FROM effective)")
@@ -718,3 +873,81 @@ def live_files(spark, sf):
 @query(f"{X.OPS}, {X.winners('w')} SELECT 'tidemark_' || op_type || ' ' || count(*) AS line FROM ops GROUP BY op_type")
 def metrics_lines(spark, sf):
     return W.prometheus(op_counts(spark, sf).select(F.col("op_type").alias("name"), F.col("n").alias("value")))
+
+
+@query(f"{X.OPS} SELECT op_id, NOT tombstone_ AS live, is_hex, CASE op_type WHEN 'write' THEN 'write' WHEN 'delete' THEN 'delete' END AS op_name, CAST(event_id % 7 AS INT) AS kind_code, CASE WHEN event_id % 7 IN (0, 1, 2, 3, 4) THEN true ELSE false END AS replicable, state, hex, back, hole, most FROM (SELECT *, op_type = 'delete' AS tombstone_, event_id % 5 <> 0 AS is_hex, ['joining', 'syncing', 'active'][event_id % 3 + 1] AS state, lower(hex(path)) AS hex, CASE WHEN event_id % 2 = 0 THEN path END AS back, event_id % 4 = 0 AS hole, CAST(floor(size * 1000 / 4096.0) + 2 AS BIGINT) AS most FROM ops)")
+def code_functions(spark, sf):
+    e = F.col("event_id")
+    kind = F.element_at(F.array(*map(F.lit, (*S.KINDS, "socket", "folder"))), (e % 7 + 1).cast("int"))
+    text = F.when(e % 5 != 0, F.col("op_id")).otherwise(F.concat(F.substring("op_id", 1, 63), F.lit("G")))
+    coded = S.to_hex(F.encode("path", "UTF-8"))
+    sent = F.when(e % 2 == 0, coded).otherwise(F.concat(coded, F.lit("0")))
+    data = F.when(e % 4 == 0, F.unhex(F.lit("000000"))).otherwise(F.unhex(F.lit("000100")))
+    return X.ops(spark, sf).select(
+        "op_id", P.is_live(F.col("op_type") == "delete").alias("live"), S.is_hex(text, 64).alias("is_hex"), S.op_name(S.op_code(F.col("op_type"))).alias("op_name"), F.coalesce(S.kind_code(kind), (e % 7).cast("int")).alias("kind_code"), P.is_replicable(kind).alias("replicable"),
+        S.state_name(S.state_code(F.element_at(F.array(*map(F.lit, S.LIFECYCLE)), (e % 3 + 1).cast("int")))).alias("state"), coded.alias("hex"), F.decode(S.from_hex(sent), "UTF-8").alias("back"), S.is_hole(data).alias("hole"), S.most_chunks(F.col("size") * 1000).cast("long").alias("most"),
+    )
+
+
+@query(f"{X.OPS}, v AS (SELECT op_id, {X.VV_TEXT} AS vv, '4:6162' || '2:' || CASE WHEN event_id % 2 = 0 THEN '01' ELSE '02' END || '6:616263' || '0:' AS xattrs FROM ops) SELECT op_id, vv = '' AS empty, xattrs, {X.dig(chr(39) + 'name' + chr(39), chr(39) + 'regular' + chr(39), '420', 'NULL', 'NULL', 'xattrs')} AS naming FROM v")
+def naming_functions(spark, sf):
+    pair = lambda k, v: F.struct(F.unhex(F.lit(k)).alias("k"), v.alias("v"))
+    value = F.when(F.col("event_id") % 2 == 0, F.unhex(F.lit("01"))).otherwise(F.unhex(F.lit("02")))
+    xattrs = D.xattr_text(F.array(pair("616263", F.unhex(F.lit(""))), pair("6162", value)))
+    return X.ops(spark, sf).select("op_id", V.is_empty(F.col("vv")).alias("empty"), xattrs.alias("xattrs")).withColumn("naming", D.naming_hash(F.lit("regular"), F.lit(420), F.lit(None), F.lit(None), F.col("xattrs")))
+
+
+@query(f"{X.OPS}, {X.PEERS} SELECT o.peer AS peer, o.peer AS origin, CAST(length(o.peer) AS BIGINT) AS recv_cursor, CAST(0 AS BIGINT) AS last_acked_seq FROM peers o")
+def cursor_migration(spark, sf):
+    old = spark.createDataFrame([(o, len(o)) for o in (*X.ORIGINS, "gone")], "peer string, cursor long")
+    return L.migrate_cursors(old, X.ops(spark, sf))
+
+
+@query(f"{X.OPS} SELECT op_id FROM ops WHERE event_id % 3 <> 0")
+def unapplied_ops(spark, sf):
+    log = X.ops(spark, sf)
+    return L.unapplied(log, log.filter("event_id % 3 = 0")).select("op_id")
+
+
+@query(f"{X.OPS} SELECT op_id, user_id % 4 <> 0 AND origin_seq <= 300 AS good FROM ops")
+def ack_predicate(spark, sf):
+    other = F.when(F.col("user_id") % 4 == 0, "other").otherwise(F.col("origin"))
+    return X.ops(spark, sf).select("op_id", P.ack_in_bounds(other, F.col("origin"), F.col("origin_seq"), F.lit(300)).alias("good"))
+
+
+@query("SELECT doc_id, length(text) > 0 AS text_path FROM documents")
+def text_paths(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", P.is_text_path(F.encode("text", "UTF-8")).alias("text_path"))
+
+
+_LOCAL = (
+    "changes AS (SELECT 'me' AS origin, 'u/' || user_id AS path, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'write' END AS op_type, CASE WHEN event_type <> 'error' THEN sha256(event_type) END AS content_hash, epoch_us(ts) AS t, event_id FROM events), "
+    "seen AS (SELECT *, lag(content_hash) OVER w AS old, coalesce(lag(op_type = 'delete') OVER w, true) AS gone FROM changes WINDOW w AS (PARTITION BY path ORDER BY t, event_id)), "
+    "real AS (SELECT * FROM seen WHERE NOT CASE WHEN op_type = 'delete' THEN gone ELSE NOT gone AND content_hash = old END), "
+    "numbered AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY t, event_id) AS k, row_number() OVER (ORDER BY t, event_id) AS origin_seq FROM real), "
+    f"minted AS (SELECT *, {X.dig(chr(39) + 'uuid' + chr(39), chr(39) + 'me' + chr(39), 'first_value(origin_seq) OVER (PARTITION BY path ORDER BY t, event_id)', 'path')}[1:32] AS uuid FROM numbered)"
+)
+LOCAL_APPENDS = f"WITH {_LOCAL} SELECT event_id, path, op_type, origin_seq, 'me:' || k AS vv, uuid FROM minted"
+
+
+def local_changes(spark, sf):
+    """Changes of one node, many of which change nothing."""
+    gone = F.col("event_type") == "error"
+    return X.events(spark, sf).select(
+        F.lit("me").alias("origin"), F.concat(F.lit("u/"), "user_id").alias("path"), F.when(gone, "delete").otherwise("write").alias("op_type"), F.when(~gone, F.sha2("event_type", 256)).alias("content_hash"),
+        F.when(~gone, F.lit("m")).otherwise(D.NO_META).alias("meta_hash"), F.when(~gone, F.lit("n")).alias("naming_hash"), F.lit(420).alias("mode"), F.lit(1).cast("long").alias("size"), "t", "event_id",
+    )
+
+
+@query(LOCAL_APPENDS)
+def local_appends(spark, sf):
+    nothing = spark.createDataFrame([], "path string, tombstone boolean, content_hash string, meta_hash string, uuid string, vv map<string,bigint>")
+    log = spark.createDataFrame([], "origin string, origin_seq long")
+    return R.append_local(local_changes(spark, sf), nothing, log, ["t", "event_id"], X.hour()).select("event_id", "path", "op_type", "origin_seq", V.text(F.col("vv")).alias("vv"), "uuid")
+
+
+@query(f"{X.OPS}, {X.winners('w')}, i AS (SELECT DISTINCT path FROM w), late AS (SELECT path, max(event_id) AS event_id FROM ops GROUP BY path) SELECT w.path, w.content_hash, {X.VV_TEXT} AS vv FROM w")
+def state_over_index(spark, sf):
+    log = X.ops(spark, sf)
+    early = R.current_state(log.filter("event_id % 2 = 0"))
+    return R.current_state(log, early).select("path", "content_hash", V.text(F.col("vv")).alias("vv"))

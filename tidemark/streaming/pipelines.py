@@ -9,14 +9,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from tidemark.functions import predicates as P
+from tidemark.operators import chunks as C
+from tidemark.operators import ingest as I
+from tidemark.operators import oplog as L
 from tidemark.operators import resolve as R
+from tidemark.operators import roster as N
+
+INDEX = "path string, tombstone boolean, content_hash string, meta_hash string, naming_hash string, mode int, size long, uuid string, vv map<string,bigint>"
 
 
 def read_ops(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1) -> DataFrame:
@@ -29,28 +35,45 @@ def dedup(ops: DataFrame) -> DataFrame:
     return ops.dropDuplicates(["op_id"])
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
+def _done(spark: SparkSession, path: str, name: str) -> dict[int, object]:
+    """Complete folders <name>=<number> below path, by number."""
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(root):
-        return []
-    found = [s.getPath() for s in fs.listStatus(root) if s.isDirectory() and s.getPath().getName().startswith("v=")]
-    return sorted(int(p.getName()[2:]) for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+        return {}
+    found = [s.getPath() for s in fs.listStatus(root) if s.isDirectory() and s.getPath().getName().startswith(f"{name}=")]
+    return {int(p.getName()[len(name) + 1 :]): p for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))}
+
+
+def _chain(number: int) -> list[int]:
+    """The levels that hold all batches up to this one: n covers the last n & -n of them."""
+    out = []
+    while number > 0:
+        out.append(number)
+        number -= number & -number
+    return out
 
 
 def fold_batch(batch: DataFrame, number: int, path: str) -> None:
-    """Version `number` of the candidates: those of version number - 1 with the batch's, the latest of each origin per path.
+    """Add a batch's candidates, the latest of each origin per path, to the levels of the state below `path`.
 
-    A version is written before the batch is committed, and a batch that runs again writes the same version anew, so
-    every operation counts once. The state has at most one row per (path, origin).
+    Level n (batch number + 2; a snapshot is number -1) merges the batch with the levels of the batches before that it covers, as
+    a binary counter does. So a candidate is written anew log n times in n batches, a state is read from log n levels, and nothing
+    rewrites all of it each time. A level is written before the batch is committed, and a batch that runs again writes the same
+    level anew, so every operation counts once. Levels that neither this state nor the one before needs are removed.
     """
-    spark = batch.sparkSession
+    spark, level = batch.sparkSession, number + 2
     new = R.candidates(batch)
-    older = [v for v in _versions(spark, path) if v < number]
-    if older:
-        new = new.unionByName(spark.read.schema(new.schema).parquet(f"{path}/v={older[-1]}"))
-    R.latest_per_origin(new).write.mode("overwrite").parquet(f"{path}/v={number}")
+    held = _done(spark, path, "level")
+    for n in _chain(level - 1):
+        if n > level - (level & -level) and n in held:
+            new = new.unionByName(spark.read.schema(new.schema).parquet(f"{path}/level={n}"))
+    R.latest_per_origin(new).write.mode("overwrite").parquet(f"{path}/level={level}")
+    needed = {level, *_chain(level), *_chain(level - 1)}
+    for n, at in held.items():
+        if n not in needed and n < level:
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialize(ops: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -58,9 +81,77 @@ def materialize(ops: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return ops.writeStream.foreachBatch(lambda batch, number: fold_batch(batch, number, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def materialized(spark: SparkSession, path: str) -> DataFrame:
-    """Current rows from the last complete version."""
-    return R.winners(spark.read.parquet(f"{path}/v={_versions(spark, path)[-1]}"))
+def materialized(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """Current rows after the last complete batch, or after the last one before a batch number."""
+    held = [n for n in _done(spark, path, "level") if before is None or n < before + 2]
+    return R.winners(spark.read.parquet(*(f"{path}/level={n}" for n in _chain(max(held)) if n in held)))
+
+
+def append_batch(changes: DataFrame, number: int, path: str, block: Column) -> None:
+    """A batch of local changes as operations: to the log in path/log/batch=<number>, and into the state in path/state.
+
+    Numbers go on after what earlier batches wrote, so a batch that runs again writes the same operations anew.
+    """
+    spark = changes.sparkSession
+    logs = [f"{path}/log/batch={n}" for n in _done(spark, f"{path}/log", "batch") if n < number]
+    log = spark.read.parquet(*logs).select("origin", "origin_seq") if logs else spark.createDataFrame([], "origin string, origin_seq long")
+    index = materialized(spark, f"{path}/state", number) if number else spark.createDataFrame([], INDEX)
+    R.append_local(changes, index, log, ["t", "event_id"], block).write.mode("overwrite").parquet(f"{path}/log/batch={number}")
+    fold_batch(spark.read.parquet(f"{path}/log/batch={number}"), number, f"{path}/state")
+
+
+def append_changes(changes: DataFrame, path: str, checkpoint: str, block: Column) -> StreamingQuery:
+    """Local changes as a stream: no-op filter, numbers, vectors and identities, over the state that earlier batches left."""
+    return changes.writeStream.foreachBatch(lambda batch, number: append_batch(batch, number, path, block)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def put_manifests(chunks: DataFrame, path: str, number: int) -> None:
+    """Manifests of a batch (file, idx, hash, len): chunk rows first, then the headers that count them, each under the batch's number.
+
+    A batch that runs again replaces its own rows. A reader sees a manifest only with all its chunks.
+    """
+    chunks.select("file", "idx", "hash", "len").write.mode("overwrite").parquet(f"{path}/chunks/batch={number}")
+    C.manifests(chunks).write.mode("overwrite").parquet(f"{path}/headers/batch={number}")
+
+
+def manifests(spark: SparkSession, path: str) -> DataFrame:
+    """Complete manifests of all batches; of a file that came more than once the last."""
+    headers, chunks = spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/chunks")
+    last = headers.groupBy("file").agg(F.max_by(F.struct("batch", "chunk_count"), "batch").alias("h")).select("file", "h.*")
+    return C.complete(last.select("file", "chunk_count"), chunks.join(last.select("file", "batch"), ["file", "batch"], "left_semi"))
+
+
+def ingest_feed(feed: DataFrame, root: str, disk: DataFrame, index: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """A change feed (kind, old, new, ...) as local events (path, path_old, kind) below path/batch=<number>.
+
+    A batch with an overflow (kind = 'overflow': the feed lost events) is followed by a rescan: what differs between disk and index.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        events = I.normalize_events(batch.filter("kind <> 'overflow'"), root).select("path", "path_old", "kind")
+        if not batch.filter("kind = 'overflow'").isEmpty():
+            events = events.unionByName(I.scan_diff(disk, index).select("path", F.lit(None).cast("string").alias("path_old"), "kind"))
+        events.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return feed.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def gossip(entries: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Roster entries as they come, merged into the winners below path/roster=<number>; the last but one stays for a batch that runs again."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        held = {n: at for n, at in _done(spark, path, "roster").items() if n < number}
+        merged = N.merge(spark.read.parquet(f"{path}/roster={max(held)}"), batch) if held else N.winners(batch)
+        merged.write.mode("overwrite").parquet(f"{path}/roster={number}")
+        for n in sorted(held)[:-1]:
+            held[n].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(held[n], True)
+
+    return entries.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def gossiped(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/roster={max(_done(spark, path, 'roster'))}")
 
 
 def quiet_writes(events: DataFrame, gap: str, lateness: str = "0 seconds") -> DataFrame:
@@ -70,37 +161,37 @@ def quiet_writes(events: DataFrame, gap: str, lateness: str = "0 seconds") -> Da
 
 
 def _swallow(frames: Iterator[pd.DataFrame], state: GroupState, ttl: int) -> Iterator[pd.DataFrame]:
-    """One path's events that its open registrations, a list of (what, time), do not swallow."""
-    marks = list(zip(*state.get, strict=True)) if state.exists else []
-    out = []
-    for frame in frames:
-        ordered = frame.sort_values(["t", "is_event"])
-        for what, t, is_event, event_id in zip(ordered["what"], ordered["t"], ordered["is_event"], ordered["event_id"], strict=True):
-            if not is_event:
-                marks.append((what, int(t)))
-                continue
-            marks = [m for m in marks if t - m[1] <= ttl]
-            hit = next((i for i, m in enumerate(marks) if m[0] == what), None)
-            if hit is None:
-                out.append((event_id,))
-            else:
-                marks.pop(hit)
-    state.update(([m[0] for m in marks], [m[1] for m in marks]))
-    yield pd.DataFrame(out, columns=["event_id"])
+    """One path's events of a batch that its registration does not swallow; the state is (kind, hash, at) of an unused one."""
+    rows = pd.concat(list(frames)).sort_values(["t", "is_event", "kind", "content_hash", "event_id"], kind="stable", na_position="first")
+    if state.exists and state.get[0] is not None:
+        kind, content, at = state.get
+        rows = pd.concat([pd.DataFrame({"kind": [kind], "content_hash": [content], "t": [at], "is_event": [False], "event_id": [0]}), rows])
+    marks = ~rows["is_event"].astype(bool).to_numpy()
+    ordinal = marks.cumsum()
+    latest = rows[marks].reset_index(drop=True)
+    own = latest.reindex(ordinal - 1).reset_index(drop=True)
+    rows = rows.reset_index(drop=True)
+    same = (rows["content_hash"] == own["content_hash"]) | (rows["content_hash"].isna() & own["content_hash"].isna())
+    hit = ~marks & (rows["kind"] == own["kind"]) & ((rows["kind"] == "delete") | same) & (rows["t"] - own["t"] < ttl)
+    used = hit & ~pd.Series(ordinal).where(hit).duplicated()
+    left = len(latest) and not used[ordinal == len(latest)].any()
+    state.update((latest["kind"].iloc[-1], latest["content_hash"].iloc[-1], int(latest["t"].iloc[-1])) if left else (None, None, None))
+    yield rows.loc[~marks & ~used, ["event_id"]].astype("int64")
 
 
 def suppress(marked: DataFrame, ttl: int) -> DataFrame:
-    """Events that no registration swallows; marked: (path, kind, content_hash, t in microseconds, is_event, event_id).
+    """Events that no registration swallows, as the batch operator has it; marked: (path, kind, content_hash, t in microseconds, is_event, event_id).
 
-    A path's open registrations are its state; those older than ttl go whenever an event of the path comes. There is no
-    timer: with one, a run over all that is available would never end.
+    A path's state is its one registration, until it is used or replaced; one older than ttl swallows nothing. A micro-batch
+    may come in any order, batches come in order of time. There is no timer: with one, a run over all that is available
+    would never end.
     """
 
     def run(key, frames, state):
         return _swallow(frames, state, ttl)
 
-    keyed = marked.select("path", F.concat_ws(":", "kind", F.coalesce("content_hash", F.lit(""))).alias("what"), "t", "is_event", "event_id").groupBy("path")
-    return keyed.applyInPandasWithState(run, "event_id long", "marks array<string>, times array<long>", "append", GroupStateTimeout.NoTimeout)
+    keyed = marked.select("path", "kind", "content_hash", "t", "is_event", "event_id").groupBy("path")
+    return keyed.applyInPandasWithState(run, "event_id long", "kind string, content_hash string, at long", "append", GroupStateTimeout.NoTimeout)
 
 
 def split_quarantine(results: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -116,9 +207,26 @@ def after_frontier(ops: DataFrame, frontier: DataFrame) -> DataFrame:
 
 
 def sequence_gaps(ops: DataFrame) -> DataFrame:
-    """Holes in an origin's sequence, which call for a rescan."""
-    before = F.lag("origin_seq").over(Window.partitionBy("origin").orderBy("origin_seq"))
-    return ops.select("origin", "origin_seq", before.alias("before")).filter(F.col("origin_seq") > F.coalesce("before", F.lit(0)) + 1).select("origin", (F.coalesce("before", F.lit(0)) + 1).alias("from"), (F.col("origin_seq") - 1).alias("to"))
+    """Holes in an origin's sequence, which call for a rescan.
+
+    Holes inside blocks of sequence numbers are found block by block; those between blocks from one row for each block.
+    """
+    before = F.lag("origin_seq").over(Window.partitionBy("origin", "block").orderBy("origin_seq"))
+    each = ops.select("origin", "origin_seq", L.block_of("origin_seq").alias("block")).withColumn("before", before)
+    inside = each.filter(F.col("origin_seq") > F.col("before") + 1)
+    edges = each.groupBy("origin", "block").agg(F.min("origin_seq").alias("origin_seq"), F.max("origin_seq").alias("last"))
+    across = edges.withColumn("before", F.coalesce(F.lag("last").over(Window.partitionBy("origin").orderBy("block")), F.lit(0)))
+    found = inside.select("origin", "before", "origin_seq").unionByName(across.filter(F.col("origin_seq") > F.col("before") + 1).select("origin", "before", "origin_seq"))
+    return found.select("origin", (F.col("before") + 1).alias("from"), (F.col("origin_seq") - 1).alias("to"))
+
+
+def lost_so_far(ops: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """The same on a stream: blocks with the operations of each batch go to `path`, and sequence_gaps reads them whenever asked.
+
+    A hole may be filled by a later batch, so nothing is told before it is asked for.
+    """
+    seen = ops.select("origin", "origin_seq")
+    return seen.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def op_rate(events: DataFrame, width: str, slide: str | None = None) -> DataFrame:

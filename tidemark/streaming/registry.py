@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,27 +10,22 @@ from pyspark.sql.types import StructType
 
 from tidemark.functions import vv as V
 from tidemark.operators import oplog as L
+from tidemark.operators import resolve as R
 from tidemark.plans import fixtures as X
+from tidemark.plans import registry as Q
+from tidemark.sources.shared import settle, shared_dir
 from tidemark.streaming import pipelines as S
 
-_own: list[str] = []
-
 
 def folder(spark: SparkSession) -> str:
-    """A new folder below the one that spark.checkpoint.dir names, or below one of our own where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="tidemark-"))
-            atexit.register(shutil.rmtree, _own[0], True)
-        named = f"file://{_own[0]}"
-    return f"{named.rstrip('/')}/tidemark-{uuid.uuid4().hex[:12]}"
-
-
-def _logged(spark: SparkSession, sf: str, parts: int = 3) -> tuple[str, StructType]:
-    """The op log as files, with every fifth operation delivered twice; its place and schema."""
+    """A new folder below the one that executors share."""
+    return f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex[:12]}"
+
+
+def _logged(spark: SparkSession, sf: str, parts: int = 3, log: DataFrame | None = None) -> tuple[str, StructType]:
+    """The op log as files, with every fifth operation delivered twice and in any order; its place and schema."""
     at = folder(spark)
-    log = X.ops(spark, sf)
+    log = X.ops(spark, sf) if log is None else log
     log.unionByName(log.filter("event_id % 5 = 0")).repartition(parts, "event_id").write.parquet(f"{at}/log")
     return at, log.schema
 
@@ -61,16 +53,86 @@ def bootstrap_handoff(spark: SparkSession, sf: str) -> DataFrame:
     return S.materialized(spark, f"{at}/state").select("path", "tombstone", "content_hash", V.text(F.col("vv")).alias("vv"))
 
 
+def stream_renames(spark: SparkSession, sf: str) -> DataFrame:
+    """Renames through the stream: a write at the new path and a deletion at the old one, in whatever batch they come."""
+    at, schema = _logged(spark, sf, 5, X.renames(spark, sf))
+    S.materialize(S.read_ops(spark, f"{at}/log", schema), f"{at}/state", f"{at}/cp").awaitTermination()
+    return S.materialized(spark, f"{at}/state").select("path", "tombstone", "content_hash", V.text(F.col("vv")).alias("vv"))
+
+
+def _in_turn(spark: SparkSession, rows: DataFrame, at: str, run, slices: int = 3) -> None:
+    """Rows (with t) as files in order of time, one slice after the other; run starts a query over what is there by then."""
+    low, high = rows.agg(F.min("t"), F.max("t")).first()
+    for i in range(slices):
+        own = F.least(F.floor((F.col("t") - low) * slices / (high - low + 1)), F.lit(slices - 1)) == i
+        rows.filter(own).write.mode("append").parquet(f"{at}/in")
+        run(spark.readStream.schema(rows.schema).parquet(f"{at}/in"))
+
+
 def stream_suppression(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppression over three runs that go on from each other's state."""
     at = folder(spark)
-    e = X.ops(spark, sf).select("path", F.col("op_type").alias("kind"), "content_hash", "t", F.lit(True).alias("is_event"), "event_id")
-    marks = e.filter("event_id % 3 = 0").withColumn("t", F.col("t") - 1000).withColumn("is_event", F.lit(False))
-    e.unionByName(marks).coalesce(1).write.parquet(f"{at}/in")
-    marked = spark.readStream.schema(e.schema).parquet(f"{at}/in")
-    S.suppress(marked, 30_000_000).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/cp").trigger(availableNow=True).start().awaitTermination()
+    events, marks = Q.suppressible(spark, sf)
+    both = events.withColumn("is_event", F.lit(True)).unionByName(marks.withColumnRenamed("at", "t").withColumn("is_event", F.lit(False)), allowMissingColumns=True)
+
+    def run(rows: DataFrame) -> None:
+        S.suppress(rows, Q.TTL).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/cp").trigger(availableNow=True).start().awaitTermination()
+
+    _in_turn(spark, both, at, run)
     return spark.read.schema("event_id long").parquet(f"{at}/out")
 
 
+def stream_appends(spark: SparkSession, sf: str) -> DataFrame:
+    """Local changes over three runs; numbers, vectors and identities go on."""
+    at = folder(spark)
+    _in_turn(spark, Q.local_changes(spark, sf), at, lambda rows: S.append_changes(rows, at, f"{at}/cp", X.hour()).awaitTermination())
+    return spark.read.parquet(f"{at}/log").select("event_id", "path", "op_type", "origin_seq", V.text(F.col("vv")).alias("vv"), "uuid")
+
+
+def stream_manifests(spark: SparkSession, sf: str) -> DataFrame:
+    """Manifests in two batches, of which the first came a second time and a third of it again in the second."""
+    at = folder(spark)
+    rows = X.chunks(spark, sf)
+    for number, part in ((0, "file % 2 = 0"), (0, "file % 2 = 0"), (1, "file % 3 = 0 OR file % 2 = 1")):
+        S.put_manifests(rows.filter(part), at, number)
+    return S.manifests(spark, at).select("file", "chunk_count", F.array_join(F.transform("chunks", lambda c: c["hash"]), ",").alias("hashes"))
+
+
+def stream_feed(spark: SparkSession, sf: str) -> DataFrame:
+    """A change feed that overflowed once, so what it may have lost comes from a rescan."""
+    at = folder(spark)
+    X.events(spark, sf).createOrReplaceTempView("tidemark_events")
+    feed = spark.sql(Q._FEED.replace("FROM events", "FROM tidemark_events")).unionByName(spark.createDataFrame([(-1, "overflow", None, None)], "event_id long, kind string, old string, new string"))
+    feed.write.parquet(f"{at}/in")
+    disk, index = settle(X.disk(spark, sf), "disk"), settle(R.current_state(X.ops(spark, sf)), "index")
+    S.ingest_feed(spark.readStream.schema(feed.schema).parquet(f"{at}/in"), "/share", disk, index, f"{at}/out", f"{at}/cp").awaitTermination()
+    return spark.read.parquet(f"{at}/out").select("path", "path_old", "kind")
+
+
+def gossip_rosters(spark: SparkSession, sf: str) -> DataFrame:
+    """Rosters of two nodes, each in a batch of its own."""
+    at = folder(spark)
+    entries = X.roster(spark, sf)
+    for part in ("epoch > 2", "epoch <= 3"):
+        entries.filter(part).write.mode("append").parquet(f"{at}/in")
+        S.gossip(spark.readStream.schema(entries.schema).parquet(f"{at}/in"), f"{at}/out", f"{at}/cp").awaitTermination()
+    return S.gossiped(spark, f"{at}/out")
+
+
+def stream_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Operations through a stream, and the holes among them."""
+    at, schema = _logged(spark, sf)
+    S.lost_so_far(S.read_ops(spark, f"{at}/log", schema).filter("event_id % 11 <> 0"), f"{at}/seen", f"{at}/cp").awaitTermination()
+    return S.sequence_gaps(spark.read.parquet(f"{at}/seen").distinct())
+
+
+def dead_letters(spark: SparkSession, sf: str) -> DataFrame:
+    """Results that go on and those that are kept aside, from one stream each."""
+    results = X.events(spark, sf).select("event_id", F.when(F.col("event_type") == "error", "too_large").when(F.col("event_type") == "click", "none").otherwise(F.col("event_type")).alias("error"))
+    on, dead = S.split_quarantine(results)
+    return on.select("event_id", "route").unionByName(dead.select("event_id", "route"))
+
+
 def quiet_writes(spark: SparkSession, sf: str) -> DataFrame:
     """Debounce by session windows, over a bounded table."""
     e = X.events(spark, sf).select(F.concat(F.lit("u/"), "user_id").alias("path"), F.when(F.col("event_type") == "error", "delete").otherwise("write").alias("kind"), F.timestamp_micros("t").alias("ts"), "event_id")
@@ -91,14 +153,23 @@ SQL = {
     "stream_dedup": f"{X.OPS} SELECT op_id, path FROM ops",
     "stream_current_state": _STATE,
     "bootstrap_handoff": _STATE,
+    "stream_renames": Q.SQL["renamed_state"],
+    "stream_suppression": Q.SUPPRESSED,
+    "stream_appends": Q.LOCAL_APPENDS,
+    "stream_manifests": f"{X.CHUNKS} SELECT file, count(*) AS chunk_count, string_agg(hash, ',' ORDER BY idx) AS hashes FROM hashed GROUP BY file",
+    "stream_feed": f"{Q.SQL['scan_diff'].split(' SELECT path, ' + chr(39) + 'write')[0]}, f AS ({Q._FEED}), {Q.SQL['feed_normalization'].split('), ', 1)[1].rsplit(' SELECT event_id, kind', 1)[0]}, events_ AS (SELECT event_id, kind, path, path_old{Q.SQL['feed_normalization'].rsplit('SELECT event_id, kind, path, path_old', 1)[1]}) "
+    "SELECT path, path_old, kind FROM events_ UNION ALL SELECT path, NULL, 'write' FROM disk UNION ALL SELECT path, NULL, 'delete' FROM w WHERE NOT tombstone AND path NOT IN (SELECT path FROM disk)",
+    "gossip_rosters": f"{X.ROSTER} SELECT node, addr, fingerprint, epoch, kind, content_hash FROM won",
+    "dead_letters": "SELECT event_id, CASE event_type WHEN 'error' THEN 'quarantine' WHEN 'click' THEN 'ok' ELSE 'retry' END AS route FROM events",
     "quiet_writes": "WITH e AS (SELECT event_id, 'u/' || user_id AS path, event_type, epoch_us(ts) AS t FROM events), n AS (SELECT *, lead(t) OVER (PARTITION BY path ORDER BY t, event_id) AS nxt FROM e) SELECT path, event_id FROM n WHERE event_type <> 'error' AND (nxt IS NULL OR nxt - t > 3600000000)",
     "sequence_gaps": f'{X.OPS}, g AS (SELECT origin, origin_seq, coalesce(lag(origin_seq) OVER (PARTITION BY origin ORDER BY origin_seq), 0) AS b FROM ops WHERE event_id % 11 <> 0) SELECT origin, b + 1 AS "from", origin_seq - 1 AS "to" FROM g WHERE origin_seq > b + 1',
+    "stream_gaps": f'{X.OPS}, g AS (SELECT origin, origin_seq, coalesce(lag(origin_seq) OVER (PARTITION BY origin ORDER BY origin_seq), 0) AS b FROM ops WHERE event_id % 11 <> 0) SELECT origin, b + 1 AS "from", origin_seq - 1 AS "to" FROM g WHERE origin_seq > b + 1',
     "op_rate": "SELECT event_type AS origin, epoch_us(ts) // 3600000000 * 3600 AS begin, count(*) AS n FROM events GROUP BY ALL",
 }
 
 
 def queries():
-    return {f.__name__: f for f in (stream_dedup, stream_current_state, bootstrap_handoff, stream_suppression, quiet_writes, sequence_gaps, op_rate)}
+    return {f.__name__: f for f in (stream_dedup, stream_current_state, stream_renames, bootstrap_handoff, stream_suppression, stream_appends, stream_manifests, stream_feed, gossip_rosters, stream_gaps, dead_letters, quiet_writes, sequence_gaps, op_rate)}
 
 
 def oracle_sql() -> dict[str, str]:
