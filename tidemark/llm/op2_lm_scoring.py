@@ -1,7 +1,9 @@
 """LM scoring by masked pseudo-likelihood.
 
 A word is predicted from the three words at either side: embeddings, one per side and divided by the distance, are summed and
-go through a tanh layer, and a hierarchical softmax over a Huffman tree gives the probability of the word itself. The
+go through a tanh layer, and a hierarchical softmax over a Huffman tree gives the probability of the word itself. The tree is
+canonical: in order of their codes leaves are in order of depth too, so a batch that is sorted once goes down the tree level by
+level in plain slices, and rows that pass one node stand together. The
 vocabulary has every word with at least sqrt(N) / 32 occurrences among the corpus's N words, so it grows with the corpus. A
 rarer word is an escape leaf of the tree and then its spelling, byte by byte, by a trigram counted over all rarer words; so
 each has a probability of its own. Only as a neighbour does a rarer word share its embedding with others, by a hash bucket.
@@ -11,51 +13,74 @@ Training passes over all documents: each partition runs Adagrad over its own tex
 the network moves by the mean over the partitions that touched it. Changes are summed in blocks of rows by a shuffle, so the
 driver sees one network. Network and vocabulary are sent to all workers and grow about as the root of the corpus.
 
-Cases: null and empty texts have no words and score 0; equal texts score equally; an empty corpus gives an empty result;
-other columns are ignored; texts are never cut.
+Cases: null and empty texts have no words and score 0; equal texts score equally; bytes that are no UTF-8 count as replacement
+characters; an empty corpus gives an empty result; other columns are ignored; texts are never cut.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-import re
+import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, settle
+from tidemark.llm.common import documents, portions, settle
 
 SHARE, BUCKETS, WIDTH, STEPS, RATE = 32, 1024, 16, 1, 0.05
-REACH, BATCH, BLOCK = 3, 10_000, 1024
-RUN = re.compile(r"[^ \t-\r]+")
+REACH, BATCH, BLOCK, TOP = 3, 10_000, 1024, 5
+#: Bytes of text worked on at once, and different words that a task counts before it hands them on.
+SLICE, COUNTED = 500_000, 500_000
+
+
+def words_of(text: str) -> list[bytes]:
+    """Lower-cased runs without ASCII white space, in UTF-8."""
+    return text.lower().encode("utf-8", "surrogatepass").split()
 
 
 def counted_words(docs: DataFrame) -> DataFrame:
-    """(w, n): how often each word occurs in all documents; settled, as it is read three times."""
-    words = docs.select(F.explode(F.split(F.lower(F.coalesce(docs["text"], F.lit(""))), "[ \\t-\\r]+")).alias("w")).filter("w <> ''")
-    return settle(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")), "words")
+    """(w, n): how often each word, in UTF-8, occurs in all documents; settled, as it is read three times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[bytes] = Counter()
+
+        def told() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["w", "n"])
+            seen.clear()
+            return out
 
+        for batch in batches:
+            for _, texts in portions(batch, SLICE):
+                for t in texts:
+                    seen.update(words_of(t))
+                if len(seen) > COUNTED:
+                    yield told()
+        yield told()
 
-def vocabulary(counted: DataFrame, frequent: int | None) -> tuple[list[tuple[str, int]], int]:
+    return settle(docs.select("text").mapInArrow(run, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
+
+
+def vocabulary(counted: DataFrame, frequent: int | None) -> tuple[list[tuple[bytes, int]], int]:
     """Words with sqrt(N) / SHARE occurrences or more (or the `frequent` most frequent) and their counts, and how many other words occur."""
     total = counted.agg(F.sum("n")).first()[0] or 0
     ordered = counted.orderBy(F.desc("n"), "w")
     held = ordered.limit(frequent) if frequent is not None else ordered.filter(F.col("n") >= max(2, math.ceil(math.sqrt(total) / SHARE)))
-    words = [(r["w"], r["n"]) for r in held.collect()]
+    words = [(bytes(r["w"]), r["n"]) for r in held.collect()]
     return words, total - sum(n for _, n in words)
 
 
-def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def trigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Codes of (two bytes before, byte or end) for every byte and the end of all words, and how many each word has."""
-    spelled = [w.encode("utf-8", "surrogatepass") for w in words]
-    sizes = np.array([len(b) + 1 for b in spelled], np.int64)
+    sizes = np.array([len(b) + 1 for b in words], np.int64)
     # A word is preceded by two zero bytes; its end is symbol 256.
-    line = np.frombuffer(b"".join(b"\0\0" + b + b"\0" for b in spelled), np.uint8).astype(np.int64)
+    line = np.frombuffer(b"".join(b"\0\0" + b + b"\0" for b in words), np.uint8).astype(np.int64)
     starts = np.cumsum(sizes + 2) - sizes
     places = np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
     last = line[places]
@@ -63,8 +88,38 @@ def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (line[places - 2] * 256 + line[places - 1]) * 257 + last, sizes
 
 
-def spelling(counted: DataFrame, words: list[str]) -> np.ndarray:
-    """Log-probabilities of a byte or the end after two bytes, from all words outside the vocabulary."""
+class Spelling:
+    """Log-probabilities of a byte or the end after two bytes, from the counts of codes; a dense table, made where it is used."""
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray) -> None:
+        self.codes, self.counts, self.table, self.held = codes, counts, None, {}
+
+    def __getstate__(self) -> dict:
+        return {"codes": self.codes, "counts": self.counts, "table": None, "held": {}}
+
+    def dense(self) -> np.ndarray:
+        if self.table is None:
+            table = np.full(256 * 256 * 257, 0.02, np.float32)
+            table[self.codes] += self.counts.astype(np.float32)
+            table = table.reshape(-1, 257)
+            table /= table.sum(1, keepdims=True, dtype=np.float64).astype(np.float32)
+            self.table = np.log(table, out=table).reshape(-1)
+        return self.table
+
+    def score(self, words: list[bytes]) -> np.ndarray:
+        """Log-probability of each word's spelling; remembers a bounded number of words."""
+        held = self.held
+        if len(held) > 200_000:
+            held.clear()
+        new = [w for w in dict.fromkeys(words) if w not in held]
+        if new:
+            code, sizes = trigrams(new)
+            held.update(zip(new, np.add.reduceat(self.dense()[code].astype(float), np.cumsum(sizes) - sizes).tolist(), strict=True))
+        return np.fromiter((held[w] for w in words), float, len(words))
+
+
+def spelling(counted: DataFrame, words: list[bytes]) -> Spelling:
+    """The spelling of all words outside the vocabulary."""
     known = set(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,52 +131,33 @@ def spelling(counted: DataFrame, words: list[str]) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(np.bincount(at, np.repeat(np.array([n for _, n in rows], float), sizes)), pa.float64())], ["code", "n"])
 
     rows = counted.mapInArrow(run, "code long, n double").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    table = np.full(256 * 256 * 257, 0.02, np.float32)
-    table[rows.column("code").to_numpy()] += rows.column("n").to_numpy().astype(np.float32)
-    table = table.reshape(-1, 257)
-    table /= table.sum(1, keepdims=True, dtype=np.float64).astype(np.float32)
-    return np.log(table, out=table).reshape(-1)
+    return Spelling(rows.column("code").to_numpy(), rows.column("n").to_numpy())
 
 
 class Ids(dict):
     """Word to id: 0 is the end mark, frequent words follow, then hash buckets; remembers a bounded number of rare words."""
 
-    def __init__(self, words: list[str], buckets: int) -> None:
+    def __init__(self, words: list[bytes], buckets: int) -> None:
         super().__init__((w, i + 1) for i, w in enumerate(words))
         self.low, self.buckets, self.size = len(words) + 1, buckets, len(words) + 1 + buckets
         self.own = dict(self)
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > len(self.own) + 200_000:
             self.clear()
             self.update(self.own)
-        self[word] = out = self.low + zlib.crc32(word.encode()) % self.buckets
+        self[word] = out = self.low + zlib.crc32(word) % self.buckets
         return out
 
 
-def framed(texts: list[str | None], ids: Ids) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def framed(texts: list[str], ids: Ids) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Ids of all texts with REACH end marks at either side of each, the texts' lengths, and their words outside the vocabulary."""
-    flat: list[int] = [0] * REACH
-    lengths, rare = [], []
-    for t in texts:
-        words = RUN.findall((t or "").lower())
-        own = [ids[w] for w in words]
-        flat += own
-        flat += [0] * REACH
-        lengths.append(len(own))
-        rare += [w for w, i in zip(words, own, strict=True) if i >= ids.low]
-    return np.array(flat, np.int64), np.array(lengths, np.int64), rare
-
-
-def sliced(batch: pa.RecordBatch, size: int = 4_000_000) -> Iterator[tuple[int, list[str | None]]]:
-    texts, at = batch.column("text").to_pylist(), 0
-    while at < len(texts):
-        end, total = at, 0
-        while end < len(texts) and (end == at or total < size):
-            total += len(texts[end] or "")
-            end += 1
-        yield at, texts[at:end]
-        at = end
+    words = [words_of(t) for t in texts]
+    lengths = np.array([len(w) for w in words], np.int64)
+    codes = np.fromiter(map(ids.__getitem__, chain.from_iterable(words)), np.int64, lengths.sum())
+    flat = np.zeros(len(codes) + REACH * (len(texts) + 1), np.int64)
+    flat[np.arange(len(codes)) + REACH * (1 + np.repeat(np.arange(len(texts)), lengths))] = codes
+    return flat, lengths, list(compress(chain.from_iterable(words), (codes >= ids.low).tolist()))
 
 
 Network = dict[str, np.ndarray]
@@ -156,37 +192,53 @@ def gradient(net: Network, contexts: np.ndarray, counts: np.ndarray) -> tuple[fl
     return float((counts * logs).sum()), out
 
 
+def depths(counts: list[int]) -> np.ndarray:
+    """Depth of each leaf in a Huffman tree of the counts."""
+    size = len(counts)
+    heap = [(max(n, 1), i) for i, n in enumerate(counts)]
+    heapq.heapify(heap)
+    parent = np.zeros(2 * size, np.int64)
+    for node in range(size, 2 * size - 1):
+        (n, x), (m, y) = heapq.heappop(heap), heapq.heappop(heap)
+        parent[x] = parent[y] = node
+        heapq.heappush(heap, (n + m, node))
+    depth = np.zeros(2 * size, np.int64)
+    for node in range(2 * size - 3, -1, -1):
+        depth[node] = depth[parent[node]] + 1
+    return depth[:size]
+
+
 class Tree:
-    """Huffman tree of leaves by their counts: the nodes on the way to each leaf, and +1 or -1 for the side taken."""
+    """Canonical Huffman tree of leaves by their counts: the nodes from the root to each leaf, and +1 or -1 for the side taken."""
 
     def __init__(self, counts: list[int]) -> None:
-        heap = [(max(n, 1), i) for i, n in enumerate(counts)]
-        heapq.heapify(heap)
-        size = len(counts)
-        parent, side, self.prior = np.zeros(2 * size, np.int64), np.zeros(2 * size, np.float32), np.zeros(max(size - 1, 1), np.float32)
-        for node in range(size, 2 * size - 1):
-            (n, x), (m, y) = heapq.heappop(heap), heapq.heappop(heap)
-            parent[x] = parent[y] = node
-            side[x], side[y] = 1, -1
-            self.prior[node - size] = math.log(n / m)
-            heapq.heappush(heap, (n + m, node))
-        nodes, signs, lengths = [], [], []
-        for leaf in range(size):
-            at, begun = leaf, len(nodes)
-            while at != 2 * size - 2:
-                nodes.append(parent[at] - size)
-                signs.append(side[at])
-                at = parent[at]
-            lengths.append(len(nodes) - begun)
-        self.nodes, self.signs, self.length = np.array(nodes, np.int64), np.array(signs, np.float32), np.array(lengths, np.int64)
+        self.length = depths(counts)
+        weight = np.maximum(np.array(counts, float), 1)
+        order = np.lexsort((-weight, self.length))
+        #: Place of each leaf in order of code, which is also that of depth.
+        self.rank = np.zeros(len(counts), np.int64)
+        self.rank[order] = np.arange(len(counts))
+        codes, code, last = [], 0, 0
+        for n in self.length[order].tolist():
+            code, last = code << (n - last), n
+            codes.append(code)
+            code += 1
         self.start = np.cumsum(self.length) - self.length
-
-    def ways(self, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For all steps to the leaves: which leaf, node and side; and where each leaf's steps start."""
-        n = self.length[leaves]
-        starts = np.cumsum(n) - n
-        at = np.arange(n.sum()) + np.repeat(self.start[leaves] - starts, n)
-        return np.repeat(np.arange(len(leaves)), n), self.nodes[at], self.signs[at], starts
+        self.nodes, self.signs = np.zeros(int(self.length.sum()), np.int64), np.zeros(int(self.length.sum()), np.float32)
+        priors, made = [], 0
+        for depth in range(int(self.length.max(initial=0))):
+            deep = [(leaf, c) for leaf, c in zip(order.tolist(), codes, strict=True) if self.length[leaf] > depth]
+            leaves = np.array([leaf for leaf, _ in deep])
+            above = [c >> int(self.length[leaf] - depth) for leaf, c in deep]
+            side = np.array([1.0 if c >> int(self.length[leaf] - depth - 1) & 1 == 0 else -1.0 for leaf, c in deep], np.float32)
+            own = np.cumsum([0, *(a != b for a, b in zip(above, above[1:], strict=False))])
+            self.nodes[self.start[leaves] + depth], self.signs[self.start[leaves] + depth] = made + own, side
+            both = [np.bincount(own, weight[leaves] * (side == s)) for s in (1, -1)]
+            priors.append(np.log(both[0] / both[1]))
+            made += int(own[-1]) + 1
+        #: How many nodes, the first, stand at depths below TOP.
+        self.top = sum(len(p) for p in priors[:TOP])
+        self.prior = np.concatenate([*priors, np.zeros(0 if priors else 1)]).astype(np.float32)
 
 
 def beginning(size: int, tree: Tree, width: int) -> Network:
@@ -203,56 +255,90 @@ def segments(codes: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def gains(net: Network, tree: Tree, part: np.ndarray, back: bool) -> tuple[np.ndarray, Network]:
-    """Log-probabilities of a stretch's words (an escape for those outside the vocabulary), and with `back` their gradient by place."""
+    """Log-probabilities of a stretch's words (an escape for those outside the vocabulary), and with `back` their gradient by row.
+
+    The first levels, whose few nodes nearly all words pass, are one product of matrices; further down each level takes its own rows.
+    """
     width, m = net["out"].shape[1] - 1, len(part) - 2 * REACH
-    near = net["near"][part]
+    near = net["near"].take(part, 0)
     z = np.zeros((m, width), np.float32)
     for k in range(1, REACH + 1):
-        z += (near[REACH - k : REACH - k + m, :width] + near[REACH + k : REACH + k + m, width:]) / np.float32(k)
+        z += (near[REACH - k : REACH - k + m, :width] + near[REACH + k : REACH + k + m, width:]) * np.float32(1 / k)
     own = part[REACH : REACH + m]
     place = np.flatnonzero(own)
-    which, nodes, signs, starts = tree.ways(np.minimum(own[place], len(tree.length)) - 1)
-    if not len(which):
+    leaf = np.minimum(own[place], len(tree.length)) - 1
+    order = np.argsort(tree.rank[leaf], kind="stable")
+    place, leaf = place[order], leaf[order]
+    length, start = tree.length[leaf], tree.start[leaf]
+    if not len(place) or not length[-1]:
         return np.zeros(len(place)), {}
     hidden = np.ones((len(place), width + 1), np.float32)
-    np.tanh(z[place], out=hidden[:, :width])
-    seen, weights = hidden[which], net["out"][nodes]
-    x = np.einsum("ij,ij->i", seen, weights) * signs
-    grown = np.exp(-np.abs(x))
-    logs = np.add.reduceat((np.minimum(x, 0) - np.log1p(grown)).astype(float), starts)
+    np.tanh(z.take(place, 0), out=hidden[:, :width])
+    sums = np.zeros(len(place))
+    top, first = net["out"][: tree.top], np.arange(len(place)) * tree.top
+    product = (hidden @ top.T).reshape(-1)
+    errors = np.zeros(product.shape, np.float32) if back else None
+    rows, values, inner = [], [], None
+    for depth in range(int(length[-1])):
+        low = int(np.searchsorted(length, depth, "right"))
+        at = start[low:] + depth
+        nodes, signs = tree.nodes.take(at), tree.signs.take(at)
+        if depth < TOP:
+            x = product.take(first[low:] + nodes) * signs
+        else:
+            seen, weights = hidden[low:], net["out"].take(nodes, 0)
+            x = np.einsum("ij,ij->i", seen, weights) * signs
+        grown = np.exp(-np.abs(x))
+        sums[low:] += np.minimum(x, 0) - np.log1p(grown)
+        if not back:
+            continue
+        error = signs * np.where(x > 0, grown, np.float32(1)) / (1 + grown)
+        if depth < TOP:
+            errors[first[low:] + nodes] = error
+            continue
+        if inner is None:
+            inner = errors.reshape(-1, tree.top) @ top[:, :width]
+        inner[low:] += np.einsum("i,ij->ij", error, weights[:, :width])
+        new = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]]))
+        rows.append(nodes[new])
+        values.append(np.add.reduceat(np.einsum("i,ij->ij", error, seen), new))
+    logs = np.empty(len(place))
+    logs[order] = sums
     if not back:
         return logs, {}
-    error = (signs * np.where(x > 0, grown, np.float32(1)) / (1 + grown))[:, None]
-    inner = np.zeros((m, width), np.float32)
-    inner[place] = np.add.reduceat(error * weights[:, :width], starts) * (1 - hidden[:, :width] ** 2)
+    errors = errors.reshape(-1, tree.top)
+    inner = errors @ top[:, :width] if inner is None else inner
+    spread = np.zeros((m, width), np.float32)
+    spread[place] = inner * (1 - hidden[:, :width] ** 2)
     grad = np.zeros_like(near)
     for k in range(1, REACH + 1):
-        grad[REACH - k : REACH - k + m, :width] += inner / np.float32(k)
-        grad[REACH + k : REACH + k + m, width:] += inner / np.float32(k)
-    return logs, {"near": (part, grad), "out": (nodes, error * seen)}
+        shared = spread * np.float32(1 / k)
+        grad[REACH - k : REACH - k + m, :width] += shared
+        grad[REACH + k : REACH + k + m, width:] += shared
+    return logs, {"near": summed(part, grad), "out": (np.concatenate([np.arange(tree.top), *rows]), np.concatenate([errors.T @ hidden, *values]))}
 
 
 def summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(rows)
+    """Sums of the values of equal rows."""
+    order = np.argsort(rows, kind="stable")
     rows = rows[order]
     starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    return rows[starts], np.add.reduceat(values[order], starts)
+    return rows[starts], np.add.reduceat(values.take(order, 0), starts)
 
 
-def train(docs: DataFrame, words: list[str], buckets: int, tree: Tree, width: int, steps: int, rate: float) -> Network:
+def train(docs: DataFrame, words: list[bytes], buckets: int, tree: Tree, width: int, steps: int, rate: float) -> Network:
     """Passes over all documents; after each the network moves by the mean of the partitions' moves, row by row."""
     net = beginning(len(words) + 1 + buckets, tree, width)
     names = sorted(net)
 
     def moved(sent):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            old = sent.value
+            old, words, tree = sent.value
             now, power, ids = {k: v.copy() for k, v in old.items()}, {k: np.full_like(v, 1e-8) for k, v in old.items()}, Ids(words, buckets)
             for batch in batches:
-                for _, texts in sliced(batch, 500_000):
+                for _, texts in portions(batch, SLICE):
                     for part in segments(framed(texts, ids)[0]):
-                        for k, (rows, values) in gains(now, tree, part, True)[1].items():
-                            at, g = summed(rows, values)
+                        for k, (at, g) in gains(now, tree, part, True)[1].items():
                             power[k][at] += g * g
                             now[k][at] += np.float32(rate) * g / np.sqrt(power[k][at])
             for i, k in enumerate(names):
@@ -276,7 +362,7 @@ def train(docs: DataFrame, words: list[str], buckets: int, tree: Tree, width: in
 
     kinds = "table int, at long, delta binary"
     for _ in range(steps):
-        sent = docs.sparkSession.sparkContext.broadcast(net)
+        sent = docs.sparkSession.sparkContext.broadcast((net, words, tree))
         rows = docs.select("text").mapInArrow(moved(sent), kinds).repartition("table", "at").mapInArrow(together, kinds).collect()
         net = {k: v.copy() for k, v in net.items()}
         for r in rows:
@@ -286,21 +372,32 @@ def train(docs: DataFrame, words: list[str], buckets: int, tree: Tree, width: in
     return net
 
 
-def score_documents(docs: DataFrame, words: list[str], buckets: int, tree: Tree, net: Network, spelled: np.ndarray) -> DataFrame:
+#: The model that this worker process has unpacked last, by name.
+_unpacked: dict[str, tuple] = {}
+
+
+def unpacked(name: str, sent) -> tuple:
+    if name not in _unpacked:
+        _unpacked.clear()
+        _unpacked[name] = sent.value
+    return _unpacked[name]
+
+
+def score_documents(docs: DataFrame, words: list[bytes], buckets: int, tree: Tree, net: Network, spelled: Spelling) -> DataFrame:
     """Summed and mean conditional log-probability of every whole text."""
-    sent = docs.sparkSession.sparkContext.broadcast((net, spelled))
+    sent, name = docs.sparkSession.sparkContext.broadcast((net, words, tree, spelled)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (net, spelled), ids = sent.value, Ids(words, buckets)
+        net, words, tree, spelled = unpacked(name, sent)
+        ids = Ids(words, buckets)
         for batch in batches:
-            for at, texts in sliced(batch, 500_000):
+            for at, texts in portions(batch, SLICE):
                 codes, n, rare = framed(texts, ids)
                 total = np.zeros(len(texts))
                 if n.any():
                     logs = np.concatenate([gains(net, tree, part, False)[0] for part in segments(codes)])
                     if rare:
-                        code, sizes = trigrams(rare)
-                        logs[codes[codes > 0] >= ids.low] += np.add.reduceat(spelled[code].astype(float), np.cumsum(sizes) - sizes)
+                        logs[codes[codes > 0] >= ids.low] += spelled.score(rare)
                     some = np.flatnonzero(n)
                     total[some] = np.add.reduceat(logs, (np.cumsum(n) - n)[some])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), pa.array(n, pa.int64()), pa.array(total), pa.array(total / np.maximum(n, 1))], ["doc_id", "n_tokens", "log_score", "mean_log_score"])
