@@ -9,7 +9,8 @@ rarer word is an escape leaf of the tree and then its spelling, byte by byte, by
 each has a probability of its own. Only as a neighbour does a rarer word share its embedding with others, by a hash bucket.
 A document's score is the sum of the log-probabilities of all its words.
 
-Training passes over all documents: each partition runs Adagrad over its own texts from the common network, and each row of
+Training passes over all documents, and hands on their ids and the scores of their rarer words, so that scoring need not read
+texts again: each partition runs Adagrad over its own texts from the common network, and each row of
 the network moves by the mean over the partitions that touched it. Changes are summed in blocks of rows by a shuffle, so the
 driver sees one network. Network and vocabulary are sent to all workers and grow about as the root of the corpus.
 
@@ -326,26 +327,45 @@ def summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return rows[starts], np.add.reduceat(values.take(order, 0), starts)
 
 
+#: The model that this worker process has unpacked last, by name.
+_unpacked: dict[str, tuple] = {}
+
+
+def unpacked(name: str, sent) -> tuple:
+    if name not in _unpacked:
+        _unpacked.clear()
+        _unpacked[name] = sent.value
+    return _unpacked[name]
+
+
 def train(docs: DataFrame, words: list[bytes], buckets: int, tree: Tree, width: int, steps: int, rate: float) -> Network:
     """Passes over all documents; after each the network moves by the mean of the partitions' moves, row by row."""
+    return train_and_encode(docs, words, buckets, tree, width, steps, rate, None)[0]
+
+
+def train_and_encode(docs: DataFrame, words: list[bytes], buckets: int, tree: Tree, width: int, steps: int, rate: float, spelled: Spelling | None) -> tuple[Network, DataFrame | None]:
+    """The trained network, and with `spelled` (doc_id, codes, n_tokens, spelled) of every document from the first pass."""
     net = beginning(len(words) + 1 + buckets, tree, width)
     names = sorted(net)
 
-    def moved(sent):
+    def moved(sent, name):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            old, words, tree = sent.value
+            old, words, tree, spelled = unpacked(name, sent)
             now, power, ids = {k: v.copy() for k, v in old.items()}, {k: np.full_like(v, 1e-8) for k, v in old.items()}, Ids(words, buckets)
             for batch in batches:
-                for _, texts in portions(batch, SLICE):
-                    for part in segments(framed(texts, ids)[0]):
-                        for k, (at, g) in gains(now, tree, part, True)[1].items():
-                            power[k][at] += g * g
-                            now[k][at] += np.float32(rate) * g / np.sqrt(power[k][at])
+                for at, texts in portions(batch, SLICE):
+                    codes, n, rare = framed(texts, ids)
+                    for part in segments(codes):
+                        for k, (rows, g) in gains(now, tree, part, True)[1].items():
+                            power[k][rows] += g * g
+                            now[k][rows] += np.float32(rate) * g / np.sqrt(power[k][rows])
+                    if spelled is not None:
+                        yield encoded(batch.column("doc_id").slice(at, len(texts)), codes, n, spelled.score(rare), ids.low)
             for i, k in enumerate(names):
                 for at in range(0, len(now[k]), BLOCK):
                     delta = now[k][at : at + BLOCK] - old[k][at : at + BLOCK]
                     if delta.any():
-                        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([at], pa.int64()), pa.array([delta.tobytes()], pa.binary())], ["table", "at", "delta"])
+                        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([at], pa.int64()), pa.array([delta.tobytes()], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.float64())], MOVED)
 
         return run
 
@@ -360,31 +380,49 @@ def train(docs: DataFrame, words: list[bytes], buckets: int, tree: Tree, width:
         for (i, at), (values, n) in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([at], pa.int64()), pa.array([(values / np.maximum(n, 1)).astype(np.float32).tobytes()], pa.binary())], ["table", "at", "delta"])
 
-    kinds = "table int, at long, delta binary"
-    for _ in range(steps):
-        sent = docs.sparkSession.sparkContext.broadcast((net, words, tree))
-        rows = docs.select("text").mapInArrow(moved(sent), kinds).repartition("table", "at").mapInArrow(together, kinds).collect()
+    kinds, texts_of = "table int, at long, delta binary", None
+    for step in range(steps):
+        sent = docs.sparkSession.sparkContext.broadcast((net, words, tree, spelled if step == 0 else None))
+        made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(moved(sent, uuid.uuid4().hex), f"{kinds}, n_tokens long, spelled double")
+        if spelled is not None and step == 0:
+            made = settle(made, "moved")
+            texts_of = made.filter("table = -1").select(F.col("at").alias("doc_id"), F.col("delta").alias("codes"), "n_tokens", "spelled")
+        rows = made.filter("table >= 0").select("table", "at", "delta").repartition("table", "at").mapInArrow(together, kinds).collect()
         net = {k: v.copy() for k, v in net.items()}
         for r in rows:
             own = net[names[r["table"]]]
             values = np.frombuffer(r["delta"], np.float32).reshape(-1, own.shape[1])
             own[r["at"] : r["at"] + len(values)] += values
-    return net
+    return net, texts_of
 
 
-#: The model that this worker process has unpacked last, by name.
-_unpacked: dict[str, tuple] = {}
+MOVED = ["table", "at", "delta", "n_tokens", "spelled"]
 
 
-def unpacked(name: str, sent) -> tuple:
-    if name not in _unpacked:
-        _unpacked.clear()
-        _unpacked[name] = sent.value
-    return _unpacked[name]
+def encoded(ids: pa.Array, codes: np.ndarray, n: np.ndarray, spelled: np.ndarray, low: int) -> pa.RecordBatch:
+    """Rows (table -1, id, codes as 32-bit integers, number of words, summed scores of spellings) of the framed texts."""
+    ends = REACH + np.cumsum(n + REACH) - REACH
+    small = codes.astype(np.int32)
+    blobs = [small[b - k : b].tobytes() for b, k in zip(ends.tolist(), n.tolist(), strict=True)]
+    of = np.repeat(np.arange(len(n)), n)[codes[codes > 0] >= low]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), -1), pa.int32()), ids, pa.array(blobs, pa.binary()), pa.array(n, pa.int64()), pa.array(np.bincount(of, spelled, len(n)).astype(float))], MOVED)
+
+
+SCORED = "doc_id long, n_tokens long, log_score double, mean_log_score double"
+
+
+def scored(ids: pa.Array, codes: np.ndarray, n: np.ndarray, spelled: np.ndarray, net: Network, tree: Tree) -> pa.RecordBatch:
+    """Summed and mean log-probabilities of framed texts, given the sums of their spellings."""
+    total = spelled.astype(float)
+    if n.any():
+        logs = np.concatenate([gains(net, tree, part, False)[0] for part in segments(codes)])
+        some = np.flatnonzero(n)
+        total[some] += np.add.reduceat(logs, (np.cumsum(n) - n)[some])
+    return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(total), pa.array(total / np.maximum(n, 1))], ["doc_id", "n_tokens", "log_score", "mean_log_score"])
 
 
 def score_documents(docs: DataFrame, words: list[bytes], buckets: int, tree: Tree, net: Network, spelled: Spelling) -> DataFrame:
-    """Summed and mean conditional log-probability of every whole text."""
+    """Summed and mean conditional log-probability of every whole text under any model."""
     sent, name = docs.sparkSession.sparkContext.broadcast((net, words, tree, spelled)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,16 +431,30 @@ def score_documents(docs: DataFrame, words: list[bytes], buckets: int, tree: Tre
         for batch in batches:
             for at, texts in portions(batch, SLICE):
                 codes, n, rare = framed(texts, ids)
-                total = np.zeros(len(texts))
-                if n.any():
-                    logs = np.concatenate([gains(net, tree, part, False)[0] for part in segments(codes)])
-                    if rare:
-                        logs[codes[codes > 0] >= ids.low] += spelled.score(rare)
-                    some = np.flatnonzero(n)
-                    total[some] = np.add.reduceat(logs, (np.cumsum(n) - n)[some])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), pa.array(n, pa.int64()), pa.array(total), pa.array(total / np.maximum(n, 1))], ["doc_id", "n_tokens", "log_score", "mean_log_score"])
+                of = np.repeat(np.arange(len(n)), n)[codes[codes > 0] >= ids.low]
+                yield scored(batch.column("doc_id").slice(at, len(texts)), codes, n, np.bincount(of, spelled.score(rare), len(n)), net, tree)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCORED)
+
+
+def score_encoded(texts: DataFrame, tree: Tree, net: Network) -> DataFrame:
+    """The same from (doc_id, codes, n_tokens, spelled)."""
+    sent, name = texts.sparkSession.sparkContext.broadcast((net, tree)), uuid.uuid4().hex
+    pad = bytes(4 * REACH)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, tree = unpacked(name, sent)
+        for batch in batches:
+            n, spelled = (batch.column(c).to_numpy() for c in ("n_tokens", "spelled"))
+            at = 0
+            while at < len(n):
+                end = max(at + 1, int(np.searchsorted(np.cumsum(n[at:]), SLICE // 4, "right")) + at)
+                blobs = batch.column("codes").slice(at, end - at).to_pylist()
+                codes = np.frombuffer(pad + b"".join(b + pad for b in blobs), np.int32).astype(np.int64)
+                yield scored(batch.column("doc_id").slice(at, end - at), codes, n[at:end], spelled[at:end], net, tree)
+                at = end
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, log_score double, mean_log_score double")
+    return texts.select("doc_id", "codes", "n_tokens", "spelled").mapInArrow(run, SCORED)
 
 
 def score_corpus(docs: DataFrame, frequent: int | None = None, buckets: int = BUCKETS, width: int = WIDTH, steps: int = STEPS, rate: float = RATE) -> DataFrame:
@@ -410,7 +462,8 @@ def score_corpus(docs: DataFrame, frequent: int | None = None, buckets: int = BU
     counted = counted_words(docs)
     held, others = vocabulary(counted, frequent)
     words, tree = [w for w, _ in held], Tree([n for _, n in held] + [others])
-    return score_documents(docs, words, buckets, tree, train(docs, words, buckets, tree, width, steps, rate), spelling(counted, words))
+    net, texts = train_and_encode(docs, words, buckets, tree, width, max(1, steps), rate, spelling(counted, words))
+    return score_encoded(texts, tree, net)
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
