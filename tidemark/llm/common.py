@@ -50,12 +50,12 @@ def text_of(df: DataFrame) -> Column:
     return F.coalesce(df["text"], F.lit(""))
 
 
-def portions(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, list[str]]]:
+def portions(batch: pa.RecordBatch, size: int, column: str | int = "text") -> Iterator[tuple[int, list[str]]]:
     """The texts of a batch in portions of about `size` bytes, with the number of the first row.
 
     Null is the empty text; bytes that are no UTF-8 count as replacement characters. Only one portion is held as Python strings.
     """
-    texts = batch.column("text").cast(pa.binary())
+    texts = batch.column(column).cast(pa.binary())
     at = 0
     while at < len(texts):
         part: list[str] = []

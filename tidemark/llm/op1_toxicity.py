@@ -8,7 +8,8 @@ logarithm of the text's length goes through a logistic curve fitted on the same
 
 Cases: null and empty texts have no hits and get the curve's value at 0; without labelled rows of both kinds, or without a term that tells them
 apart, every score is 0;
-equal texts get equal scores; an empty table gives an empty result; other columns are ignored; texts are never cut.
+equal texts get equal scores; bytes that are no UTF-8 count as replacement characters; an empty table gives an empty result; other columns are
+ignored; texts are never cut.
 """
 
 from __future__ import annotations
@@ -16,16 +17,20 @@ from __future__ import annotations
 import json
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, settle
+from tidemark.llm.common import documents, portions, settle
 
 SAMPLE, TERMS = 10_000, 500
+#: Bytes of text looked at together.
+SLICE = 4_000_000
 #: A term must occur in this many texts of the toxic sample and in this share of it, and be this many times likelier there.
 LEAST, SUPPORT, LIFT = 6, 0.01, 12.0
 PREFIXES = range(4, 10)
@@ -97,10 +102,17 @@ def measure(found, line: str) -> tuple[int, float]:
         else:
             hits.append((end - length + 1, weight))
     if harmless:
-        hits = [h for h in hits if not any(a <= h[0] < b for a, b in harmless)]
+        harmless.sort()
+        starts, reach = [a for a, _ in harmless], list(accumulate((b for _, b in harmless), max))
+        hits = [h for h in hits if not ((i := bisect_right(starts, h[0])) and h[0] < reach[i - 1])]
     return len(hits), sum(w for _, w in hits)
 
 
+def n_words(line: str) -> int:
+    """Words of a folded text."""
+    return line.count(" ") - 1 if len(line) > 2 else 0
+
+
 def strength(weight: float, words: int) -> float:
     return weight / (1 + math.log1p(words / 100))
 
@@ -119,8 +131,9 @@ def counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[str] = Counter()
         for batch in batches:
-            for text in batch.column("text"):
-                total.update(candidates(fold(text.as_py())))
+            for _, texts in portions(batch, SLICE):
+                for text in texts:
+                    total.update(candidates(fold(text)))
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["term", "n"])
 
     return docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
@@ -150,8 +163,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = machine(weights)
         for batch in batches:
-            lines = [fold(x.as_py()) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([strength(measure(found, x)[1], x.count(" ") - 1) for x in lines], pa.float64())], ["toxic", "x"])
+            for at, texts in portions(batch, SLICE):
+                own = [strength(measure(found, x)[1], n_words(x)) for x in map(fold, texts)]
+                yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(at, len(own)), pa.array(own, pa.float64())], ["toxic", "x"])
 
     points = seen.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(run, "toxic int, x double").groupBy("toxic", F.round("x", 4).alias("x")).count().collect()
     return {"weights": weights, "curve": logistic([(r["x"], r["toxic"], r["count"]) for r in points])}
@@ -182,22 +196,26 @@ def score_toxicity(docs: DataFrame, model: dict) -> DataFrame:
         found = machine(known["weights"])
         a, b = known["curve"] or (-math.inf, 0.0)
         for batch in batches:
-            rows = []
-            for text in batch.column("text"):
-                line = fold(text.as_py())
-                words = max(0, line.count(" ") - 1)
-                hits, weight = measure(found, line)
-                z = a + b * strength(weight, words)
-                rows.append((1 / (1 + math.exp(-max(-500.0, z))), hits, words))
-            score, hits, words = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32()), pa.array(hits, pa.int64()), pa.array(words, pa.int64())], ["doc_id", "held_out", "score", "predicted", "hits", "n_words"])
+            for at, texts in portions(batch, SLICE):
+                rows = []
+                for line in map(fold, texts):
+                    words = n_words(line)
+                    hits, weight = measure(found, line)
+                    z = a + b * strength(weight, words)
+                    rows.append((1 / (1 + math.exp(-max(-500.0, z))), hits, words))
+                score, hits, words = zip(*rows, strict=True)
+                own = batch.slice(at, len(texts))
+                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("held_out"), pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32()), pa.array(hits, pa.int64()), pa.array(words, pa.int64())], ["doc_id", "held_out", "score", "predicted", "hits", "n_words"])
 
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text").mapInArrow(run, OUT)
 
 
 def drop_toxic(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, with all their columns, whose score is below the threshold."""
+    """The rows of docs, with all their columns, whose score is below the threshold.
+
+    Null and empty texts have no hits and stay; equal texts go or stay together; an empty table stays empty.
+    """
     said, place = json.dumps(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,8 +224,7 @@ def drop_toxic(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFram
         a, b = known["curve"] or (-math.inf, 0.0)
         least = math.log(threshold / (1 - threshold))
         for batch in batches:
-            lines = (fold(x.as_py()) for x in batch.column(place))
-            clean = [a + b * strength(measure(found, x)[1], max(0, x.count(" ") - 1)) < least for x in lines]
+            clean = [a + b * strength(measure(found, x)[1], n_words(x)) < least for _, texts in portions(batch, SLICE, place) for x in map(fold, texts)]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -3,7 +3,8 @@
 A text becomes template tokens: numbers, names (capitalised words inside a sentence) and units (after a number) become typed
 placeholders, other words are lower-cased. Windows of five tokens with at least three plain words are hashed and joined
 with the benchmark's. A document leaks an item if it holds at least `cover` of the item's distinct windows and the slots
-agree: wherever the item has one value behind a placeholder, the document has one value too. So an item is also caught
+agree, both ways: wherever the item has one value behind a placeholder, the document has one value too, and wherever the document
+has one, the item has. So an item is also caught
 when its numbers, names and units were replaced throughout, but not where only the pattern of a table recurs. Every window
 of an item keeps its place and values: slots are held against those at the aligned places of the document, one occurrence of the item at a
 time, and the best one counts; and once against those of all places.
@@ -105,10 +106,13 @@ KEYS = ("doc_id", "text_hash", "item_id")
 
 
 def agreements(pairs: DataFrame, *keys: str) -> DataFrame:
-    """Per group the share of slots whose value is the one that mostly stands for the item's value; pairs has an array s of both values."""
+    """Per group the smaller of two shares of slots: those whose document value mostly stands for their item value, and those
+    whose item value mostly stands behind their document value. Equal texts have 1. pairs has an array s of both values."""
     told = pairs.select(*keys, F.explode_outer("s").alias("s")).groupBy(*keys, F.col("s.item_slots").alias("value"), F.col("s.slots").alias("other")).agg(F.count("s").alias("n"))
-    told = told.groupBy(*keys, "value").agg(F.max("n").alias("best"), F.sum("n").alias("n"))
-    return told.groupBy(*keys).agg(F.coalesce(F.sum("best") / F.sum("n"), F.lit(1.0)).alias("agreement"))
+    sides = told.select(*keys, "n", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("value").alias("of")), F.struct(F.lit(1).alias("side"), F.col("other").alias("of")))).alias("v"))
+    each = sides.groupBy(*keys, "v").agg(F.max("n").alias("best"), F.sum("n").alias("n"))
+    shares = each.groupBy(*keys, F.col("v.side").alias("side")).agg(F.coalesce(F.sum("best") / F.sum("n"), F.lit(1.0)).alias("share"))
+    return shares.groupBy(*keys).agg(F.min("share").alias("agreement"))
 
 
 def aligned(met: DataFrame, cover: float) -> DataFrame:
@@ -195,10 +199,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, agre
     return both.groupBy("doc_id", "item_id", "text_hash").agg(F.max("coverage").alias("coverage"), F.max("agreement").alias("agreement")).select(*leaks.columns)
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that leak no item."""
-    leaks = find_leaks(docs, benchmark).select(F.col("doc_id").alias("leaked"), "text_hash").distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["leaked"]) & (F.xxhash64(text_of(docs)) == leaks["text_hash"]), "left_anti")
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of docs, with all their columns, that leak no item.
+
+    Ids and hashes of leaking rows are broadcast only if counted to be at most `broadcast_rows`, so no text is shuffled; beyond
+    that the join shuffles. Rows with null or empty texts stay; equal rows go or stay together; an empty table stays empty.
+    """
+    found = find_leaks(docs, benchmark, broadcast_rows=broadcast_rows)
+    leaks = settle(found.select(F.col("doc_id").alias("_tidemark_leaked"), F.col("text_hash").alias("_tidemark_same")).distinct(), "leaks")
+    side = F.broadcast(leaks) if leaks.count() <= broadcast_rows else leaks.hint("shuffle_merge")
+    return docs.join(side, docs["doc_id"].eqNullSafe(F.col("_tidemark_leaked")) & (F.xxhash64(text_of(docs)) == F.col("_tidemark_same")), "left_anti")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,9 @@ A text becomes lower-case words joined by single blanks (bytes, so only A-Z chan
 either side, so a hit is always a run of whole words, and overlapping hits all count. Where the words of an identifier tag
 occur, the expression after the tag is parsed from the text itself.
 
-Cases: null and empty texts have no words, no labels, score 0 and null positions; rows are independent, so ties and repeated rows
+An expression counts only if all it names are identifiers of known form or own references (LicenseRef-).
+
+Cases: null and empty texts have no words, no labels, score 0 and null positions; bytes that are no UTF-8 count as replacement characters; rows are independent, so ties and repeated rows
 need no care; an empty table gives an empty result; other columns are ignored; texts are never cut.
 """
 
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents
+from tidemark.llm.common import documents, portions
 
 # Phrases of the contract with their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -45,12 +47,22 @@ NOTICES = {
 BASE_WEIGHT = 0.9
 # How freely a licence allows reuse, by the head of its identifier.
 FREEDOM = {"mit": 1.0, "isc": 1.0, "bsd": 1.0, "apache": 1.0, "cc0": 1.0, "unlicense": 1.0, "bsl": 1.0, "zlib": 1.0, "cc": 0.6, "mpl": 0.6, "epl": 0.6, "lgpl": 0.5, "gpl": 0.2, "agpl": 0.1}
+# Forms of licence identifiers, by family; other words after a tag are prose.
+IDENTIFIERS = (
+    r"mit(-0|-cmu|-feh|-modern-variant)?", r"isc", r"0bsd", r"bsd-[1-4]-clause(-[a-z0-9-]+)?", r"apache-[12]\.[01]", r"[al]?gpl-[123]\.[01](-only|-or-later|\+)?", r"mpl-[12]\.[01](-no-copyleft-exception)?",
+    r"epl-[12]\.0", r"eupl-1\.[012]", r"cddl-1\.[01]", r"cc0-1\.0", r"cc-by(-nc)?(-sa|-nd)?-[1-4]\.[05](-[a-z]+)?", r"gfdl-1\.[123](-only|-or-later)?", r"bsl-1\.0", r"busl-1\.1", r"unlicense", r"wtfpl", r"zlib",
+    r"artistic-[12]\.0(-perl|-cl8)?", r"afl-[123]\.[0-2]", r"osl-[123]\.[01]", r"ofl-1\.[01]", r"odbl-1\.0", r"pddl-1\.0", r"postgresql", r"python-2\.0(\.1)?", r"psf-2\.0", r"openssl", r"php-3\.01?", r"ruby", r"vim", r"x11", r"ncsa", r"curl",
+    r"ms-(pl|rl)", r"upl-1\.0", r"unicode-(dfs-201[56]|3\.0)", r"sspl-1\.0", r"ecl-[12]\.0", r"w3c", r"xnet", r"zpl-[12]\.[01]", r"blueoak-1\.0\.0", r"hpnd", r"libpng(-2\.0)?", r"(documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+",
+)
+IDENTIFIER = re.compile("|".join(f"(?:{x})" for x in IDENTIFIERS))
 TAG = "spdx license identifier"
 TAGGED = re.compile(rb"spdx-license-identifier[ \t]*:[ \t]*([^\n\r]*)")
 SYMBOL = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*")
 RANK = {"or": 1, "and": 2, "with": 3}
 #: A-Z to a-z, every byte that is no word byte to a blank.
 FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
+#: Bytes of text looked at together.
+SLICE = 4_000_000
 OUT = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions string, freedom double"
 
 
@@ -112,26 +124,23 @@ def freedom(identifier: str) -> float:
     return next((v for k, v in FREEDOM.items() if low == k or low.startswith(f"{k}-")), 0.0)
 
 
-def evaluate(postfix: list[str]) -> tuple[list[str], float]:
-    """Labels in the expression, and its freedom: `or` takes the better side, `and` the worse, `with` loosens a licence."""
-    values: list[float] = []
-    labels: list[str] = []
-    names: list[str] = []
+def evaluate(postfix: list[str]) -> tuple[list[str], float] | None:
+    """Labels in the expression, and its freedom: `or` takes the better side, `and` the worse, `with` loosens a licence.
+
+    None if it names something that is no licence identifier; what stands after `with` is an exception, not a licence.
+    """
+    stack: list[tuple[list[str], float]] = []
     for symbol in postfix:
-        if symbol == "with":
-            exception, base = names.pop(), names[-1]
-            values.pop()
-            labels.remove(exception.lower())
-            values[-1] = min(1.0, freedom(base) + 0.3)
-        elif symbol in RANK:
-            right = values.pop()
-            values[-1] = max(values[-1], right) if symbol == "or" else min(values[-1], right)
-            names.pop()
+        if symbol in RANK:
+            (_, right), (left_labels, left) = (last := stack.pop()), stack.pop()
+            if symbol == "with":
+                stack.append((left_labels, min(1.0, left + 0.3)))
+            else:
+                stack.append((left_labels + last[0], max(left, right) if symbol == "or" else min(left, right)))
         else:
-            values.append(freedom(symbol))
-            names.append(symbol)
-            labels.append(symbol.lower())
-    return labels, values[-1]
+            stack.append(([symbol.lower()], freedom(symbol)))
+    labels, value = stack[-1]
+    return (labels, value) if all(IDENTIFIER.fullmatch(x) for x in labels) else None
 
 
 def scan(text: str | None) -> tuple:
@@ -165,8 +174,8 @@ def scan(text: str | None) -> tuple:
     if tagged:
         for m in TAGGED.finditer(raw.lower()):
             said = m[1].decode(errors="replace")
-            if postfix := to_postfix(said):
-                own, value = evaluate(postfix)
+            if (postfix := to_postfix(said)) and (known := evaluate(postfix)):
+                own, value = known
                 labels.update(own)
                 expressions.append(" ".join(postfix))
                 free = value if free is None else min(free, value)
@@ -182,8 +191,9 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = list(zip(*(scan(x.as_py()) for x in batch.column(1)), strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", *names])
+            for at, texts in portions(batch, SLICE):
+                columns = zip(*map(scan, texts), strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", *names])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, OUT)
 

@@ -18,9 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, settle, text_of
+from tidemark.llm.common import documents, let, settle, text_of
 
 SCOPE = 256
+#: Pieces that are added up in one go; even, so that every block starts outside a match.
+BLOCK = 512
+#: Rows with spans, and their spans, up to which they are broadcast to the texts: some 100 MB.
+BROADCAST_ROWS, BROADCAST_SPANS = 500_000, 2_000_000
 # The base patterns.
 ASSIGN_HEAD = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
 VALUE = r"[A-Za-z0-9+/_.=-]+"
@@ -37,17 +41,34 @@ SPAN = "array<struct<start:int,end:int>>"
 
 
 def spans(text: Column, pattern: str, valid) -> Column:
-    """Start and end of the leftmost non-overlapping matches for which valid(match) holds; text is free of the marks."""
-    pieces = F.split(F.regexp_replace(text, pattern, "\x01$0\x02"), "[\\x01\\x02]", -1)
+    """Start and end of the leftmost non-overlapping matches for which valid(match) holds; text is free of the marks.
+
+    Pieces between marks are added up in blocks, as an array that grows by one copies itself: the work stays in proportion to
+    the matches, however many a text has.
+    """
     none = F.array().cast(SPAN)
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), none.alias("out"))
 
     def step(a: Column, piece: Column) -> Column:
         end = a["at"] + F.length(piece)
         grown = F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), end.alias("end"))))
         return F.struct(end.alias("at"), (~a["inside"]).alias("inside"), F.when(a["inside"] & valid(piece), grown).otherwise(a["out"]).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(pieces, start, step, lambda a: a["out"])).otherwise(none)
+    def within(block: Column, at: Column) -> Column:
+        return F.aggregate(block, F.struct(at.alias("at"), F.lit(False).alias("inside"), none.alias("out")), step, lambda a: a["out"])
+
+    def blocks(pieces: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / BLOCK).cast("int")), lambda i: F.slice(pieces, i * BLOCK + 1, F.lit(BLOCK)))
+
+    def added(parts: Column) -> Column:
+        sizes = F.transform(parts, lambda b: F.aggregate(b, F.lit(0), lambda n, piece: n + F.length(piece)))
+        starts = F.aggregate(sizes, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+        return let(starts, lambda at: F.flatten(F.transform(parts, lambda b, i: within(b, F.get(at, i)))))
+
+    def found(pieces: Column) -> Column:
+        return F.when(F.size(pieces) <= BLOCK, within(pieces, F.lit(0))).otherwise(let(blocks(pieces), added))
+
+    pieces = F.split(F.regexp_replace(text, pattern, "\x01$0\x02"), "[\\x01\\x02]", -1)
+    return F.when(text.rlike(pattern), let(pieces, found)).otherwise(none)
 
 
 def scan_spans(docs: DataFrame) -> DataFrame:
@@ -98,19 +119,30 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     return scanned.join(linked, "row", "left").select("doc_id", "text_hash", F.sort_array(base).alias("base"), F.sort_array(F.concat(base, more)).alias("all"))
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """The rows of docs with every found span replaced by the mark, and n_chars, where it exists, counted anew."""
+def redact(docs: DataFrame, mark: str = "[SECRET]", broadcast_rows: int = BROADCAST_ROWS, broadcast_spans: int = BROADCAST_SPANS) -> DataFrame:
+    """The rows of docs with every found span replaced by the mark, and n_chars, where it exists, counted anew.
+
+    Spans are broadcast only if counted to be at most so many, in at most so many rows, so no text is shuffled; beyond that
+    the join shuffles. Null and empty texts stay as they are; equal rows are redacted alike; an empty table stays empty.
+    """
     spans_ = find_secrets(docs).filter(F.size("all") > 0)
     found = spans_.select(F.col("doc_id").alias("_tidemark_id"), F.col("text_hash").alias("_tidemark_same"), F.col("all").alias("_tidemark_spans")).dropDuplicates(["_tidemark_id", "_tidemark_same"])
-    held = docs.join(found, docs["doc_id"].eqNullSafe(found["_tidemark_id"]) & (F.xxhash64(text_of(docs)) == F.col("_tidemark_same")), "left")
+    found = settle(found, "found")
+    rows, total = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_tidemark_spans")), F.lit(0))).first()
+    found = F.broadcast(found) if rows <= broadcast_rows and total <= broadcast_spans else found.hint("shuffle_merge")
+    held = docs.join(found, docs["doc_id"].eqNullSafe(F.col("_tidemark_id")) & (F.xxhash64(text_of(docs)) == F.col("_tidemark_same")), "left")
     text = docs["text"]
 
-    def step(a: Column, s: Column) -> Column:
-        ahead = F.array(F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], F.concat(a["out"], ahead)).otherwise(a["out"]).alias("out"))
+    # Each span with the furthest end before it: what lies between is kept, and a span that starts beyond it leaves a mark.
+    def kept(ends: Column) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            before = F.get(ends, i)
+            return F.when(s["start"] >= before, F.concat(F.substring(text, before + 1, s["start"] - before), F.lit(mark))).otherwise("")
+
+        return F.concat(F.array_join(F.transform("_tidemark_spans", piece), ""), F.substring(text, F.element_at(ends, -1) + 1, F.length(text)))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate("_tidemark_spans", zero, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
+    ends = F.aggregate("_tidemark_spans", F.array(F.lit(0)), lambda a, s: F.concat(a, F.array(F.greatest(F.element_at(a, -1), s["end"]))))
+    clean = let(ends, kept)
     out = held.withColumn("text", F.when(F.col("_tidemark_spans").isNotNull(), clean).otherwise(text))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_tidemark_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(docs["n_chars"]))
