@@ -116,7 +116,7 @@ class Spelling:
         if new:
             code, sizes = trigrams(new)
             held.update(zip(new, np.add.reduceat(self.dense()[code].astype(float), np.cumsum(sizes) - sizes).tolist(), strict=True))
-        return np.fromiter((held[w] for w in words), float, len(words))
+        return np.fromiter(map(held.__getitem__, words), float, len(words))
 
 
 def spelling(counted: DataFrame, words: list[bytes]) -> Spelling:
@@ -209,6 +209,11 @@ def depths(counts: list[int]) -> np.ndarray:
     return depth[:size]
 
 
+def sortable(size: int) -> type:
+    """The type of numbers below size that sorts fastest: short ones are sorted by radix."""
+    return np.uint16 if size <= 65_536 else np.int64
+
+
 class Tree:
     """Canonical Huffman tree of leaves by their counts: the nodes from the root to each leaf, and +1 or -1 for the side taken."""
 
@@ -217,7 +222,7 @@ class Tree:
         weight = np.maximum(np.array(counts, float), 1)
         order = np.lexsort((-weight, self.length))
         #: Place of each leaf in order of code, which is also that of depth.
-        self.rank = np.zeros(len(counts), np.int64)
+        self.rank = np.zeros(len(counts), sortable(len(counts)))
         self.rank[order] = np.arange(len(counts))
         codes, code, last = [], 0, 0
         for n in self.length[order].tolist():
@@ -256,7 +261,7 @@ def segments(codes: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def gains(net: Network, tree: Tree, part: np.ndarray, back: bool) -> tuple[np.ndarray, Network]:
-    """Log-probabilities of a stretch's words (an escape for those outside the vocabulary), and with `back` their gradient by row.
+    """Log-probabilities of a stretch's words (an escape for those outside the vocabulary), or with `back` their gradient by row.
 
     The first levels, whose few nodes nearly all words pass, are one product of matrices; further down each level takes its own rows.
     """
@@ -290,8 +295,8 @@ def gains(net: Network, tree: Tree, part: np.ndarray, back: bool) -> tuple[np.nd
             seen, weights = hidden[low:], net["out"].take(nodes, 0)
             x = np.einsum("ij,ij->i", seen, weights) * signs
         grown = np.exp(-np.abs(x))
-        sums[low:] += np.minimum(x, 0) - np.log1p(grown)
         if not back:
+            sums[low:] += np.minimum(x, 0) - np.log1p(grown)
             continue
         error = signs * np.where(x > 0, grown, np.float32(1)) / (1 + grown)
         if depth < TOP:
@@ -303,9 +308,9 @@ def gains(net: Network, tree: Tree, part: np.ndarray, back: bool) -> tuple[np.nd
         new = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]]))
         rows.append(nodes[new])
         values.append(np.add.reduceat(np.einsum("i,ij->ij", error, seen), new))
-    logs = np.empty(len(place))
-    logs[order] = sums
     if not back:
+        logs = np.empty(len(place))
+        logs[order] = sums
         return logs, {}
     errors = errors.reshape(-1, tree.top)
     inner = errors @ top[:, :width] if inner is None else inner
@@ -316,12 +321,12 @@ def gains(net: Network, tree: Tree, part: np.ndarray, back: bool) -> tuple[np.nd
         shared = spread * np.float32(1 / k)
         grad[REACH - k : REACH - k + m, :width] += shared
         grad[REACH + k : REACH + k + m, width:] += shared
-    return logs, {"near": summed(part, grad), "out": (np.concatenate([np.arange(tree.top), *rows]), np.concatenate([errors.T @ hidden, *values]))}
+    return sums[:0], {"near": summed(part, grad), "out": (np.concatenate([np.arange(tree.top), *rows]), np.concatenate([errors.T @ hidden, *values]))}
 
 
 def summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums of the values of equal rows."""
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows.astype(sortable(int(rows.max(initial=0)) + 1)), kind="stable")
     rows = rows[order]
     starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
     return rows[starts], np.add.reduceat(values.take(order, 0), starts)
