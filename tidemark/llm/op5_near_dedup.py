@@ -3,7 +3,9 @@
 Every text becomes the set of its word shingles (64-bit hashes), and a MinHash signature. Texts with equal sets form a class;
 what follows works on one row per class. Signatures are banded; the number of bands follows from the threshold and the
 chosen miss probability. In a bucket not all pairs are made: first every member meets the bucket's hub (the member that
-shares most buckets). Members that are still in different components meet in blocks of bounded size, inside a task: first
+shares most buckets). Of the members of hubs that this leaves in different components, those outside the hub's largest component
+meet each other and those inside it, while those inside it, connected already, don't meet; so a large group of copies costs its size
+times the number outside it. They meet in blocks of bounded size, inside a task: first
 their signatures, which leaves those with a likely partner, then their sets; only the links that connect come out.
 
 Candidates are verified in sequence. Signatures (one byte per hash) are compared batch by batch, and a pair is dropped as
@@ -29,8 +31,10 @@ from tidemark.llm.common import ASCII_SPACE, documents, settle, text_of
 from tidemark.llm.components import connected_components
 
 SHINGLE, ROWS, MISS = 5, 5, 1e-6
-#: Members of a hub that are compared with each other in one task.
-BLOCK = 1000
+#: Members of a hub in a block; two blocks are compared in one task.
+BLOCK = 256
+#: Hubs up to which their sizes are broadcast to the members: some 50 MB.
+BROADCAST_HUBS = 1_000_000
 #: Bytes of text whose shingles are made at once; the arrays take some hundred times as much.
 SLICE = 500_000
 LAST = 2**63 - 1
@@ -231,12 +235,22 @@ def texts_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, size: int) -
     return held.mapInArrow(run, "node long, text binary").dropDuplicates(["node"])
 
 
-def in_blocks(members: DataFrame, block: int):
-    """Members of each hub in blocks of bounded size, grouped by pairs of blocks, so that any two members meet in one group."""
-    many = members.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    own = members.join(many, "hub").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return met.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks").groupBy("hub", "i", "j")
+def in_blocks(members: DataFrame, block: int, broadcast_hubs: int = BROADCAST_HUBS):
+    """Members of each hub in blocks of bounded size, grouped by pairs of blocks.
+
+    The first blocks hold the members outside the hub's largest component, the others those inside it. Every two members meet
+    in one group, but for those that are both inside. Sizes of hubs are broadcast only if counted to be few: a join on
+    the hub would bring a large one's members into one task.
+    """
+    each = members.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("n"))
+    tops = each.groupBy("hub").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.max("n").alias("inside"), (F.sum("n") - F.max("n")).alias("outside"))
+    tops = settle(tops.filter("outside > 0").select("hub", "top", *(F.ceil(F.col(c) / block).cast("int").alias(c) for c in ("inside", "outside"))), "tops")
+    sizes = F.broadcast(tops) if tops.count() <= broadcast_hubs else tops.hint("shuffle_merge")
+    is_in = F.col("label") == F.col("top")
+    spread = lambda blocks: F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
+    own = members.join(sizes, "hub").withColumn("own", F.when(is_in, F.col("outside") + spread("inside")).otherwise(spread("outside")))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(is_in, F.col("outside")).otherwise(F.col("outside") + F.col("inside")) - 1)))
+    return met.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "top", "inside", "outside").groupBy("hub", "i", "j")
 
 
 def sides_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
