@@ -5,7 +5,9 @@ lightest `gram`-byte piece by hash; equal strings have equal lightest pieces, so
 its own content, and consecutive strings with the same piece travel as one stretch of text.
 
 Two passes keep the shuffle small. The first sends the pieces' hashes alone, packed, and finds those that occur in two
-different texts. The second sends the stretches around such pieces, in order of doc_id. In a partition, a new batch gets its
+different texts. The second sends the stretches around such pieces, in order of doc_id; a stretch that a task has seen in a text of
+a smaller id is settled there, so of a passage that very many texts share a task sends few. Pieces fall into groups by hash, of
+about equal bytes whatever the input, and a task holds the index of one group at a time. There a new batch gets its
 suffix array (sorted suffixes with the smallest id of each), is searched in the existing levels for suffixes of smaller
 ids, and becomes a level; two levels of about the same size merge, so n suffixes lie in about log n levels. The first pass
 uses the same family over hashes. Whole copies are found by fingerprint and take no part.
@@ -26,11 +28,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, text_of
+from tidemark.llm.common import documents, settle, text_of
 
 SPAN, GRAM = 50, 20
-#: Bytes of text for each group of pieces in the first pass.
-GROUP_BYTES = 48_000_000
+#: Bytes of input for each group of pieces in the first pass, and in the second, in which shared bytes are sent several times over.
+GROUP_BYTES, STRETCH_BYTES = 32_000_000, 12_000_000
+#: Hashes in a row of the first pass: their owners are numbered by a byte.
+ENTRIES = 256
+#: Partitions at most; beyond that a partition takes its groups one after the other.
+PARTITIONS = 20_000
+#: Bytes of stretches that a task remembers as sent.
+SENT_BYTES = 32_000_000
 #: Bytes of text worked on at once, so that arrays stay in a core's cache.
 SLICE = 400_000
 LAST = 2**63 - 1
@@ -154,14 +162,26 @@ def unpack(blob: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def chopped(blob: bytes, first: np.ndarray) -> list[bytes]:
-    """The packed hashes from each of the given numbers to the next."""
-    bounds = [*(6 * first).tolist(), len(blob)]
+def chopped(blob: bytes, first: np.ndarray, width: int = 6) -> list[bytes]:
+    """The entries of so many bytes from each of the given numbers to the next."""
+    bounds = [*(width * first).tolist(), len(blob)]
     return [blob[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
-def send_pieces(groups: int, span: int):
-    """Of every text, the distinct hashes of its lightest pieces, packed by group."""
+def starts_of(*keys: np.ndarray) -> np.ndarray:
+    """Marks the first of each run of equal keys."""
+    out = np.ones(len(keys[0]), bool)
+    if len(out):
+        out[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return out
+
+
+def send_pieces(groups: int, span: int, entries: int = ENTRIES):
+    """The distinct hashes of the lightest pieces of all texts, by group.
+
+    A row has up to `entries` hashes of a group from the texts of a portion, packed: owners (their fingerprints), of (the number of each hash's
+    owner in the row) and pieces.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,26 +189,38 @@ def send_pieces(groups: int, span: int):
                 own = batch.column("c1").to_numpy(zero_copy_only=False)[low:high]
                 which, _, _, value = stretches(texts, span)
                 group = (value % np.uint64(groups)).astype(np.int64)
-                order = np.lexsort((value, group, which))
+                order = np.lexsort((value, which, group))
                 which, group, value = which[order], group[order], value[order]
-                new = np.r_[True, (which[1:] != which[:-1]) | (value[1:] != value[:-1])][: len(which)]
+                new = starts_of(group, which, value)
                 which, group, value = which[new], group[new], value[new]
-                first = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (group[1:] != group[:-1])][: len(which)])
-                blob = pack(value)
-                yield pa.RecordBatch.from_arrays([pa.array(group[first], pa.int32()), pa.array(own[which[first]], pa.int64()), pa.array(chopped(blob, first), pa.binary())], ["grp", "c1", "pieces"])
+                begins = np.flatnonzero(starts_of(group))
+                inside = np.arange(len(group)) - np.repeat(begins, np.diff(np.r_[begins, len(group)]))
+                row = starts_of(group) | (inside % entries == 0)
+                first, owner = np.flatnonzero(row), row | starts_of(which)
+                number = np.cumsum(owner) - 1
+                of = (number - np.repeat(number[first], np.diff(np.r_[first, len(group)]))).astype(np.uint8)
+                owners = own[which[owner]].astype("<i8").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(group[first], pa.int32()), pa.array(chopped(owners, number[first], 8), pa.binary()), pa.array(chopped(of.tobytes(), first, 1), pa.binary()), pa.array(chopped(pack(value), first), pa.binary())], ["grp", "owners", "of", "pieces"])
 
     return run
 
 
+def opened(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, and the owner of each."""
+    owners, of, pieces = (rows.column(c).to_pylist() for c in ("owners", "of", "pieces"))
+    before = np.cumsum([0, *(len(b) // 8 for b in owners)])[:-1]
+    at = np.frombuffer(b"".join(of), np.uint8) + np.repeat(before, [len(b) for b in of])
+    return unpack(b"".join(pieces)), np.frombuffer(b"".join(owners), "<i8")[at]
+
+
 def shared_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pieces that occur in two different texts, for each text that has them: (c1, pieces)."""
-    families: dict[int, tuple[Family, Family]] = {}
+    current, known, told = None, Family(), Family()
     for batch in batches:
-        for group in np.unique(batch.column("grp").to_numpy()):
-            mine = batch.filter(pc.equal(batch.column("grp"), int(group)))
-            blobs = mine.column("pieces").to_pylist()
-            keys, owners = unpack(b"".join(blobs)), np.repeat(mine.column("c1").to_numpy(), [len(b) // 6 for b in blobs])
-            known, told = families.setdefault(int(group), (Family(), Family()))
+        for group in np.unique(batch.column("grp").to_numpy()).tolist():
+            if group != current:  # rows come in order of group
+                current, known, told = group, Family(), Family()
+            keys, owners = opened(batch.filter(pc.equal(batch.column("grp"), group)))
             distinct, lowest = sort_min(keys, owners)
             found, before = known.find(distinct)
             owner = np.where(found, before, lowest)
@@ -204,15 +236,19 @@ def shared_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             told.add(distinct[fresh], np.zeros(int(fresh.sum()), np.int64))
             order = np.argsort(out_text, kind="stable")
             out_key, out_text = out_key[order], out_text[order]
-            first = np.flatnonzero(np.r_[True, out_text[1:] != out_text[:-1]][: len(out_text)])
-            blob = pack(out_key)
-            yield pa.RecordBatch.from_arrays([pa.array(out_text[first], pa.int64()), pa.array(chopped(blob, first), pa.binary())], ["c1", "pieces"])
+            first = np.flatnonzero(starts_of(out_text))
+            yield pa.RecordBatch.from_arrays([pa.array(out_text[first], pa.int64()), pa.array(chopped(pack(out_key), first), pa.binary())], ["c1", "pieces"])
+
 
+def send_stretches(span: int, groups: int):
+    """Of every text, the stretches around its shared pieces, with the group of the piece.
 
-def send_stretches(span: int):
-    """Of every text, the stretches around its shared pieces."""
+    One that an earlier text of this task with a smaller id has too is removed for certain; only its length goes on, to any group.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: dict[bytes, int] = {}
+        held = 0
         for batch in batches:
             for low, high, texts in sliced(batch):
                 k, c1 = (batch.column(c).to_numpy(zero_copy_only=False)[low:high] for c in ("k", "c1"))
@@ -223,8 +259,19 @@ def send_stretches(span: int):
                 for i, w in enumerate(wanted):
                     keep[bounds[i] : bounds[i + 1]] = np.isin(value[bounds[i] : bounds[i + 1]], w)
                 which, place, count, value = which[keep], place[keep], count[keep], value[keep]
-                parts = [texts[i][p : p + n + span - 1] for i, p, n in zip(which, place, count, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(value.astype(np.int64)), pa.array(k[which], pa.int64()), pa.array(c1[which], pa.int64()), pa.array(place, pa.int32()), pa.array(parts, pa.binary())], ["piece", "k", "c1", "place", "part"])
+                parts: list[bytes | None] = [texts[i][p : p + n + span - 1] for i, p, n in zip(which, place, count, strict=True)]
+                group = (value % np.uint64(groups)).astype(np.int32)
+                own = k[which]
+                for i, (part, id_) in enumerate(zip(parts, own.tolist(), strict=True)):
+                    first = sent.get(part)
+                    if first is not None and first < id_:
+                        parts[i], group[i] = None, (id_ + i) % groups
+                    elif first is None or id_ < first:
+                        held += len(part) + 100 if first is None else 0
+                        sent[part] = id_
+                if held > SENT_BYTES:
+                    sent, held = {}, 0
+                yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(own, pa.int64()), pa.array(c1[which], pa.int64()), pa.array(place, pa.int32()), pa.array(count + span - 1, pa.int32()), pa.array(parts, pa.binary())], ["grp", "k", "c1", "place", "size", "part"])
 
     return run
 
@@ -240,36 +287,47 @@ def suffixes(parts: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated_stretches(span: int):
-    """Byte ranges whose suffixes start in a text of a smaller id; stretches arrive in order of id."""
+    """Byte ranges whose suffixes start in a text of a smaller id; stretches arrive in order of group and id."""
+
+    def of_group(k: np.ndarray, place: np.ndarray, size: np.ndarray, parts: list[bytes | None], base: int, family: Family, whole: dict[bytes, int]) -> list[tuple[int, int, int]]:
+        out: list[tuple[int, int, int]] = []
+        novel: list[int] = []
+        for i, part in enumerate(parts):
+            if part is None:
+                out.append((i, int(place[i]), int(place[i]) + int(size[i])))
+                continue
+            digest = hashlib.blake2b(part, digest_size=16).digest()
+            if whole.setdefault(digest, int(k[i])) < k[i]:
+                out.append((i, int(place[i]), int(place[i]) + len(part)))
+            else:
+                novel.append(i)
+        for at in range(0, len(novel), 20_000):
+            some = novel[at : at + 20_000]
+            keys, which = suffixes([parts[i] for i in some], span)
+            row = np.array(some)[which]
+            owners = k[row]
+            distinct, lowest = sort_min(keys, owners)
+            found, before = family.find(distinct)
+            gone = np.minimum(before, lowest)[np.searchsorted(distinct, keys)] < owners
+            family.add(distinct[~found], lowest[~found])
+            offset = np.arange(len(row)) - np.searchsorted(which, which)
+            edge = np.flatnonzero((np.diff(np.r_[False, gone, False].astype(np.int8)) != 0) | np.r_[True, (row[1:] != row[:-1]), True])
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                if gone[a]:
+                    out.append((int(row[a]), int(place[row[a]] + offset[a]), int(place[row[a]] + offset[b - 1] + span)))
+        return [(base + i, a, b) for i, a, b in out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family = Family()
-        whole: dict[bytes, int] = {}
+        current, family, whole = None, Family(), {}
         for batch in batches:
-            k, place = batch.column("k").to_numpy(), batch.column("place").to_numpy()
-            parts = batch.column("part").to_pylist()
+            grp, k, place, size = (batch.column(c).to_numpy() for c in ("grp", "k", "place", "size"))
+            edges = [0, *(np.flatnonzero(grp[1:] != grp[:-1]) + 1).tolist(), len(grp)]
             out: list[tuple[int, int, int]] = []
-            novel: list[int] = []
-            for i, part in enumerate(parts):
-                digest = hashlib.blake2b(part, digest_size=16).digest()
-                if whole.setdefault(digest, int(k[i])) < k[i]:
-                    out.append((i, int(place[i]), int(place[i]) + len(part)))
-                else:
-                    novel.append(i)
-            for at in range(0, len(novel), 20_000):
-                some = novel[at : at + 20_000]
-                keys, which = suffixes([parts[i] for i in some], span)
-                row = np.array(some)[which]
-                owners = k[row]
-                distinct, lowest = sort_min(keys, owners)
-                found, before = family.find(distinct)
-                gone = np.minimum(before, lowest)[np.searchsorted(distinct, keys)] < owners
-                family.add(distinct[~found], lowest[~found])
-                offset = np.arange(len(row)) - np.searchsorted(which, which)
-                edge = np.flatnonzero((np.diff(np.r_[False, gone, False].astype(np.int8)) != 0) | np.r_[True, (row[1:] != row[:-1]), True])
-                for a, b in zip(edge[:-1], edge[1:], strict=True):
-                    if gone[a]:
-                        out.append((int(row[a]), int(place[row[a]] + offset[a]), int(place[row[a]] + offset[b - 1] + span)))
+            for low, high in zip(edges, edges[1:], strict=False):
+                if low < high:
+                    if grp[low] != current:
+                        current, family, whole = grp[low], Family(), {}
+                    out += of_group(k[low:high], place[low:high], size[low:high], batch.column("part").slice(low, high - low).to_pylist(), low, family, whole)
             who = [o[0] for o in out]
             yield pa.RecordBatch.from_arrays([pa.array(k[who], pa.int64()), batch.column("c1").take(pa.array(who, pa.int64())), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64())], ["k", "c1", "start", "end"])
 
@@ -301,17 +359,18 @@ def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """Of every document: its size, removed bytes, maximal removed runs and what is left."""
     text = text_of(docs)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("k"), F.xxhash64(text).alias("c1"), text.alias("text"))
-    light = keyed.select("k", "c1", F.xxhash64(F.lit(1), "text").alias("c2"), F.octet_length("text").cast("long").alias("size"))
+    light = settle(keyed.select("k", "c1", F.xxhash64(F.lit(1), "text").alias("c2"), F.octet_length("text").cast("long").alias("size")), "light")
     first = light.groupBy("c1", "c2").agg(F.min("k").alias("first"), F.first("size").alias("size"))
-    total = docs.select(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    total = light.agg(F.sum("size")).first()[0] or 0
+    groups, finer = max(8, -(-total // GROUP_BYTES)), max(8, -(-total // STRETCH_BYTES))
     copies = light.filter(F.col("size") >= span).join(first.select("c1", "c2", "first"), ["c1", "c2"]).filter("k > first").select("k", "c1", F.lit(0).cast("long").alias("start"), F.col("size").alias("end")).distinct()
 
-    pieces = keyed.select("c1", "text").mapInArrow(send_pieces(max(8, -(-total // GROUP_BYTES)), span), "grp int, c1 long, pieces binary")
-    shared = pieces.repartition("grp").mapInArrow(shared_pieces, "c1 long, pieces binary").join(first.select("c1", F.col("first").alias("k")), "c1")
+    pieces = keyed.select("c1", "text").mapInArrow(send_pieces(groups, span), "grp int, owners binary, of binary, pieces binary")
+    shared = pieces.repartition(min(groups, PARTITIONS), "grp").sortWithinPartitions("grp").mapInArrow(shared_pieces, "c1 long, pieces binary").join(first.select("c1", F.col("first").alias("k")), "c1")
     wanted = shared.groupBy("k", "c1").agg(F.collect_list("pieces").alias("shared"))
     # The same columns as in the last join, so that both use one exchange of the texts.
-    parts = keyed.join(wanted, ["k", "c1"]).select("doc_id", "k", "c1", "text", "shared").mapInArrow(send_stretches(span), "piece long, k long, c1 long, place int, part binary")
-    repeats = parts.repartition("piece").sortWithinPartitions("k").mapInArrow(repeated_stretches(span), "k long, c1 long, start long, end long")
+    parts = keyed.join(wanted, ["k", "c1"]).select("doc_id", "k", "c1", "text", "shared").mapInArrow(send_stretches(span, finer), "grp int, k long, c1 long, place int, size int, part binary")
+    repeats = parts.repartition(min(finer, PARTITIONS), "grp").sortWithinPartitions("grp", "k").mapInArrow(repeated_stretches(span), "k long, c1 long, start long, end long")
     ranges = repeats.unionByName(copies).groupBy("k", "c1").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     return keyed.join(ranges, ["k", "c1"], "left").select("doc_id", "text", "ranges").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
