@@ -138,6 +138,22 @@ def fetch_sources(wanted: DataFrame, peers: DataFrame) -> DataFrame:
     return wanted.join(peers, "hash").withColumn("rank", rank)
 
 
+def acquire(sources: DataFrame, usable: DataFrame) -> DataFrame:
+    """Where each hash comes from when peers are asked in order of rank: (hash, peer, rank, tries, outcome).
+
+    sources: (hash, peer, rank); usable: (hash, peer, answer found, missing or busy) of the peers that can be asked. The first peer
+    that has it gives it, after as many tries as there are peers before it; if none has it, the loss is permanent if any said so
+    and none was busy, else it is to be tried again.
+    """
+    met = sources.join(usable, ["hash", "peer"], "left")
+    got = F.min(F.when(F.col("answer") == "found", F.struct("rank", "peer")))
+    busy, missing = F.bool_or(F.col("answer") == "busy"), F.bool_or(F.col("answer") == "missing")
+    each = met.groupBy("hash").agg(got.alias("got"), F.coalesce(busy, F.lit(False)).alias("busy"), F.coalesce(missing, F.lit(False)).alias("missing"), F.collect_list(F.when(F.col("answer").isNotNull(), F.col("rank"))).alias("asked"))
+    outcome = F.when(F.col("got").isNotNull(), "found").when(F.col("missing") & ~F.col("busy"), "permanent").otherwise("transient")
+    tries = F.size(F.filter("asked", lambda r: F.col("got").isNull() | (r <= F.col("got.rank"))))
+    return each.select("hash", F.col("got.peer").alias("peer"), F.col("got.rank").alias("rank"), tries.alias("tries"), outcome.alias("outcome"))
+
+
 def acquisition(asked: DataFrame) -> DataFrame:
     """Outcome per hash: found at some peer, missing at all (permanent), or none usable (transient)."""
     return asked.groupBy("hash").agg(F.when(F.bool_or(F.col("answer") == "found"), "found").when(F.bool_and(F.col("answer") == "missing"), "permanent").otherwise("transient").alias("outcome"))

@@ -951,3 +951,27 @@ def state_over_index(spark, sf):
     log = X.ops(spark, sf)
     early = R.current_state(log.filter("event_id % 2 = 0"))
     return R.current_state(log, early).select("path", "content_hash", V.text(F.col("vv")).alias("vv"))
+
+
+_ASKED = "asked AS (SELECT hash, peer, rank, CASE WHEN (length(peer) + ascii(hash[1:1])) % 4 = 0 THEN 'found' WHEN ascii(hash[2:2]) % 3 = 0 THEN 'busy' ELSE 'missing' END AS answer FROM s WHERE ascii(hash[3:3]) % 5 <> rank)"
+
+
+@query(
+    "WITH w AS (SELECT sha256(props) AS hash, min(event_type) AS origin FROM events GROUP BY props), p AS (SELECT DISTINCT sha256(props) AS hash, event_type AS peer FROM events), "
+    f"s AS (SELECT hash, peer, row_number() OVER (PARTITION BY hash ORDER BY CASE WHEN peer <> origin THEN 1 ELSE 0 END, peer) AS rank FROM w JOIN p USING (hash)), {_ASKED}, "
+    "g AS (SELECT s.hash, min(CASE WHEN answer = 'found' THEN s.rank END) AS rank, bool_or(coalesce(answer = 'busy', false)) AS busy, bool_or(coalesce(answer = 'missing', false)) AS missing FROM s LEFT JOIN asked a ON a.hash = s.hash AND a.peer = s.peer GROUP BY s.hash) "
+    "SELECT g.hash, s.peer, g.rank, (SELECT count(*) FROM asked a WHERE a.hash = g.hash AND (g.rank IS NULL OR a.rank <= g.rank)) AS tries, CASE WHEN g.rank IS NOT NULL THEN 'found' WHEN missing AND NOT busy THEN 'permanent' ELSE 'transient' END AS outcome FROM g LEFT JOIN s ON s.hash = g.hash AND s.rank = g.rank"
+)
+def acquisition_order(spark, sf):
+    sources = settle(fetch_sources(spark, sf), "sources")
+    code = lambda i: F.ascii(F.substring("hash", i, 1))
+    answer = F.when((F.length("peer") + code(1)) % 4 == 0, "found").when(code(2) % 3 == 0, "busy").otherwise("missing")
+    return L.acquire(sources, sources.filter(code(3) % 5 != F.col("rank")).select("hash", "peer", answer.alias("answer")))
+
+
+@query(
+    f"{_RENAMED.replace('moved AS', 'all_moved AS')}, r AS (SELECT *, CASE WHEN event_id % 9 = 0 THEN regexp_replace(path, '[.]r$', '') END AS path_old FROM all_moved WHERE event_id % 9 = 0 AND op_type = 'rename'), {X.winners('w', where='event_id % 5 <> 0')} "
+    "SELECT r.op_id, r.path FROM r LEFT JOIN w ON w.path = r.path_old WHERE NOT coalesce(w.tombstone, true)"
+)
+def noop_renames(spark, sf):
+    return R.drop_noops(X.renames(spark, sf).filter("op_type = 'rename'"), X.replica(spark, sf, 5)).select("op_id", "path")

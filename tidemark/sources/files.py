@@ -66,6 +66,25 @@ def read_store(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return judged.filter("NOT corrupt").drop("corrupt"), judged.filter("corrupt").drop("corrupt")
 
 
+def evict_corrupt(spark: SparkSession, path: str) -> int:
+    """Remove chunks whose bytes do not match their hash, and say how many there were.
+
+    Only folders that hold one are written anew, beside their old place first.
+    """
+    _, corrupt = read_store(spark, path)
+    folders = [r["ab"] for r in corrupt.select(F.substring("hash", 1, 2).alias("ab")).distinct().collect()]
+    gone = corrupt.count()
+    for ab in folders:  # at most 256 of them
+        staging = f"{path}.staging-{uuid.uuid4().hex[:8]}"
+        kept = spark.read.parquet(f"{path}/ab={ab}")
+        C.verify_store(kept).filter("NOT corrupt").drop("corrupt").write.parquet(staging)
+        new, fs = _path(spark, staging)
+        old, _ = _path(spark, f"{path}/ab={ab}")
+        fs.delete(old, True)
+        fs.rename(new, old)
+    return gone
+
+
 def key_values(spark: SparkSession, path: str) -> DataFrame:
     at, fs = _path(spark, path)
     return spark.read.schema("key string, value string").parquet(path) if fs.exists(at) else spark.createDataFrame([], "key string, value string")

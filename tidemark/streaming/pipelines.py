@@ -6,7 +6,7 @@ only debounce, which is about time, does.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -136,6 +136,20 @@ def ingest_feed(feed: DataFrame, root: str, disk: DataFrame, index: DataFrame, p
     return feed.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def rescan(notices: DataFrame, disk: Callable[[], DataFrame], index: Callable[[], DataFrame], path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """A scan of the disk against the index into path/batch=<number> for each batch of notices.
+
+    notices: a rate stream for scans at a steady pace, or files that ask for one early; `every` is the trigger, else all that is there.
+    Both tables are made anew for each batch.
+    """
+
+    def run(_: DataFrame, number: int) -> None:
+        I.scan_diff(disk(), index()).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream = notices.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return (stream.trigger(processingTime=every) if every else stream.trigger(availableNow=True)).start()
+
+
 def gossip(entries: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Roster entries as they come, merged into the winners below path/roster=<number>; the last but one stays for a batch that runs again."""
 

@@ -109,6 +109,15 @@ def stream_feed(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{at}/out").select("path", "path_old", "kind")
 
 
+def rescans(spark: SparkSession, sf: str) -> DataFrame:
+    """A notice, and the scan that follows."""
+    at = folder(spark)
+    spark.range(1).write.parquet(f"{at}/in")
+    notices = spark.readStream.schema("id long").parquet(f"{at}/in")
+    S.rescan(notices, lambda: X.disk(spark, sf), lambda: R.current_state(X.ops(spark, sf)), f"{at}/out", f"{at}/cp").awaitTermination()
+    return spark.read.parquet(f"{at}/out").select("path", "kind", "content_hash")
+
+
 def gossip_rosters(spark: SparkSession, sf: str) -> DataFrame:
     """Rosters of two nodes, each in a batch of its own."""
     at = folder(spark)
@@ -159,6 +168,7 @@ SQL = {
     "stream_manifests": f"{X.CHUNKS} SELECT file, count(*) AS chunk_count, string_agg(hash, ',' ORDER BY idx) AS hashes FROM hashed GROUP BY file",
     "stream_feed": f"{Q.SQL['scan_diff'].split(' SELECT path, ' + chr(39) + 'write')[0]}, f AS ({Q._FEED}), {Q.SQL['feed_normalization'].split('), ', 1)[1].rsplit(' SELECT event_id, kind', 1)[0]}, events_ AS (SELECT event_id, kind, path, path_old{Q.SQL['feed_normalization'].rsplit('SELECT event_id, kind, path, path_old', 1)[1]}) "
     "SELECT path, path_old, kind FROM events_ UNION ALL SELECT path, NULL, 'write' FROM disk UNION ALL SELECT path, NULL, 'delete' FROM w WHERE NOT tombstone AND path NOT IN (SELECT path FROM disk)",
+    "rescans": Q.SQL["scan_diff"],
     "gossip_rosters": f"{X.ROSTER} SELECT node, addr, fingerprint, epoch, kind, content_hash FROM won",
     "dead_letters": "SELECT event_id, CASE event_type WHEN 'error' THEN 'quarantine' WHEN 'click' THEN 'ok' ELSE 'retry' END AS route FROM events",
     "quiet_writes": "WITH e AS (SELECT event_id, 'u/' || user_id AS path, event_type, epoch_us(ts) AS t FROM events), n AS (SELECT *, lead(t) OVER (PARTITION BY path ORDER BY t, event_id) AS nxt FROM e) SELECT path, event_id FROM n WHERE event_type <> 'error' AND (nxt IS NULL OR nxt - t > 3600000000)",
@@ -169,7 +179,7 @@ SQL = {
 
 
 def queries():
-    return {f.__name__: f for f in (stream_dedup, stream_current_state, stream_renames, bootstrap_handoff, stream_suppression, stream_appends, stream_manifests, stream_feed, gossip_rosters, stream_gaps, dead_letters, quiet_writes, sequence_gaps, op_rate)}
+    return {f.__name__: f for f in (stream_dedup, stream_current_state, stream_renames, bootstrap_handoff, stream_suppression, stream_appends, stream_manifests, stream_feed, rescans, gossip_rosters, stream_gaps, dead_letters, quiet_writes, sequence_gaps, op_rate)}
 
 
 def oracle_sql() -> dict[str, str]:
