@@ -31,11 +31,15 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import documents, settle, text_of
 
 SPAN, GRAM = 50, 20
-#: Bytes of input for each group of pieces in the first pass, and in the second, in which shared bytes are sent several times over.
-GROUP_BYTES, STRETCH_BYTES = 32_000_000, 12_000_000
+#: Bytes of input for each group of pieces in the first pass, and in the second, in which shared bytes are sent several times over;
+#: and groups at least. A partition takes several groups, one after the other, so that partitions come out alike.
+GROUP_BYTES, STRETCH_BYTES = 16_000_000, 1_500_000
+LEAST_GROUPS = 1024
+#: Groups for each partition of either pass.
+TOGETHER = (3, 8)
 #: Hashes in a row of the first pass: their owners are numbered by a byte.
 ENTRIES = 256
-#: Partitions at most; beyond that a partition takes its groups one after the other.
+#: Partitions at most.
 PARTITIONS = 20_000
 #: Bytes of stretches that a task remembers as sent.
 SENT_BYTES = 32_000_000
@@ -362,15 +366,17 @@ def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     light = settle(keyed.select("k", "c1", F.xxhash64(F.lit(1), "text").alias("c2"), F.octet_length("text").cast("long").alias("size")), "light")
     first = light.groupBy("c1", "c2").agg(F.min("k").alias("first"), F.first("size").alias("size"))
     total = light.agg(F.sum("size")).first()[0] or 0
-    groups, finer = max(8, -(-total // GROUP_BYTES)), max(8, -(-total // STRETCH_BYTES))
+    groups, finer = -(-total // GROUP_BYTES), -(-total // STRETCH_BYTES)
+    parts_of = [min(PARTITIONS, max(8, n // each)) for n, each in zip((groups, finer), TOGETHER, strict=True)]
+    groups, finer = max(3 * 8, groups), max(LEAST_GROUPS, finer)
     copies = light.filter(F.col("size") >= span).join(first.select("c1", "c2", "first"), ["c1", "c2"]).filter("k > first").select("k", "c1", F.lit(0).cast("long").alias("start"), F.col("size").alias("end")).distinct()
 
     pieces = keyed.select("c1", "text").mapInArrow(send_pieces(groups, span), "grp int, owners binary, of binary, pieces binary")
-    shared = pieces.repartition(min(groups, PARTITIONS), "grp").sortWithinPartitions("grp").mapInArrow(shared_pieces, "c1 long, pieces binary").join(first.select("c1", F.col("first").alias("k")), "c1")
+    shared = pieces.repartition(parts_of[0], "grp").sortWithinPartitions("grp").mapInArrow(shared_pieces, "c1 long, pieces binary").join(first.select("c1", F.col("first").alias("k")), "c1")
     wanted = shared.groupBy("k", "c1").agg(F.collect_list("pieces").alias("shared"))
     # The same columns as in the last join, so that both use one exchange of the texts.
     parts = keyed.join(wanted, ["k", "c1"]).select("doc_id", "k", "c1", "text", "shared").mapInArrow(send_stretches(span, finer), "grp int, k long, c1 long, place int, size int, part binary")
-    repeats = parts.repartition(min(finer, PARTITIONS), "grp").sortWithinPartitions("grp", "k").mapInArrow(repeated_stretches(span), "k long, c1 long, start long, end long")
+    repeats = parts.repartition(parts_of[1], "grp").sortWithinPartitions("grp", "k").mapInArrow(repeated_stretches(span), "k long, c1 long, start long, end long")
     ranges = repeats.unionByName(copies).groupBy("k", "c1").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     return keyed.join(ranges, ["k", "c1"], "left").select("doc_id", "text", "ranges").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
