@@ -12,9 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources.shared import settle, shared_dir
+from tidemark.sources.shared import release, settle, shared_dir
 
-__all__ = ["documents", "let", "portions", "settle", "shared_dir", "ship", "text_of"]
+__all__ = ["documents", "let", "portions", "release", "settle", "shared_dir", "ship", "text_of"]
 #: ASCII white space, as the word rules of the digest queries have it.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 _shipped: set[str] = set()

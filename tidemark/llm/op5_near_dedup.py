@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ASCII_SPACE, documents, settle, text_of
+from tidemark.llm.common import ASCII_SPACE, documents, release, settle, text_of
 from tidemark.llm.components import connected_components
 
 SHINGLE, ROWS, MISS = 5, 5, 1e-6
 #: Members of a hub in a block; two blocks are compared in one task.
-BLOCK = 256
+BLOCK = 128
 #: Hubs up to which their sizes are broadcast to the members: some 50 MB.
 BROADCAST_HUBS = 1_000_000
 #: Bytes of text whose shingles are made at once; the arrays take some hundred times as much.
@@ -235,14 +235,14 @@ def texts_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, size: int) -
     return held.mapInArrow(run, "node long, text binary").dropDuplicates(["node"])
 
 
-def in_blocks(members: DataFrame, block: int, broadcast_hubs: int = BROADCAST_HUBS):
+def in_blocks(members: DataFrame, counted: DataFrame, block: int, broadcast_hubs: int = BROADCAST_HUBS):
     """Members of each hub in blocks of bounded size, grouped by pairs of blocks.
 
     The first blocks hold the members outside the hub's largest component, the others those inside it. Every two members meet
-    in one group, but for those that are both inside. Sizes of hubs are broadcast only if counted to be few: a join on
+    in one group, but for those that are both inside. counted: the members' (hub, label), settled. Sizes of hubs are broadcast only if counted to be few: a join on
     the hub would bring a large one's members into one task.
     """
-    each = members.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("n"))
+    each = counted.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("n"))
     tops = each.groupBy("hub").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.max("n").alias("inside"), (F.sum("n") - F.max("n")).alias("outside"))
     tops = settle(tops.filter("outside > 0").select("hub", "top", *(F.ceil(F.col(c) / block).cast("int").alias(c) for c in ("inside", "outside"))), "tops")
     sizes = F.broadcast(tops) if tops.count() <= broadcast_hubs else tops.hint("shuffle_merge")
@@ -359,6 +359,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE, row
     degree = live.groupBy("node").agg(F.sum("members").alias("degree"))
     hubs = live.join(degree, "node").groupBy("bucket").agg(F.max_by(F.struct(F.col("node").alias("hub"), F.col("n").alias("hub_n")), F.struct("degree", "node")).alias("h")).select("bucket", "h.*")
     met = settle(live.join(hubs, "bucket").select("bucket", "node", "n", "hub", "hub_n"), "hubs")
+    release(live)
     alike = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")  # else the sets can't reach it
     starred = met.filter((F.col("node") != F.col("hub")) & alike).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     likely = settle(prune(starred, classes, steps), "likely")
@@ -366,19 +367,22 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE, row
     ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = settle(texts_of(docs, classes, ends, size), "texts")
     links = settle(confirm(likely, texts, percent, size), "links")
+    release(likely, texts)
     labels = connected_components(links)
 
     # What the hubs left: members of torn buckets, by hub. Signatures show who may still have a partner, then sets decide.
     named = met.join(labels, "node", "left").select("bucket", "hub", "node", F.coalesce("label", "node").alias("label"))
     torn = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("bucket")
     stars = settle(named.join(torn, "bucket").filter("node <> hub").select("hub", "node", "label").distinct(), "stars")
+    release(met)
     signed = stars.join(classes.select("node", "signature"), "node").select("hub", "node", "label", "signature")
-    open_ = settle(in_blocks(signed, block).applyInArrow(plausible(steps), "hub long, node long, label long").distinct(), "open")
+    open_ = settle(in_blocks(signed, stars, block).applyInArrow(plausible(steps), "hub long, node long, label long").distinct(), "open")
     ends = open_.select(F.explode(F.array("hub", "node")).alias("node")).distinct()
     texts = settle(texts_of(docs, classes, ends, size), "texts")
     sides = [texts.select(F.col("node").alias(x), F.col("text").alias(y)) for x, y in (("hub", "left"), ("node", "right"))]
     apart_from_hub = open_.join(sides[1], "node").join(sides[0], "hub").select("hub", "node", "label", "left", "right").mapInArrow(differences(size), "hub long, node long, label long, n long, unlike binary")
-    links = settle(links.unionByName(in_blocks(apart_from_hub, block).applyInArrow(spanning(percent), "a long, b long")), "links")
+    first, links = links, settle(links.unionByName(in_blocks(apart_from_hub, open_, block).applyInArrow(spanning(percent), "a long, b long")), "links")
+    release(first, stars, open_, texts)
     labels = connected_components(links)
 
     held = classes.select("h1", "h2", "node", "k").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
