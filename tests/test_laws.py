@@ -138,6 +138,18 @@ def test_a_pull_lists_what_differs_only(spark):
     assert M.root(M.levels(spark.createDataFrame([], INDEX))).count() == 1 and M.diff(a, a).count() == 0
 
 
+def test_large_folders_are_hashed_in_two_levels(spark):
+    rows = [row(f"big/f{i}", {"a": 1}) for i in range(60)] + [row(f"small/f{i}", {"a": 1}) for i in range(5)] + [row(f"t{i}", {"a": 1}) for i in range(30)]
+    index = spark.createDataFrame(rows, INDEX)
+    trees = [M.levels(i, wide) for i, wide in ((index, 20), (index.repartition(7), 20), (index, 1000))]
+    hashes = [{(r.prefix, r.name): r.hash for r in t.filter("is_dir").collect()} for t in trees]
+    roots = [M.root(t, wide).first().root for t, wide in zip(trees, (20, 20, 1000), strict=True)]
+    assert hashes[0] == hashes[1] and roots[0] == roots[1] != roots[2]
+    assert hashes[0]["", "small"] == hashes[2]["", "small"] and hashes[0]["", "big"] != hashes[2]["", "big"]
+    other = M.levels(spark.createDataFrame([row("big/f7", {"a": 2}), *(r for r in rows if r[0] != "big/f7")], INDEX), 20)
+    assert [r.path for r in M.diff(other, trees[0]).collect()] == ["big/f7"]
+
+
 def test_equal_vectors_resolve_alike_in_any_order(spark):
     rows = [version("p", "a", 1, {"a": 1}, "x"), version("p", "b", 1, {"a": 1}, "y"), version("p", "c", 1, {"a": 1}, "w")]
     for order in (rows, rows[::-1]):

@@ -12,6 +12,8 @@ from tidemark.operators import resolve as R
 from tidemark.sources.shared import settle
 
 CHILD = ("prefix", "name", "is_dir", "hash", "depth")
+#: Children from which on a folder is hashed in two levels, and large folders up to which they are broadcast.
+WIDE, MANY = 100_000, 100_000
 
 
 def leaves(index: DataFrame) -> DataFrame:
@@ -23,30 +25,46 @@ def depth_of(path: str) -> object:
     return F.size(F.split(path, "/")) - 1
 
 
-def combine(children: DataFrame) -> DataFrame:
-    """Hash of each prefix from its children, sorted by name; a name that is both file and folder has two children."""
-    part = D.canonical(F.col("name"), F.col("is_dir").cast("int"), F.col("hash"))
-    ordered = F.array_sort(F.collect_list(F.struct("name", "is_dir", part.alias("part"))))
-    return children.groupBy("prefix").agg(ordered.alias("c")).select("prefix", F.sha2(F.concat(F.lit("3:dir"), F.array_join(F.transform("c", lambda x: x["part"]), "")), 256).alias("hash"))
-
+def combine(children: DataFrame, wide: int | None = None) -> DataFrame:
+    """Hash of each prefix from its children, sorted by name; a name that is both file and folder has two children.
 
-def levels(index: DataFrame) -> DataFrame:
+    With `wide`, a folder with more children than that is hashed in two levels: children by the first two digits of the digest of
+    their name, then those 256 hashes in order. So no task collects a very large folder. The form follows from the number of
+    children alone, so equal folders have equal hashes; folders of unlike numbers differ anyway.
+    """
+    part = D.canonical(F.col("name"), F.col("is_dir").cast("int"), F.col("hash"))
+    parts = children.select("prefix", "name", "is_dir", part.alias("part"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "is_dir", "part"))), lambda x: x["part"]), "")
+    flat = lambda rows: rows.groupBy("prefix").agg(F.sha2(F.concat(F.lit("3:dir"), joined), 256).alias("hash"))
+    if wide is None:
+        return flat(parts)
+    large = settle(children.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > wide).select("prefix"), "wide")
+    if large.isEmpty():
+        return flat(parts)
+    side = F.broadcast(large) if large.count() <= MANY else large.hint("shuffle_merge")
+    cut = parts.join(side, "prefix", "left_semi").groupBy("prefix", F.substring(F.sha2("name", 256), 1, 2).alias("bucket")).agg(F.sha2(joined, 256).alias("h"))
+    buckets = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda x: x["h"]), "")
+    return flat(parts.join(side, "prefix", "left_anti")).unionByName(cut.groupBy("prefix").agg(F.sha2(F.concat(F.lit("4:wide"), buckets), 256).alias("hash")))
+
+
+def levels(index: DataFrame, wide: int = WIDE) -> DataFrame:
     """All children of all prefixes: (prefix, name, is_dir, hash, depth). One aggregation per level of the deepest path."""
     path = F.col("path")
     found = settle(leaves(index).select(S.parent(path).alias("prefix"), S.name(path).alias("name"), F.lit(False).alias("is_dir"), "hash", depth_of("path").alias("depth")), "leaves")
-    deepest = found.agg(F.max("depth")).first()[0] or 0
-    total = found
-    for depth in range(deepest, 0, -1):
-        dirs = settle(combine(total.filter(F.col("depth") == depth)), "dirs")
+    files = {r["depth"]: r["count"] for r in found.groupBy("depth").count().collect()}  # a row for each level
+    total, below = found, 0
+    for depth in range(max(files, default=0), 0, -1):
+        below += files.get(depth, 0)  # no folder here has more children than there are files from here down
+        dirs = settle(combine(total.filter(F.col("depth") == depth), wide if below > wide else None), "dirs")
         prefix = F.col("prefix")
         total = total.unionByName(dirs.select(S.parent(prefix).alias("prefix"), S.name(prefix).alias("name"), F.lit(True).alias("is_dir"), "hash", F.lit(depth - 1).alias("depth")))
     return total
 
 
-def root(tree: DataFrame) -> DataFrame:
+def root(tree: DataFrame, wide: int = WIDE) -> DataFrame:
     """The root hash: one row, also for an empty tree."""
     spark = tree.sparkSession
-    top = combine(tree.filter("depth = 0")).select("hash")
+    top = combine(tree.filter("depth = 0"), wide).select("hash")
     empty = spark.range(1).select(F.sha2(F.lit("3:dir"), 256).alias("empty"))
     return empty.join(top, F.lit(True), "left").select(F.coalesce("hash", "empty").alias("root"))
 

@@ -35,7 +35,15 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex[:12]}-{name}"
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove settled tables that no plan reads any more."""
+    for df in tables:
+        _remove(df.sparkSession, df.settled_at)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

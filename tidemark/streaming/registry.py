@@ -148,6 +148,17 @@ def quiet_writes(spark: SparkSession, sf: str) -> DataFrame:
     return S.quiet_writes(e, "1 hour").select("path", "event_id")
 
 
+def stream_quiet(spark: SparkSession, sf: str) -> DataFrame:
+    """Debounce as a stream: a tick long after the last event lets the watermark close every burst."""
+    at = folder(spark)
+    e = X.events(spark, sf).select(F.concat(F.lit("u/"), "user_id").alias("path"), F.when(F.col("event_type") == "error", "delete").otherwise("write").alias("kind"), F.timestamp_micros("t").alias("ts"), "event_id")
+    tick = e.agg((F.max("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts")).select(F.lit("").alias("path"), F.lit("tick").alias("kind"), "ts", F.lit(-1).cast("long").alias("event_id"))
+    e.unionByName(tick).write.parquet(f"{at}/in")
+    quiet = S.quiet_writes(spark.readStream.schema(e.schema).parquet(f"{at}/in"), "1 hour")
+    quiet.select("path", "event_id").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/cp").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("path string, event_id long").parquet(f"{at}/out")
+
+
 def sequence_gaps(spark: SparkSession, sf: str) -> DataFrame:
     return S.sequence_gaps(X.ops(spark, sf).filter("event_id % 11 <> 0"))
 
@@ -172,6 +183,7 @@ SQL = {
     "gossip_rosters": f"{X.ROSTER} SELECT node, addr, fingerprint, epoch, kind, content_hash FROM won",
     "dead_letters": "SELECT event_id, CASE event_type WHEN 'error' THEN 'quarantine' WHEN 'click' THEN 'ok' ELSE 'retry' END AS route FROM events",
     "quiet_writes": "WITH e AS (SELECT event_id, 'u/' || user_id AS path, event_type, epoch_us(ts) AS t FROM events), n AS (SELECT *, lead(t) OVER (PARTITION BY path ORDER BY t, event_id) AS nxt FROM e) SELECT path, event_id FROM n WHERE event_type <> 'error' AND (nxt IS NULL OR nxt - t > 3600000000)",
+    "stream_quiet": "WITH e AS (SELECT event_id, 'u/' || user_id AS path, event_type, epoch_us(ts) AS t FROM events), n AS (SELECT *, lead(t) OVER (PARTITION BY path ORDER BY t, event_id) AS nxt FROM e) SELECT path, event_id FROM n WHERE event_type <> 'error' AND (nxt IS NULL OR nxt - t > 3600000000)",
     "sequence_gaps": f'{X.OPS}, g AS (SELECT origin, origin_seq, coalesce(lag(origin_seq) OVER (PARTITION BY origin ORDER BY origin_seq), 0) AS b FROM ops WHERE event_id % 11 <> 0) SELECT origin, b + 1 AS "from", origin_seq - 1 AS "to" FROM g WHERE origin_seq > b + 1',
     "stream_gaps": f'{X.OPS}, g AS (SELECT origin, origin_seq, coalesce(lag(origin_seq) OVER (PARTITION BY origin ORDER BY origin_seq), 0) AS b FROM ops WHERE event_id % 11 <> 0) SELECT origin, b + 1 AS "from", origin_seq - 1 AS "to" FROM g WHERE origin_seq > b + 1',
     "op_rate": "SELECT event_type AS origin, epoch_us(ts) // 3600000000 * 3600 AS begin, count(*) AS n FROM events GROUP BY ALL",
@@ -179,7 +191,7 @@ SQL = {
 
 
 def queries():
-    return {f.__name__: f for f in (stream_dedup, stream_current_state, stream_renames, bootstrap_handoff, stream_suppression, stream_appends, stream_manifests, stream_feed, rescans, gossip_rosters, stream_gaps, dead_letters, quiet_writes, sequence_gaps, op_rate)}
+    return {f.__name__: f for f in (stream_dedup, stream_current_state, stream_renames, bootstrap_handoff, stream_suppression, stream_appends, stream_manifests, stream_feed, rescans, gossip_rosters, stream_gaps, dead_letters, quiet_writes, stream_quiet, sequence_gaps, op_rate)}
 
 
 def oracle_sql() -> dict[str, str]:
