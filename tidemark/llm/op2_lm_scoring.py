@@ -112,7 +112,7 @@ class Spelling:
         held = self.held
         if len(held) > 200_000:
             held.clear()
-        new = [w for w in dict.fromkeys(words) if w not in held]
+        new = list(set(words).difference(held))
         if new:
             code, sizes = trigrams(new)
             held.update(zip(new, np.add.reduceat(self.dense()[code].astype(float), np.cumsum(sizes) - sizes).tolist(), strict=True))
@@ -362,8 +362,9 @@ def train_and_encode(docs: DataFrame, words: list[bytes], buckets: int, tree: Tr
                     codes, n, rare = framed(texts, ids)
                     for part in segments(codes):
                         for k, (rows, g) in gains(now, tree, part, True)[1].items():
-                            power[k][rows] += g * g
-                            now[k][rows] += np.float32(rate) * g / np.sqrt(power[k][rows])
+                            seen = power[k].take(rows, 0) + g * g
+                            power[k][rows] = seen
+                            now[k][rows] = now[k].take(rows, 0) + np.float32(rate) * g / np.sqrt(seen)
                     if spelled is not None:
                         yield encoded(batch.column("doc_id").slice(at, len(texts)), codes, n, spelled.score(rare), ids.low)
             for i, k in enumerate(names):
