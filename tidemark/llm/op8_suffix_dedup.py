@@ -33,10 +33,12 @@ from tidemark.llm.common import documents, settle, text_of
 SPAN, GRAM = 50, 20
 #: Bytes of input for each group of pieces in the first pass, and in the second, in which shared bytes are sent several times over;
 #: and groups at least. A partition takes several groups, one after the other, so that partitions come out alike.
-GROUP_BYTES, STRETCH_BYTES = 16_000_000, 1_500_000
+GROUP_BYTES, STRETCH_BYTES = 8_000_000, 1_500_000
 LEAST_GROUPS = 1024
 #: Groups for each partition of either pass.
-TOGETHER = (3, 8)
+TOGETHER = (2, 8)
+#: Bytes of text whose hashes are packed together.
+PACKED = 6_000_000
 #: Hashes in a row of the first pass: their owners are numbered by a byte.
 ENTRIES = 256
 #: Partitions at most.
@@ -183,28 +185,37 @@ def starts_of(*keys: np.ndarray) -> np.ndarray:
 def send_pieces(groups: int, span: int, entries: int = ENTRIES):
     """The distinct hashes of the lightest pieces of all texts, by group.
 
-    A row has up to `entries` hashes of a group from the texts of a portion, packed: owners (their fingerprints), of (the number of each hash's
-    owner in the row) and pieces.
+    A row has up to `entries` hashes of a group from neighbouring texts, packed: owners (their fingerprints), of (the number of each
+    hash's owner in the row) and pieces. Texts of several slices are packed together, so that rows stay full when groups are many.
     """
 
+    def packed(own: np.ndarray, which: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+        group = (value % np.uint64(groups)).astype(np.int64)
+        order = np.lexsort((value, which, group))
+        which, group, value = which[order], group[order], value[order]
+        new = starts_of(group, which, value)
+        which, group, value = which[new], group[new], value[new]
+        begins = np.flatnonzero(starts_of(group))
+        inside = np.arange(len(group)) - np.repeat(begins, np.diff(np.r_[begins, len(group)]))
+        row = starts_of(group) | (inside % entries == 0)
+        first, owner = np.flatnonzero(row), row | starts_of(which)
+        number = np.cumsum(owner) - 1
+        of = (number - np.repeat(number[first], np.diff(np.r_[first, len(group)]))).astype(np.uint8)
+        owners = own[which[owner]].astype("<i8").tobytes()
+        return pa.RecordBatch.from_arrays([pa.array(group[first], pa.int32()), pa.array(chopped(owners, number[first], 8), pa.binary()), pa.array(chopped(of.tobytes(), first, 1), pa.binary()), pa.array(chopped(pack(value), first), pa.binary())], ["grp", "owners", "of", "pieces"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            own = batch.column("c1").to_numpy(zero_copy_only=False)
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+            size = 0
             for low, high, texts in sliced(batch):
-                own = batch.column("c1").to_numpy(zero_copy_only=False)[low:high]
                 which, _, _, value = stretches(texts, span)
-                group = (value % np.uint64(groups)).astype(np.int64)
-                order = np.lexsort((value, which, group))
-                which, group, value = which[order], group[order], value[order]
-                new = starts_of(group, which, value)
-                which, group, value = which[new], group[new], value[new]
-                begins = np.flatnonzero(starts_of(group))
-                inside = np.arange(len(group)) - np.repeat(begins, np.diff(np.r_[begins, len(group)]))
-                row = starts_of(group) | (inside % entries == 0)
-                first, owner = np.flatnonzero(row), row | starts_of(which)
-                number = np.cumsum(owner) - 1
-                of = (number - np.repeat(number[first], np.diff(np.r_[first, len(group)]))).astype(np.uint8)
-                owners = own[which[owner]].astype("<i8").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(group[first], pa.int32()), pa.array(chopped(owners, number[first], 8), pa.binary()), pa.array(chopped(of.tobytes(), first, 1), pa.binary()), pa.array(chopped(pack(value), first), pa.binary())], ["grp", "owners", "of", "pieces"])
+                held.append((which + low, value))
+                size += sum(map(len, texts))
+                if size > PACKED or high == batch.num_rows:
+                    yield packed(own, *map(np.concatenate, zip(*held, strict=True)))
+                    held, size = [], 0
 
     return run
 
