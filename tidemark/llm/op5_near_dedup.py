@@ -110,26 +110,24 @@ def least_matches(threshold: float, hashes: int, batch: int, miss: float) -> lis
     return out
 
 
-def sliced(texts: list[bytes], size: int = SLICE) -> Iterator[tuple[int, list[bytes]]]:
-    at = 0
-    while at < len(texts):
-        end, total = at, 0
-        while end < len(texts) and (end == at or total + len(texts[end]) <= size):
-            total += len(texts[end])
-            end += 1
-        yield at, texts[at:end]
-        at = end
+def sliced(*columns: pa.Array, size: int = SLICE) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts of a row in turn, null as empty, in portions of about `size` bytes that part no row, with the number of the first row.
 
-
-def paired(left: list[bytes], right: list[bytes], size: int = SLICE) -> Iterator[tuple[int, list[bytes]]]:
-    """Texts of pairs in turn, in portions of about `size` bytes that part no pair, with the number of the first pair."""
-    at = 0
-    while at < len(left):
+    Only a portion is held as Python objects at a time.
+    """
+    raw = [c.cast(pa.binary()) for c in columns]
+    at, rows = 0, len(raw[0])
+    while at < rows:
+        part: list[bytes] = []
         end, total = at, 0
-        while end < len(left) and (end == at or total + len(left[end]) + len(right[end]) <= size):
-            total += len(left[end]) + len(right[end])
+        while end < rows:
+            row = [c[end].as_py() or b"" for c in raw]
+            total += sum(map(len, row))
+            if end > at and total > size:
+                break
+            part += row
             end += 1
-        yield at, [t for p in zip(left[at:end], right[at:end], strict=True) for t in p]
+        yield at, part
         at = end
 
 
@@ -140,8 +138,7 @@ def sketch(bands: int, rows: int, size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            for at, part in sliced([t or b"" for t in texts]):
+            for at, part in sliced(batch.column("text")):
                 h, first = shingle_sets(part, size)
                 n = np.diff(first)
                 full = np.flatnonzero(n)
@@ -190,7 +187,7 @@ def confirmed(percent: int, size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, part in paired(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
+            for at, part in sliced(batch.column("left"), batch.column("right")):
                 h, first = shingle_sets(part, size)
                 good = []
                 for i in range(len(part) // 2):
@@ -220,9 +217,8 @@ def texts_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, size: int) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             h1, h2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h1", "h2"))
-            for at, part in sliced(texts):
+            for at, part in sliced(batch.column("text")):
                 h, first = shingle_sets(part, size)
                 same = []
                 for i in range(len(part)):
@@ -286,7 +282,7 @@ def differences(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in paired(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
+            for at, texts in sliced(batch.column("left"), batch.column("right")):
                 h, first = shingle_sets(texts, size)
                 own = [(h[first[i] : first[i + 1]], h[first[i + 1] : first[i + 2]]) for i in range(0, len(texts), 2)]
                 part = batch.slice(at, len(own))
