@@ -290,17 +290,18 @@ def gains(net: Network, tree: Tree, part: np.ndarray, back: bool) -> tuple[np.nd
         at = start[low:] + depth
         nodes, signs = tree.nodes.take(at), tree.signs.take(at)
         if depth < TOP:
-            x = product.take(first[low:] + nodes) * signs
+            cells = first[low:] + nodes
+            x = product.take(cells) * signs
         else:
             seen, weights = hidden[low:], net["out"].take(nodes, 0)
             x = np.einsum("ij,ij->i", seen, weights) * signs
-        grown = np.exp(-np.abs(x))
         if not back:
-            sums[low:] += np.minimum(x, 0) - np.log1p(grown)
+            sums[low:] += np.minimum(x, 0) - np.log1p(np.exp(-np.abs(x)))
             continue
-        error = signs * np.where(x > 0, grown, np.float32(1)) / (1 + grown)
+        with np.errstate(over="ignore"):  # an infinite power is an error of 0
+            error = signs / (1 + np.exp(x))
         if depth < TOP:
-            errors[first[low:] + nodes] = error
+            errors[cells] = error
             continue
         if inner is None:
             inner = errors.reshape(-1, tree.top) @ top[:, :width]
