@@ -6,13 +6,11 @@ only debounce, which is about time, does.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from tidemark.functions import predicates as P
@@ -21,6 +19,7 @@ from tidemark.operators import ingest as I
 from tidemark.operators import oplog as L
 from tidemark.operators import resolve as R
 from tidemark.operators import roster as N
+from tidemark.sources.shared import release, settle
 
 INDEX = "path string, tombstone boolean, content_hash string, meta_hash string, naming_hash string, mode int, size long, uuid string, vv map<string,bigint>"
 
@@ -63,13 +62,17 @@ def fold_batch(batch: DataFrame, number: int, path: str) -> None:
     rewrites all of it each time. A level is written before the batch is committed, and a batch that runs again writes the same
     level anew, so every operation counts once. Levels that neither this state nor the one before needs are removed.
     """
-    spark, level = batch.sparkSession, number + 2
-    new = R.candidates(batch)
+    _add_level(R.candidates(batch), number + 2, path, R.latest_per_origin)
+
+
+def _add_level(new: DataFrame, level: int, path: str, merge: Callable[[DataFrame], DataFrame]) -> None:
+    """Write a level: merge takes the new rows and those of the levels that it covers."""
+    spark = new.sparkSession
     held = _done(spark, path, "level")
     for n in _chain(level - 1):
         if n > level - (level & -level) and n in held:
             new = new.unionByName(spark.read.schema(new.schema).parquet(f"{path}/level={n}"))
-    R.latest_per_origin(new).write.mode("overwrite").parquet(f"{path}/level={level}")
+    merge(new).write.mode("overwrite").parquet(f"{path}/level={level}")
     needed = {level, *_chain(level), *_chain(level - 1)}
     for n, at in held.items():
         if n not in needed and n < level:
@@ -174,38 +177,50 @@ def quiet_writes(events: DataFrame, gap: str, lateness: str = "0 seconds") -> Da
     return burst.agg(F.max_by(F.struct("kind", "event_id"), F.struct("ts", "event_id")).alias("last")).select("path", "burst.end", "last.*").filter("kind = 'write'")
 
 
-def _swallow(frames: Iterator[pd.DataFrame], state: GroupState, ttl: int) -> Iterator[pd.DataFrame]:
-    """One path's events of a batch that its registration does not swallow; the state is (kind, hash, at) of an unused one."""
-    rows = pd.concat(list(frames)).sort_values(["t", "is_event", "kind", "content_hash", "event_id"], kind="stable", na_position="first")
-    if state.exists and state.get[0] is not None:
-        kind, content, at = state.get
-        rows = pd.concat([pd.DataFrame({"kind": [kind], "content_hash": [content], "t": [at], "is_event": [False], "event_id": [0]}), rows])
-    marks = ~rows["is_event"].astype(bool).to_numpy()
-    ordinal = marks.cumsum()
-    latest = rows[marks].reset_index(drop=True)
-    own = latest.reindex(ordinal - 1).reset_index(drop=True)
-    rows = rows.reset_index(drop=True)
-    same = (rows["content_hash"] == own["content_hash"]) | (rows["content_hash"].isna() & own["content_hash"].isna())
-    hit = ~marks & (rows["kind"] == own["kind"]) & ((rows["kind"] == "delete") | same) & (rows["t"] - own["t"] < ttl)
-    used = hit & ~pd.Series(ordinal).where(hit).duplicated()
-    left = len(latest) and not used[ordinal == len(latest)].any()
-    state.update((latest["kind"].iloc[-1], latest["content_hash"].iloc[-1], int(latest["t"].iloc[-1])) if left else (None, None, None))
-    yield rows.loc[~marks & ~used, ["event_id"]].astype("int64")
-
-
-def suppress(marked: DataFrame, ttl: int) -> DataFrame:
+REGISTERED = "path string, kind string, content_hash string, t long, number int"
+
+
+def _last_registered(found: DataFrame) -> DataFrame:
+    """What the last batch that touched a path left there."""
+    return found.groupBy("path").agg(F.max_by(F.struct(*found.columns), "number").alias("v")).select("v.*")
+
+
+def suppress_batch(marked: DataFrame, number: int, path: str, ttl: int) -> None:
+    """A batch's events that no registration swallows into path/out/batch=<number>, and what it leaves registered into path/state.
+
+    The registration that earlier batches left on a path comes before all of the batch. One that is used or replaced leaves
+    a row without a time. A path is one window in order of time, with neither a fold nor a process for it.
+    """
+    spark, columns = marked.sparkSession, ("path", "kind", "content_hash", "t", "is_event", "event_id")
+    rows, levels = marked.select(*columns, F.lit(1).alias("turn")), _chain(number)
+    if levels:
+        left = _last_registered(spark.read.schema(REGISTERED).parquet(*(f"{path}/state/level={n}" for n in levels))).filter("t IS NOT NULL")
+        mine = left.join(marked.select("path").distinct(), "path", "left_semi")
+        rows = rows.unionByName(mine.select("path", "kind", "content_hash", "t", F.lit(False).alias("is_event"), F.lit(0).cast("long").alias("event_id"), F.lit(0).alias("turn")))
+    by = Window.partitionBy("path").orderBy("turn", "t", "is_event", "kind", F.col("content_hash").asc_nulls_first(), "event_id")
+    upto = by.rowsBetween(Window.unboundedPreceding, 0)
+    own = F.last(F.when(~F.col("is_event"), F.struct("kind", "content_hash", "t")), ignorenulls=True).over(upto)
+    told = rows.withColumns({"mark": own, "is_last": F.lead(F.lit(1)).over(by).isNull()})
+    alike = (F.col("kind") == F.col("mark.kind")) & ((F.col("kind") == "delete") | F.col("content_hash").eqNullSafe(F.col("mark.content_hash")))
+    told = told.withColumn("hit", F.coalesce(F.col("is_event") & alike & (F.col("t") - F.col("mark.t") < ttl), F.lit(False)))
+    told = told.withColumn("hits", F.sum(F.col("hit").cast("long")).over(upto))
+    told = told.withColumn("hits", F.col("hits") - F.coalesce(F.last(F.when(~F.col("is_event"), F.col("hits")), ignorenulls=True).over(upto), F.lit(0)))
+    passed = F.col("is_event") & ~(F.col("hit") & (F.col("hits") == 1))
+    told = settle(told.select("path", "event_id", passed.alias("passed"), "is_last", "mark", "hits").filter("passed OR (is_last AND mark IS NOT NULL)"), "told")
+    told.filter("passed").select("event_id").write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+    unused = lambda c: F.when(F.col("hits") == 0, F.col(f"mark.{c}")).alias(c)
+    new = told.filter("is_last AND mark IS NOT NULL").select("path", unused("kind"), unused("content_hash"), unused("t"), F.lit(number).alias("number"))
+    _add_level(new, number + 1, f"{path}/state", _last_registered)
+    release(told)
+
+
+def suppress(marked: DataFrame, ttl: int, path: str, checkpoint: str) -> StreamingQuery:
     """Events that no registration swallows, as the batch operator has it; marked: (path, kind, content_hash, t in microseconds, is_event, event_id).
 
     A path's state is its one registration, until it is used or replaced; one older than ttl swallows nothing. A micro-batch
-    may come in any order, batches come in order of time. There is no timer: with one, a run over all that is available
-    would never end.
+    may come in any order, batches come in order of time. A batch that runs again writes the same files.
     """
-
-    def run(key, frames, state):
-        return _swallow(frames, state, ttl)
-
-    keyed = marked.select("path", "kind", "content_hash", "t", "is_event", "event_id").groupBy("path")
-    return keyed.applyInPandasWithState(run, "event_id long", "kind string, content_hash string, at long", "append", GroupStateTimeout.NoTimeout)
+    return marked.writeStream.foreachBatch(lambda batch, number: suppress_batch(batch, number, path, ttl)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def split_quarantine(results: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -13,7 +13,7 @@ from tidemark.operators import oplog as L
 from tidemark.operators import resolve as R
 from tidemark.plans import fixtures as X
 from tidemark.plans import registry as Q
-from tidemark.sources.shared import settle, shared_dir
+from tidemark.sources.shared import release, settle, shared_dir
 from tidemark.streaming import pipelines as S
 
 
@@ -62,11 +62,13 @@ def stream_renames(spark: SparkSession, sf: str) -> DataFrame:
 
 def _in_turn(spark: SparkSession, rows: DataFrame, at: str, run, slices: int = 3) -> None:
     """Rows (with t) as files in order of time, one slice after the other; run starts a query over what is there by then."""
+    rows = settle(rows, "rows")
     low, high = rows.agg(F.min("t"), F.max("t")).first()
     for i in range(slices):
         own = F.least(F.floor((F.col("t") - low) * slices / (high - low + 1)), F.lit(slices - 1)) == i
         rows.filter(own).write.mode("append").parquet(f"{at}/in")
         run(spark.readStream.schema(rows.schema).parquet(f"{at}/in"))
+    release(rows)
 
 
 def stream_suppression(spark: SparkSession, sf: str) -> DataFrame:
@@ -76,7 +78,7 @@ def stream_suppression(spark: SparkSession, sf: str) -> DataFrame:
     both = events.withColumn("is_event", F.lit(True)).unionByName(marks.withColumnRenamed("at", "t").withColumn("is_event", F.lit(False)), allowMissingColumns=True)
 
     def run(rows: DataFrame) -> None:
-        S.suppress(rows, Q.TTL).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/cp").trigger(availableNow=True).start().awaitTermination()
+        S.suppress(rows, Q.TTL, at, f"{at}/cp").awaitTermination()
 
     _in_turn(spark, both, at, run)
     return spark.read.schema("event_id long").parquet(f"{at}/out")
