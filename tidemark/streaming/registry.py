@@ -22,41 +22,46 @@ def folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex[:12]}"
 
 
-def _logged(spark: SparkSession, sf: str, parts: int = 3, log: DataFrame | None = None) -> tuple[str, StructType]:
-    """The op log as files, with every fifth operation delivered twice and in any order; its place and schema."""
+def _logged(spark: SparkSession, sf: str, parts: int = 3, log: DataFrame | None = None) -> tuple[str, StructType, int]:
+    """The op log as files, with every fifth operation delivered twice and in any order; its place and schema, and the files of a batch.
+
+    There are `parts` batches at any size; a batch has as many files as its rows ask for, each written by one task.
+    """
     at = folder(spark)
     log = X.ops(spark, sf) if log is None else log
-    log.unionByName(log.filter("event_id % 5 = 0")).repartition(parts, "event_id").write.parquet(f"{at}/log")
-    return at, log.schema
+    files = -(-max(parts, X.portions(spark, sf)) // parts)
+    times = F.when(F.col("event_id") % 5 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    log.withColumn("_time", F.explode(times)).drop("_time").repartition(parts * files, "event_id").write.parquet(f"{at}/log")
+    return at, log.schema, files
 
 
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    at, schema = _logged(spark, sf)
-    ops = S.dedup(S.read_ops(spark, f"{at}/log", schema))
+    at, schema, files = _logged(spark, sf)
+    ops = S.dedup(S.read_ops(spark, f"{at}/log", schema, files))
     ops.select("op_id", "path").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/cp").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("op_id string, path string").parquet(f"{at}/out")
 
 
 def stream_current_state(spark: SparkSession, sf: str) -> DataFrame:
-    at, schema = _logged(spark, sf)
-    S.materialize(S.read_ops(spark, f"{at}/log", schema), f"{at}/state", f"{at}/cp").awaitTermination()
+    at, schema, files = _logged(spark, sf)
+    S.materialize(S.read_ops(spark, f"{at}/log", schema, files), f"{at}/state", f"{at}/cp").awaitTermination()
     return S.materialized(spark, f"{at}/state").select("path", "tombstone", "content_hash", V.text(F.col("vv")).alias("vv"))
 
 
 def bootstrap_handoff(spark: SparkSession, sf: str) -> DataFrame:
     """Snapshot up to a frontier, then the live stream beyond it, give the state of all operations."""
-    at, schema = _logged(spark, sf)
+    at, schema, files = _logged(spark, sf)
     early = X.ops(spark, sf).filter("origin_seq <= 500")
     S.fold_batch(early, -1, f"{at}/state")
-    live = S.after_frontier(S.read_ops(spark, f"{at}/log", schema), L.frontier(early))
+    live = S.after_frontier(S.read_ops(spark, f"{at}/log", schema, files), L.frontier(early))
     S.materialize(live, f"{at}/state", f"{at}/cp").awaitTermination()
     return S.materialized(spark, f"{at}/state").select("path", "tombstone", "content_hash", V.text(F.col("vv")).alias("vv"))
 
 
 def stream_renames(spark: SparkSession, sf: str) -> DataFrame:
     """Renames through the stream: a write at the new path and a deletion at the old one, in whatever batch they come."""
-    at, schema = _logged(spark, sf, 5, X.renames(spark, sf))
-    S.materialize(S.read_ops(spark, f"{at}/log", schema), f"{at}/state", f"{at}/cp").awaitTermination()
+    at, schema, files = _logged(spark, sf, 5, X.renames(spark, sf))
+    S.materialize(S.read_ops(spark, f"{at}/log", schema, files), f"{at}/state", f"{at}/cp").awaitTermination()
     return S.materialized(spark, f"{at}/state").select("path", "tombstone", "content_hash", V.text(F.col("vv")).alias("vv"))
 
 
@@ -132,8 +137,8 @@ def gossip_rosters(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_gaps(spark: SparkSession, sf: str) -> DataFrame:
     """Operations through a stream, and the holes among them."""
-    at, schema = _logged(spark, sf)
-    S.lost_so_far(S.read_ops(spark, f"{at}/log", schema).filter("event_id % 11 <> 0"), f"{at}/seen", f"{at}/cp").awaitTermination()
+    at, schema, files = _logged(spark, sf)
+    S.lost_so_far(S.read_ops(spark, f"{at}/log", schema, files).filter("event_id % 11 <> 0"), f"{at}/seen", f"{at}/cp").awaitTermination()
     return S.sequence_gaps(spark.read.parquet(f"{at}/seen").distinct())
 
 
