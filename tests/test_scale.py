@@ -5,7 +5,10 @@ import random
 from pyspark.sql import functions as F
 
 from tidemark.operators import ingest as I
+from tidemark.operators import resolve as R
+from tidemark.plans import fixtures as X
 from tidemark.streaming import pipelines as S
+from tidemark.streaming import registry as streams
 
 
 def test_suppression_carries_over_batches(spark, tmp_path):
@@ -21,3 +24,23 @@ def test_suppression_carries_over_batches(spark, tmp_path):
     every = spark.createDataFrame(rows, schema)
     want = I.suppress(every.filter("is_event").drop("is_event"), every.filter("NOT is_event").select("path", "kind", "content_hash", F.col("t").alias("at")), 30)
     assert sorted(r.event_id for r in spark.read.parquet(f"{at}/out").collect()) == sorted(r.event_id for r in want.collect())
+
+
+def test_log_files_follow_the_rows(spark, sf, monkeypatch):
+    monkeypatch.setattr(X, "PORTION", 100)
+    at, schema, files = streams._logged(spark, sf)
+    written = [r.n for r in spark.read.parquet(f"{at}/log").groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+    n = X.events(spark, sf).count()
+    assert max(written) < 4 * 100 and len(written) > n / 100 / 2
+    seen = []
+    S.read_ops(spark, f"{at}/log", schema, files).writeStream.foreachBatch(lambda b, i: seen.append(b.count())).option("checkpointLocation", f"{at}/cp").trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == 3 and sum(seen) == sum(written)
+
+
+def test_ops_are_dealt_out_by_rows(spark, sf, monkeypatch):
+    want = {(r.op_id, r.path, r.origin_seq, str(sorted(r.vv.items()))) for r in X.ops(spark, sf).collect()}
+    monkeypatch.setattr(X, "PORTION", 50)
+    log = X.ops(spark, sf)
+    assert {(r.op_id, r.path, r.origin_seq, str(sorted(r.vv.items()))) for r in log.collect()} == want
+    n = -(-X.events(spark, sf).count() // 50)
+    assert n > 4 and R.by_path(R.candidates(log)).groupBy(F.spark_partition_id()).count().count() > n / 2

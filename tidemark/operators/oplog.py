@@ -38,15 +38,16 @@ def next_seq(log: DataFrame) -> DataFrame:
     return log.groupBy("origin").agg((F.max("origin_seq") + 1).alias("next_seq"))
 
 
-def numbered(df: DataFrame, key: str, order: list[str], block: Column) -> DataFrame:
+def numbered(df: DataFrame, key: str, order: list[str], block: Column, parts: int | None = None) -> DataFrame:
     """Rows with their rank from 1 within key, as column n, in the given order.
 
     A key may hold a large part of all rows, so no task orders a whole key: rows are ranked within (key, block), where
     block, a number, never falls in that order, and get the count of the rows in the key's earlier blocks on top. Only those
-    counts, a row for each block, are summed by key.
+    counts, a row for each block, are summed by key. parts: tasks that share the blocks, where the session's number is too small.
     """
-    inside = df.withColumn("_block", block).withColumn("_n", F.row_number().over(Window.partitionBy(key, "_block").orderBy(*order)))
-    sums = inside.groupBy(key, "_block").agg(F.count(F.lit(1)).alias("_rows"))
+    blocks = df.withColumn("_block", block)
+    inside = (blocks.repartition(parts, key, "_block") if parts else blocks).withColumn("_n", F.row_number().over(Window.partitionBy(key, "_block").orderBy(*order)))
+    sums = blocks.groupBy(key, "_block").agg(F.count(F.lit(1)).alias("_rows"))
     before = F.sum("_rows").over(Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
     starts = sums.select(key, "_block", F.coalesce(before, F.lit(0)).alias("_before"))
     return inside.join(starts, [key, "_block"]).withColumn("n", (F.col("_before") + F.col("_n")).cast("long")).drop("_block", "_n", "_before")

@@ -16,6 +16,8 @@ ORIGINS = ("click", "error", "purchase", "signup", "view")
 #: Propagation delay of an operation to other origins, in microseconds.
 LAG = 21_600_000_000
 CHUNK = 256
+#: Operations of one task.
+PORTION = 100_000
 
 
 def micros(ts: str) -> object:
@@ -31,6 +33,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("t", micros("ts"))
 
 
+def portions(spark: SparkSession, sf_dir: str) -> int:
+    """Tasks that share the log, by the number of events, which stands in the files' footers."""
+    return -(-spark.read.parquet(f"{sf_dir}/events.parquet").count() // PORTION)
+
+
 def ops(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
     e = events(spark, sf_dir).filter(where)
     gone = F.col("event_type") == "error"
@@ -48,7 +55,10 @@ def ops(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
         is_o = (F.col("origin") == o).cast("long")
         return F.when(F.col("origin") == o, F.sum(is_o).over(own)).otherwise(F.coalesce(F.sum(is_o).over(seen), F.lit(0).cast("long")))
 
-    e = L.numbered(e, "origin", ["t", "event_id"], hour()).withColumnRenamed("n", "origin_seq")
+    parts = portions(spark, sf_dir)
+    parts = parts if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+    e = L.numbered(e, "origin", ["t", "event_id"], hour(), parts).withColumnRenamed("n", "origin_seq")
+    e = e.repartition(parts, "path") if parts else e
     counted = e.select("*", V.normalize(F.map_from_arrays(F.array(*map(F.lit, ORIGINS)), F.array(*map(counter, ORIGINS)))).alias("vv"))
     live = F.col("op_type") == "write"
     return counted.select(
