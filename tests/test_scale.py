@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tidemark.operators import ingest as I
+from tidemark.operators import policy as Q
 from tidemark.operators import resolve as R
 from tidemark.plans import fixtures as X
 from tidemark.streaming import pipelines as S
@@ -43,4 +44,21 @@ def test_ops_are_dealt_out_by_rows(spark, sf, monkeypatch):
     log = X.ops(spark, sf)
     assert {(r.op_id, r.path, r.origin_seq, str(sorted(r.vv.items()))) for r in log.collect()} == want
     n = -(-X.events(spark, sf).count() // 50)
-    assert n > 4 and R.by_path(R.candidates(log)).groupBy(F.spark_partition_id()).count().count() > n / 2
+    assert n > 4 and R.by_path(R.candidates(log)).groupBy(F.spark_partition_id()).count().count() > 4  # the session has 4
+
+
+def test_buckets_in_blocks_equal_one_window(spark, monkeypatch):
+    draw = random.Random(5)
+    rows = [(draw.choice("ab"), t // 3 * 400_000 if t > 40 else 0, t, draw.randint(0, 12)) for t in range(400)]
+    df = spark.createDataFrame(rows, "peer string, t long, seq long, amount long")
+    columns = ("seq", "global_wait", "peer_wait", "wait", "t")
+    want = sorted(Q.two_buckets(df, 9, 4).select(*columns).collect())
+    monkeypatch.setattr(Q, "BLOCK", 50)
+    got = Q.two_buckets(df, 9, 4)
+    assert sorted(got.select(*columns).collect()) == want
+    assert Q.token_bucket(df, 9, ("peer",), 1_000_000).groupBy(F.spark_partition_id()).count().count() > 1
+    left, last, held = 9.0, 0, {}
+    for _, t, seq, amount in sorted(rows, key=lambda r: (r[1], r[2])):
+        left, last = min(9.0, left + 9 * (t - last) / 1e6) - amount, t
+        held[seq] = max(0.0, -left / 9)
+    assert all(abs(r[1] - held[r[0]]) < 1e-6 for r in want)
