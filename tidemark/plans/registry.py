@@ -95,8 +95,8 @@ _ORIGIN = X.dig("'copy-origin'", "copy_path")
     f"UNION ALL SELECT copy_path, copy_of, content_hash, 2, 'write', content_hash, {_ORIGIN}[1:32] || ':1' FROM pushed"
 )
 def copy_chain(spark, sf):
-    found = R.candidates(X.ops(spark, sf))
-    planned = R.copies(R.antichain(found), R.winners(found))
+    found = settle(R.latest_per_origin(R.candidates(X.ops(spark, sf))), "found")
+    planned = settle(R.copies(R.antichain(found), R.winners(found)), "planned")
     squatters = planned.filter(F.substring("content_hash", 1, 1) < "8").select(F.col("copy_path").alias("path"), F.lit(False).alias("tombstone"), F.reverse("content_hash").alias("content_hash"), "meta_hash", "naming_hash", "mode", "size", "uuid", F.create_map(F.lit("x"), F.lit(1).cast("long")).alias("vv"))
     return R.place_copies(planned, squatters).select("copy_path", "copy_of", "version.content_hash", "depth", "action", F.col("row.content_hash").alias("holds"), V.text(F.col("row.vv")).alias("vv"))
 
