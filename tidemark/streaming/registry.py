@@ -86,7 +86,7 @@ def stream_suppression(spark: SparkSession, sf: str) -> DataFrame:
         S.suppress(rows, Q.TTL, at, f"{at}/cp").awaitTermination()
 
     _in_turn(spark, both, at, run)
-    return spark.read.schema("event_id long").parquet(f"{at}/out")
+    return spark.read.schema("event_id long").parquet(f"{at}/out").select("event_id")
 
 
 def stream_appends(spark: SparkSession, sf: str) -> DataFrame:
