@@ -8,6 +8,7 @@ from tidemark.operators import ingest as I
 from tidemark.operators import policy as Q
 from tidemark.operators import resolve as R
 from tidemark.plans import fixtures as X
+from tidemark.plans import registry
 from tidemark.streaming import pipelines as S
 from tidemark.streaming import registry as streams
 
@@ -44,7 +45,8 @@ def test_ops_are_dealt_out_by_rows(spark, sf, monkeypatch):
     log = X.ops(spark, sf)
     assert {(r.op_id, r.path, r.origin_seq, str(sorted(r.vv.items()))) for r in log.collect()} == want
     n = -(-X.events(spark, sf).count() // 50)
-    assert n > 4 and R.by_path(R.candidates(log)).groupBy(F.spark_partition_id()).count().count() > 4  # the session has 4
+    tasks = {r.p for r in log.select("path", "vv", F.spark_partition_id().alias("p")).collect()}
+    assert n > 4 and len(tasks) > 4  # the session has 4
 
 
 def test_buckets_in_blocks_equal_one_window(spark, monkeypatch):
@@ -62,3 +64,10 @@ def test_buckets_in_blocks_equal_one_window(spark, monkeypatch):
         left, last = min(9.0, left + 9 * (t - last) / 1e6) - amount, t
         held[seq] = max(0.0, -left / 9)
     assert all(abs(r[1] - held[r[0]]) < 1e-6 for r in want)
+
+
+def test_copies_are_planned_once(spark, sf, monkeypatch):
+    read, place = [], R.place_copies
+    monkeypatch.setattr(R, "place_copies", lambda planned, index: read.extend((*planned.inputFiles(), *index.inputFiles())) or place(planned, index))
+    assert registry.queries()["copy_chain"](spark, sf).count()
+    assert read and not any("events.parquet" in f for f in read)
