@@ -49,6 +49,20 @@ def test_ops_are_dealt_out_by_rows(spark, sf, monkeypatch):
     assert n > 4 and len(tasks) > 4  # the session has 4
 
 
+def test_ops_are_dealt_out_whatever_the_session_merges(spark, sf, monkeypatch):
+    want = {(r.op_id, r.path, str(sorted(r.vv.items()))) for r in X.ops(spark, sf).collect()}
+    monkeypatch.setattr(X, "PORTION", 50)
+    own = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1000")  # Spark merges them into a few
+    try:
+        log = X.ops(spark, sf)
+        tasks = {r.p for r in log.select("path", "vv", F.spark_partition_id().alias("p")).collect()}
+        assert {(r.op_id, r.path, str(sorted(r.vv.items()))) for r in log.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", own)
+    assert len(tasks) > 4
+
+
 def test_buckets_in_blocks_equal_one_window(spark, monkeypatch):
     draw = random.Random(5)
     rows = [(draw.choice("ab"), t // 3 * 400_000 if t > 40 else 0, t, draw.randint(0, 12)) for t in range(400)]

@@ -38,6 +38,15 @@ def portions(spark: SparkSession, sf_dir: str) -> int:
     return -(-spark.read.parquet(f"{sf_dir}/events.parquet").count() // PORTION)
 
 
+def shares(spark: SparkSession, sf_dir: str) -> int | None:
+    """Tasks that share the log's shuffles; None, which leaves them to the session, where one portion holds it all.
+
+    The number is named even where the session's own is larger, as Spark would merge those partitions into one for each core.
+    """
+    parts = portions(spark, sf_dir)
+    return max(parts, spark.sparkContext.defaultParallelism) if parts > 1 else None
+
+
 def ops(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
     e = events(spark, sf_dir).filter(where)
     gone = F.col("event_type") == "error"
@@ -55,8 +64,7 @@ def ops(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
         is_o = (F.col("origin") == o).cast("long")
         return F.when(F.col("origin") == o, F.sum(is_o).over(own)).otherwise(F.coalesce(F.sum(is_o).over(seen), F.lit(0).cast("long")))
 
-    parts = portions(spark, sf_dir)
-    parts = parts if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+    parts = shares(spark, sf_dir)
     e = L.numbered(e, "origin", ["t", "event_id"], hour(), parts).withColumnRenamed("n", "origin_seq")
     e = e.repartition(parts, "path") if parts else e
     counted = e.select("*", V.normalize(F.map_from_arrays(F.array(*map(F.lit, ORIGINS)), F.array(*map(counter, ORIGINS)))).alias("vv"))
