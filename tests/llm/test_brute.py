@@ -44,6 +44,30 @@ def test_toxicity_scores(spark):
 # LM scoring.
 
 
+def test_lm_looks_a_word_up_once():
+    class Counted(op2_lm_scoring.Ids):
+        asked = 0
+
+        def get(self, *args):
+            Counted.asked += 1
+            return super().get(*args)
+
+        def __getitem__(self, word):
+            Counted.asked += 1
+            return super().__getitem__(word)
+
+    texts = ["the cat  sat " * 50, "", " \n", "\x1cthe\x1f cat\x85x　y\x0bİ\x0c\x00 ", "Cat rare the rare É", "the"]
+    ids = Counted([b"the", b"cat"], 3)
+    flat, lengths, rare, which = op2_lm_scoring.framed(texts, ids)[:4]
+    words = [op2_lm_scoring.words_of(t) for t in texts]
+    assert Counted.asked <= len({w for own in words for w in own})
+    want = [0] * op2_lm_scoring.REACH
+    for own in words:
+        want += [op2_lm_scoring.Ids.__getitem__(ids, w) for w in own] + [0] * op2_lm_scoring.REACH
+    assert flat.tolist() == want and lengths.tolist() == [len(own) for own in words]
+    assert [rare[i] for i in which] == [w for own in words for w in own if w not in (b"the", b"cat")]
+
+
 def test_lm_scores_by_hand(spark):
     draw = random.Random(2)
     rows = [(i, " ".join(draw.choice(["the", "cat", "sat", "on", "mat", "rareone", "otherword", "ZEBRA", "é"]) for _ in range(draw.randint(0, 40)))) for i in range(30)] + [(90, None), (91, ""), (92, "the")]
