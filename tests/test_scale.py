@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tidemark.operators import ingest as I
+from tidemark.operators import oplog as L
 from tidemark.operators import policy as Q
 from tidemark.operators import resolve as R
 from tidemark.plans import fixtures as X
@@ -63,6 +64,25 @@ def test_ops_are_dealt_out_whatever_the_session_merges(spark, sf, monkeypatch):
     assert len(tasks) > 4
 
 
+def test_pairs_are_compared_in_blocks(spark, monkeypatch):
+    draw = random.Random(3)
+    rows = [(draw.choice("pq"), f"o{i % 70}", {n: draw.randint(1, 3) for n in "abc" if draw.random() < 0.7}) for i in range(90)] + [("p", "none", None), (None, "x", {"a": 1}), ("p", None, {"a": 1}), ("r", "alone", {})]
+    want = {}
+    for p, x, a in rows:
+        for q, y, b in rows:
+            if p is not None and p == q and x is not None and y is not None and x < y:
+                a_, b_ = a or {}, b or {}
+                more, less = any(v > b_.get(k, 0) for k, v in a_.items()), any(v > a_.get(k, 0) for k, v in b_.items())
+                r = "concurrent" if more and less else "ordered" if more or less else "equal"
+                want[r] = want.get(r, 0) + 1
+    df = spark.createDataFrame(rows, "path string, op_id string, vv map<string,bigint>")
+    for block, parts in ((1000, None), (7, 3), (1, None)):
+        monkeypatch.setattr(L, "PAIRED", block, raising=False)
+        found = L.op_pair_causality(df, *([parts] if parts else []))
+        assert {r.relation: r.pairs for r in found.collect()} == want
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()  # no row for each pair
+
+
 def test_buckets_in_blocks_equal_one_window(spark, monkeypatch):
     draw = random.Random(5)
     rows = [(draw.choice("ab"), t // 3 * 400_000 if t > 40 else 0, t, draw.randint(0, 12)) for t in range(400)]

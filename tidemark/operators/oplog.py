@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from tidemark.functions import vv as V
 
 #: Sequence numbers that one task looks at.
 BLOCK = 65_536
+#: Operations of a path that are compared at once with as many others.
+PAIRED = 1_024
 
 
 def append(log: DataFrame, new: DataFrame) -> DataFrame:
@@ -116,17 +120,43 @@ def lag_spread(lags: DataFrame) -> DataFrame:
     return total.agg(F.max("lag").alias("max_lag"), F.min("lag").alias("min_lag"), (F.max("lag") - F.min("lag")).alias("spread"))
 
 
-def op_pair_causality(ops: DataFrame) -> DataFrame:
+def op_pair_causality(ops: DataFrame, parts: int | None = None) -> DataFrame:
     """How many pairs of operations on one path stand in each causal relation.
 
     A pair needs both rows, so paths with long histories cost the square of their length; that is the question asked here,
-    not part of resolving, which looks at one row per origin.
+    not part of resolving, which looks at one row per origin. A path's history is cut into blocks, and each pair of blocks is compared
+    apart as two arrays of counters, so a group has at most 2 * PAIRED rows and a long history is many groups, shared by parts tasks.
     """
-    a = ops.select("path", F.col("op_id").alias("a_id"), F.col("vv").alias("a"))
-    b = ops.select("path", F.col("op_id").alias("b_id"), F.col("vv").alias("b"))
-    pairs = a.join(b, "path").filter("a_id < b_id").select("path", V.compare(F.col("a"), F.col("b")).alias("r"))
-    relation = F.when(F.col("r").isin("dominates", "dominated"), "ordered").otherwise(F.col("r"))
-    return pairs.groupBy(relation.alias("relation")).agg(F.count(F.lit(1)).alias("pairs"))
+    own = ops.filter("path IS NOT NULL AND op_id IS NOT NULL").select("path", "op_id", F.map_entries("vv").alias("vv"))
+    on_path = Window.partitionBy("path")
+    placed = own.withColumn("b", F.floor((F.row_number().over(on_path.orderBy("op_id")) - 1) / PAIRED).cast("long")).withColumn("last", F.floor((F.count(F.lit(1)).over(on_path) - 1) / PAIRED).cast("long"))
+    met = placed.select("path", "op_id", "vv", "b", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("o"))
+    met = met.select("path", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "op_id", "vv")
+    met = met.repartition(parts, "path", "i", "j") if parts else met
+
+    def related(group: pa.Table) -> pa.Table:
+        n = group.num_rows
+        block, i, j = (group.column(c).to_numpy() for c in ("b", "i", "j"))
+        ids = group.column("op_id").combine_chunks().dictionary_encode().indices.to_numpy()
+        lists = group.column("vv").combine_chunks()
+        entries = lists.flatten()
+        nodes = entries.field("key").dictionary_encode()
+        rows = np.repeat(np.arange(n), lists.value_lengths().fill_null(0).to_numpy())
+        counters = np.zeros((len(nodes.dictionary), n), np.int64)
+        counters[nodes.indices.to_numpy(), rows] = entries.field("value").to_numpy()
+        left, right = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
+        asked = ids[left][:, None] != ids[right][None, :]
+        if i[0] == j[0]:
+            asked &= np.tri(n, k=-1, dtype=bool)
+        more, less = np.zeros_like(asked), np.zeros_like(asked)
+        for c in counters:
+            x, y = c[left][:, None], c[right][None, :]
+            more |= x > y
+            less |= x < y
+        counts = [(asked & more & less).sum(), (asked & (more ^ less)).sum(), (asked & ~(more | less)).sum()]
+        return pa.table({"relation": ["concurrent", "ordered", "equal"], "pairs": pa.array(counts, pa.int64())})
+
+    return met.groupBy("path", "i", "j").applyInArrow(related, "relation string, pairs long").groupBy("relation").agg(F.sum("pairs").alias("pairs")).filter("pairs > 0")
 
 
 def backfill_uuid(rows: DataFrame) -> DataFrame:

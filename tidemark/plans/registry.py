@@ -106,7 +106,7 @@ _EQ = " AND ".join(f"a.{c} = b.{c}" for c in X.COUNTERS)
 
 @query(f"{X.OPS} SELECT CASE WHEN {_EQ} THEN 'equal' WHEN {X.above('a', 'b')} OR {X.above('b', 'a')} THEN 'ordered' ELSE 'concurrent' END AS relation, count(*) AS pairs FROM ops a JOIN ops b ON a.path = b.path AND a.op_id < b.op_id GROUP BY 1")
 def op_pair_causality(spark, sf):
-    return L.op_pair_causality(X.ops(spark, sf))
+    return L.op_pair_causality(X.ops(spark, sf), X.shares(spark, sf))
 
 
 @query(
