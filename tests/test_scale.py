@@ -105,3 +105,10 @@ def test_copies_are_planned_once(spark, sf, monkeypatch):
     monkeypatch.setattr(R, "place_copies", lambda planned, index: read.extend((*planned.inputFiles(), *index.inputFiles())) or place(planned, index))
     assert registry.queries()["copy_chain"](spark, sf).count()
     assert read and not any("events.parquet" in f for f in read)
+
+
+def test_shuffles_of_the_log_carry_events_without_digests(spark, sf, monkeypatch):
+    monkeypatch.setattr(X, "PORTION", 50)
+    plan = X.ops(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    dealt = plan[plan.index("RepartitionByExpression") :]  # the shuffle by path and all below it
+    assert dealt.count("RepartitionByExpression") == 2 and "sha2" in plan and "sha2" not in dealt

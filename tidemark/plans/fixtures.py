@@ -48,14 +48,9 @@ def shares(spark: SparkSession, sf_dir: str) -> int | None:
 
 
 def ops(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
-    e = events(spark, sf_dir).filter(where)
-    gone = F.col("event_type") == "error"
+    """The op log of the events. What follows from a row alone is worked out last: shuffles and sorts carry events, not their digests."""
+    e = events(spark, sf_dir).filter(where).select("event_id", "t", "user_id", F.col("event_type").alias("origin"), "props")
     path = F.concat(F.lit("u/"), (F.col("user_id") % 10).cast("string"), F.lit("/"), F.col("user_id").cast("string"))
-    e = e.select(
-        "event_id", "t", "user_id", F.col("event_type").alias("origin"), F.when(gone, "delete").otherwise("write").alias("op_type"), path.alias("path"),
-        F.when(~gone, F.sha2("props", 256)).alias("content_hash"), F.when(gone, 0).otherwise(F.length("props")).cast("long").alias("size"),
-        F.when(F.col("event_id") % 2 == 0, 420).otherwise(384).alias("mode"),
-    )
     on_path = Window.partitionBy("path")
     own = on_path.orderBy("t", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     seen = on_path.orderBy("t").rangeBetween(Window.unboundedPreceding, -LAG)
@@ -65,9 +60,15 @@ def ops(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
         return F.when(F.col("origin") == o, F.sum(is_o).over(own)).otherwise(F.coalesce(F.sum(is_o).over(seen), F.lit(0).cast("long")))
 
     parts = shares(spark, sf_dir)
-    e = L.numbered(e, "origin", ["t", "event_id"], hour(), parts).withColumnRenamed("n", "origin_seq")
+    e = L.numbered(e, "origin", ["t", "event_id"], hour(), parts).withColumnRenamed("n", "origin_seq").withColumn("path", path)
     e = e.repartition(parts, "path") if parts else e
     counted = e.select("*", V.normalize(F.map_from_arrays(F.array(*map(F.lit, ORIGINS)), F.array(*map(counter, ORIGINS)))).alias("vv"))
+    gone = F.col("origin") == "error"
+    counted = counted.select(
+        "event_id", "t", "user_id", "origin", F.when(gone, "delete").otherwise("write").alias("op_type"), "path",
+        F.when(~gone, F.sha2("props", 256)).alias("content_hash"), F.when(gone, 0).otherwise(F.length("props")).cast("long").alias("size"),
+        F.when(F.col("event_id") % 2 == 0, 420).otherwise(384).alias("mode"), "origin_seq", "vv",
+    )
     live = F.col("op_type") == "write"
     return counted.select(
         "*", D.op_id(F.col("origin"), F.col("origin_seq")).alias("op_id"), F.lit(None).cast("string").alias("path_old"), D.migrated_uuid(F.col("path")).alias("uuid"),
