@@ -1,6 +1,7 @@
 """What keeps the work of one task bounded: the number of tasks and passes, and results over many blocks."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -112,3 +113,28 @@ def test_shuffles_of_the_log_carry_events_without_digests(spark, sf, monkeypatch
     plan = X.ops(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     dealt = plan[plan.index("RepartitionByExpression") :]  # the shuffle by path and all below it
     assert dealt.count("RepartitionByExpression") == 2 and "sha2" in plan and "sha2" not in dealt
+
+
+def test_candidates_are_worked_out_once(spark):
+    draw = random.Random(9)
+    log = [(draw.choice("pq"), draw.choice(["a", "b", None]), i, i) for i in range(40)] + [(None, "a", 50, 50), (None, None, 51, 51)]
+    found = spark.createDataFrame(log, "path string, origin string, origin_seq long, size long").withColumn("origin_seq", F.when(F.col("origin").isNotNull(), F.col("origin_seq")))
+    last = {(p, o): n for p, o, _, n in log if o}
+    kept = R.latest_per_origin(found)
+    assert kept.columns == found.columns
+    assert sorted(map(str, kept.collect())) == sorted(str(r) for r in found.collect() if r.origin is None or r["size"] == last[r.path, r.origin])
+    assert "Union" not in kept._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rechecked_log_stays_dealt_out(spark, sf, monkeypatch):
+    monkeypatch.setattr(X, "PORTION", 50)
+    own = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.shuffle.partitions", "1000")  # Spark merges them into a few
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = registry.queries()["delete_recheck"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+    dealt = re.findall(r"hashpartitioning\(path#\d+, (\d+)\)", plan)
+    assert dealt and set(dealt) == {str(X.shares(spark, sf))}

@@ -57,10 +57,13 @@ def candidates(ops: DataFrame, index: DataFrame | None = None) -> DataFrame:
 def latest_per_origin(found: DataFrame) -> DataFrame:
     """The last candidate of each origin on a path dominates that origin's earlier ones, so no others can be maximal.
 
-    A path then has as many candidates as it has origins, however long its history; rows without an origin all stay.
+    A path then has as many candidates as it has origins, however long its history; rows without an origin all stay. One grouping, no
+    union: what was found is worked out once, and rows that lie together by path still do.
     """
-    by_origin = found.filter("origin IS NOT NULL").groupBy("path", "origin").agg(F.max_by(F.struct(*found.columns), "origin_seq").alias("v")).select("v.*")
-    return by_origin.unionByName(found.filter("origin IS NULL"))
+    row, alone = F.struct(*found.columns), F.col("origin").isNull()
+    grouped = found.groupBy("path", "origin").agg(F.max_by(row, "origin_seq").alias("v"), F.collect_list(F.when(alone, row)).alias("each"))
+    stays = grouped.select("path", F.explode(F.when(alone, F.col("each")).otherwise(F.array("v"))).alias("v"))
+    return stays.select(*("path" if c == "path" else f"v.{c}" for c in found.columns))
 
 
 def by_path(found: DataFrame) -> DataFrame:
