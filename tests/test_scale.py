@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from tidemark.operators import ingest as I
@@ -138,3 +139,26 @@ def test_rechecked_log_stays_dealt_out(spark, sf, monkeypatch):
             spark.conf.set(k, v)
     dealt = re.findall(r"hashpartitioning\(path#\d+, (\d+)\)", plan)
     assert dealt and set(dealt) == {str(X.shares(spark, sf))}
+
+
+def test_log_is_read_in_shares_of_its_rows(spark, sf, tmp_path, monkeypatch):
+    table = spark.read.parquet(f"{sf}/events.parquet").toArrow()
+    pq.write_table(table, tmp_path / "events.parquet", row_group_size=25)
+    want = {(r.op_id, r.path, r.origin_seq, str(sorted(r.vv.items()))) for r in X.ops(spark, sf).collect()}
+    monkeypatch.setattr(X, "PORTION", 50)
+    monkeypatch.setattr(X, "READ", 1, raising=False)
+    monkeypatch.setattr(X, "HOURLY", 1, raising=False)
+    numbered, seen = L.numbered, []
+    monkeypatch.setattr(L, "numbered", lambda e, key, order, block, parts: seen.append((e, block)) or numbered(e, key, order, block, parts))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")  # the file is small
+    try:
+        log = X.ops(spark, str(tmp_path))
+        read, block = seen[0]
+        shares = [r["count"] for r in read.groupBy(F.spark_partition_id()).count().collect()]
+        assert {(r.op_id, r.path, r.origin_seq, str(sorted(r.vv.items()))) for r in log.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert log.sparkSession is spark and spark.conf.get("spark.sql.files.minPartitionNum", None) is None
+    assert sum(shares) == table.num_rows and max(shares) <= 100  # the session has 4 tasks
+    hours = X.events(spark, sf).select(X.hour()).distinct().count()
+    assert read.select(block).distinct().count() > hours

@@ -10,7 +10,7 @@ from tidemark.functions import vv as V
 from tidemark.operators import chunks as C
 from tidemark.operators import oplog as L
 from tidemark.operators import resolve as R
-from tidemark.sources.shared import settle
+from tidemark.sources.shared import read_shared, settle
 
 ORIGINS = ("click", "error", "purchase", "signup", "view")
 #: Propagation delay of an operation to other origins, in microseconds.
@@ -18,6 +18,8 @@ LAG = 21_600_000_000
 CHUNK = 256
 #: Operations of one task.
 PORTION = 100_000
+#: Portions that one task reads from the files, and that the blocks of an hour are meant for.
+READ, HOURLY = 10, 60
 
 
 def micros(ts: str) -> object:
@@ -25,12 +27,16 @@ def micros(ts: str) -> object:
     return F.unix_micros(F.to_timestamp(F.concat(F.col(ts).cast("string"), F.lit("Z"))))
 
 
-def hour() -> object:
-    return F.floor(F.col("t") / 3_600_000_000)
+def hour(parts: int = 1) -> object:
+    """Hour of an event, or the fraction of one that gives a larger log more blocks, of about as many events."""
+    return F.floor(F.col("t") / (3_600_000_000 // -(-parts // HOURLY)))
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("t", micros("ts"))
+def events(spark: SparkSession, sf_dir: str, parts: int = 1) -> DataFrame:
+    """The events; of a log of so many portions, a task reads READ of them."""
+    path, tasks = f"{sf_dir}/events.parquet", -(-parts // READ)
+    read = read_shared(spark, path, tasks) if tasks > spark.sparkContext.defaultParallelism else spark.read.parquet(path)
+    return read.withColumn("t", micros("ts"))
 
 
 def portions(spark: SparkSession, sf_dir: str) -> int:
@@ -49,7 +55,8 @@ def shares(spark: SparkSession, sf_dir: str) -> int | None:
 
 def ops(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
     """The op log of the events. What follows from a row alone is worked out last: shuffles and sorts carry events, not their digests."""
-    e = events(spark, sf_dir).filter(where).select("event_id", "t", "user_id", F.col("event_type").alias("origin"), "props")
+    parts = shares(spark, sf_dir)
+    e = events(spark, sf_dir, parts or 1).filter(where).select("event_id", "t", "user_id", F.col("event_type").alias("origin"), "props")
     path = F.concat(F.lit("u/"), (F.col("user_id") % 10).cast("string"), F.lit("/"), F.col("user_id").cast("string"))
     on_path = Window.partitionBy("path")
     own = on_path.orderBy("t", "event_id").rowsBetween(Window.unboundedPreceding, 0)
@@ -59,8 +66,7 @@ def ops(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
         is_o = (F.col("origin") == o).cast("long")
         return F.when(F.col("origin") == o, F.sum(is_o).over(own)).otherwise(F.coalesce(F.sum(is_o).over(seen), F.lit(0).cast("long")))
 
-    parts = shares(spark, sf_dir)
-    e = L.numbered(e, "origin", ["t", "event_id"], hour(), parts).withColumnRenamed("n", "origin_seq").withColumn("path", path)
+    e = L.numbered(e, "origin", ["t", "event_id"], hour(parts or 1), parts).withColumnRenamed("n", "origin_seq").withColumn("path", path)
     e = e.repartition(parts, "path") if parts else e
     counted = e.select("*", V.normalize(F.map_from_arrays(F.array(*map(F.lit, ORIGINS)), F.array(*map(counter, ORIGINS)))).alias("vv"))
     gone = F.col("origin") == "error"

@@ -40,6 +40,22 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def read_shared(spark: SparkSession, path: str, tasks: int) -> DataFrame:
+    """Parquet at path, read by at least so many tasks where its row groups allow it.
+
+    Spark's own splits follow the cores and go up to spark.sql.files.maxPartitionBytes, and a shuffle to more than 200 tasks sorts a reader's whole
+    share. The number belongs to a session, and the caller's is left alone: only this scan is of another, with the caller's settings. The
+    union with no rows, which the optimiser drops, makes it a table of the caller's session.
+    """
+    own = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(name):
+            own.conf.set(name, value)
+    least = int(spark.conf.get("spark.sql.files.minPartitionNum", None) or spark.sparkContext.defaultParallelism)
+    own.conf.set("spark.sql.files.minPartitionNum", str(max(tasks, least)))
+    return spark.read.parquet(path).filter("false").unionByName(own.read.parquet(path))
+
+
 def release(*tables: DataFrame) -> None:
     """Remove settled tables that no plan reads any more."""
     for df in tables:
