@@ -162,3 +162,19 @@ def test_log_is_read_in_shares_of_its_rows(spark, sf, tmp_path, monkeypatch):
     assert sum(shares) == table.num_rows and max(shares) <= 100  # the session has 4 tasks
     hours = X.events(spark, sf).select(X.hour()).distinct().count()
     assert read.select(block).distinct().count() > hours
+
+
+def test_torn_paths_need_the_log_once(spark, sf):
+    read = lambda name: registry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert read("conflict_winners").count("parquet") == read("live_files").count("parquet") > 0
+
+
+def test_torn_paths_equal_the_joined_antichain(spark):
+    draw = random.Random(4)
+    row = lambda p, o, i: (p, draw.random() < 0.2, draw.choice(["x", "y", None]), draw.choice("mn"), None, 420, draw.randint(0, 9), draw.choice(["u", None]), {n: draw.randint(1, 2) for n in "abc" if draw.random() < 0.6}, o, i)
+    rows = [row(draw.choice([*"pqrstv", None]), draw.choice("abcd"), i) for i in range(60)] + [row("p", None, None), row("w", "a", 1), row("x", None, None), row("x", None, None)]
+    found = spark.createDataFrame(rows, "path string, tombstone boolean, content_hash string, meta_hash string, naming_hash string, mode int, size long, uuid string, vv map<string,bigint>, origin string, origin_seq long")
+    members = R.antichain(found).groupBy("path").agg(F.count("*").alias("members")).filter("members > 1")
+    joined, got = R.winners(found).join(members, "path"), R.torn(found)
+    assert got.columns == joined.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, joined.collect())) != []

@@ -95,14 +95,28 @@ def winners(found: DataFrame, maximal: DataFrame | None = None) -> DataFrame:
 
     The antichain follows from the candidates, so a caller that has it need not pass it.
     """
-    keyed = by_path(found).withColumn("k", F.array_max(F.transform("m", key_of))).withColumn("same", F.filter("m", lambda x: key_of(x) == F.col("k")))
+    return _won(by_path(found))
+
+
+def torn(found: DataFrame) -> DataFrame:
+    """Winners of the paths with more than one maximal candidate, and as members how many; equal vectors count once, as in antichain.
+
+    Both follow from a path's candidates, so these are found once and nothing is joined.
+    """
+    vectors = F.array_distinct(F.transform("m", lambda x: V.key(x["vv"])))
+    met = by_path(found).withColumn("members", F.size(vectors).cast("long"))
+    return _won(met.filter("path IS NOT NULL AND members > 1"), "members")
+
+
+def _won(grouped: DataFrame, *more: str) -> DataFrame:
+    keyed = grouped.withColumn("k", F.array_max(F.transform("m", key_of))).withColumn("same", F.filter("m", lambda x: key_of(x) == F.col("k")))
     most = lambda n: F.array_max(F.transform("same", lambda x: x[n]))
     dead = F.col("k.live") == 0
     none = F.create_map().cast("map<string,bigint>")
     return keyed.select(
         "path", dead.alias("tombstone"), F.when(~dead, most("content_hash")).alias("content_hash"), F.when(dead, D.NO_META).otherwise(F.col("k.meta")).alias("meta_hash"),
         F.when(~dead, most("naming_hash")).alias("naming_hash"), F.when(dead, 0).otherwise(most("mode")).alias("mode"), F.when(dead, 0).otherwise(most("size")).cast("long").alias("size"), most("uuid").alias("uuid"),
-        F.aggregate("c", none, lambda a, x: V.merge(a, x["vv"])).alias("vv"),
+        F.aggregate("c", none, lambda a, x: V.merge(a, x["vv"])).alias("vv"), *more,
     )
 
 

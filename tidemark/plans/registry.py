@@ -66,10 +66,7 @@ def current_state(spark, sf):
 
 @query(f"{X.OPS}, {X.winners('w')}, torn AS (SELECT path, count(*) AS members FROM w_max GROUP BY path HAVING count(*) > 1) SELECT path, members, tombstone, content_hash FROM w JOIN torn USING (path)")
 def conflict_winners(spark, sf):
-    found = R.candidates(X.ops(spark, sf))
-    maximal = R.antichain(found)
-    torn = maximal.groupBy("path").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    return R.winners(found).join(torn, "path").select("path", "members", "tombstone", "content_hash")
+    return R.torn(R.candidates(X.ops(spark, sf))).select("path", "members", "tombstone", "content_hash")
 
 
 _COPIES = (
